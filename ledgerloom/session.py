@@ -23,3 +23,18 @@ def get_session(app: str = "ledgerloom", cpus: int | None = None, **conf: str) -
     spark = SparkSession.builder.master(f"local[{n}]").appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, whatever their working directory and path. Once per context."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_ledgerloom_shipped", False):
+        return
+    at = tempfile.mkdtemp(prefix="ledgerloom-package-")
+    here = Path(__file__).resolve().parent
+    context.addPyFile(shutil.make_archive(f"{at}/ledgerloom", "zip", here.parent, here.name))
+    context._ledgerloom_shipped = True
