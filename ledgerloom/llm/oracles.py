@@ -45,3 +45,59 @@ SELECT conv_id, count(*) AS n_turns,
   false AS rewrites_history
 FROM f GROUP BY conv_id
 """
+
+
+def _secret_spans(kind: int, pattern: str, group: int, least: int) -> str:
+    """Leftmost matches with offsets: what splits the text and what matches, laid end to end."""
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, text, {kind} AS kind, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[i]) AS n
+  FROM (SELECT doc_id, text, g, m, v, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, text, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS v FROM d WHERE regexp_matches(text, '{p}')))
+  WHERE length(v[i]) >= {least}"""
+
+
+def _secrets() -> str:
+    from ledgerloom.llm.secrets import BASE_RULES, MORE_RULES
+
+    rules = [*BASE_RULES, *MORE_RULES]
+    names = ", ".join(f"'{r[0]}'" for r in rules)
+    union = " UNION ALL ".join(_secret_spans(k, *r[1:]) for k, r in enumerate(rules))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS ({union}),
+j AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+    string_agg([{names}][kind + 1] || ':' || s || ':' || (s + n), ',' ORDER BY s, kind) FILTER (kind < {len(BASE_RULES)}) AS base,
+    string_agg([{names}][kind + 1] || ':' || s || ':' || (s + n), ',' ORDER BY s, kind) AS spans
+  FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j ON d.doc_id IS NOT DISTINCT FROM j.doc_id
+"""
+
+
+ORACLES["op5_secret_scans"] = _secrets()
+
+
+def _licenses() -> str:
+    from ledgerloom.llm.licenses import KNOWN, SPELLINGS
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    spelled = "MAP {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in SPELLINGS) + "}"
+    known = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
+    copyright_line = r"(?im)^[^\S\n]*(?:copyright\b|\(c\)|©)[^\n]*$|^[^\S\n]*all rights reserved\.?[^\S\n]*$"
+    lines = rf"""list_filter(list_transform(string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '{copyright_line}', '', 'g')), '[^0-9a-z\n\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'), chr(10)),
+      lambda l: array_to_string(list_transform(string_split(trim(l), ' '), lambda w: coalesce(({spelled})[w], w)), ' ')), lambda l: l <> '')"""
+    return f"""
+WITH k AS (
+  SELECT sha256(array_to_string(lines, ' ')) AS digest, min(license) AS license
+  FROM (SELECT license, {lines} AS lines FROM (VALUES {known}) AS v(license, text)) GROUP BY 1
+), d AS (SELECT row_number() OVER () AS r, doc_id, {lines} AS lines FROM documents),
+n AS (
+  SELECT r, count(*) AS n_license_lines, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses
+  FROM (SELECT r, sha256(unnest(lines)) AS digest FROM d) JOIN k USING (digest) GROUP BY r)
+SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest, k.license, coalesce(n_license_lines, 0) AS n_license_lines, coalesce(line_licenses, '') AS line_licenses
+FROM d LEFT JOIN k ON sha256(array_to_string(lines, ' ')) = k.digest LEFT JOIN n USING (r)
+"""
+
+
+ORACLES["op10_license_scans"] = _licenses()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, media
+from ledgerloom.llm import chat, decontaminate, licenses, media, secrets
 from ledgerloom.llm.oracles import ORACLES
 from ledgerloom.llm.shared import table
 
@@ -40,8 +40,28 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_paths(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_RULES))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"),
+        secrets.joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_media_columns": op3_media_columns,
+    "op5_secret_scans": op5_secret_scans,
+    "op10_license_scans": op10_license_scans,
 }
