@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, licenses, media, secrets
+from ledgerloom.llm import chat, decontaminate, jaccard, licenses, media, secrets
 from ledgerloom.llm.oracles import ORACLES
 from ledgerloom.llm.shared import table
 
@@ -54,6 +54,11 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -63,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_media_columns": op3_media_columns,
     "op5_secret_scans": op5_secret_scans,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_license_scans": op10_license_scans,
 }
