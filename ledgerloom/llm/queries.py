@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, jaccard, licenses, media, secrets
+from ledgerloom.llm import chat, decontaminate, jaccard, licenses, media, secrets, toxicity
 from ledgerloom.llm.oracles import ORACLES
 from ledgerloom.llm.shared import table
 
@@ -40,6 +40,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_paths(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_RULES))
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_media_columns": op3_media_columns,
+    "op4_toxicity": op4_toxicity,
     "op5_secret_scans": op5_secret_scans,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_license_scans": op10_license_scans,
