@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, jaccard, licenses, media, secrets, toxicity
+from ledgerloom.llm import chat, decontaminate, jaccard, licenses, media, pii, secrets, sentencepieces, tokencount, toxicity
 from ledgerloom.llm.oracles import ORACLES
 from ledgerloom.llm.shared import table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def tokenizer(spark: SparkSession, name: str) -> str:
+    """A vocabulary file in the folder that the setting ledgerloom.tokenizers names."""
+    return f"{spark.conf.get('ledgerloom.tokenizers', '/opt/tokenizers')}/{name}"
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -60,11 +65,40 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.joined_spans(F.col("base")), 256).alias("base_sha256"),
+        pii.joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer(spark, "byte_bpe_50k.tiktoken"))
+    whole = F.transform("section_tokens", lambda n: n.cast("long"))
+    return counted.select(
+        F.col("id").alias("doc_id"),
+        "n_tokens",
+        F.size("section_names").cast("long").alias("n_sections"),
+        "n_crossing",
+        F.col("outside").cast("long").alias("n_outside"),
+        F.array_join(whole, ",").alias("section_tokens"),
+    )
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = jaccard.jaccard_join(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer(spark, "piece_bpe_32k.model")
+    return sentencepieces.described(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -75,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op4_toxicity": op4_toxicity,
     "op5_secret_scans": op5_secret_scans,
+    "op6_pii": op6_pii,
+    "op7_token_counts": op7_token_counts,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_license_scans": op10_license_scans,
 }
