@@ -1 +1,276 @@
+"""Graph queries: accounts as vertices, last payments of a pair as edges."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import graph
+from ledgerloom.operators.sampling import hash_order
+from ledgerloom.plans.registry import query
+from ledgerloom.sources.tables import EDGES_SQL, ORDER, TX_SQL, load, rounded, transactions
+
+G = f"{TX_SQL}, {EDGES_SQL}"
+PAIRS_SQL = "e AS (SELECT DISTINCT src, dst FROM edges)"
+DEG_SQL = f"{PAIRS_SQL}, deg AS (SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(*) AS degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id)"
+#: Customers who place urgent orders on one day: a graph with triangles.
+PEERS_SQL = "o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority LIKE '1%'), peers AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM o a JOIN o b ON a.d = b.d AND a.o_custkey < b.o_custkey)"
+
+
+def edges(spark, sf_dir):
+    return graph.last_edges(transactions(spark, sf_dir), ORDER)
+
+
+def peers(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").select("o_custkey", F.col("o_orderdate").cast("date").alias("d"))
+    a, b = o.select(F.col("o_custkey").alias("src"), "d"), o.select(F.col("o_custkey").alias("dst"), "d")
+    return a.join(b, "d").where("src < dst").select("src", "dst").distinct()
+
+
+@query("build_graph_tx", f"WITH {G} SELECT src, dst, amount, step, fraud FROM edges")
+def build_graph_tx(spark, sf_dir):
+    return edges(spark, sf_dir)
+
+
+@query("degrees", f"WITH {G}, {DEG_SQL} SELECT * FROM deg")
+def degrees(spark, sf_dir):
+    return graph.degrees(edges(spark, sf_dir))
+
+
+@query("degree_centrality", f"WITH {G}, {DEG_SQL} SELECT id, round(degree / ((SELECT count(*) FROM deg) - 1), 6) AS centrality_nx, round(degree / (2 * ((SELECT count(*) FROM deg) - 1)), 6) AS centrality_half FROM deg")
+def degree_centrality(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    nx, half = (graph.degree_centrality(e, norm).select("id", rounded(F.col("degree_centrality")).alias(f"centrality_{norm}")) for norm in ("nx", "half"))
+    return nx.join(half, "id")
+
+
+@query(
+    "graph_statistics",
+    f"WITH {G}, {DEG_SQL} SELECT count(*) AS n, CAST(sum(out_degree) AS BIGINT) AS m, round(avg(in_degree), 6) AS avg_in, round(avg(out_degree), 6) AS avg_out, max(in_degree) AS max_in, max(out_degree) AS max_out, round(sum(out_degree) / (count(*) * (count(*) - 1)), 8) AS density FROM deg",
+)
+def graph_statistics(spark, sf_dir):
+    s = graph.graph_statistics(edges(spark, sf_dir))
+    return s.select("n", "m", rounded(F.col("avg_in")).alias("avg_in"), rounded(F.col("avg_out")).alias("avg_out"), "max_in", "max_out", rounded(F.col("density"), 8).alias("density"))
+
+
+@query(
+    "neighbor_degree_avg",
+    f"""WITH {G}, {DEG_SQL} SELECT deg.id, round(coalesce(i, 0), 6) AS in_avg, round(coalesce(o, 0), 6) AS out_avg FROM deg
+LEFT JOIN (SELECT dst AS id, avg(in_degree) AS i FROM e JOIN deg ON src = id GROUP BY dst) x ON x.id = deg.id LEFT JOIN (SELECT src AS id, avg(out_degree) AS o FROM e JOIN deg ON dst = id GROUP BY src) y ON y.id = deg.id""",
+)
+def neighbor_degree_avg(spark, sf_dir):
+    return graph.neighbor_degree_avg(edges(spark, sf_dir)).select("id", rounded(F.col("in_avg")).alias("in_avg"), rounded(F.col("out_avg")).alias("out_avg"))
+
+
+@query("fraud_nodes", f"WITH {G} SELECT src AS id FROM edges WHERE fraud = 1 UNION SELECT dst FROM edges WHERE fraud = 1")
+def fraud_nodes(spark, sf_dir):
+    return graph.fraud_nodes(edges(spark, sf_dir))
+
+
+_BFS_SQL = "both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
+
+
+@query(
+    "bfs_distance_to_fraud",
+    f"""WITH RECURSIVE {G}, {_BFS_SQL}, seeds AS (SELECT src AS id FROM edges WHERE fraud = 1 UNION SELECT dst FROM edges WHERE fraud = 1),
+r AS (SELECT id, 0 AS distance FROM seeds UNION SELECT b, distance + 1 FROM r JOIN both_ways ON a = id WHERE distance < 6)
+SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY id""",
+)
+def bfs_distance_to_fraud(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return graph.distances(e, graph.fraud_nodes(e))
+
+
+_SEEDS = "CAST(substr(id, 2) AS BIGINT) % 100 = 1 AND id LIKE 'C%'"
+
+
+def _seeds(e):
+    return graph.nodes(e).where(F.col("id").startswith("C") & (F.substring("id", 2, 20).cast("long") % 100 == 1))
+
+
+@query(
+    "k_hop_neighbors",
+    f"""WITH RECURSIVE {G}, {_BFS_SQL}, r AS (SELECT a AS seed, a AS id, 0 AS distance FROM (SELECT DISTINCT a FROM both_ways) AS x(a) WHERE {_SEEDS.replace('id', 'a')} UNION SELECT seed, b, distance + 1 FROM r JOIN both_ways ON a = id WHERE distance < 2)
+SELECT seed, id, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY seed, id""",
+)
+def k_hop_neighbors(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return graph.distances(e, _seeds(e), most=2, by_seed=True)
+
+
+@query(
+    "local_network_features",
+    f"""WITH {G}, {DEG_SQL}, {_BFS_SQL}, n AS (SELECT DISTINCT a AS seed, a AS id FROM both_ways WHERE {_SEEDS.replace('id', 'a')} UNION SELECT a, b FROM both_ways WHERE {_SEEDS.replace('id', 'a')}),
+c AS (SELECT seed, count(*) AS n FROM n GROUP BY seed), m AS (SELECT x.seed, count(*) AS m FROM n x JOIN e ON e.src = x.id JOIN n y ON y.seed = x.seed AND y.id = e.dst GROUP BY x.seed),
+s AS (SELECT src AS seed, avg(out_degree) AS om, stddev_pop(out_degree) AS os FROM e JOIN deg ON dst = id GROUP BY src)
+SELECT seed, n, coalesce(m, 0) AS m, round(CASE WHEN n > 1 THEN coalesce(m, 0) / (n * (n - 1)) ELSE 0 END, 6) AS density, round(coalesce(om, 0), 6) AS out_mean, round(coalesce(os, 0), 6) AS out_std FROM c LEFT JOIN m USING (seed) LEFT JOIN s USING (seed)""",
+)
+def local_network_features(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    out = graph.local_features(e, _seeds(e), 1)
+    return out.select("seed", "n", "m", *[rounded(F.col(c)).alias(c) for c in ("density", "out_mean", "out_std")])
+
+
+@query(
+    "clustering_coefficient",
+    f"""WITH {PEERS_SQL},
+t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM peers x JOIN peers y ON x.dst = y.src JOIN peers z ON z.src = x.src AND z.dst = y.dst),
+tc AS (SELECT id, count(*) AS t FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY id), k AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM peers UNION ALL SELECT dst FROM peers) GROUP BY id)
+SELECT id, coalesce(t, 0) AS triangles, round(CASE WHEN k >= 2 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6) AS clustering FROM k LEFT JOIN tc USING (id)""",
+)
+def clustering_coefficient(spark, sf_dir):
+    return graph.clustering(peers(spark, sf_dir)).select("id", "triangles", rounded(F.col("clustering")).alias("clustering"))
+
+
+@query(
+    "weakly_connected",
+    f"""WITH RECURSIVE {G}, {_BFS_SQL}, r AS (SELECT a AS id, a AS c FROM both_ways WHERE a = (SELECT min(a) FROM both_ways) UNION SELECT b, c FROM r JOIN both_ways ON a = id),
+x AS (SELECT DISTINCT a AS id FROM both_ways) SELECT x.id, coalesce(r.c, x.id) AS component FROM x LEFT JOIN r USING (id)""",
+)
+def weakly_connected(spark, sf_dir):
+    return graph.weakly_connected(edges(spark, sf_dir))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = ["r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS rank FROM deg)"]
+    for k in range(rounds):
+        steps.append(f"""r{k + 1} AS (SELECT deg.id, 0.15 / (SELECT count(*) FROM deg) + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k} JOIN deg USING (id) WHERE out_degree = 0) / (SELECT count(*) FROM deg)) AS rank
+  FROM deg LEFT JOIN (SELECT dst AS id, sum(rank / out_degree) AS got FROM e JOIN r{k} ON r{k}.id = src JOIN deg ON deg.id = src GROUP BY dst) g ON g.id = deg.id)""")
+    return f"WITH {G}, {DEG_SQL}, {', '.join(steps)} SELECT id, round(rank, 8) AS rank FROM r{rounds}"
+
+
+@query("pagerank", _pagerank_sql(5))
+def pagerank(spark, sf_dir):
+    return graph.pagerank(edges(spark, sf_dir), rounds=5).select("id", rounded(F.col("rank"), 8).alias("rank"))
+
+
+@query(
+    "temporal_neighbors",
+    f"WITH {G}, f AS (SELECT src AS id, min(step) + 500 AS since FROM edges GROUP BY src) SELECT id, dst, step, CAST(r AS INTEGER) AS r FROM (SELECT id, dst, step, row_number() OVER (PARTITION BY id ORDER BY step, dst) AS r FROM f JOIN edges ON id = src AND step >= since) WHERE r <= 3",
+)
+def temporal_neighbors(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return graph.temporal_neighbors(e, e.groupBy(F.col("src").alias("id")).agg((F.min("step") + 500).alias("at")), 3)
+
+
+@query("temporal_path_expand", f"WITH {G} SELECT a.src AS a, a.dst AS b, b.src AS c, a.step AS s1, b.step AS s2 FROM edges a JOIN edges b ON a.dst = b.dst AND b.step >= a.step AND b.step <= a.step + 1 WHERE a.fraud = 1")
+def temporal_path_expand(spark, sf_dir):
+    """From fraud payments to what the payee's other payers do within a day (payees pay nobody in this table, so the second hop runs backwards)."""
+    e = edges(spark, sf_dir)
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "step")
+    return graph.temporal_paths(e.where("fraud = 1"), back).where("s2 <= s1 + 1")
+
+
+_U = "CAST(('0x' || substr(md5('7:' || id), 1, 8)) AS BIGINT) / 4294967296"
+_SPLIT_SQL = f"sp AS (SELECT id, CASE WHEN {_U} < 0.2 THEN 'test' WHEN {_U} < 0.2 + 0.1 THEN 'validation' ELSE 'train' END AS split FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges))"
+
+
+def _splits(e):
+    return graph.entity_split(graph.nodes(e), hash_order("id"))
+
+
+@query("entity_disjoint_split", f"WITH {G}, {_SPLIT_SQL} SELECT e.src, e.dst, e.step, a.split FROM edges e JOIN sp a ON e.src = a.id JOIN sp b ON e.dst = b.id WHERE a.split = b.split")
+def entity_disjoint_split(spark, sf_dir):
+    e = graph.cut(edges(spark, sf_dir))
+    return graph.entity_disjoint_edges(e, _splits(e)).select("src", "dst", "step", "split")
+
+
+@query(
+    "leakage_check",
+    f"""WITH {G}, a AS (SELECT * FROM edges WHERE step < 1500), b AS (SELECT * FROM edges WHERE step >= 1500), an AS (SELECT src AS id FROM a UNION SELECT dst FROM a), bn AS (SELECT src AS id FROM b UNION SELECT dst FROM b)
+SELECT (SELECT count(*) FROM an) AS train_nodes, (SELECT count(*) FROM bn) AS test_nodes, (SELECT count(*) FROM an JOIN bn USING (id)) AS shared, (SELECT count(*) FROM b WHERE src IN (SELECT id FROM an) AND dst IN (SELECT id FROM an)) AS inside, round((SELECT count(*) FROM an JOIN bn USING (id)) / (SELECT count(*) FROM bn), 6) AS shared_ratio""",
+)
+def leakage_check(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    out = graph.leakage(e.where("step < 1500"), e.where("step >= 1500"))
+    return out.withColumn("shared_ratio", rounded(F.col("shared_ratio")))
+
+
+@query(
+    "temporal_split_quantile",
+    f"""WITH {G}, o AS (SELECT src, dst, step, row_number() OVER (ORDER BY step, src, dst) AS r, count(*) OVER () AS m FROM edges)
+SELECT split, count(*) AS n, min(step) AS first_step, max(step) AS last_step FROM (SELECT step, CASE WHEN r <= m - CAST(floor(m * 0.2) AS BIGINT) - CAST(floor(m * 0.1) AS BIGINT) THEN 'train' WHEN r <= m - CAST(floor(m * 0.2) AS BIGINT) THEN 'validation' ELSE 'test' END AS split FROM o) GROUP BY split""",
+)
+def temporal_split_quantile(spark, sf_dir):
+    """Counts of the last fifth (test) and the tenth before (validation) by step; ranks run within a step, on top of sums over steps."""
+    from ledgerloom.operators.metrics import running_sums
+
+    e = edges(spark, sf_dir)
+    steps = running_sums(e.groupBy("step").agg(F.count("*").alias("n")), "step", "n", descending=False)
+    from pyspark.sql import Window as W
+
+    ranked = e.withColumn("w", F.row_number().over(W.partitionBy("step").orderBy("src", "dst"))).join(steps.select("step", (F.col("cum_n") - F.col("n")).alias("before")), "step")
+    total = e.agg(F.count("*").alias("m"))
+    r = F.col("before") + F.col("w")
+    test, val = F.floor(F.col("m") * 0.2), F.floor(F.col("m") * 0.1)
+    split = F.when(r <= F.col("m") - test - val, "train").when(r <= F.col("m") - test, "validation").otherwise("test")
+    return ranked.join(F.broadcast(total)).groupBy(split.alias("split")).agg(F.count("*").alias("n"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
+
+
+@query("merge_edges", f"WITH {G}, a AS (SELECT src, dst FROM edges WHERE amount > 50000), b AS (SELECT src, dst FROM edges WHERE step < 1000) SELECT src, dst, CAST(CASE WHEN count(*) > 1 THEN 2 ELSE 1 END AS INTEGER) AS weight FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2")
+def merge_edges(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return graph.merge_edges(e.where("amount > 50000"), e.where("step < 1000"))
+
+
+@query("nx_to_edge_index", f"WITH {G}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)) SELECT a.i AS src_index, b.i AS dst_index, src, dst FROM edges JOIN n a ON src = a.id JOIN n b ON dst = b.id")
+def nx_to_edge_index(spark, sf_dir):
+    return graph.edge_index(edges(spark, sf_dir))
+
+
+@query("node_attr_edge_join", f"WITH {G}, c AS (SELECT 'C' || c_custkey AS id, c_acctbal AS bal FROM customer WHERE c_acctbal > 0), s AS (SELECT 'M' || s_suppkey AS id, s_acctbal AS bal FROM supplier) SELECT src, dst, greatest(c.bal, s.bal) AS top_balance, CAST(c.bal < 1000 OR s.bal < 1000 AS INTEGER) AS is_low FROM edges JOIN c ON src = c.id JOIN s ON dst = s.id")
+def node_attr_edge_join(spark, sf_dir):
+    """Edges whose two ends have attributes; a flag of either end marks the edge."""
+    c = load(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.concat(F.lit("C"), "c_custkey").alias("src"), F.col("c_acctbal").alias("a"))
+    s = load(spark, sf_dir, "supplier").select(F.concat(F.lit("M"), "s_suppkey").alias("dst"), F.col("s_acctbal").alias("b"))
+    return edges(spark, sf_dir).join(c, "src").join(s, "dst").select("src", "dst", F.greatest("a", "b").alias("top_balance"), ((F.col("a") < 1000) | (F.col("b") < 1000)).cast("int").alias("is_low"))
+
+
+@query(
+    "edge_suspiciousness",
+    f"""WITH {G} SELECT src, dst, round(list_avg(list_filter([least(ln(1 + amount) / 15, 1.0), CASE WHEN amount % 1000 = 0 THEN 0.6 END, CASE WHEN amount BETWEEN 9000 AND 10000 THEN 0.9 END, CASE WHEN fraud = 1 THEN 0.8 END], lambda x: x IS NOT NULL)), 6) AS score FROM edges""",
+)
+def edge_suspiciousness(spark, sf_dir):
+    """Mean of the rules that apply: size, round amounts, amounts just below a reporting limit, flags."""
+    a = F.col("amount")
+    rules = F.array(F.least(F.log1p(a) / 15, F.lit(1.0)), F.when(a % 1000 == 0, 0.6), F.when(a.between(9000, 10000), 0.9), F.when(F.col("fraud") == 1, 0.8))
+    some = F.array_compact(rules)
+    mean = F.aggregate(some, F.lit(0.0), lambda s, x: s + x) / F.size(some)
+    return edges(spark, sf_dir).select("src", "dst", rounded(mean).alias("score"))
+
+
+@query(
+    "node_suspiciousness",
+    f"""WITH {G}, {DEG_SQL} SELECT id, round(list_avg(list_filter([CASE WHEN out_degree / greatest(in_degree, 1) > 5 THEN 0.7 WHEN out_degree / greatest(in_degree, 1) < 0.2 THEN 0.6 END, CASE WHEN id LIKE 'M%' THEN 0.5 ELSE 0.8 END], lambda x: x IS NOT NULL)), 6) AS score,
+round(least(greatest(0.6 * least(degree / 10, 1) + 0.4 * 0.5, 0.1), 0.9), 6) AS neighbor_risk_hint FROM deg""",
+)
+def node_suspiciousness(spark, sf_dir):
+    ratio = F.col("out_degree") / F.greatest("in_degree", F.lit(1))
+    some = F.array_compact(F.array(F.when(ratio > 5, 0.7).when(ratio < 0.2, 0.6), F.when(F.col("id").startswith("M"), 0.5).otherwise(0.8)))
+    mean = F.aggregate(some, F.lit(0.0), lambda s, x: s + x) / F.size(some)
+    hint = F.least(F.greatest(0.6 * F.least(F.col("degree") / 10, F.lit(1)) + 0.4 * 0.5, F.lit(0.1)), F.lit(0.9))
+    return graph.degrees(edges(spark, sf_dir)).select("id", rounded(mean).alias("score"), rounded(hint).alias("neighbor_risk_hint"))
+
+
+@query(
+    "candidate_proposals",
+    f"WITH {G}, v AS (SELECT * FROM edges WHERE fraud = 1 AND step < 100) SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT src FROM v) AND dst NOT IN (SELECT dst FROM v)",
+)
+def candidate_proposals(spark, sf_dir):
+    """Neighbours of visited accounts that are neither visited nor proposed yet."""
+    e = edges(spark, sf_dir)
+    fraud = e.where("fraud = 1 and step < 100")
+    near = e.join(fraud.select("src").distinct(), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    return near.join(fraud.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+
+
+@query(
+    "edge_feature_vector",
+    f"""WITH {G}, {DEG_SQL}, f AS (SELECT src, dst, [a.in_degree, a.out_degree, b.in_degree, b.out_degree, ln(1 + amount), step / 1000] AS v FROM edges JOIN deg a ON src = a.id JOIN deg b ON dst = b.id) SELECT src, dst, round(list_sum(list_transform(v, lambda x, i: x * i)), 4) AS checksum, len(v) AS size FROM f""",
+)
+def edge_feature_vector(spark, sf_dir):
+    """Features of both ends and of the edge as one array."""
+    e, d = edges(spark, sf_dir), graph.degrees(edges(spark, sf_dir))
+    side = lambda end: d.select(F.col("id").alias(end), F.array(F.col("in_degree").cast("double"), F.col("out_degree").cast("double")).alias(f"v_{end}"))
+    v = e.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", F.concat("v_src", "v_dst", F.array(F.log1p("amount"), F.col("step") / 1000)).alias("v"))
+    weighted = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return v.select("src", "dst", rounded(weighted, 4).alias("checksum"), F.size("v").cast("long").alias("size"))

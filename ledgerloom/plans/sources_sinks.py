@@ -1 +1,73 @@
+"""Round trips through sources and sinks, and streaming queries run over what is there."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators.graph import cut
+from ledgerloom.plans.registry import query
+from ledgerloom.sources import readers, writers
+from ledgerloom.sources.tables import load, rounded
+from ledgerloom.streaming import dedup as stream
+
+
+def _folder(spark, name: str) -> str:
+    cut(spark.range(1))  # makes sure that a shared folder is known
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("jsonl_round_trip", "SELECT doc_id, md5(text) AS h, lang FROM documents")
+def jsonl_round_trip(spark, sf_dir):
+    at = _folder(spark, "jsonl")
+    writers.to_jsonl(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"), at)
+    return readers.jsonl(spark, at, "doc_id bigint, text string, lang string").select("doc_id", F.md5("text").alias("h"), "lang")
+
+
+@query("csv_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_round_trip(spark, sf_dir):
+    at = _folder(spark, "csv")
+    writers.to_csv_report(load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), at)
+    return readers.csv_with_header(spark, at, "c_custkey bigint, c_name string, c_acctbal double")
+
+
+@query("split_export", "SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM documents GROUP BY 1")
+def split_export(spark, sf_dir):
+    at = _folder(spark, "splits")
+    writers.to_splits(load(spark, sf_dir, "documents").withColumn("split", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train")), at)
+    return spark.read.parquet(at).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("clean_values", "SELECT o_orderkey, round(CAST(regexp_replace('$' || o_totalprice || ' USD', '[^0-9.]', '', 'g') AS DOUBLE), 4) AS amount, CAST(o_orderkey AS VARCHAR) AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
+def clean_values(spark, sf_dir):
+    """Amounts, ids and dates of mixed formats read back from text."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("timestamp").alias("d"))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("d", "yyyy-MM-dd")).otherwise(F.date_format("d", "MM/dd/yyyy"))
+    return o.select(
+        "o_orderkey",
+        rounded(readers.amount(F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,4)").cast("string"), F.lit(" USD"))), 4).alias("amount"),
+        readers.transaction_id(F.concat(F.col("o_orderkey").cast("string"), F.lit(".0"))).alias("id"),
+        readers.any_date(text).cast("date").cast("string").alias("day"),
+    )
+
+
+@query("stream_running_stats", "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY event_type")
+def stream_running_stats(spark, sf_dir):
+    source = load(spark, sf_dir, "events").select("event_type", "value")
+    at = _folder(spark, "in")
+    source.write.parquet(at)
+    rows = spark.readStream.schema(source.schema).parquet(at)
+    out = stream.run_once(stream.running_stats(rows, "event_type", "value"), f"stats_{uuid.uuid4().hex}", "complete", _folder(spark, "state"))
+    return out.select("event_type", "n", rounded(F.col("total"), 3).alias("total"))
+
+
+@query("stream_exact_dedup", r"SELECT count(DISTINCT sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))) AS n FROM documents")
+def stream_exact_dedup(spark, sf_dir):
+    source = load(spark, sf_dir, "documents").select("doc_id", "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
+    at = _folder(spark, "in")
+    source.write.parquet(at)
+    rows = spark.readStream.schema(source.schema).parquet(at)
+    out = stream.run_once(stream.exact_dedup(rows, "text", "at").select("doc_id"), f"dedup_{uuid.uuid4().hex}", "append", _folder(spark, "state"))
+    return out.agg(F.count("*").alias("n"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import ship_package
+
 #: Orders rows of a transaction table; no two rows share all of these values.
 ORDER = ["step", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "amount"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
