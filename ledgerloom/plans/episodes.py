@@ -92,7 +92,7 @@ _DRIFT = f"""{E}, d AS (SELECT user_id, step, value - lag(value) OVER w AS a, ev
 c AS (SELECT user_id, step, CASE WHEN count(a) OVER s >= 10 AND stddev_pop(a) OVER s > 1e-6 AND stddev_pop(b) OVER s > 1e-6 THEN corr(a, b) OVER s END AS c FROM d WINDOW s AS (PARTITION BY user_id ORDER BY step ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"""
 
 
-@query("drift_alarm", f"WITH {_DRIFT} SELECT user_id, step, round(c, 5) AS corr, coalesce(c < -0.3, false) AS alarm FROM c")
+@query("drift_alarm", f"WITH {_DRIFT} SELECT user_id, step, round(c, 5) + 0.0 AS corr, coalesce(c < -0.3, false) AS alarm FROM c")
 def drift_alarm(spark, sf_dir):
     s = steps(spark, sf_dir).withColumn("judge", (F.col("event_id") % 97).cast("double"))
     return _r(episodes.rolling_correlation(s, "user_id", "step", "value", "judge", 50, 10).select("user_id", "step", "corr", "alarm"), "user_id", "step", "alarm", places=5)
