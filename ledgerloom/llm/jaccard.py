@@ -36,6 +36,8 @@ FREQUENT = 16
 MOST_FREQUENT = 2_000_000
 #: Runs of up to so many groups of one token are paired in full at once.
 SMALL_RUN = 16
+#: Tokens that a task holds before it sends them on.
+HELD_TOKENS = 2_000_000
 #: Texts to verify are joined by broadcast up to so many bytes of keys, by shuffle beyond.
 BROADCAST_BYTES = 64 << 20
 
@@ -56,44 +58,41 @@ def _class_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _packed(bucket: np.ndarray, order: np.ndarray, values: list[np.ndarray], buckets: int):
-    """(bucket, binary of each value's rows) of the buckets that have rows."""
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    values = [v[order] for v in values]
-    for b in np.flatnonzero(np.diff(ends)):
-        yield int(b), *(v[ends[b] : ends[b + 1]].tobytes() for v in values)
-
-
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def _counted(sets: list[np.ndarray], buckets: int, schema: pa.Schema) -> pa.RecordBatch:
+    _, cells = _cells(np.concatenate(sets), buckets)
+    cells, n = np.unique(cells, return_counts=True)
+    ends = np.searchsorted(cells >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    low, rows = cells.astype(np.uint32), []
+    for b in np.flatnonzero(np.diff(ends)):
+        at = slice(ends[b], ends[b + 1])
+        one = n[at] == 1
+        rows.append((int(b), low[at][one].tobytes(), low[at][~one].tobytes(), n[at][~one].astype(np.uint32).tobytes()))
+    return _rows(rows, schema)
+
+
 def frequent_tokens(docs: DataFrame, text: str, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells of frequent tokens, ascending, and their counts over all documents."""
     schema = pa.schema([("bucket", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
 
     def count(batches):
+        sets, seen, held = [], set(), 0
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
-            sets, seen = [], set()
             for i, j in slices(offsets):
                 for tokens in sets_of_shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k):
                     if len(tokens) and (key := _class_key(tokens)) not in seen:
                         seen.add(key)
                         sets.append(tokens)
-            if not sets:
-                continue
-            _, cells = _cells(np.concatenate(sets), buckets)
-            sets.clear()
-            cells, n = np.unique(cells, return_counts=True)
-            bucket, low = (cells >> np.uint64(32)).astype(np.int64), cells.astype(np.uint32)
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = []
-            for b in np.flatnonzero(np.diff(ends)):
-                at = slice(ends[b], ends[b + 1])
-                one = n[at] == 1
-                rows.append((int(b), low[at][one].tobytes(), low[at][~one].tobytes(), n[at][~one].astype(np.uint32).tobytes()))
-            yield _rows(rows, schema)
+                        held += len(tokens)
+            if held >= HELD_TOKENS:
+                yield _counted(sets, buckets, schema)
+                sets, seen, held = [], set(), 0
+        if sets:
+            yield _counted(sets, buckets, schema)
 
     out = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 
@@ -169,36 +168,46 @@ def members(docs: DataFrame, id: str, text: str, k: int, buckets: int, shared) -
     return rows.mapInArrow(run, "id bigint, content bigint, n_shingles bigint, class binary, group bigint")
 
 
+def _entries(found: list[tuple], buckets: int, schema: pa.Schema) -> pa.RecordBatch:
+    sizes = [len(p) for p, _, _ in found]
+    tokens = np.concatenate([p for p, _, _ in found])
+    rows = np.empty(len(tokens), _ENTRY)
+    rows["token"] = tokens.astype(np.uint32)
+    rows["group"] = np.repeat(np.array([g for _, g, _ in found], np.uint64), sizes)
+    rows["n"] = np.repeat(np.array([n for _, _, n in found], np.uint32), sizes)
+    rows["at"] = np.concatenate([np.arange(s, dtype=np.uint32) for s in sizes])
+    bucket, _ = _cells(tokens, buckets)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = rows[order]
+    return _rows([(int(b), rows[ends[b] : ends[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(ends))], schema)
+
+
 def group_pairs(docs: DataFrame, text: str, k: int, buckets: int, shared) -> DataFrame:
     """Candidates: kind 0, a pair of groups (a, b); kind 1, group a of size n in a long run of a token, with its position."""
     packed = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 
     def entries(batches):
         cells, counts = shared.value
+        found, seen, held = [], set(), 0
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
-            found, seen = [], set()
             for i, j in slices(offsets):
                 for tokens, ordered in ordered_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k, buckets, cells, counts):
                     n = len(tokens)
                     if n < DEN - 1:
                         continue  # only an equal set is similar enough
-                    prefix = ordered[: prefix_length(n)]
+                    prefix = ordered[: prefix_length(n)].copy()
                     group = _group_key(prefix, n)
                     if group not in seen:
                         seen.add(group)
                         found.append((prefix, group, n))
-            if not found:
-                continue
-            sizes = [len(p) for p, _, _ in found]
-            tokens = np.concatenate([p for p, _, _ in found])
-            rows = np.empty(len(tokens), _ENTRY)
-            rows["token"] = tokens.astype(np.uint32)
-            rows["group"] = np.repeat(np.array([g for _, g, _ in found], np.uint64), sizes)
-            rows["n"] = np.repeat(np.array([n for _, _, n in found], np.uint32), sizes)
-            rows["at"] = np.concatenate([np.arange(s, dtype=np.uint32) for s in sizes])
-            bucket, _ = _cells(tokens, buckets)
-            yield _rows(list(_packed(bucket, np.argsort(bucket, kind="stable"), [rows], buckets)), packed)
+                        held += len(prefix)
+            if held >= HELD_TOKENS // 2:
+                yield _entries(found, buckets, packed)
+                found, seen, held = [], set(), 0
+        if found:
+            yield _entries(found, buckets, packed)
 
     out = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
 
