@@ -38,6 +38,8 @@ MOST_FREQUENT = 2_000_000
 SMALL_RUN = 16
 #: Tokens that a task holds before it sends them on.
 HELD_TOKENS = 2_000_000
+#: Bits of a set's parity map, and members of a run that are compared in one task.
+BITS, BLOCK = 2048, 2048
 #: Texts to verify are joined by broadcast up to so many bytes of keys, by shuffle beyond.
 BROADCAST_BYTES = 64 << 20
 
@@ -334,15 +336,16 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shi
     several = written(classes.join(groups.where("n_classes > 1"), "group").select("group", "class", "lead", "n_classes"), "several")
     # First round: the least class of each group for its group, and with each other class of the group.
     first = written(_ordered(led.select("lead_a", "lead_b").union(several.select("class", "lead")), "lead_a", "lead_b"), "first")
-    links, sets = _verify(docs, text, shingle, classes, first, None)
     runs = found.where("kind = 1")
+    in_runs = classes.join(runs.select(F.col("a").alias("group")).distinct(), "group", "left_semi").select("class")
+    links, sets = _verify(docs, text, shingle, classes, first, in_runs=in_runs)
     if several.isEmpty() and runs.isEmpty():
         label = components(links, "x", "y")
     else:
         # Second round: only across the components of the first.
         label = components(links, "x", "y")
-        second = _across(led, several, runs, groups, label, first)
-        more, _ = _verify(docs, text, shingle, classes, written(second, "second"), sets)
+        second = _across(led, several, runs, groups, label, first, sets)
+        more, _ = _verify(docs, text, shingle, classes, written(second, "second"), have=sets)
         links = links.unionByName(more)
         star = label.select(F.col("vertex").alias("x"), F.col("component").alias("y"))
         label = components(star.union(more.select("x", "y")), "x", "y")
@@ -353,8 +356,12 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shi
     return out, links
 
 
-def _verify(docs: DataFrame, text: str, k: int, classes: DataFrame, pairs: DataFrame, have: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    need = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).distinct()
+def _verify(docs: DataFrame, text: str, k: int, classes: DataFrame, pairs: DataFrame, *, in_runs: DataFrame | None = None, have: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links among the pairs, and the sets of the classes in them (and in ``in_runs``), beside those at hand already."""
+    need = pairs.select(F.col("x").alias("class")).union(pairs.select("y"))
+    if in_runs is not None:
+        need = need.union(in_runs)
+    need = need.distinct()
     if have is not None:
         need = need.join(have.select("class"), "class", "left_anti")
     sets = written(sets_of(docs, text, k, written(classes.join(need, "class", "left_semi").select("content"), "contents")), "sets")
@@ -363,7 +370,7 @@ def _verify(docs: DataFrame, text: str, k: int, classes: DataFrame, pairs: DataF
     return written(verified(pairs, sets), "verified"), sets
 
 
-def _across(led: DataFrame, several: DataFrame, runs: DataFrame, groups: DataFrame, label: DataFrame, tested: DataFrame) -> DataFrame:
+def _across(led: DataFrame, several: DataFrame, runs: DataFrame, groups: DataFrame, label: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate class pairs of different components that the first round has not tested."""
     of = lambda df, c: df.join(label.select(F.col("vertex").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
     # Classes of paired groups, where one of them has several.
@@ -376,25 +383,70 @@ def _across(led: DataFrame, several: DataFrame, runs: DataFrame, groups: DataFra
     inner = of(several.select("group", F.col("class").alias("c")), "c")
     mixed = inner.groupBy("group").agg(F.min("of_c").alias("low"), F.max("of_c").alias("high")).where("low <> high").select("group", "low")
     inner = inner.join(mixed, "group")
-    out = out.union(_strays(inner, ["group"]))
-    # Members of long runs of one token.
+    out = out.union(_strays(inner, "group"))
+    # Members of long runs of one token, where the run is not all in one component.
     held = runs.select("token", F.col("a").alias("group"), "n", "at").join(members_of.withColumnRenamed("class", "c"), "group")
     held = of(held, "c")
-    mixed = held.groupBy("token").agg(F.mode("of_c").alias("low"), F.min("of_c").alias("p"), F.max("of_c").alias("q")).where("p <> q").select("token", "low")
-    held = held.join(mixed, "token")
-    fits = (F.col("o.n") * NUM <= F.col("s.n") * DEN) & (F.col("s.n") * NUM <= F.col("o.n") * DEN)
-    room = 1 + F.least(F.col("s.n") - F.col("s.at") - 1, F.col("o.n") - F.col("o.at") - 1)
-    out = out.union(_strays(held, ["token"], fits & ((NUM + DEN) * room >= NUM * (F.col("s.n") + F.col("o.n")))))
+    mixed = held.groupBy("token").agg(F.min("of_c").alias("p"), F.max("of_c").alias("q"), F.count("*").alias("rows")).where("p <> q").select("token", "rows")
+    out = out.union(_close(held.join(mixed, "token"), parity_maps(sets)))
     return _ordered(out, "x", "y").join(tested, ["x", "y"], "left_anti")
 
 
-def _strays(rows: DataFrame, keys: list[str], also=None) -> DataFrame:
-    """Pairs of different components under one key: what is outside the key's main component (low), with all others."""
+def parity_maps(sets: DataFrame) -> DataFrame:
+    """(c, bits): of each bit, whether an odd number of the class's tokens falls on it."""
+    schema = pa.schema([("c", pa.binary()), ("bits", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for c, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = (np.frombuffer(tokens, np.uint64) >> np.uint64(20)) % np.uint64(BITS)
+                rows.append((c, np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()))
+            yield _rows(rows, schema)
+
+    return sets.select("class", "tokens").mapInArrow(run, "c binary, bits binary")
+
+
+def _close(held: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs within a run, of different components, that sizes, positions and parity maps allow to be similar enough.
+
+    Two maps differ in no more bits than the sets differ in tokens, so no link is lost. Long runs are
+    dealt out as pairs of blocks, so that no task compares more than two blocks.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("c"), blocks).cast("int")
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "of_c", "n", "at").join(maps, "c")
+    schema = pa.schema([("x", pa.binary()), ("y", pa.binary())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        c, of = table.column("c").to_pylist(), np.unique(np.array(table.column("of_c").to_pylist(), object), return_inverse=True)[1]
+        n, at, own = (table.column(x).to_numpy().astype(np.int64) for x in ("n", "at", "own"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(c), -1)
+        across, xs, ys = table.column("i")[0].as_py() != table.column("j")[0].as_py(), [], []
+        for i in range(len(c) - 1):
+            rest = slice(i + 1, None)
+            total = n[i] + n[rest]
+            differ = total - 2 * -(-NUM * total // (NUM + DEN))
+            room = 1 + np.minimum(n[i] - at[i] - 1, n[rest] - at[rest] - 1)
+            maybe = (of[rest] != of[i]) & (NUM * np.maximum(n[i], n[rest]) <= DEN * np.minimum(n[i], n[rest])) & ((NUM + DEN) * room >= NUM * total)
+            if across:
+                maybe &= own[rest] != own[i]
+            found = i + 1 + np.flatnonzero(maybe)
+            if len(found):
+                found = found[np.bitwise_count(bits[found] ^ bits[i]).sum(1, dtype=np.int64) <= differ[found - i - 1]]
+            xs += [c[i]] * len(found)
+            ys += [c[f] for f in found]
+        return pa.table([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], schema=schema)
+
+    return dealt.groupBy("token", "i", "j").applyInArrow(compare, "x binary, y binary")
+
+
+def _strays(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs of different components under one key: what is outside the key's component ``low``, with all others."""
     s, o = rows.where("of_c <> low").alias("s"), rows.alias("o")
-    on = (F.col("s.of_c") != F.col("o.of_c")) & ((F.col("o.of_c") == F.col("o.low")) | (F.col("s.c") < F.col("o.c")))
-    for key in keys:
-        on = (F.col(f"s.{key}") == F.col(f"o.{key}")) & on
-    return s.join(o, on if also is None else on & also).select(F.col("s.c").alias("x"), F.col("o.c").alias("y"))
+    on = (F.col(f"s.{key}") == F.col(f"o.{key}")) & (F.col("s.of_c") != F.col("o.of_c")) & ((F.col("o.of_c") == F.col("o.low")) | (F.col("s.c") < F.col("o.c")))
+    return s.join(o, on).select(F.col("s.c").alias("x"), F.col("o.c").alias("y"))
 
 
 def deduplicated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
