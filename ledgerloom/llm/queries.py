@@ -95,8 +95,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer(spark, "piece_bpe_32k.model")
-    return sentencepieces.described(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return sentencepieces.round_trips(table(spark, sf_dir, "documents"), tokenizer(spark, "piece_bpe_32k.model"))
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

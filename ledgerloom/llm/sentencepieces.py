@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,30 +214,64 @@ def decoded(pieces: Pieces, ids: list[int]) -> str:
 
 
 
+_IDS = pa.schema([("id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32()))])
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_chars", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
+_DIGESTS_SQL = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_chars bigint, decoded_sha256 string, round_trip boolean"
+
+
 def encode(docs: DataFrame, model: str, *, id: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """(id, text, ids): one row for each row of ``docs``; null and empty texts have no ids.
 
     ``model`` is a file on the driver, sent to executors whole. Repeated rows and null ids each
     give a row; a giant text is scanned once however many rows hold it. The model's
-    normalisation applies (this one's only marks spaces, and puts one first).
+    normalisation applies (this one's only marks spaces, and puts one first). Other columns are
+    ignored; an empty table gives no rows.
     """
-    with open(model, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    is_giant = F.length("text") > giant
-    schema = pa.schema([("id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32()))])
+    small, large, shared = _parts(docs, model, id, text, giant, chunk)
 
     def whole(batches):
         processor = pieces_of(shared.value).processor
         for batch in batches:
-            found = processor.encode(texts(batch.column(1)), num_threads=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, schema[2].type)], schema=schema)
+            found = [np.array(processor.encode(t), np.int32) for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _IDS[2].type)], schema=_IDS)
+
+    return small.mapInArrow(whole, "id bigint, text string, ids array<int>").unionByName(large)
+
+
+def round_trips(docs: DataFrame, model: str, *, id: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK, give_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_chars, decoded_sha256, round_trip) for each row of ``docs``, and the ids if asked for.
+
+    Encoding and decoding share a worker, so ids only leave it on demand. ``round_trip``: decoding
+    gives the text back (a text that holds U+2581 itself does not come back).
+    """
+    small, large, shared = _parts(docs, model, id, text, giant, chunk)
+    schema, names = (_DIGESTS.append(_IDS.field("ids")), _DIGESTS_SQL + ", ids array<int>") if give_ids else (_DIGESTS, _DIGESTS_SQL)
+
+    def run(batches):
+        pieces = pieces_of(shared.value)
+        for batch in batches:
+            given = batch.column(2) if batch.num_columns > 2 else [None] * batch.num_rows
+            rows = []
+            for i, t, ids in zip(batch.column(0).to_pylist(), texts(batch.column(1)), given, strict=True):
+                ids = np.array(pieces.processor.encode(t), "<i4") if ids is None else ids.values.to_numpy().astype("<i4")
+                back = decoded(pieces, ids.tolist())
+                digests = (hashlib.sha256(x).hexdigest() for x in (ids.tobytes(), back.encode("utf-8", "surrogatepass")))
+                rows.append((i, len(ids), next(digests), len(back), next(digests), back == t, ids))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return small.mapInArrow(run, names).unionByName(large.mapInArrow(run, names))
 
-    small = rows.where(~is_giant).mapInArrow(whole, "id bigint, text string, ids array<int>")
+
+def _parts(docs: DataFrame, model: str, id: str, text: str, giant: int, chunk: int) -> tuple:
+    """Rows (id, text) up to ``giant`` code points, and giant rows (id, text, ids) by the scan."""
+    with open(model, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    is_giant = F.length("text") > giant
     large = rows.where(is_giant)
     scanned = _scanned(large.select(F.xxhash64("text").alias("key"), "text").dropDuplicates(["key"]), shared, chunk)
     large = large.withColumn("key", F.xxhash64("text")).join(scanned, "key").select("id", "text", "ids")
-    return small.unionByName(large)
+    return rows.where(~is_giant), large, shared
 
 
 _CACHE: dict[int, Pieces] = {}
@@ -309,29 +344,3 @@ def _scanned(large: DataFrame, shared, chunk: int) -> DataFrame:
     parts = chunks.join(states, ["key", "chunk"]).select("key", "chunk", "start", "stop", "part", "a", "b", "x", "y").mapInArrow(trace, "key bigint, chunk int, ids array<int>")
     in_order = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
     return parts.groupBy("key").agg(F.flatten(F.transform(in_order, lambda s: s["ids"])).alias("ids"))
-
-
-def described(encoded: DataFrame, model: str, *, give_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_chars, decoded_sha256, round_trip) of what ``encode`` gives; with the ids, if asked for.
-
-    ``round_trip``: decoding gives the text back (a text that holds U+2581 itself does not come back).
-    """
-    with open(model, "rb") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_chars", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
-    if give_ids:
-        schema = schema.append(pa.field("ids", pa.list_(pa.int32())))
-
-    def run(batches):
-        pieces = pieces_of(shared.value)
-        for batch in batches:
-            rows = []
-            for i, t, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = ids.values.to_numpy()
-                back = decoded(pieces, ids.tolist())
-                rows.append((i, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), len(back), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t))
-            columns = [pa.array([r[k] for r in rows], schema[k].type) for k in range(6)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(2)] if give_ids else columns, schema=schema)
-
-    names = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_chars bigint, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * give_ids
-    return encoded.select("id", "text", "ids").mapInArrow(run, names)

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+def short_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
     """Arrow batches of few rows: texts are long, and a batch is held by the JVM and by Python at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
@@ -74,7 +74,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 19):
     """Row ranges of about ``most`` bytes (one row at least), so that scratch arrays stay small whatever the batch holds."""
     i, n = 0, len(offsets) - 1
     while i < n:
