@@ -43,8 +43,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded text, round_trip and ids of every document."""
     table(spark, sf_dir, "documents")
-    model = tokenizer(spark, "piece_bpe_32k.model")
-    return sentencepieces.described(sentencepieces.encode(docs, model), model, give_ids=True)
+    return sentencepieces.round_trips(docs, tokenizer(spark, "piece_bpe_32k.model"), give_ids=True)
 
 
 STAGES = [
