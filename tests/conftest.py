@@ -42,7 +42,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
         if x is None or (isinstance(x, float) and x != x) or x is pd.NA:
             return "null"
         if isinstance(x, float):
-            return str(int(x)) if x == int(x) else f"{x:.6f}"
+            return str(int(x)) if abs(x) < 1e15 and x == int(x) else f"{x:.6f}"
         return str(list(x)) if hasattr(x, "__len__") and not isinstance(x, (str, bytes, dict)) else str(x)
 
     df = df[sorted(df.columns)]
