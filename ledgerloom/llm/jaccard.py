@@ -38,8 +38,10 @@ MOST_FREQUENT = 2_000_000
 SMALL_RUN = 16
 #: Tokens that a task holds before it sends them on.
 HELD_TOKENS = 2_000_000
-#: Bits of a set's parity map, and members of a run that are compared in one task.
-BITS, BLOCK = 2048, 2048
+#: Bits of a set's parity map (folded to a quarter for a first look), and members of a run that are compared in one task.
+BITS, BLOCK = 8192, 2048
+#: Partners of each member, the closest first, that are verified before all that are left.
+CLOSEST = 2
 #: Texts to verify are joined by broadcast up to so many bytes of keys, by shuffle beyond.
 BROADCAST_BYTES = 64 << 20
 
@@ -342,13 +344,14 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shi
     if several.isEmpty() and runs.isEmpty():
         label = components(links, "x", "y")
     else:
-        # Second round: only across the components of the first.
-        label = components(links, "x", "y")
-        second = _across(led, several, runs, groups, label, first, sets)
-        more, _ = _verify(docs, text, shingle, classes, written(second, "second"), have=sets)
-        links = links.unionByName(more)
-        star = label.select(F.col("vertex").alias("x"), F.col("component").alias("y"))
-        label = components(star.union(more.select("x", "y")), "x", "y")
+        # Further rounds, only across the components of those before: the closest partners, then all that are left.
+        label, tested = components(links, "x", "y"), first
+        for closest in (CLOSEST, None):
+            pairs = written(_across(led, several, runs, groups, label, tested, sets, closest), "across")
+            more, sets = _verify(docs, text, shingle, classes, pairs, have=sets)
+            links, tested = links.unionByName(more), tested.union(pairs)
+            star = label.select(F.col("vertex").alias("x"), F.col("component").alias("y"))
+            label = components(star.union(more.select("x", "y")), "x", "y")
     by_class = classes.join(label, F.col("class") == F.col("vertex"), "left").select("class", F.coalesce("component", "class").alias("component"), "least")
     smallest = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = by_class.join(smallest, "component").select("class", "component_id")
@@ -370,8 +373,8 @@ def _verify(docs: DataFrame, text: str, k: int, classes: DataFrame, pairs: DataF
     return written(verified(pairs, sets), "verified"), sets
 
 
-def _across(led: DataFrame, several: DataFrame, runs: DataFrame, groups: DataFrame, label: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate class pairs of different components that the first round has not tested."""
+def _across(led: DataFrame, several: DataFrame, runs: DataFrame, groups: DataFrame, label: DataFrame, tested: DataFrame, sets: DataFrame, closest: int | None) -> DataFrame:
+    """Candidate class pairs of different components that have not been tested; of long runs, at first only the closest."""
     of = lambda df, c: df.join(label.select(F.col("vertex").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
     # Classes of paired groups, where one of them has several.
     wide = led.where("n_a > 1 or n_b > 1").select("a", "b")
@@ -388,7 +391,7 @@ def _across(led: DataFrame, several: DataFrame, runs: DataFrame, groups: DataFra
     held = runs.select("token", F.col("a").alias("group"), "n", "at").join(members_of.withColumnRenamed("class", "c"), "group")
     held = of(held, "c")
     mixed = held.groupBy("token").agg(F.min("of_c").alias("p"), F.max("of_c").alias("q"), F.count("*").alias("rows")).where("p <> q").select("token", "rows")
-    out = out.union(_close(held.join(mixed, "token"), parity_maps(sets)))
+    out = out.union(_close(held.join(mixed, "token"), parity_maps(sets), closest))
     return _ordered(out, "x", "y").join(tested, ["x", "y"], "left_anti")
 
 
@@ -407,7 +410,7 @@ def parity_maps(sets: DataFrame) -> DataFrame:
     return sets.select("class", "tokens").mapInArrow(run, "c binary, bits binary")
 
 
-def _close(held: DataFrame, maps: DataFrame) -> DataFrame:
+def _close(held: DataFrame, maps: DataFrame, closest: int | None) -> DataFrame:
     """Pairs within a run, of different components, that sizes, positions and parity maps allow to be similar enough.
 
     Two maps differ in no more bits than the sets differ in tokens, so no link is lost. Long runs are
@@ -423,6 +426,7 @@ def _close(held: DataFrame, maps: DataFrame) -> DataFrame:
         c, of = table.column("c").to_pylist(), np.unique(np.array(table.column("of_c").to_pylist(), object), return_inverse=True)[1]
         n, at, own = (table.column(x).to_numpy().astype(np.int64) for x in ("n", "at", "own"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(c), -1)
+        short = np.bitwise_xor.reduce(bits.reshape(len(c), 4, -1), axis=1)
         across, xs, ys = table.column("i")[0].as_py() != table.column("j")[0].as_py(), [], []
         for i in range(len(c) - 1):
             rest = slice(i + 1, None)
@@ -434,7 +438,13 @@ def _close(held: DataFrame, maps: DataFrame) -> DataFrame:
                 maybe &= own[rest] != own[i]
             found = i + 1 + np.flatnonzero(maybe)
             if len(found):
-                found = found[np.bitwise_count(bits[found] ^ bits[i]).sum(1, dtype=np.int64) <= differ[found - i - 1]]
+                found = found[np.bitwise_count(short[found] ^ short[i]).sum(1, dtype=np.int64) <= differ[found - i - 1]]
+            if len(found):
+                apart = np.bitwise_count(bits[found] ^ bits[i]).sum(1, dtype=np.int64)
+                near = apart <= differ[found - i - 1]
+                found, apart = found[near], apart[near]
+                if closest is not None:
+                    found = found[np.argsort(apart, kind="stable")[:closest]]
             xs += [c[i]] * len(found)
             ys += [c[f] for f in found]
         return pa.table([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], schema=schema)
