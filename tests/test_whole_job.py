@@ -1,0 +1,58 @@
+"""Queries that must read the whole of their input: answers worked out by brute force."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from ledgerloom.functions import text as T
+from ledgerloom.plans import registry, texts
+
+#: More than 400 characters, none of them ASCII only, before anything is found.
+LONG = "Grüße über größere Beträge. " * 40
+LATE = 'Structuring through a shell company.\nAll rights reserved.\nSent from my iPhone\nBakker LLC paid "Späte Müller" for a casino night; the fraud was material weakness.'
+
+
+@pytest.fixture
+def long_documents(spark, tmp_path):
+    rows = [(8 * k, LONG + "\n" + LATE if k else LONG, "de", "src0", len(LONG)) for k in range(2)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path), {i: f"{t}\n{texts.PHRASES[0]}" for i, t, *_ in rows}
+
+
+def test_narratives_are_whole(spark, long_documents):
+    at, expected = long_documents
+    assert {r.doc_id: r.text for r in texts.narratives(spark, at).collect()} == expected
+
+
+@pytest.mark.parametrize(("name", "column"), [("typology_tags", "typologies"), ("indicators", "indicators"), ("keyword_typologies", "typologies"), ("red_flags", "flags"), ("fraud_language", "patterns"), ("payment_categories", "sensitive"), ("extract_entities", "entities")])
+def test_hits_far_into_a_document(spark, long_documents, name, column):
+    at, whole = long_documents
+    got = {r.doc_id: r[column] for r in registry.QUERIES[name](spark, at).collect()}
+    low = {i: t.lower() for i, t in whole.items()}
+    brute = {
+        "typology_tags": lambda i: [n for n, p in T.TYPOLOGIES.items() if re.search(p, low[i])],
+        "indicators": lambda i: [p for p in T.INDICATORS if p in low[i]],
+        "keyword_typologies": lambda i: [n for n, ks in T.KEYWORDS.items() if any(k in low[i] for k in ks)],
+        "red_flags": lambda i: sorted({m[0] for p in T.RED_FLAGS for m in re.finditer(p, low[i])}),
+        "fraud_language": lambda i: [p for p in T.FRAUD_LANGUAGE if re.search(p, low[i])],
+        "payment_categories": lambda i: [n for n, ps in T.SENSITIVE.items() if any(re.search(p, low[i]) for p in ps)],
+    }
+    if name == "extract_entities":
+        assert "Bakker LLC" in got[8].split("|") and "Späte Müller" in got[8].split("|")
+    else:
+        assert {i: got[i].split("|") if got[i] else [] for i in whole} == {i: brute[name](i) for i in whole}
+
+
+def test_counts_and_lines_far_into_a_document(spark, long_documents):
+    at, whole = long_documents
+    risks = {(r.doc_id, r.risk): r.n for r in registry.QUERIES["risk_pattern_counts"](spark, at).collect()}
+    brute = {(i, n): len(re.findall(p, t.lower())) for i, t in whole.items() for n, p in T.RISKS.items()}
+    assert risks == {k: n for k, n in brute.items() if n}
+    themes = {r.theme: r.n for r in registry.QUERIES["theme_distribution"](spark, at).collect()}
+    found = [n for t in whole.values() for n, p in T.TYPOLOGIES.items() if re.search(p, t.lower())]
+    assert themes == {n: found.count(n) for n in found}
+    for name in ("strip_lines_matching", "clean_email", "clean_general"):
+        h = {r.doc_id: r.h for r in registry.QUERIES[name](spark, at).collect()}
+        assert h[0] != h[8]
