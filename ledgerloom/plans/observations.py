@@ -49,7 +49,7 @@ def multi_hot_encode(spark, sf_dir):
     """Names as zeros and ones, in order of all names (one row, broadcast)."""
     e = load(spark, sf_dir, "events")
     names = e.agg(F.array_sort(F.collect_set("event_type")).alias("names"))
-    have = e.where("event_id % 7 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    have = e.groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
     hot = F.transform("names", lambda x: F.array_contains("k", x).cast("int").cast("string"))
     return have.join(F.broadcast(names)).select("user_id", F.array_join(hot, "").alias("hot"))
 

@@ -56,3 +56,29 @@ def test_counts_and_lines_far_into_a_document(spark, long_documents):
     for name in ("strip_lines_matching", "clean_email", "clean_general"):
         h = {r.doc_id: r.h for r in registry.QUERIES[name](spark, at).collect()}
         assert h[0] != h[8]
+
+
+@pytest.fixture
+def events(spark, tmp_path):
+    rows = [(k, k, k % 2, ["view", "click", "buy"][k % 3], float(k)) for k in range(1, 200)]
+    spark.createDataFrame(rows, "event_id bigint, ts bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path), rows
+
+
+def test_sequences_have_all_events(spark, events):
+    at, rows = events
+    known = list(texts.corpus.ACTIONS)
+    acts = {u: [known[k % len(known)] for k, _, user, *_ in rows if user == u] for u in (0, 1)}
+    assert {r.user_id: r.actions for r in texts.actions(spark, at).collect()} == acts
+    got = {r.user_id: r.text for r in registry.QUERIES["action_sequence_text"](spark, at).collect()}
+    assert got == {u: " → ".join(f"{a} ({texts.corpus.ACTIONS[a]})" for a in x) for u, x in acts.items()}
+    flags = {r.user_id: set(r.patterns.split("|")) - {""} for r in registry.QUERIES["suspicious_patterns"](spark, at).collect()}
+    for u, x in acts.items():
+        assert {"_".join(p[:2]) for p in texts.corpus.SUSPICIOUS if " ".join(p) in " ".join(x)} <= flags[u]
+
+
+def test_multi_hot_has_all_kinds(spark, tmp_path):
+    rows = [(1, 1, 5, "buy", 1.0), (7, 2, 5, "view", 1.0), (8, 3, 6, "click", 1.0)]
+    spark.createDataFrame(rows, "event_id bigint, ts bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.hot for r in registry.QUERIES["multi_hot_encode"](spark, str(tmp_path)).collect()}
+    assert got == {5: "101", 6: "010"}
