@@ -4,8 +4,10 @@ A linear model on hashed words is fitted in numpy from confirmed toxic texts and
 ones. The risk of a labelled negative class is estimated from the unlabelled texts minus the
 share that the class prior says is toxic; where that estimate falls below zero, the step goes the
 other way (non-negative correction), so that the model can't win by calling the confirmed
-texts all there is. The fit takes a bounded sample of labelled rows (``most_rows``); scoring is a
-narrow map over whole texts, with the weights broadcast (a fixed size).
+texts all there is. Labels only say which texts are confirmed: a label 0 is not used. The class
+prior is estimated from how much rarer high scores are among unlabelled texts than among
+confirmed ones. The fit takes a bounded sample (``most_rows``); scoring is a narrow map over whole
+texts, with the weights broadcast (a fixed size).
 """
 
 from __future__ import annotations
@@ -53,28 +55,29 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(values: np.ndarray, sizes: np.ndarray, positive: np.ndarray, prior: float, *, dimensions: int = DIMENSIONS, steps: int = 200, rate: float = 0.1, shrink: float = 2e-4, least: int = 3, lift: float = 1.2) -> Model:
-    """Non-negative PU fit: ``positive`` marks confirmed rows; all rows together are the unlabelled sample.
+def fit(values: np.ndarray, sizes: np.ndarray, positive: np.ndarray, prior: float, unlabelled: np.ndarray | None = None, *, dimensions: int = DIMENSIONS, steps: int = 200, rate: float = 0.1, shrink: float = 2e-4, least: int = 3, lift: float = 1.2) -> Model:
+    """Non-negative PU fit: ``positive`` marks confirmed rows, ``unlabelled`` the rows of the unlabelled sample (if not given, all).
 
     ``values`` holds the features of all rows end to end, ``sizes`` how many each row has. A word
-    takes part if ``least`` confirmed rows or more have it, at a rate of ``lift`` times that of all
-    rows. An L1 penalty of ``shrink`` chooses among them; a second pass without it, over the chosen
+    takes part if ``least`` confirmed rows or more have it, at a rate of ``lift`` times that of the
+    unlabelled rows. An L1 penalty of ``shrink`` chooses among them; a second pass without it, over the chosen
     words alone, undoes what the penalty took from their weights. Without confirmed rows all
     scores are near 0.
     """
     weights = np.zeros(dimensions)
-    if not positive.any():
+    unlabelled = np.ones(len(sizes), bool) if unlabelled is None else unlabelled
+    if not positive.any() or not unlabelled.any():
         return Model(weights, -40.0)
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    seen = np.bincount(values, minlength=dimensions)
+    seen = np.bincount(values[unlabelled[row]], minlength=dimensions)
     in_p = np.bincount(values[positive[row]], minlength=dimensions)
-    useful = (in_p >= least) & (in_p * len(sizes) > lift * seen * int(positive.sum()))
+    useful = (in_p >= least) & (in_p * int(unlabelled.sum()) > lift * seen * int(positive.sum()))
     keep = useful[values]
     index, row = values[keep], row[keep].astype(np.int64)
     bias = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
     for penalty in (shrink, 0.0):
         words, at = np.unique(index, return_inverse=True)
-        found, bias = _descend(weights[words], bias, at, row, positive, prior, steps, rate, penalty)
+        found, bias = _descend(weights[words], bias, at, row, positive, unlabelled, prior, steps, rate, penalty)
         weights = np.zeros(dimensions)
         weights[words] = found
         keep = weights[index] != 0
@@ -82,18 +85,18 @@ def fit(values: np.ndarray, sizes: np.ndarray, positive: np.ndarray, prior: floa
     return Model(weights, bias)
 
 
-def _descend(weights: np.ndarray, bias: float, index: np.ndarray, row: np.ndarray, positive: np.ndarray, prior: float, steps: int, rate: float, shrink: float) -> tuple[np.ndarray, float]:
+def _descend(weights: np.ndarray, bias: float, index: np.ndarray, row: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int, rate: float, shrink: float) -> tuple[np.ndarray, float]:
     """Adam on the non-negative PU risk with logistic loss, then a proximal step for the L1 penalty."""
-    n, n_p, size = len(positive), int(positive.sum()), len(weights)
+    n, n_p, n_u, size = len(positive), int(positive.sum()), int(unlabelled.sum()), len(weights)
     m, v, bias_m, bias_v = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
         margin = np.bincount(row, weights[index], n) + bias
         p = _sigmoid(margin)
         loss_n = np.logaddexp(0, margin)  # of calling a row negative
-        negative_risk = loss_n.mean() - prior * loss_n[positive].mean()
+        negative_risk = loss_n[unlabelled].mean() - prior * loss_n[positive].mean()
         # Slopes of the risk's parts with respect to each row's margin.
         as_positive = np.where(positive, -(1 - p) * prior / n_p, 0.0)
-        as_negative = p / n - np.where(positive, p * prior / n_p, 0.0)
+        as_negative = np.where(unlabelled, p / n_u, 0.0) - np.where(positive, p * prior / n_p, 0.0)
         slope = as_positive + as_negative if negative_risk >= 0 else -as_negative
         gradient = np.bincount(index, slope[row], size)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
@@ -110,17 +113,45 @@ def margins(rows, model: Model) -> np.ndarray:
     return np.array([model.weights[r].sum() for r in rows]) if len(rows) else np.zeros(0)
 
 
+def class_prior(values: np.ndarray, sizes: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, *, dimensions: int = DIMENSIONS, guess: float = 0.1, most: float = 0.5, least_rows: int = 50) -> float:
+    """Share of toxic rows in the unlabelled sample, from confirmed and unlabelled rows alone (best bin estimation).
+
+    A model fitted on one half of the rows scores the other. Of the rows that score at least c, the
+    unlabelled share over the confirmed share bounds the prior from above, whatever the model; the c
+    is taken where that bound with its sampling error is least. Rows are halved by their features,
+    so equal texts are in one half. ``guess`` serves the first model, and is the answer where fewer than
+    ``least_rows`` confirmed rows are scored, which say too little.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    half = np.bincount(row, values, len(sizes)).astype(np.int64) % 2 == 1
+    model = fit(values[half[row]], sizes[half], positive[half], guess, unlabelled[half], dimensions=dimensions)
+    score = np.bincount(row, model.weights[values], len(sizes))
+    p, u = np.sort(score[positive & ~half]), np.sort(score[unlabelled & ~half])
+    if len(p) < least_rows or not len(u):
+        return guess
+    c = np.unique(p)
+    q_p, q_u = 1 - np.searchsorted(p, c) / len(p), 1 - np.searchsorted(u, c) / len(u)
+    error = 1.01 * (np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u)))
+    best = ((q_u + error) / q_p).argmin()
+    return float(np.clip(q_u[best] / q_p[best], 1 / len(u), most))
+
+
 def sample(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, fold: int = 3, left_out: int = 1) -> DataFrame:
-    """(features, positive) of at most ``most_rows`` labelled rows outside the left-out fold: those with the least hash of the id.
+    """(features, positive, unlabelled) of documents outside the left-out fold: at most ``most_rows`` / 2 confirmed ids, those with
+    the least hash, and about as many documents by another hash, whether they have labels or not; a document may be both.
 
-    A document with several labels counts as toxic if one of them says so; labels that are null, or
-    of no document, take no part. Of several documents with one id, each is taken.
+    A document with several labels counts as toxic if one of them says so; other labels, and those of
+    no document, take no part. Of several documents with one id, each is taken.
     """
-    known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & (fold_of(F.col(id), fold) != left_out))
-    picked = known.groupBy(F.col(id).alias("__id")).agg(F.max(label).alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
+    inside = fold_of(F.col(id), fold) != left_out
+    confirmed = labels.where(F.col(id).isNotNull() & (F.col(label) == 1) & inside)
+    picked = confirmed.select(F.col(id).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(most_rows // 2).withColumn("__positive", F.lit(True))
+    share = most_rows / 2 / max(docs.where(inside).count(), 1)
+    drawn = F.pmod(F.xxhash64(F.col(id), F.lit("unlabelled")), F.lit(1 << 30)) < int(min(share, 1) * (1 << 30))
     # Bounded by most_rows, whatever the corpus; its size in bytes is 16 a row.
-    rows = docs.join(F.broadcast(picked), F.col(id) == F.col("__id")).select(F.col(text).alias("text"), (F.col("__label") == 1).alias("positive"))
-    schema = pa.schema([("features", pa.list_(pa.int32())), ("positive", pa.bool_())])
+    rows = docs.where(inside).join(F.broadcast(picked), F.col(id) == F.col("__id"), "left")
+    rows = rows.select(F.col(text).alias("text"), F.coalesce("__positive", F.lit(False)).alias("positive"), drawn.alias("unlabelled")).where("positive OR unlabelled")
+    schema = pa.schema([("features", pa.list_(pa.int32())), ("positive", pa.bool_()), ("unlabelled", pa.bool_())])
 
     def run(batches):
         for batch in batches:
@@ -128,9 +159,9 @@ def sample(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str
             found = []
             for i, j in slices(offsets):
                 found += feature_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([pa.array(found, schema[0].type), batch.column(1)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(found, schema[0].type), batch.column(1), batch.column(2)], schema=schema)
 
-    return rows.mapInArrow(run, "features array<int>, positive boolean")
+    return rows.mapInArrow(run, "features array<int>, positive boolean, unlabelled boolean")
 
 
 def fold_of(id: Column, fold: int = 3) -> Column:
@@ -138,13 +169,14 @@ def fold_of(id: Column, fold: int = 3) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, **options: object) -> Model:
-    """Fit on the driver from the bounded sample; the class prior is the share of toxic rows in it."""
+    """Fit on the driver from the bounded sample, with the prior that ``class_prior`` finds in it."""
     table = sample(docs, labels, **options).toArrow()
-    lists, positive = table.column(0).combine_chunks(), table.column(1).to_numpy().astype(bool)
+    lists, positive, unlabelled = table.column(0).combine_chunks(), table.column(1).to_numpy().astype(bool), table.column(2).to_numpy().astype(bool)
     del table
-    if not len(positive):
+    if not positive.any():
         return Model(np.zeros(DIMENSIONS), -40.0)
-    return fit(lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy(), positive, float(positive.mean()))
+    values, sizes = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy()
+    return fit(values, sizes, positive, class_prior(values, sizes, positive, unlabelled), unlabelled)
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:
