@@ -83,10 +83,6 @@ def bfs_distance_to_fraud(spark, sf_dir):
 _SEEDS = "CAST(substr(id, 2) AS BIGINT) % 100 = 1 AND id LIKE 'C%'"
 
 
-def _seeds(e):
-    return graph.nodes(e).where(F.col("id").startswith("C") & (F.substring("id", 2, 20).cast("long") % 100 == 1))
-
-
 @query(
     "k_hop_neighbors",
     f"""WITH RECURSIVE {G}, {_BFS_SQL}, r AS (SELECT a AS seed, a AS id, 0 AS distance FROM (SELECT DISTINCT a FROM both_ways) AS x(a) WHERE {_SEEDS.replace('id', 'a')} UNION SELECT seed, b, distance + 1 FROM r JOIN both_ways ON a = id WHERE distance < 2)
@@ -94,7 +90,7 @@ SELECT seed, id, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY seed
 )
 def k_hop_neighbors(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return graph.distances(e, _seeds(e), most=2, by_seed=True)
+    return graph.distances(e, graph.nodes(e), most=2, by_seed=True)
 
 
 @query(
@@ -106,7 +102,7 @@ SELECT seed, n, coalesce(m, 0) AS m, round(CASE WHEN n > 1 THEN coalesce(m, 0) /
 )
 def local_network_features(spark, sf_dir):
     e = edges(spark, sf_dir)
-    out = graph.local_features(e, _seeds(e), 1)
+    out = graph.local_features(e, graph.nodes(e), 2)
     return out.select("seed", "n", "m", *[rounded(F.col(c)).alias(c) for c in ("density", "out_mean", "out_std")])
 
 

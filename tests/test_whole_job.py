@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.llm import toxicity
-from ledgerloom.plans import registry, texts
+from ledgerloom.plans import registry  # first, as it imports the others
+from ledgerloom.plans import graph as graph_plans, texts
 
 #: More than 400 characters, none of them ASCII only, before anything is found.
 LONG = "Grüße über größere Beträge. " * 40
@@ -109,3 +110,26 @@ def test_toxicity_prior_is_not_the_share_of_confirmed_rows():
     positive = np.arange(4000) < 200
     prior = toxicity.class_prior(np.concatenate(rows).astype(np.int32), np.array([len(r) for r in rows]), positive, np.ones(4000, bool), dimensions=512)
     assert prior == pytest.approx(0.2, abs=0.04)
+
+
+@pytest.fixture
+def payments(spark, monkeypatch):
+    """Edges in place of the star schema's: customers C2 to C9, suppliers M1 to M4."""
+    rows = [(f"C{c}", f"M{s}", float(c), 10 * c + s, int(c == 2)) for c in range(2, 10) for s in range(1, 5) if (c * s) % 3 == 1 or c == s]
+    frame = spark.createDataFrame(rows, "src string, dst string, amount double, step bigint, fraud int")
+    monkeypatch.setattr(graph_plans, "edges", lambda *_: frame)
+    return rows
+
+
+def test_neighbourhoods_of_all_nodes(spark, sf_dir, payments):
+    around = {}
+    for s, d, *_ in payments:
+        around.setdefault(s, set()).add(d)
+        around.setdefault(d, set()).add(s)
+    one = {(x, y) for x in around for y in around[x]}
+    two = {(x, z) for x, y in one for z in around[y]} - one - {(x, x) for x in around}
+    expected = {(x, x, 0) for x in around} | {(*p, 1) for p in one} | {(*p, 2) for p in two}
+    assert {tuple(r) for r in registry.QUERIES["k_hop_neighbors"](spark, sf_dir).select("seed", "id", "distance").collect()} == expected
+    inside = {x: {y for s, y, _ in expected if s == x} for x in around}
+    got = {r.seed: (r.n, r.m) for r in registry.QUERIES["local_network_features"](spark, sf_dir).collect()}
+    assert got == {x: (len(i), sum(s in i and d in i for s, d, *_ in payments)) for x, i in inside.items()}
