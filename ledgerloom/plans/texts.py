@@ -111,8 +111,7 @@ def fallback_near_dup_pairs(spark, sf_dir):
 @query("near_dedup")
 def near_dedup(spark, sf_dir):
     """Greedy: a document goes if it is similar to an earlier one that stays."""
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return corpus.greedy_keep(docs.select("id"), corpus.bucket_pairs(docs, "id", "text", 0.85)).withColumnRenamed("id", "doc_id")
+    return corpus.near_dedup(load(spark, sf_dir, "documents"), "doc_id", "text", 0.85).withColumnRenamed("id", "doc_id")
 
 
 _HTML_SQL = "html"

@@ -133,3 +133,23 @@ def test_neighbourhoods_of_all_nodes(spark, sf_dir, payments):
     inside = {x: {y for s, y, _ in expected if s == x} for x in around}
     got = {r.seed: (r.n, r.m) for r in registry.QUERIES["local_network_features"](spark, sf_dir).collect()}
     assert got == {x: (len(i), sum(s in i and d in i for s, d, *_ in payments)) for x, i in inside.items()}
+
+
+def test_near_dedup_misses_no_pair(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 400, 120)]
+        rows.append((4 * k, " ".join(words)))
+        rows.append((4 * k + 1, " ".join(["aa", *words])))  # a new least shingle: another bucket
+        rows.append((4 * k + 2, " ".join(words[: int(rng.integers(60, 120))])))
+        rows.append((4 * k + 3, " ".join(words)))
+    spark.createDataFrame([*rows, (900, "one two"), (901, "one two")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for i, t in [*rows, (900, "one two"), (901, "one two")]:
+        w = t.split()
+        s = {tuple(w[j : j + 3]) for j in range(len(w) - 2)} or {t}
+        if all(len(s & o) / len(s | o) < 0.85 for _, o in kept):
+            kept.append((i, s))
+    got = sorted(r.doc_id for r in registry.QUERIES["near_dedup"](spark, str(tmp_path)).collect())
+    assert got == [i for i, _ in kept]
