@@ -21,9 +21,10 @@ def edges(spark, sf_dir):
 
 
 def peers(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").select("o_custkey", F.col("o_orderdate").cast("date").alias("d"))
-    a, b = o.select(F.col("o_custkey").alias("src"), "d"), o.select(F.col("o_custkey").alias("dst"), "d")
-    return a.join(b, "d").where("src < dst").select("src", "dst").distinct()
+    """Customers who pay one supplier on one day, over all transactions."""
+    paid = transactions(spark, sf_dir).select(F.substring("nameOrig", 2, 20).cast("long").alias("id"), "nameDest", "step").distinct()
+    a, b = (paid.select(F.col("id").alias(k), "nameDest", "step") for k in ("src", "dst"))
+    return a.join(b, ["nameDest", "step"]).where("src < dst").select("src", "dst").distinct()
 
 
 @query("build_graph_tx", f"WITH {G} SELECT src, dst, amount, step, fraud FROM edges")

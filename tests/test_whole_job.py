@@ -153,3 +153,18 @@ def test_near_dedup_misses_no_pair(spark, tmp_path):
             kept.append((i, s))
     got = sorted(r.doc_id for r in registry.QUERIES["near_dedup"](spark, str(tmp_path)).collect())
     assert got == [i for i, _ in kept]
+
+
+def test_peers_share_a_supplier_and_day_at_any_priority(spark, sf_dir, duck):
+    rows = duck.execute("SELECT DISTINCT o_custkey, l_suppkey, CAST(o_orderdate AS DATE) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()
+    groups = {}
+    for c, s, d in rows:
+        groups.setdefault((s, d), set()).add(c)
+    pairs = {(x, y) for g in groups.values() for x in g for y in g if x < y}
+    assert {tuple(r) for r in graph_plans.peers(spark, sf_dir).collect()} == pairs
+    around = {}
+    for x, y in pairs:
+        around.setdefault(x, set()).add(y)
+        around.setdefault(y, set()).add(x)
+    got = {r.id: r.triangles for r in registry.QUERIES["clustering_coefficient"](spark, sf_dir).collect()}
+    assert got == {i: sum(y in around[x] for x in n for y in n if x < y) for i, n in around.items()}
