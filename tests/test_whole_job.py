@@ -168,3 +168,17 @@ def test_peers_share_a_supplier_and_day_at_any_priority(spark, sf_dir, duck):
         around.setdefault(y, set()).add(x)
     got = {r.id: r.triangles for r in registry.QUERIES["clustering_coefficient"](spark, sf_dir).collect()}
     assert got == {i: sum(y in around[x] for x in n for y in n if x < y) for i, n in around.items()}
+
+
+def test_paths_of_any_gap_and_ten_rounds(spark, sf_dir, payments):
+    got = {tuple(r) for r in registry.QUERIES["temporal_path_expand"](spark, sf_dir).select("a", "b", "c", "s1", "s2").collect()}
+    assert got == {(s, d, x, t, u) for s, d, _, t, fraud in payments if fraud for x, y, _, u, _ in payments if y == d and u >= t}
+    assert any(u > t + 1 for *_, t, u in got)
+    ids, out = {x for s, d, *_ in payments for x in (s, d)}, {}
+    for s, *_ in payments:
+        out[s] = out.get(s, 0) + 1
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(10):
+        lost = sum(r for i, r in rank.items() if i not in out)
+        rank = {i: 0.15 / len(ids) + 0.85 * (lost / len(ids) + sum(rank[s] / out[s] for s, d, *_ in payments if d == i)) for i in ids}
+    assert {r.id: r["rank"] for r in registry.QUERIES["pagerank"](spark, sf_dir).collect()} == pytest.approx(rank, abs=1e-7)
