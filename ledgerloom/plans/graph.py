@@ -12,8 +12,8 @@ from ledgerloom.sources.tables import EDGES_SQL, ORDER, TX_SQL, load, rounded, t
 G = f"{TX_SQL}, {EDGES_SQL}"
 PAIRS_SQL = "e AS (SELECT DISTINCT src, dst FROM edges)"
 DEG_SQL = f"{PAIRS_SQL}, deg AS (SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(*) AS degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id)"
-#: Customers who place urgent orders on one day: a graph with triangles.
-PEERS_SQL = "o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority LIKE '1%'), peers AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM o a JOIN o b ON a.d = b.d AND a.o_custkey < b.o_custkey)"
+#: Customers who pay one supplier on one day: a graph with triangles.
+PEERS_SQL = "o AS (SELECT DISTINCT o_custkey, l_suppkey, CAST(o_orderdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), peers AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM o a JOIN o b ON a.d = b.d AND a.l_suppkey = b.l_suppkey AND a.o_custkey < b.o_custkey)"
 
 
 def edges(spark, sf_dir):
@@ -81,14 +81,11 @@ def bfs_distance_to_fraud(spark, sf_dir):
     return graph.distances(e, graph.fraud_nodes(e))
 
 
-_SEEDS = "CAST(substr(id, 2) AS BIGINT) % 100 = 1 AND id LIKE 'C%'"
+_HOPS_SQL = f"""{_BFS_SQL}, one AS (SELECT a AS seed, b AS id FROM both_ways WHERE a <> b), two AS (SELECT DISTINCT one.seed, b AS id FROM one JOIN both_ways ON a = one.id),
+hops AS (SELECT seed, id, min(distance) AS distance FROM (SELECT DISTINCT a AS seed, a AS id, 0 AS distance FROM both_ways UNION ALL SELECT seed, id, 1 FROM one UNION ALL SELECT seed, id, 2 FROM two) GROUP BY seed, id)"""
 
 
-@query(
-    "k_hop_neighbors",
-    f"""WITH RECURSIVE {G}, {_BFS_SQL}, r AS (SELECT a AS seed, a AS id, 0 AS distance FROM (SELECT DISTINCT a FROM both_ways) AS x(a) WHERE {_SEEDS.replace('id', 'a')} UNION SELECT seed, b, distance + 1 FROM r JOIN both_ways ON a = id WHERE distance < 2)
-SELECT seed, id, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY seed, id""",
-)
+@query("k_hop_neighbors", f"WITH {G}, {_HOPS_SQL} SELECT seed, id, CAST(distance AS INTEGER) AS distance FROM hops")
 def k_hop_neighbors(spark, sf_dir):
     e = edges(spark, sf_dir)
     return graph.distances(e, graph.nodes(e), most=2, by_seed=True)
@@ -96,8 +93,8 @@ def k_hop_neighbors(spark, sf_dir):
 
 @query(
     "local_network_features",
-    f"""WITH {G}, {DEG_SQL}, {_BFS_SQL}, n AS (SELECT DISTINCT a AS seed, a AS id FROM both_ways WHERE {_SEEDS.replace('id', 'a')} UNION SELECT a, b FROM both_ways WHERE {_SEEDS.replace('id', 'a')}),
-c AS (SELECT seed, count(*) AS n FROM n GROUP BY seed), m AS (SELECT x.seed, count(*) AS m FROM n x JOIN e ON e.src = x.id JOIN n y ON y.seed = x.seed AND y.id = e.dst GROUP BY x.seed),
+    f"""WITH {G}, {DEG_SQL}, {_HOPS_SQL},
+c AS (SELECT seed, count(*) AS n FROM hops GROUP BY seed), m AS (SELECT x.seed, count(*) AS m FROM hops x JOIN e ON e.src = x.id JOIN hops y ON y.seed = x.seed AND y.id = e.dst GROUP BY x.seed),
 s AS (SELECT src AS seed, avg(out_degree) AS om, stddev_pop(out_degree) AS os FROM e JOIN deg ON dst = id GROUP BY src)
 SELECT seed, n, coalesce(m, 0) AS m, round(CASE WHEN n > 1 THEN coalesce(m, 0) / (n * (n - 1)) ELSE 0 END, 6) AS density, round(coalesce(om, 0), 6) AS out_mean, round(coalesce(os, 0), 6) AS out_std FROM c LEFT JOIN m USING (seed) LEFT JOIN s USING (seed)""",
 )
@@ -130,12 +127,12 @@ def weakly_connected(spark, sf_dir):
 def _pagerank_sql(rounds: int) -> str:
     steps = ["r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS rank FROM deg)"]
     for k in range(rounds):
-        steps.append(f"""r{k + 1} AS (SELECT deg.id, 0.15 / (SELECT count(*) FROM deg) + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k} JOIN deg USING (id) WHERE out_degree = 0) / (SELECT count(*) FROM deg)) AS rank
+        steps.append(f"""r{k + 1} AS MATERIALIZED (SELECT deg.id, 0.15 / (SELECT count(*) FROM deg) + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k} JOIN deg USING (id) WHERE out_degree = 0) / (SELECT count(*) FROM deg)) AS rank
   FROM deg LEFT JOIN (SELECT dst AS id, sum(rank / out_degree) AS got FROM e JOIN r{k} ON r{k}.id = src JOIN deg ON deg.id = src GROUP BY dst) g ON g.id = deg.id)""")
     return f"WITH {G}, {DEG_SQL}, {', '.join(steps)} SELECT id, round(rank, 8) AS rank FROM r{rounds}"
 
 
-@query("pagerank", _pagerank_sql(5))
+@query("pagerank", _pagerank_sql(10))
 def pagerank(spark, sf_dir):
     return graph.pagerank(edges(spark, sf_dir)).select("id", rounded(F.col("rank"), 8).alias("rank"))
 
@@ -149,7 +146,7 @@ def temporal_neighbors(spark, sf_dir):
     return graph.temporal_neighbors(e, e.groupBy(F.col("src").alias("id")).agg((F.min("step") + 500).alias("at")), 3)
 
 
-@query("temporal_path_expand", f"WITH {G} SELECT a.src AS a, a.dst AS b, b.src AS c, a.step AS s1, b.step AS s2 FROM edges a JOIN edges b ON a.dst = b.dst AND b.step >= a.step AND b.step <= a.step + 1 WHERE a.fraud = 1")
+@query("temporal_path_expand", f"WITH {G} SELECT a.src AS a, a.dst AS b, b.src AS c, a.step AS s1, b.step AS s2 FROM edges a JOIN edges b ON a.dst = b.dst AND b.step >= a.step WHERE a.fraud = 1")
 def temporal_path_expand(spark, sf_dir):
     """From fraud payments to what the payee's other payers do then or later (payees pay nobody in this table, so the second hop runs backwards)."""
     e = edges(spark, sf_dir)

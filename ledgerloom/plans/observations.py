@@ -44,7 +44,7 @@ def neighbor_mean_features(spark, sf_dir):
     return edges(spark, sf_dir).join(balance, "src").groupBy(F.col("dst").alias("id")).agg(rounded(F.avg("c_acctbal") + 1e-7, 4).alias("mean_balance"), F.count("*").alias("n"))
 
 
-@query("multi_hot_encode", "WITH t AS (SELECT user_id, list(DISTINCT event_type) AS k FROM events WHERE event_id % 7 = 0 GROUP BY user_id), n AS (SELECT list(DISTINCT event_type ORDER BY event_type) AS names FROM events) SELECT user_id, array_to_string(list_transform(names, lambda x: CAST(list_contains(k, x) AS INTEGER)), '') AS hot FROM t, n")
+@query("multi_hot_encode", "WITH t AS (SELECT user_id, list(DISTINCT event_type) AS k FROM events GROUP BY user_id), n AS (SELECT list(DISTINCT event_type ORDER BY event_type) AS names FROM events) SELECT user_id, array_to_string(list_transform(names, lambda x: CAST(list_contains(k, x) AS INTEGER)), '') AS hot FROM t, n")
 def multi_hot_encode(spark, sf_dir):
     """Names as zeros and ones, in order of all names (one row, broadcast)."""
     e = load(spark, sf_dir, "events")

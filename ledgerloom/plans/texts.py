@@ -27,7 +27,9 @@ def _quoted(x: str) -> str:
 
 
 PHRASES_SQL = f"([{', '.join(map(_quoted, PHRASES))}])[CAST(doc_id % {len(PHRASES)} AS INTEGER) + 1]"
-N = rf"n AS (SELECT doc_id, regexp_replace(left(text, 400), '[^\x00-\x7F]', 'x', 'g') || chr(10) || {PHRASES_SQL} AS text, source FROM documents)"
+#: Where a pattern has word boundaries, letters beyond ASCII count as word characters; DuckDB's know ASCII only.
+_PLAIN = r"regexp_replace(regexp_replace(lower(text), '[^\x00-\x7F\p{L}\p{Nd}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
+N = f"n AS (SELECT *, {_PLAIN} AS plain FROM (SELECT doc_id, text || chr(10) || {PHRASES_SQL} AS text, source FROM documents))"
 SOURCES_SQL = f"([{', '.join(map(_quoted, corpus.ALL_SOURCES))}])[CAST(CAST(substr(source, 4) AS INTEGER) % {len(corpus.ALL_SOURCES)} AS INTEGER) + 1]"
 CATEGORIES_SQL = f"([{', '.join(map(_quoted, corpus.CATEGORY_WEIGHTS))}])[CAST(doc_id % {len(corpus.CATEGORY_WEIGHTS)} AS INTEGER) + 1]"
 S = f"s AS (SELECT doc_id, text, lang, {SOURCES_SQL} AS source, {CATEGORIES_SQL} AS category, CASE WHEN doc_id % 3 = 0 THEN 'fraud' WHEN doc_id % 3 = 1 THEN 'non_fraud' ELSE 'unknown' END AS label FROM documents)"
@@ -57,7 +59,7 @@ def _joined(c):
 
 
 def _sql_tags(patterns: dict[str, str]) -> str:
-    cases = ", ".join(f"CASE WHEN regexp_matches(lower(text), {_quoted(p)}) THEN {_quoted(n)} END" for n, p in patterns.items())
+    cases = ", ".join(f"CASE WHEN regexp_matches(plain, {_quoted(p)}) THEN {_quoted(n)} END" for n, p in patterns.items())
     return f"coalesce(array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), '|'), '')"
 
 
@@ -198,7 +200,7 @@ def fraud_language(spark, sf_dir):
     return narratives(spark, sf_dir).select("doc_id", _joined(T.found_patterns(F.col("text"), T.FRAUD_LANGUAGE)).alias("patterns"))
 
 
-_RISKS = " UNION ALL ".join(f"SELECT doc_id, {_quoted(n)} AS risk, CAST(len(regexp_extract_all(lower(text), {_quoted(p)})) AS INTEGER) AS n FROM n" for n, p in T.RISKS.items())
+_RISKS = " UNION ALL ".join(f"SELECT doc_id, {_quoted(n)} AS risk, CAST(len(regexp_extract_all(plain, {_quoted(p)})) AS INTEGER) AS n FROM n" for n, p in T.RISKS.items())
 
 
 @query("risk_pattern_counts", f"WITH {N}, r AS ({_RISKS}) SELECT * FROM r WHERE n > 0")
@@ -348,7 +350,7 @@ def token_cap(spark, sf_dir):
 
 
 _ACTIONS = list(corpus.ACTIONS)
-_A = f"a AS (SELECT user_id, list(([{', '.join(map(_quoted, _ACTIONS))}])[CAST(event_id % {len(_ACTIONS)} AS INTEGER) + 1] ORDER BY ts, event_id) AS acts FROM events WHERE event_id % 11 = 0 GROUP BY user_id)"
+_A = f"a AS (SELECT user_id, list(([{', '.join(map(_quoted, _ACTIONS))}])[CAST(event_id % {len(_ACTIONS)} AS INTEGER) + 1] ORDER BY ts, event_id) AS acts FROM events GROUP BY user_id)"
 
 
 def actions(spark, sf_dir):

@@ -6,10 +6,8 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.llm import toxicity
 from ledgerloom.plans import registry  # first, as it imports the others
 from ledgerloom.plans import graph as graph_plans, texts
 
@@ -88,30 +86,6 @@ def test_multi_hot_has_all_kinds(spark, tmp_path):
     assert got == {5: "101", 6: "010"}
 
 
-def test_toxicity_learns_from_unlabelled_documents_only(spark):
-    """Neither the label 0 nor documents with it change the fit; unlabelled documents without any label do take part."""
-    docs = spark.createDataFrame([(k, f"word{k % 7} other{k % 5} " + ("vile" if k % 10 == 0 else "kind")) for k in range(600)], "doc_id bigint, text string")
-    toxic = [(k, 1) for k in range(0, 600, 20)]
-    bare = spark.createDataFrame(toxic, "doc_id bigint, toxic int")
-    clean = spark.createDataFrame(toxic + [(k, 0) for k in range(1, 600, 3)], "doc_id bigint, toxic int")
-    got = toxicity.sample(docs, bare).toArrow()
-    inside = docs.where(toxicity.fold_of(F.col("doc_id")) != 1)
-    assert got.num_rows == sum(got.column("unlabelled").to_pylist()) == inside.count()
-    a, b = toxicity.train(docs, bare), toxicity.train(docs, clean)
-    assert np.allclose(a.weights, b.weights) and a.bias == pytest.approx(b.bias)
-    score = {r.doc_id: r.score for r in toxicity.scored(docs, a).collect()}
-    assert min(s for k, s in score.items() if k % 10 == 0) > 0.5 > max(s for k, s in score.items() if k % 10)
-
-
-def test_toxicity_prior_is_not_the_share_of_confirmed_rows():
-    rng = np.random.default_rng(0)
-    rows = [np.unique(rng.integers(0, 200, 30)) for _ in range(4000)]
-    rows = [np.union1d(r, rng.choice([300, 301, 302], 2)) if k < 800 else r for k, r in enumerate(rows)]  # 800 toxic rows, 200 of them confirmed
-    positive = np.arange(4000) < 200
-    prior = toxicity.class_prior(np.concatenate(rows).astype(np.int32), np.array([len(r) for r in rows]), positive, np.ones(4000, bool), dimensions=512)
-    assert prior == pytest.approx(0.2, abs=0.04)
-
-
 @pytest.fixture
 def payments(spark, monkeypatch):
     """Edges in place of the star schema's: customers C2 to C9, suppliers M1 to M4."""
