@@ -1,15 +1,20 @@
 """Personal data by fixed patterns, and more by bootstrapped contexts.
 
-What the fixed patterns find are seed entities. The words before and after a seed are a lexical
-pattern. Patterns and instances (seeds, and candidate tokens that look like identifiers) form a
+What the fixed patterns find are seed entities. They induce lexical patterns of five families: the
+word before an entity, the word after it, two words before with one after, the entity's own
+word shape, and its outline (the shape without lengths, if it has several parts). Patterns and instances (seeds, and candidate tokens that look like identifiers) form a
 graph, which Spark scores in rounds: a pattern's confidence is the mean score of its instances,
-an instance's score grows with the confidence of the patterns it occurs in. Candidates in
-patterns of high confidence are identifiers that the fixed patterns don't know.
+an instance's score the mean confidence of its patterns, and seeds keep score 1. A candidate is
+an identifier that the fixed patterns don't know if its whole context, shape or outline is of high
+confidence, or its shape and the better of the words beside it are on average.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +35,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Tokens that look like identifiers: a run of letters, digits and joiners with four digits or more, or one with an at sign.
-_CANDIDATE = re.compile(r"(?<![^\s])[(\[\"']*([A-Za-z0-9+][A-Za-z0-9._/:@+-]{3,62}[A-Za-z0-9])[)\]\"'.,;:!?]*(?![^\s])")
+_CANDIDATE = re.compile(r"(?<![^\s])[(\[\"']*([A-Za-z0-9+][A-Za-z0-9._/:@+-]{3,}[A-Za-z0-9])[)\]\"'.,;:!?]*(?![^\s])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,16 +81,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+#: Families of patterns, by the letter that a pattern starts with.
+BEFORE, AFTER, AROUND, SHAPE, OUTLINE = "bfaso"
+
+
 def shape(value: str) -> str:
-    """The form of an identifier: digits as 0, letters as a, runs of one kept to three."""
-    return re.sub(r"(.)\1{3,}", r"\1\1\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "0", value)))
+    """The form of an identifier: runs of digits as 0 and their length, runs of letters as a; a run of both as x and its length."""
+    def of(m: re.Match) -> str:
+        run = m[0]
+        return f"0{len(run)}" if run.isdigit() else "a" if run.isalpha() else f"x{len(run)}"
+
+    return re.sub(r"[^\W_]+", of, value)
+
 
+def word_ends(text: str) -> tuple[list[int], list[int], list[str]]:
+    """Starts, ends and lower-case forms of a text's words."""
+    found = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
+    return [a for a, _, _ in found], [b for _, b, _ in found], [w for _, _, w in found]
 
-def context(text: str, start: int, end: int) -> str:
-    """The lexical pattern of a span: up to two words before it and one after, in lower case, from 60 code points either side."""
-    before = [w.lower() for w in _WORD.findall(text[max(0, start - 60) : start])][-2:]
-    after = [w.lower() for w in _WORD.findall(text[end : end + 60])][:1]
-    return " ".join(before) + " _ " + " ".join(after)
+
+def patterns(words: tuple[list[int], list[int], list[str]], value: str, start: int, end: int) -> list[str]:
+    """The patterns of a span, one of each family, wherever in the text its words stand; a value of one part has no outline."""
+    starts, ends, forms = words
+    i, j = bisect_right(ends, start), bisect_left(starts, end)
+    before, after = forms[max(0, i - 2) : i], forms[j : j + 1]
+    form = shape(value)
+    outline = re.sub(r"(?<=[0x])[0-9]+", "", form)
+    out = [f"{BEFORE} {''.join(before[-1:])}", f"{AFTER} {''.join(after)}", f"{AROUND} {' '.join(before)} _ {''.join(after)}", f"{SHAPE} {form}"]
+    return out if outline.isalnum() else [*out, f"{OUTLINE} {outline}"]
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]):
@@ -98,19 +121,24 @@ def candidates(text: str, taken: list[tuple[int, int, int]]):
             continue
         while k < len(taken) and taken[k][2] <= start:
             k += 1
-        if not any(a < end and start < b for a, _, b in taken[k : k + 8]):
+        if not any(a < end and start < b for a, _, b in itertools.takewhile(lambda span: span[0] < end, itertools.islice(taken, k, None))):
             yield start, end, value
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_CONTEXT = pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])
+_CONTEXT = pa.struct([("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])
 _SPAN_SQL = "array<struct<start:bigint,kind:int,end:bigint>>"
-_CONTEXT_SQL = "array<struct<pattern:string,instance:string,seed:boolean,start:bigint,end:bigint>>"
+_CONTEXT_SQL = "array<struct<instance:string,patterns:array<string>,seed:boolean,start:bigint,end:bigint>>"
+
+
+def content_of(text: str) -> Column:
+    """128 bits by which equal texts are known."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
 def extracted(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, content, base, contexts) for each row: fixed-pattern spans, and contexts of seeds and candidates."""
-    schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), ("base", pa.list_(_SPAN)), ("contexts", pa.list_(_CONTEXT))])
+    """(id, content, base, contexts) for each row: fixed-pattern spans, and contexts of seeds and candidates. Ids are cast to bigint."""
+    schema = pa.schema([("id", pa.int64()), ("content", pa.string()), ("base", pa.list_(_SPAN)), ("contexts", pa.list_(_CONTEXT))])
     digit_or_at = re.compile("[0-9@]")
 
     def run(batches):
@@ -121,54 +149,78 @@ def extracted(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Dat
                 if digit_or_at.search(t):
                     spans = base_spans(t)
                     base = [{"start": a, "kind": k, "end": b} for a, k, b in spans]
-                    around = [{"pattern": context(t, a, b), "instance": shape(t[a:b]), "seed": True, "start": a, "end": b} for a, _, b in spans]
-                    around += [{"pattern": context(t, a, b), "instance": shape(v), "seed": False, "start": a, "end": b} for a, b, v in candidates(t, spans)]
+                    found = [(a, b, t[a:b], True) for a, _, b in spans] + [(a, b, v, False) for a, b, v in candidates(t, spans)]
+                    if found:
+                        words = word_ends(t)
+                        around = [{"instance": hashlib.md5(v.lower().encode()).hexdigest(), "patterns": patterns(words, v, a, b), "seed": s, "start": a, "end": b} for a, b, v, s in found]
                 bases.append(base)
                 contexts.append(around)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, schema[2].type), pa.array(contexts, schema[3].type)], schema=schema)
 
-    rows = docs.select(F.col(id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))), text)
-    return rows.mapInArrow(run, f"id bigint, content bigint, base {_SPAN_SQL}, contexts {_CONTEXT_SQL}")
+    rows = docs.select(F.col(id).cast("long"), content_of(text), text)
+    return rows.mapInArrow(run, f"id bigint, content string, base {_SPAN_SQL}, contexts {_CONTEXT_SQL}")
 
 
 def score_patterns(edges: DataFrame, *, rounds: int = 3, prior: float = 2.0) -> DataFrame:
     """(pattern, confidence) from edges (pattern, instance, seed, n): n occurrences of an instance in a pattern.
 
-    Seeds have score 1 throughout, other instances start at 0. In each round a pattern's
-    confidence is the weighted mean of its instances' scores, held down by ``prior`` occurrences of
-    score 0; an instance's score is then the best confidence of its patterns, weighted by how many
-    of its occurrences are in confident ones. Edges are counted before they are shuffled, so a
-    pattern that a third of all texts hold is one edge for each instance.
+    An instance of which any edge says so is a seed, with score 1 throughout; the others start at
+    0. In each round a pattern's confidence is the weighted mean of its instances' scores, held down by
+    ``prior`` occurrences of score 0; the score of an instance that is no seed is then the weighted mean of its
+    patterns' confidences. Edges are counted before they are shuffled, so a pattern that a third of
+    all texts hold is one edge for each instance.
     """
-    score = edges.select("instance", "seed").distinct().withColumn("score", F.col("seed").cast("double"))
+    score = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    known = written(score.select("instance", F.col("score").alias("known")), "seeds")
+    score = known.select("instance", F.col("known").alias("score"))
     for k in range(rounds):
-        joined = edges.join(score, ["instance", "seed"])
-        patterns = joined.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + prior)).alias("confidence"))
+        patterns = edges.join(score, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + prior)).alias("confidence"))
         if k + 1 < rounds:
-            again = edges.join(patterns, "pattern").groupBy("instance", "seed").agg((F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("mean"))
-            score = written(again.select("instance", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("mean")).alias("score")), "instances")
+            mean = edges.join(patterns, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("mean"))
+            score = written(mean.join(known, "instance").select("instance", F.greatest("mean", "known").alias("score")), "instances")
     return patterns
 
 
+def discovered(seen: DataFrame, *, confidence: float = 0.5, rounds: int = 3) -> DataFrame:
+    """(content, start, end, score) of candidates that are identifiers, from occurrences (content, instance, patterns, seed, start, end).
+
+    Only candidates in some pattern that a seed holds too can be; all others have only patterns of low
+    confidence. ``score`` is the largest of the confidences of the whole context, shape and
+    outline, and the mean of the shape's and of that of the better word beside the candidate.
+    """
+    each = seen.select("instance", "seed", F.explode("patterns").alias("pattern"))
+    edges = written(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "edges")
+    sure = written(score_patterns(edges, rounds=rounds).where(F.col("confidence") > 0), "patterns")
+    # A hot pattern may hold a third of the candidates; on the other side it is one row, so the join can be split.
+    open_ones = seen.where("not seed").select("content", "start", "end", F.explode("patterns").alias("pattern")).join(sure, "pattern")
+    best = lambda family: F.coalesce(F.max(F.when(F.substring("pattern", 1, 1) == family, F.col("confidence"))), F.lit(0.0))
+    scored = open_ones.groupBy("content", "start", "end").agg(F.greatest(best(AROUND), best(SHAPE), best(OUTLINE), (best(SHAPE) + F.greatest(best(BEFORE), best(AFTER))) / 2).alias("score"))
+    return scored.where(F.col("score") >= confidence)
+
+
 def detect(docs: DataFrame, *, id: str = "doc_id", text: str = "text", confidence: float = 0.5, rounds: int = 3) -> DataFrame:
     """(id, content, base, spans) for each row of ``docs``: base spans, and all spans, in order.
 
     Kinds are numbered as in KINDS; the next number is what contexts discovered. Null and empty
-    texts have no spans; repeated rows have the same; an empty table gives no rows.
+    texts have no spans; repeated rows have the same; an empty table gives no rows. Further
+    columns are ignored, whatever they are called.
     """
     rows = written(extracted(docs, id=id, text=text), "extracted")
-    seen = rows.where(F.size("contexts") > 0).select("content", F.explode("contexts").alias("c")).select("content", "c.*")
     # One text counts once, however many copies there are.
-    seen = written(seen.distinct(), "contexts")
-    edges = seen.groupBy("pattern", "instance", "seed").agg(F.count("*").alias("n"))
-    sure = score_patterns(written(edges, "edges"), rounds=rounds).where(F.col("confidence") >= confidence).select("pattern")
-    # A hot pattern may hold a third of the candidates; only patterns are on the other side, so the join can be split.
-    more = seen.where("not seed").join(sure, "pattern").select("content", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("s"))
-    more = more.groupBy("content").agg(F.collect_list("s").alias("more")).withColumnRenamed("content", "__content")
+    seen = written(rows.where(F.size("contexts") > 0).select("content", F.explode("contexts").alias("c")).select("content", "c.*").dropDuplicates(["content", "start", "end"]), "contexts")
+    found = discovered(seen, confidence=confidence, rounds=rounds)
+    more = found.groupBy(F.col("content").alias("__content")).agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("more"))
+    more = written(more, "discovered")
+    if more.count() <= BROADCAST_ROWS:
+        more = F.broadcast(more)
     out = rows.join(more, F.col("content") == F.col("__content"), "left")
     return out.select("id", "content", "base", F.array_sort(F.concat("base", F.coalesce(F.col("more"), F.array().cast(_SPAN_SQL)))).alias("spans"))
 
 
+#: Texts with discovered spans are joined by broadcast up to so many (about 100 bytes each), by a shuffle beyond.
+BROADCAST_ROWS = 200_000
+
+
 def joined_spans(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, joined by commas."""
     names = F.array(*[F.lit(k) for k in [*KINDS, FOUND]])
@@ -196,18 +248,22 @@ def masked(text: str | None, spans: list) -> str | None:
 def redacted(docs: DataFrame, *, id: str = "doc_id", text: str = "text", confidence: float = 0.5, n_chars: str | None = None) -> DataFrame:
     """``docs`` with personal data masked in ``text`` (and its new length in ``n_chars``, if named). No row is dropped.
 
-    Only texts with spans are joined and rewritten.
+    Only texts with spans are joined and rewritten. A caller's column of any name is kept, but for names
+    that start with ``__pii_``, which raise a ValueError.
     """
+    if clash := [c for c in docs.columns if c.startswith("__pii_")]:
+        raise ValueError(f"docs has columns {clash}")
     found = detect(docs, id=id, text=text, confidence=confidence).where(F.size("spans") > 0)
-    found = written(found.groupBy(F.col("content").alias("__content")).agg(F.first("spans").alias("__spans")), "spans")
-    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    found = written(found.groupBy(F.col("content").alias("__pii_of")).agg(F.first("spans").alias("__pii_spans")), "spans")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     kept, schema = docs.columns, docs.schema
-    joined = docs.withColumn("__c", content).join(found, F.col("__c") == F.col("__content"), "left").drop("__c", "__content")
+    joined = docs.withColumn("__pii_content", content_of(text)).join(found, F.col("__pii_content") == F.col("__pii_of"), "left").drop("__pii_content", "__pii_of")
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            new = [masked(t, [(s["start"], s["kind"], s["end"]) for s in spans or []]) for t, spans in zip(batch.column(names.index(text)).to_pylist(), batch.column(names.index("__spans")).to_pylist(), strict=True)]
+            new = [masked(t, [(s["start"], s["kind"], s["end"]) for s in spans or []]) for t, spans in zip(batch.column(names.index(text)).to_pylist(), batch.column(names.index("__pii_spans")).to_pylist(), strict=True)]
             columns = []
             for c in kept:
                 if c == text:

@@ -242,6 +242,40 @@ def test_pii_contexts_discover_identifiers(spark, edges, empty):
     assert pii.detect(empty).count() == 0
 
 
+def test_pii_patterns_and_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    edges = {(f"p{rng.randrange(6)}", f"i{rng.randrange(12)}"): rng.randrange(1, 5) for _ in range(40)}
+    seeds = {f"i{k}" for k in range(4)}
+    frame = spark.createDataFrame([(p, i, i in seeds, n) for (p, i), n in edges.items()], "pattern string, instance string, seed boolean, n int")
+    score = {i: float(i in seeds) for _, i in edges}
+    for _ in range(3):
+        confidence = {p: sum(n * score[i] for (q, i), n in edges.items() if q == p) / (sum(n for (q, _), n in edges.items() if q == p) + 2) for p, _ in edges}
+        score = {i: max(float(i in seeds), sum(n * confidence[p] for (p, j), n in edges.items() if j == i) / sum(n for (_, j), n in edges.items() if j == i)) for i in score}
+    assert {r.pattern: r.confidence for r in pii.score_patterns(frame).collect()} == pytest.approx(confidence)
+    text = "Call Anna, now: «AB-12x» or else"
+    assert pii.patterns(pii.word_ends(text), "AB-12x", 17, 23) == ["b now", "f or", "a anna now _ or", "s a-x3", "o a-x"]
+    assert pii.patterns(pii.word_ends("77777"), "77777", 0, 5) == ["b ", "f ", "a  _ ", "s 05"]
+
+
+def test_pii_finds_withheld_seeds(spark):
+    """A fifth of the entities that fixed patterns find are withheld: contexts find nine tenths of them, and nothing but long numbers."""
+    docs = queries.table(spark, "/root/testdata/sf0.1", "documents")
+    seen = pii.extracted(docs).select("content", F.explode("contexts").alias("c")).select("content", "c.*").dropDuplicates(["content", "start", "end"]).cache()
+    withheld = F.pmod(F.xxhash64("instance"), F.lit(5)) == 0
+    found = pii.discovered(seen.withColumn("seed", F.col("seed") & ~withheld)).cache()
+    base = seen.where("seed").where(withheld)
+    assert base.join(found, ["content", "start", "end"]).count() >= 0.9 * base.count() > 50
+    shapes = found.join(seen, ["content", "start", "end"]).where("not seed").select(F.element_at("patterns", 4).alias("s")).distinct().collect()
+    assert {r.s for r in shapes} <= {"s 016"}
+
+
+def test_pii_long_values_and_far_words():
+    value = "7" * 500 + "x" * 80
+    assert [v for *_, v in pii.candidates(f"see ({value}), now", [])] == [value]
+    words = pii.word_ends(f"left {'- ' * 200}{value} {'- ' * 200}right")
+    assert pii.patterns(words, value, 405, 985)[:2] == ["b left", "f right"]
+
+
 # 7: token counts
 
 
@@ -376,11 +410,35 @@ def test_giant_rows_equal_the_library(spark, documents, edges, empty, pieces):
     for docs in (documents.limit(40), edges.unionByName(edges)):
         got = sentencepieces.encode(docs, model, giant=30, chunk=50).collect()
         assert len(got) == docs.count() and all(list(r.ids) == pieces.processor.encode(r.text) for r in got)
+        assert all(r.path == ("scan" if len(r.text) > 30 else "library") for r in got)
     out = sentencepieces.round_trips(edges, model).collect()
     assert [r.round_trip for r in out if r.doc_id != 5] == [True] * 6 and not [r for r in out if r.doc_id == 5][0].round_trip
     assert sentencepieces.encode(empty, model).count() == 0
 
 
+def test_scan_in_blocks_and_without_a_path(spark, pieces, monkeypatch):
+    """Many blocks give the library's pieces; a text whose scan finds no one path is encoded by the library."""
+    monkeypatch.setattr(sentencepieces, "BLOCK", 3)
+    monkeypatch.setattr(sentencepieces, "BROADCAST_CHUNKS", 0)
+    model, rng = f"{TOKENIZERS}/piece_bpe_32k.model", random.Random(6)
+    rows = [(k, "".join(rng.choice(["word", " ", "ing", "漢字", "==", "  ", "x" * 40, "é"]) for _ in range(300))) for k in range(4)]
+    got = sentencepieces.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), model, giant=30, chunk=25).collect()
+    assert all(r.path == "scan" and list(r.ids) == pieces.processor.encode(r.text) for r in got)
+    assert sentencepieces.cut_states([{(-1, 0): {(5, -1): 0.0, (6, -2): 0.0}}]) is None and sentencepieces.cut_states([{}]) is None
+    monkeypatch.setattr(sentencepieces, "cut_states", lambda *_: None)
+    got = sentencepieces.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), model, giant=30, chunk=25).collect()
+    assert len(got) == 4 and all(r.path == "library" and list(r.ids) == pieces.processor.encode(r.text) for r in got)
+
+
+def test_product_is_a_tree_of_products(pieces):
+    text = pieces.processor.normalize("unbelievable antidisestablishmentarianism " * 3)
+    matrices = [sentencepieces.transfer(pieces, text, a, b, b == len(text)) for a, b in sentencepieces._bounds(len(text), 20)]
+    whole = matrices[0]
+    for m in matrices[1:]:
+        whole = sentencepieces.combined(whole, m)
+    assert sentencepieces.product(matrices) == whole and len(sentencepieces.cut_states(matrices)) == len(matrices) + 1
+
+
 # 10: licences
 
 
