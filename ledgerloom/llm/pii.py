@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import texts, written
+from ledgerloom.llm.shared import bounded, texts, written
 
 #: Kinds in the order in which they are listed.
 KINDS = ["email", "ip", "card", "phone"]
@@ -210,17 +210,11 @@ def detect(docs: DataFrame, *, id: str = "doc_id", text: str = "text", confidenc
     seen = written(rows.where(F.size("contexts") > 0).select("content", F.explode("contexts").alias("c")).select("content", "c.*").dropDuplicates(["content", "start", "end"]), "contexts")
     found = discovered(seen, confidence=confidence, rounds=rounds)
     more = found.groupBy(F.col("content").alias("__content")).agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("more"))
-    more = written(more, "discovered")
-    if more.count() <= BROADCAST_ROWS:
-        more = F.broadcast(more)
+    more = bounded(written(more, "discovered"))
     out = rows.join(more, F.col("content") == F.col("__content"), "left")
     return out.select("id", "content", "base", F.array_sort(F.concat("base", F.coalesce(F.col("more"), F.array().cast(_SPAN_SQL)))).alias("spans"))
 
 
-#: Texts with discovered spans are joined by broadcast up to so many (about 100 bytes each), by a shuffle beyond.
-BROADCAST_ROWS = 200_000
-
-
 def joined_spans(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, joined by commas."""
     names = F.array(*[F.lit(k) for k in [*KINDS, FOUND]])
@@ -254,9 +248,7 @@ def redacted(docs: DataFrame, *, id: str = "doc_id", text: str = "text", confide
     if clash := [c for c in docs.columns if c.startswith("__pii_")]:
         raise ValueError(f"docs has columns {clash}")
     found = detect(docs, id=id, text=text, confidence=confidence).where(F.size("spans") > 0)
-    found = written(found.groupBy(F.col("content").alias("__pii_of")).agg(F.first("spans").alias("__pii_spans")), "spans")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
+    found = bounded(written(found.groupBy(F.col("content").alias("__pii_of")).agg(F.first("spans").alias("__pii_spans")), "spans"))
     kept, schema = docs.columns, docs.schema
     joined = docs.withColumn("__pii_content", content_of(text)).join(found, F.col("__pii_content") == F.col("__pii_of"), "left").drop("__pii_content", "__pii_of")
 

@@ -52,7 +52,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_paths(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The ledger is kept in the folder that the setting ledgerloom.secrets.ledger names, if it is set."""
+    found = secrets.scan_paths(table(spark, sf_dir, "documents").select("doc_id", "text"), ledger=spark.conf.get("ledgerloom.secrets.ledger", None))
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_RULES))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(

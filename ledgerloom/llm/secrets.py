@@ -1,8 +1,10 @@
 """Secret scans with an incremental blob ledger, in DataFrame operations only.
 
-Every version of every path is addressed by its content. A blob is scanned once for each rule
-version, whatever the number of paths and versions that hold it; blobs already in the ledger for
-this rule version are not scanned again. Findings are joined back to all paths by blob.
+Every version of every path is addressed by its content. The ledger is a table in shared storage that
+tells which blob was scanned by which version of which rule, and what was found. A run compares
+digests with it first; only texts of blobs that some rule version has not seen are scanned, by
+those rules alone. Texts are scanned where they are read, and only spans move, by blob. Findings
+are joined back to all paths.
 
 Offsets come from pairing ``split`` with ``regexp_extract_all``: the lengths of what stands
 between matches and of the matches themselves add up to where each match starts.
@@ -10,9 +12,11 @@ between matches and of the matches themselves add up to where each match starts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.shared import bounded, free_name, new_folder, written
+
 #: Kind, pattern, group whose length counts, least length. In the order in which kinds are listed.
 BASE_RULES = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -25,8 +29,15 @@ MORE_RULES = [
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("prefixed", r"(?:ghp_|gho_|glpat-|xox[abpr]-|sk_live_)[A-Za-z0-9_-]{16,}", 0, 1),
 ]
-#: Raise it with every change of a rule: blobs are then scanned anew.
-RULE_VERSION = 1
+#: A rule's version, 1 if it is not listed: raise it with every change of the rule, and all blobs are scanned anew by that rule.
+VERSIONS: dict[str, int] = {}
+
+_SPANS_SQL = "array<struct<start:int,kind:int,end:int>>"
+_LEDGER_SQL = "blob string, rules array<string>, spans array<struct<start:int,rule:string,end:int>>"
+
+
+def rule_key(rule: tuple, versions: dict[str, int] | None = None) -> str:
+    return f"{rule[0]}@{(versions or VERSIONS).get(rule[0], 1)}"
 
 
 def _literal(pattern: str) -> Column:
@@ -64,27 +75,57 @@ def spans_of(text: Column, kind_no: int, pattern: str, group: int, least: int) -
     return F.when(text.rlike(pattern), start_of).otherwise(none)
 
 
-def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], "blob string, rule_version int, spans array<struct<start:int,kind:int,end:int>>")
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], _LEDGER_SQL)
+
 
+def ledger_at(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept in a folder; an empty one where there is none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(_LEDGER_SQL).parquet(path) if known else empty_ledger(spark)
 
-def addressed(versions: DataFrame, *, text: str = "text") -> DataFrame:
-    """``versions`` with ``blob``, the digest of the text; null is the empty text."""
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
+def blob_of(text: str) -> Column:
+    """The digest of a text; null is the empty text."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", rules: list[tuple] | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """New ledger rows: one for each blob of ``versions`` that ``ledger`` lacks at this rule version.
 
-    Copies are pre-aggregated by blob in every map task, so that a text that a third of the rows
-    share is shuffled once a task and scanned once.
+def scan(versions: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", rules: list[tuple] | None = None, rule_versions: dict[str, int] | None = None) -> DataFrame:
+    """New ledger rows (blob, rules, spans): for each blob of ``versions``, the rule versions that ``ledger`` lacks and what they find.
+
+    Only digests are compared with the ledger; texts that it has in full are not read again. Copies that are
+    in several tasks are scanned by each, and one result is kept. Null texts are empty; other
+    columns are ignored, whatever they are called; an empty table gives no rows.
     """
     rules = rules or [*BASE_RULES, *MORE_RULES]
-    blobs = addressed(versions.select(F.coalesce(F.col(text), F.lit("")).alias("text"))).groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    each = [spans_of(F.col("text"), k, pattern, group, least) for k, (_, pattern, group, least) in enumerate(rules)]
-    return blobs.select("blob", F.lit(rule_version).alias("rule_version"), F.array_sort(F.flatten(F.array(*each))).alias("spans"))
+    keys = [rule_key(r, rule_versions) for r in rules]
+    texts = versions.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    every = F.array(*map(F.lit, keys))
+    if ledger is None or ledger.isEmpty():
+        texts = texts.withColumn("missing", every)
+    else:
+        seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
+        missing = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+        unseen = versions.select(blob_of(text).alias("blob")).distinct().join(seen, "blob", "left").select("blob", missing.alias("missing")).where(F.size("missing") > 0)
+        texts = texts.join(bounded(written(unseen, "unseen")), "blob")
+    none = F.array().cast("array<struct<start:int,rule:string,end:int>>")
+
+    def by(key: str, k: int, pattern: str, group: int, least: int) -> Column:
+        spans = F.transform(spans_of(F.col("text"), k, pattern, group, least), lambda s: F.struct(s["start"].alias("start"), F.lit(key).alias("rule"), s["end"].alias("end")))
+        return F.when(F.array_contains("missing", key), spans).otherwise(none)
+
+    each = [by(key, k, *rule[1:]) for k, (key, rule) in enumerate(zip(keys, rules, strict=True))]
+    found = texts.select("blob", "missing", F.flatten(F.array(*each)).alias("spans"))
+    return found.groupBy("blob").agg(F.first("missing").alias("rules"), F.first("spans").alias("spans"))
+
+
+def update(versions: DataFrame, path: str, *, text: str = "text", rules: list[tuple] | None = None, rule_versions: dict[str, int] | None = None) -> DataFrame:
+    """The ledger in the folder ``path`` once all of ``versions`` are in it; new rows are appended, and it is read back."""
+    spark = versions.sparkSession
+    new = scan(versions, ledger_at(spark, path), text=text, rules=rules, rule_versions=rule_versions)
+    new.write.mode("append").parquet(path)
+    return ledger_at(spark, path)
 
 
 def joined_spans(spans: Column, rules: list[tuple] | None = None) -> Column:
@@ -93,20 +134,31 @@ def joined_spans(spans: Column, rules: list[tuple] | None = None) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
 
 
-def findings(versions: DataFrame, ledger: DataFrame, *, text: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
-    """Every row of ``versions`` (all its columns) with the spans of its blob, from the ledger.
+def findings(versions: DataFrame, ledger: DataFrame, *, text: str = "text", rules: list[tuple] | None = None, rule_versions: dict[str, int] | None = None) -> DataFrame:
+    """Every row of ``versions`` (all its columns but the text) with the digest and the spans of its blob, from the ledger.
 
-    A blob that a third of all rows share makes a hot join key; the join is left free to be split
-    by adaptive execution, and only blobs with a finding are on the other side.
+    The new columns are called ``blob`` and ``spans``, with underscores after them where ``versions`` has such
+    columns itself. Spans are of the rule versions asked for, by start, then kind; kinds are numbered as the
+    rules. Only blobs with a finding are joined, by broadcast as long as they are few; else the join
+    can be split where a third of all rows share a blob.
     """
-    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias("spans"))
-    paths = addressed(versions, text=text).drop(text)
-    return paths.join(hits, F.col("blob") == F.col("__blob"), "left").drop("__blob").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
-
-
-def scan_paths(versions: DataFrame, *, text: str = "text") -> DataFrame:
-    """First run over ``versions``: scan against an empty ledger, then findings of all rows.
-
-    Null texts are empty and have no findings; repeated rows and null keys each give a row.
+    rules = rules or [*BASE_RULES, *MORE_RULES]
+    keys = F.array(*[F.lit(rule_key(r, rule_versions)) for r in rules])
+    current = F.filter("spans", lambda s: F.array_contains(keys, s["rule"]))
+    numbered = F.transform(current, lambda s: F.struct(s["start"].alias("start"), (F.array_position(keys, s["rule"]) - 1).cast("int").alias("kind"), s["end"].alias("end")))
+    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), numbered.alias("s")).where(F.size("s") > 0)
+    hits = bounded(written(hits.groupBy("__blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("__found")), "hits"))
+    blob, spans = free_name(versions, "blob"), free_name(versions, "spans")
+    paths = versions.select(*[F.col(f"`{c}`") for c in versions.columns if c != text], blob_of(text).alias(blob))
+    out = paths.join(hits, F.col(f"`{blob}`") == F.col("__blob"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in paths.columns], F.coalesce("__found", F.array().cast(_SPANS_SQL)).alias(spans))
+
+
+def scan_paths(versions: DataFrame, *, text: str = "text", ledger: str | None = None) -> DataFrame:
+    """Findings of all rows, after the ledger in the folder ``ledger`` (a new one if not given) was brought up to date.
+
+    Null texts are empty and have no findings; repeated rows and null keys each give a row; an
+    empty table gives no rows.
     """
-    return findings(versions, scan(versions, text=text), text=text)
+    at = ledger or new_folder(versions.sparkSession, "ledger")
+    return findings(versions, update(versions, at, text=text), text=text)

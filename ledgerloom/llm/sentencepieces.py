@@ -28,12 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import texts, written
+from ledgerloom.llm.shared import bounded, texts, written
 
 #: Code points from which a text is scanned, code points a chunk, and chunks a block.
 GIANT, CHUNK, BLOCK = 16_384, 4_096, 64
-#: Chunks whose states are broadcast (about 40 bytes each); beyond that they are joined by a shuffle.
-BROADCAST_CHUNKS = 200_000
 SPACE = "▁"
 #: A state: the piece's id, and its start relative to the cut (0 or below; the start of the text has id -1).
 State = tuple[int, int]
@@ -441,9 +439,7 @@ def _scanned(large: DataFrame, shared, chunk: int) -> DataFrame:
     matrices = chunks.select("key", "block", "chunk", "cells")
     blocks = matrices.groupBy("key", "block").applyInArrow(multiply, f"key string, block int, cells {_CELL_SQL}")
     outer = written(blocks.groupBy("key").applyInArrow(between, f"key string, block int, {ends}"), "blocks")
-    states = written(matrices.join(outer, ["key", "block"]).groupBy("key", "block").applyInArrow(inside, f"key string, chunk int, {ends}"), "states")
-    if states.count() <= BROADCAST_CHUNKS:
-        states = F.broadcast(states)
+    states = bounded(written(matrices.join(outer, ["key", "block"]).groupBy("key", "block").applyInArrow(inside, f"key string, chunk int, {ends}"), "states"))
     traced_rows = pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def trace(batches):

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.session import ship_package
 
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -45,16 +48,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write once to shared storage and read back: cuts lineage, and survives lost executors."""
+    """Write once to shared storage and read back: cuts lineage, and survives lost executors.
+
+    The result may be read until the session ends, so the files are left; who owns the folder in spark.checkpoint.dir
+    clears its ``ledgerloom-*`` folders after a job.
+    """
     at = new_folder(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(at)
     return df.sparkSession.read.schema(schema).parquet(at)
 
 
-def safe(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns of the caller can't clash with ours."""
-    return df.select(*names)
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table of short rows, to be joined by broadcast if it has at most so many rows, else by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it as long as ``df`` has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:

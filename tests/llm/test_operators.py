@@ -202,13 +202,36 @@ def test_toxicity_prior_is_not_the_share_of_confirmed_rows():
 
 
 def test_secret_ledger_scans_blobs_once(spark, edges):
-    first = secrets.scan(edges)
+    first = secrets.scan(edges).cache()
     assert first.count() == edges.select(F.coalesce("text", F.lit(""))).distinct().count()
     more = edges.unionByName(edges.limit(1).withColumn("text", F.lit("AKIA" + "A" * 16)))
     assert secrets.scan(more, first).count() == 1
-    assert secrets.scan(more, first, rule_version=2).count() == first.count() + 1
+    again = secrets.scan(more, first, rule_versions={"hex": 2}).collect()
+    assert sorted(len(r.rules) for r in again) == [1] * first.count() + [6]
     found = secrets.findings(more, first.unionByName(secrets.scan(more, first)))
-    assert found.count() == len(EDGES) + 1 and found.where(F.size("spans") > 0).count() == 3
+    assert found.columns == ["doc_id", "id", "label", "content", "blob", "digest", "blob_", "spans"]
+    assert found.count() == len(EDGES) + 1 and found.where(F.size("spans") > 0).count() == 3 and found.where("blob = 'b'").count() == len(EDGES) + 1
+
+
+def test_secret_ledger_is_kept(spark, sf_dir, tmp_path, empty):
+    """A second run of the query over the same rows scans nothing and finds the same."""
+    spark.conf.set("ledgerloom.secrets.ledger", f"{tmp_path}/ledger")
+    try:
+        first = queries.op5_secret_scans(spark, sf_dir).toPandas()
+        rows = secrets.ledger_at(spark, f"{tmp_path}/ledger").count()
+        assert rows == queries.table(spark, sf_dir, "documents").select("text").distinct().count()
+        second = queries.op5_secret_scans(spark, sf_dir).toPandas()
+        assert secrets.ledger_at(spark, f"{tmp_path}/ledger").count() == rows
+        assert first.sort_values("doc_id").values.tolist() == second.sort_values("doc_id").values.tolist()
+    finally:
+        spark.conf.unset("ledgerloom.secrets.ledger")
+    assert secrets.scan_paths(empty).count() == 0
+
+
+def test_secret_spans_of_a_long_text(spark):
+    text = ("é" * 100_000 + " ") * 3 + "token: abcdefghijklmnop"
+    (row,) = secrets.scan_paths(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert [(s.start, s.kind, s.end) for s in row.spans] == [(300_003, 0, 300_026)]
 
 
 # 6: personal data
@@ -419,7 +442,7 @@ def test_giant_rows_equal_the_library(spark, documents, edges, empty, pieces):
 def test_scan_in_blocks_and_without_a_path(spark, pieces, monkeypatch):
     """Many blocks give the library's pieces; a text whose scan finds no one path is encoded by the library."""
     monkeypatch.setattr(sentencepieces, "BLOCK", 3)
-    monkeypatch.setattr(sentencepieces, "BROADCAST_CHUNKS", 0)
+    monkeypatch.setattr(sentencepieces, "bounded", lambda df: df)
     model, rng = f"{TOKENIZERS}/piece_bpe_32k.model", random.Random(6)
     rows = [(k, "".join(rng.choice(["word", " ", "ing", "漢字", "==", "  ", "x" * 40, "é"]) for _ in range(300))) for k in range(4)]
     got = sentencepieces.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), model, giant=30, chunk=25).collect()
