@@ -79,22 +79,24 @@ ORACLES["op5_secret_scans"] = _secrets()
 
 
 def _licenses() -> str:
-    from ledgerloom.llm.licenses import KNOWN, SPELLINGS
+    from ledgerloom.llm.licenses import DIGESTS, KNOWN, SPELLINGS
 
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     spelled = "MAP {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in SPELLINGS) + "}"
     known = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
+    digests = ", ".join(f"({quote(b)}, {quote(a)}, false)" for a, b in DIGESTS)
     copyright_line = r"(?im)^[^\S\n]*(?:copyright\b|\(c\)|©)[^\n]*$|^[^\S\n]*all rights reserved\.?[^\S\n]*$"
     lines = rf"""list_filter(list_transform(string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '{copyright_line}', '', 'g')), '[^0-9a-z\n\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'), chr(10)),
       lambda l: array_to_string(list_transform(string_split(trim(l), ' '), lambda w: coalesce(({spelled})[w], w)), ' ')), lambda l: l <> '')"""
     return f"""
 WITH k AS (
-  SELECT sha256(array_to_string(lines, ' ')) AS digest, min(license) AS license
-  FROM (SELECT license, {lines} AS lines FROM (VALUES {known}) AS v(license, text)) GROUP BY 1
+  SELECT digest, min(license) AS license, bool_or(body) AS body FROM (
+    SELECT sha256(array_to_string(lines, ' ')) AS digest, license, true AS body FROM (SELECT license, {lines} AS lines FROM (VALUES {known}) AS v(license, text))
+    UNION ALL SELECT * FROM (VALUES {digests})) GROUP BY digest
 ), d AS (SELECT row_number() OVER () AS r, doc_id, {lines} AS lines FROM documents),
 n AS (
   SELECT r, count(*) AS n_license_lines, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses
-  FROM (SELECT r, sha256(unnest(lines)) AS digest FROM d) JOIN k USING (digest) GROUP BY r)
+  FROM (SELECT r, sha256(unnest(lines)) AS digest FROM d) JOIN k USING (digest) WHERE body GROUP BY r)
 SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest, k.license, coalesce(n_license_lines, 0) AS n_license_lines, coalesce(line_licenses, '') AS line_licenses
 FROM d LEFT JOIN k ON sha256(array_to_string(lines, ' ')) = k.digest LEFT JOIN n USING (r)
 """

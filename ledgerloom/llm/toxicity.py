@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.shared import slices, utf8
+from ledgerloom.llm.shared import slices, utf8, written
 from ledgerloom.llm.words import ALNUM, word_bounds, word_hashes
 
 DIMENSIONS = 1 << 19
@@ -33,6 +33,8 @@ STEM = 5
 class Model:
     weights: np.ndarray
     bias: float
+    #: Steps of the fit in which the estimated risk of the negative class was below zero, and was corrected.
+    corrections: int = 0
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return _sigmoid(margin + self.bias)
@@ -75,29 +77,41 @@ def fit(values: np.ndarray, sizes: np.ndarray, positive: np.ndarray, prior: floa
     keep = useful[values]
     index, row = values[keep], row[keep].astype(np.int64)
     bias = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
+    corrections = 0
     for penalty in (shrink, 0.0):
         words, at = np.unique(index, return_inverse=True)
-        found, bias = _descend(weights[words], bias, at, row, positive, unlabelled, prior, steps, rate, penalty)
+        found, bias, corrected = _descend(weights[words], bias, at, row, positive, unlabelled, prior, steps, rate, penalty)
+        corrections += corrected
         weights = np.zeros(dimensions)
         weights[words] = found
         keep = weights[index] != 0
         index, row = index[keep], row[keep]
-    return Model(weights, bias)
+    return Model(weights, bias, corrections)
 
 
-def _descend(weights: np.ndarray, bias: float, index: np.ndarray, row: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int, rate: float, shrink: float) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative PU risk with logistic loss, then a proximal step for the L1 penalty."""
-    n, n_p, n_u, size = len(positive), int(positive.sum()), int(unlabelled.sum()), len(weights)
+def risks(margin: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positive class's part of the risk, the estimate of the negative class's, and the slope of the step to take.
+
+    With logistic loss l: prior * mean of l(+) over confirmed rows; mean of l(-) over unlabelled rows minus
+    prior * mean of l(-) over confirmed rows. The slope (with respect to each row's margin) is that of their
+    sum where the second is not negative, and else the second's, turned round.
+    """
+    p, n_p, n_u = _sigmoid(margin), int(positive.sum()), int(unlabelled.sum())
+    loss_n = np.logaddexp(0, margin)  # of calling a row negative; that of calling it positive is less by the margin
+    positive_risk = prior * (loss_n - margin)[positive].mean()
+    negative_risk = loss_n[unlabelled].mean() - prior * loss_n[positive].mean()
+    as_positive = np.where(positive, -(1 - p) * prior / n_p, 0.0)
+    as_negative = np.where(unlabelled, p / n_u, 0.0) - np.where(positive, p * prior / n_p, 0.0)
+    return positive_risk, negative_risk, as_positive + as_negative if negative_risk >= 0 else -as_negative
+
+
+def _descend(weights: np.ndarray, bias: float, index: np.ndarray, row: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int, rate: float, shrink: float) -> tuple[np.ndarray, float, int]:
+    """Adam on the non-negative PU risk with logistic loss, then a proximal step for the L1 penalty; and how many steps were corrected."""
+    n, size, corrections = len(positive), len(weights), 0
     m, v, bias_m, bias_v = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        margin = np.bincount(row, weights[index], n) + bias
-        p = _sigmoid(margin)
-        loss_n = np.logaddexp(0, margin)  # of calling a row negative
-        negative_risk = loss_n[unlabelled].mean() - prior * loss_n[positive].mean()
-        # Slopes of the risk's parts with respect to each row's margin.
-        as_positive = np.where(positive, -(1 - p) * prior / n_p, 0.0)
-        as_negative = np.where(unlabelled, p / n_u, 0.0) - np.where(positive, p * prior / n_p, 0.0)
-        slope = as_positive + as_negative if negative_risk >= 0 else -as_negative
+        _, negative_risk, slope = risks(np.bincount(row, weights[index], n) + bias, positive, unlabelled, prior)
+        corrections += negative_risk < 0
         gradient = np.bincount(index, slope[row], size)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         pace = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
@@ -106,7 +120,7 @@ def _descend(weights: np.ndarray, bias: float, index: np.ndarray, row: np.ndarra
         g = slope.sum()
         bias_m, bias_v = 0.9 * bias_m + 0.1 * g, 0.99 * bias_v + 0.01 * g * g
         bias -= rate * (bias_m / (1 - 0.9**t)) / (np.sqrt(bias_v / (1 - 0.99**t)) + 1e-6)
-    return weights, bias
+    return weights, bias, corrections
 
 
 def margins(rows, model: Model) -> np.ndarray:
@@ -116,24 +130,27 @@ def margins(rows, model: Model) -> np.ndarray:
 def class_prior(values: np.ndarray, sizes: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, *, dimensions: int = DIMENSIONS, guess: float = 0.1, most: float = 0.5, least_rows: int = 50) -> float:
     """Share of toxic rows in the unlabelled sample, from confirmed and unlabelled rows alone (best bin estimation).
 
-    A model fitted on one half of the rows scores the other. Of the rows that score at least c, the
-    unlabelled share over the confirmed share bounds the prior from above, whatever the model; the c
-    is taken where that bound with its sampling error is least. Rows are halved by their features,
-    so equal texts are in one half. ``guess`` serves the first model, and is the answer where fewer than
-    ``least_rows`` confirmed rows are scored, which say too little.
+    A model fitted on one half of the rows scores the other, and the other way round. Of the rows that score
+    at least c, the unlabelled share over the confirmed share bounds the prior from above, whatever the model;
+    the c is taken where that bound with its sampling error is least, and the lower bound of the two halves. Rows
+    are halved by their features, so equal texts are in one half. ``guess`` serves these models, and is the
+    answer where a half has fewer than ``least_rows`` confirmed rows, which say too little.
     """
     row = np.repeat(np.arange(len(sizes)), sizes)
     half = np.bincount(row, values, len(sizes)).astype(np.int64) % 2 == 1
-    model = fit(values[half[row]], sizes[half], positive[half], guess, unlabelled[half], dimensions=dimensions)
-    score = np.bincount(row, model.weights[values], len(sizes))
-    p, u = np.sort(score[positive & ~half]), np.sort(score[unlabelled & ~half])
-    if len(p) < least_rows or not len(u):
-        return guess
-    c = np.unique(p)
-    q_p, q_u = 1 - np.searchsorted(p, c) / len(p), 1 - np.searchsorted(u, c) / len(u)
-    error = 1.01 * (np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u)))
-    best = ((q_u + error) / q_p).argmin()
-    return float(np.clip(q_u[best] / q_p[best], 1 / len(u), most))
+    bounds = []
+    for own in (half, ~half):
+        model = fit(values[own[row]], sizes[own], positive[own], guess, unlabelled[own], dimensions=dimensions)
+        score = np.bincount(row, model.weights[values], len(sizes))
+        p, u = np.sort(score[positive & ~own]), np.sort(score[unlabelled & ~own])
+        if len(p) < least_rows or not len(u):
+            return guess
+        c = np.unique(p)
+        q_p, q_u = 1 - np.searchsorted(p, c) / len(p), 1 - np.searchsorted(u, c) / len(u)
+        error = 1.01 * (np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u)))
+        best = ((q_u + error) / q_p).argmin()
+        bounds.append(float(np.clip(q_u[best] / q_p[best], 1 / len(u), most)))
+    return min(bounds)
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, fold: int = 3, left_out: int = 1) -> DataFrame:
@@ -168,15 +185,40 @@ def fold_of(id: Column, fold: int = 3) -> Column:
     return F.crc32(id.cast("string")) % fold
 
 
-def train(docs: DataFrame, labels: DataFrame, **options: object) -> Model:
-    """Fit on the driver from the bounded sample, with the prior that ``class_prior`` finds in it."""
-    table = sample(docs, labels, **options).toArrow()
+def train(docs: DataFrame, labels: DataFrame, *, most_features: int = 16_000_000, least: int = 3, **options: object) -> Model:
+    """Fit on the driver from the bounded sample, with the prior that ``class_prior`` finds in it.
+
+    The sample is written once. Of its rows, only features that ``least`` confirmed rows or more hold go to the
+    driver: no fit uses others. They are counted first; if there are more than ``most_features`` (4 bytes each),
+    so much smaller a share of the unlabelled rows is taken, by a hash of their features.
+    """
+    rows = written(sample(docs, labels, **options), "sample")
+    counts = rows.where("positive").select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # At most DIMENSIONS numbers.
+    known = np.zeros(DIMENSIONS, bool)
+    known[[r.f for r in counts.select("f").collect()]] = True
+    if not known.any():
+        return Model(np.zeros(DIMENSIONS), -40.0)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(known))
+
+    def run(batches):
+        held = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            kept = [x[held[x]] for x in (features.values.to_numpy() for features in batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["features", "positive", "unlabelled"])
+
+    rows = written(rows.mapInArrow(run, "features array<int>, positive boolean, unlabelled boolean"), "features")
+    sizes = rows.agg(F.coalesce(F.sum(F.when(F.col("positive"), F.size("features"))), F.lit(0)).alias("p"), F.coalesce(F.sum(F.when(~F.col("positive"), F.size("features"))), F.lit(1)).alias("u")).first()
+    share = min(1.0, max(most_features - sizes.p, 0) / max(sizes.u, 1))
+    if share < 1:
+        rows = rows.where(F.col("positive") | (F.pmod(F.xxhash64("features"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    table = rows.toArrow()
     lists, positive, unlabelled = table.column(0).combine_chunks(), table.column(1).to_numpy().astype(bool), table.column(2).to_numpy().astype(bool)
     del table
     if not positive.any():
         return Model(np.zeros(DIMENSIONS), -40.0)
     values, sizes = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy()
-    return fit(values, sizes, positive, class_prior(values, sizes, positive, unlabelled), unlabelled)
+    return fit(values, sizes, positive, class_prior(values, sizes, positive, unlabelled), unlabelled, least=least)
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:

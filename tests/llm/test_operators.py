@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import random
 import re
 import zlib
@@ -170,7 +172,7 @@ def test_toxicity_non_negative_risk():
     positive = np.arange(600) < 40
     rows = [np.union1d(r, [300]) if k < 80 else r for k, r in enumerate(rows)]  # 80 toxic rows, 40 of them confirmed
     model = toxicity.fit(np.concatenate(rows).astype(np.int32), np.array([len(r) for r in rows]), positive, 80 / 600, dimensions=512)
-    assert model.weights.argmax() == 300
+    assert model.weights.argmax() == 300 and model.corrections > 0
     assert model.probability(toxicity.margins(rows[40:80], model)).mean() > 0.5 > model.probability(toxicity.margins(rows[80:], model)).mean()
 
 
@@ -198,6 +200,51 @@ def test_toxicity_prior_is_not_the_share_of_confirmed_rows():
     assert prior == pytest.approx(0.2, abs=0.04)
 
 
+def test_toxicity_risk_and_slope_equal_a_loop():
+    """In both branches; the slope is that of the risk (or of the corrected part) by finite differences."""
+    rng = np.random.default_rng(4)
+    branches = set()
+    for prior in (0.05, 0.3, 0.9):
+        for shift in (-3, 0, 3):
+            margin, positive, unlabelled = rng.normal(0, 2, 30), np.arange(30) < 10, np.arange(30) >= 8
+            margin[positive] += shift
+
+            def loop(z):
+                p = [prior * math.log(1 + math.exp(-z[i])) / positive.sum() for i in range(30) if positive[i]]
+                u = [math.log(1 + math.exp(z[i])) / unlabelled.sum() for i in range(30) if unlabelled[i]]
+                n = [prior * math.log(1 + math.exp(z[i])) / positive.sum() for i in range(30) if positive[i]]
+                return sum(p), sum(u) - sum(n)
+
+            pos, neg, slope = toxicity.risks(margin, positive, unlabelled, prior)
+            assert (pos, neg) == pytest.approx(loop(margin))
+            branches.add(neg >= 0)
+            target = (lambda z: sum(loop(z))) if neg >= 0 else (lambda z: -loop(z)[1])
+            for i in range(30):
+                step = np.zeros(30)
+                step[i] = 1e-5
+                assert slope[i] == pytest.approx((target(margin + step) - target(margin - step)) / 2e-5, abs=1e-6)
+    assert branches == {True, False}
+
+
+def test_toxicity_scores_equal_a_loop(spark, sf_dir, documents):
+    """Scores of whole texts, word by word, from the model's weights."""
+    model = toxicity.train(documents, queries.table(spark, sf_dir, "labels"))
+    half = toxicity.DIMENSIONS // 2
+    for r in toxicity.scored(documents.limit(40), model).collect():
+        seen = set()
+        for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (r.text or "").encode()):
+            for part, shift in ((w, 0), (w[: toxicity.STEM], half)):
+                raw = np.frombuffer(part, np.uint8)
+                seen.add(int(toxicity.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0] & np.uint64(half - 1)) + shift)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-sum(model.weights[sorted(seen)]) - model.bias)))
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, sf_dir, documents):
+    labels = queries.table(spark, sf_dir, "labels")
+    small = toxicity.train(documents, labels, most_features=20_000)
+    assert small.weights.any() and toxicity.train(documents, labels, most_features=0).weights.sum() == 0
+
+
 # 5: secrets
 
 
@@ -471,3 +518,43 @@ def test_licences(spark, edges, empty):
     assert got[1].license == "MIT" and got[1].line_licenses == "MIT"
     assert got[2].license is None and got[2].line_licenses == "Apache-2.0" and got[2].n_license_lines == 1
     assert got[3].license is None and licenses.scan(edges).count() == len(EDGES) and licenses.scan(empty).count() == 0
+
+
+def test_licences_of_whole_texts(spark):
+    """Planted texts are found with other case, punctuation, copyright lines, spellings and line breaks, and not with another word."""
+    rng, rows = random.Random(9), []
+    for k, (name, body) in enumerate(licenses.KNOWN):
+        changed = re.sub(r"\backnowledgment\b", "acknowledgement", re.sub(r"\blicense\b", "licence", body)).upper() if k % 2 else body.swapcase()
+        changed = re.sub(r"[.,;:]", lambda m: rng.choice([m[0], " ", "--"]), changed.replace(" ", "  \t", 3))
+        words = changed.split(" ")
+        for at in rng.sample(range(1, len(words)), min(3, len(words) - 1)):
+            if "copyright" not in " ".join(words[at : at + 2]).lower() and "(" not in words[at]:
+                words[at] = "\n" + words[at]
+        rows.append((k, name, f"Copyright (c) 2019 Some One, and others\n(C) 2020 Another\n\n{' '.join(words)}\nAll rights reserved.\n"))
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, name string, text string")).collect()}
+    assert got == {k: name for k, name, _ in rows}
+    near = spark.createDataFrame([(k, f"{t} extra") for k, _, t in rows], "doc_id int, text string")
+    assert licenses.scan(near).where("license IS NOT NULL").count() == 0
+    twice = licenses.known_licenses(spark, [("B", "some text"), ("A", "Some text!")]).union(spark.createDataFrame([(hashlib.sha256(b"some text").hexdigest(), "C", 9)], "digest string, license string, n_chars int"))
+    assert [tuple(r)[2:] for r in licenses.scan(spark.createDataFrame([(1, "SOME\ntext")], "doc_id int, text string"), twice).collect()] == [("A", 0, "")]
+
+
+def test_licence_digests_are_of_this_canonical_form(spark):
+    """Held against the texts that many systems ship, where they are here."""
+    listed = {name: digest for name, digest in licenses.DIGESTS}
+    shipped = {"GPL-3.0": "GPL-3", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"}
+    rows = [(name, open(path, encoding="utf-8").read()) for name, file in shipped.items() if os.path.exists(path := f"/usr/share/common-licenses/{file}")]
+    got = spark.createDataFrame(rows, "doc_id string, text string") if rows else None
+    assert got is None or all(r.digest == listed[r.doc_id] and r.license == r.doc_id for r in licenses.scan(got).collect())
+
+
+def test_licence_text_is_brought_to_canonical_form_once(spark, documents, capsys):
+    rows = documents.select(licenses.canonical_lines(F.col("text")).alias("l")).select(licenses.digest_of(F.col("l")), F.filter("l", lambda x: F.length(x) == 5))
+    rows.explain()
+    assert capsys.readouterr().out.count("all rights reserved") == 1
+
+
+def test_licence_of_a_very_long_text(spark):
+    long = "word, " * 400_000 + "\nSPDX-License-Identifier: MIT\n"
+    (row,) = licenses.scan(spark.createDataFrame([(1, long)], "doc_id int, text string")).collect()
+    assert row.license is None and row.line_licenses == "MIT"
