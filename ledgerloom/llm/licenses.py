@@ -173,13 +173,26 @@ _PUNCTUATION = r"[^0-9a-z\n\x{80}-\x{10FFFF}]+"
 _SPELLED = r"\b(?:" + "|".join(a for a, _ in SPELLINGS) + r")\b"
 
 
-def canonical_lines(text: Column) -> Column:
-    """array<string>: the lines of a text in canonical form, without those of which nothing is left."""
-    out = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _COPYRIGHT, "")), _PUNCTUATION, " ")
+def _plain(text: Column) -> Column:
+    """Lower case, without copyright lines, what is no letter or digit as one space; line ends stay."""
+    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _COPYRIGHT, "")), _PUNCTUATION, " ")
+
+
+def _lines(plain: Column) -> Column:
     spelled = F.create_map(*[F.lit(x) for pair in SPELLINGS for x in pair])
-    lines = F.filter(F.transform(F.split(out, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    lines = F.filter(F.transform(F.split(plain, "\n"), lambda line: F.trim(line)), lambda line: line != "")
     same = F.transform(lines, lambda line: F.when(line.rlike(_SPELLED), F.array_join(F.transform(F.split(line, " "), lambda w: F.coalesce(spelled[w], w)), " ")).otherwise(line))
-    return F.when(out.rlike(_SPELLED), same).otherwise(lines)
+    return F.when(plain.rlike(_SPELLED), same).otherwise(lines)
+
+
+def canonical_lines(text: Column) -> Column:
+    """array<string>: the lines of a text in canonical form, without those of which nothing is left."""
+    return _lines(_plain(text))
+
+
+def canonical_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(__id, __lines): each step uses the last one's column more than once, so Spark keeps the projections apart and runs each once a row."""
+    return docs.select(F.col(id).alias("__id"), _plain(F.col(text)).alias("__plain")).select("__id", _lines(F.col("__plain")).alias("__lines"))
 
 
 def digest_of(lines: Column) -> Column:
@@ -215,8 +228,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, *, id: str = "doc_id",
     known = bounded(written(known.groupBy("digest").agg(F.min("license").alias("license"), F.min("n_chars").alias("n_chars")), "known"))
     lengths = [r.n_chars for r in known.where("n_chars IS NOT NULL").select("n_chars").distinct().limit(MOST_LENGTHS + 1).collect()]
     fits = (lambda line: F.length(line).isin(lengths)) if len(lengths) <= MOST_LENGTHS else (lambda line: F.lit(True))
-    rows = docs.select(F.col(id).alias("__id"), canonical_lines(F.col(text)).alias("__lines"))
-    # The lines are used twice, so Spark keeps this projection apart and brings a text to canonical form once.
+    rows = canonical_rows(docs, id, text)
     rows = rows.select("__id", digest_of(F.col("__lines")).alias("digest"), F.transform(F.filter("__lines", fits), lambda line: F.sha2(line, 256)).alias("__line_digests"))
     rows = written(rows, "canonical")
     lines = rows.where(F.size("__line_digests") > 0).groupBy("digest").agg(F.first("__line_digests").alias("lines")).select(F.col("digest").alias("__of"), F.explode("lines").alias("digest"))

@@ -549,7 +549,7 @@ def test_licence_digests_are_of_this_canonical_form(spark):
 
 
 def test_licence_text_is_brought_to_canonical_form_once(spark, documents, capsys):
-    rows = documents.select(licenses.canonical_lines(F.col("text")).alias("l")).select(licenses.digest_of(F.col("l")), F.filter("l", lambda x: F.length(x) == 5))
+    rows = licenses.canonical_rows(documents, "doc_id", "text").select(licenses.digest_of(F.col("__lines")), F.filter("__lines", lambda x: F.length(x) == 5))
     rows.explain()
     assert capsys.readouterr().out.count("all rights reserved") == 1
 
