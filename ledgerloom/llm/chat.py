@@ -6,7 +6,10 @@ of the conversation are rendered one turn longer each time and consecutive outpu
 What the longer output adds is the new turn's span; if the shorter output is no prefix of the
 longer one, the template rewrites history, which is reported with the position where the two
 part. Within a turn, what stands before and after the text is found by rendering the same turn
-with probe texts.
+with two probe texts, which differ in their first and last characters. Every turn is probed, as a template may
+count turns or treat the last one apart. Where a template rewrites history, spans in earlier
+outputs say nothing of the last one; each text is then looked for in the last output by probing its turn
+in the whole conversation. A conversation of n turns takes 3 n renderings, of its prefixes or of the whole.
 """
 
 from __future__ import annotations
@@ -49,12 +52,17 @@ def chat_template(turns: list[Turn], open_assistant: bool = False) -> str:
 
 @dataclass
 class Span:
-    """Of one turn, in the output of the prefix that ends with it: the turn, and its text in it."""
+    """Of one turn, in the whole output: the turn, and its text in it.
 
-    start: int
-    end: int
-    text_start: int
-    text_end: int
+    ``rewrites_at`` is where the prefix that ends with the turn parts from the one before, if that is no prefix of it.
+    If any turn does so, a turn's span is that of its text, and all four are null where the output
+    does not depend on the text.
+    """
+
+    start: int | None
+    end: int | None
+    text_start: int | None
+    text_end: int | None
     rewrites_at: int | None
 
 
@@ -62,29 +70,42 @@ def _common(a: str, b: str) -> int:
     return len(os.path.commonprefix([a, b]))
 
 
+#: Probe texts: what their outputs share at the start and at the end is not text.
+PROBES = "x", "y"
+
+
+def _place(template: Template, turns: list[Turn], k: int, output: str) -> tuple[int, int] | None:
+    """Where the text of turn k stands in the output for ``turns``; None if the output does not depend on it."""
+    a, b = (template([*turns[:k], (turns[k][0], p), *turns[k + 1 :]], False) for p in PROBES)
+    if a == b:
+        return None
+    head, tail = _common(a, b), _common(a[::-1], b[::-1])
+    return head, max(head, len(output) - tail)
+
+
 def render(template: Template, turns: list[Turn]) -> tuple[str, list[Span]]:
     """The whole output, and a span for each turn."""
-    before, spans, shapes = template([], False), [], {}
-    for k, (role, text) in enumerate(turns, 1):
-        now = template(turns[:k], False)
+    before, spans = template([], False), []
+    for k in range(len(turns)):
+        now = template(turns[: k + 1], False)
         whole = now.startswith(before)
         start = len(before) if whole else _common(before, now)
-        key = (role, start if not whole else -1, k == 1)
-        if key not in shapes:
-            # Two probes part where the text starts; an empty text leaves what stands around it.
-            probes = [template([*turns[: k - 1], (role, p)], False) for p in ("x", "y", "")]
-            head = _common(probes[0], probes[1]) - start
-            shapes[key] = head, len(probes[2]) - start - head
-        head, tail = shapes[key]
-        spans.append(Span(start, len(now), start + head, len(now) - tail, None if whole else start))
+        place = _place(template, turns[: k + 1], k, now)
+        spans.append(Span(start, len(now), *(place or (None, None)), None if whole else start))
         before = now
+    if any(s.rewrites_at is not None for s in spans):
+        places = [_place(template, turns, k, before) or (None, None) for k in range(len(turns))]
+        spans = [Span(*p, *p, s.rewrites_at) for s, p in zip(spans, places, strict=True)]
     return before, spans
 
 
 def read_back(formatted: str, spans: list[Span]) -> list[Turn]:
-    """The turns as the output has them: the role from what stands before the text."""
+    """The turns as the output has them: the role from what stands before the text; empty where the output has no such text."""
     out = []
     for s in spans:
+        if s.text_start is None:
+            out.append(("", ""))
+            continue
         head = formatted[s.start : s.text_start]
         role = head.removeprefix(START)[: -len(SEPARATOR)]
         out.append((unescaped(role), unescaped(formatted[s.text_start : s.text_end])))
@@ -94,7 +115,7 @@ def read_back(formatted: str, spans: list[Span]) -> list[Turn]:
 def format_conversations(rows: DataFrame, template: Template = chat_template, *, trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, spans, roles, loss_mask, rewrites_history.
 
-    ``loss_mask`` lists the [start, end) code points of the trained role's texts. Turns are
+    ``loss_mask`` lists the [start, end) code points of the trained role's texts in the output, as far as it has them. Turns are
     ordered by turn, then role, then text (nulls first); a null text is empty, a null role is the
     empty role; rows with a null conv_id form one conversation of their own; repeated rows are
     repeated turns. Further columns of ``rows`` are ignored. An empty table gives no rows.
@@ -125,7 +146,7 @@ def format_conversations(rows: DataFrame, template: Template = chat_template, *,
                         "formatted": formatted,
                         "spans": [{"start": s.start, "end": s.end, "text_start": s.text_start, "text_end": s.text_end} for s in spans],
                         "roles": [r for r, _ in pairs],
-                        "loss_mask": [[s.text_start, s.text_end] for (r, _), s in zip(pairs, spans, strict=True) if r == trained_role],
+                        "loss_mask": [[s.text_start, s.text_end] for (r, _), s in zip(pairs, spans, strict=True) if r == trained_role and s.text_start is not None],
                         "rewrites_history": any(s.rewrites_at is not None for s in spans),
                     }
                 )

@@ -86,6 +86,12 @@ def test_decontamination_edges(spark, edges, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert decontaminate.decontaminate(edges, bench.limit(0)).count() == len(EDGES)
     assert decontaminate.cut_text("Keep, this one: out! End", [[1, 3]]) == "Keep, : out! End"
+    long = "clean é-words, " * 200_000 + "one two THREE four five"
+    rows = spark.createDataFrame([(1, long, 7), (2, None, 7), (3, "one two three four five", 7), (4, "one two three", 7)], "doc_id int, text string, __contamination int")
+    item = spark.createDataFrame([("a", "one two three four")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(rows, item, action="cut").collect()}
+    assert set(got) == {1, 2, 4} and got[1].text == long[: -len("one two THREE four five")] + " five" and got[4].text == "one two three"
+    assert got[1].asDict()["__contamination"] == 7 and decontaminate.decontaminate(rows, item).where("doc_id = 1").first().text == long
 
 
 # 2: chat
@@ -106,8 +112,40 @@ def test_chat_detects_rewritten_history():
         """Drops the thoughts of earlier assistant turns."""
         return "".join(f"[{r}]{t if k == len(turns) - 1 else t.split('#')[-1]};" for k, (r, t) in enumerate(turns))
 
-    _, spans = chat.render(forgetful, [("user", "a"), ("assistant", "think#b"), ("user", "c")])
+    out, spans = chat.render(forgetful, [("user", "a"), ("assistant", "think#b"), ("user", "c")])
     assert [s.rewrites_at is not None for s in spans] == [False, False, True]
+    assert out == "[user]a;[assistant]b;[user]c;" and [out[s.text_start : s.text_end] for s in spans] == ["a", "b", "c"]
+
+
+def test_chat_spans_of_other_templates(spark):
+    """Numbered turns, a last turn that is treated apart, and one that leaves earlier turns out, all as black boxes."""
+    def numbered(turns, open_assistant=False):
+        return "".join(f"[{k}|{r}]{t}\n" for k, (r, t) in enumerate(turns))
+
+    turns = [(("user", "assistant")[k % 2], f"t{k}" * (k % 3)) for k in range(23)]
+    out, spans = chat.render(numbered, turns)
+    assert [out[s.text_start : s.text_end] for s in spans] == [t for _, t in turns]
+    assert "".join(out[s.start : s.end] for s in spans) == out and all(s.rewrites_at is None for s in spans)
+
+    def marked_last(turns, open_assistant=False):
+        return "".join(f"{r}: {t}{'<end>' if k == len(turns) - 1 else ';'}" for k, (r, t) in enumerate(turns))
+
+    out, spans = chat.render(marked_last, turns)
+    assert [out[s.text_start : s.text_end] for s in spans] == [t for _, t in turns] and spans[1].rewrites_at is not None
+
+    def short_memory(turns, open_assistant=False):
+        return "".join(f"<{r}>{t}" for r, t in turns[-2:])
+
+    rows = spark.createDataFrame([(1, k, r, f"say {k}") for k, (r, _) in enumerate(turns)], "conv_id bigint, turn int, role string, text string")
+    (got,) = chat.format_conversations(rows, short_memory).collect()
+    assert got.rewrites_history and [s.text_start for s in got.spans[:21]] == [None] * 21
+    assert [got.formatted[a:b] for a, b in got.loss_mask] == ["say 21"]
+
+
+def test_chat_long_conversation(spark):
+    rows = spark.range(300).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("long <| "), 40).alias("text"))
+    (got,) = chat.digests(chat.format_conversations(rows)).collect()
+    assert got.n_turns == 300 and got.loss_chars == 150 * 40 * 8
 
 
 def test_chat_edges(spark):
