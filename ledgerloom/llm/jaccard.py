@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import slices, utf8, written
+from ledgerloom.llm.shared import estimated_bytes, free_name, slices, utf8, written
 from ledgerloom.llm.words import sets_of_shingles
 
 #: Similarity as a fraction of whole numbers: 4 / 5.
@@ -36,6 +36,8 @@ FREQUENT = 16
 MOST_FREQUENT = 2_000_000
 #: Runs of up to so many groups of one token are paired in full at once.
 SMALL_RUN = 16
+#: Bytes of input for each bucket of tokens: a bucket is held by one task, so their number grows with the input.
+BUCKET_BYTES = 4 << 20
 #: Tokens that a task holds before it sends them on.
 HELD_TOKENS = 2_000_000
 #: Bits of a set's parity map (folded to a quarter for a first look), and members of a run that are compared in one task.
@@ -312,19 +314,20 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x <> y").distinct()
 
 
-def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5, all_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (id, content, n_shingles, component_id) for each row of ``docs``, and verified
     links (x, y, shared, total) between classes of equal sets.
 
-    The links connect what is similar: a pair of classes may be left out only if both are in one
-    component anyway. ``component_id`` is the smallest id of a component. Null and empty texts
+    With ``all_links``, the links are all pairs of similar classes, and a column ``class`` in the rows tells the
+    members; a family of m different near copies then takes the time of m squared comparisons. Else the
+    links connect what is similar: a pair of classes may be left out only if both are in one component anyway. ``component_id`` is the smallest id of a component. Null and empty texts
     have no shingles and are linked with nothing, so each row is its own component; texts of
     fewer words than a shingle are one shingle. Repeated rows are members like any other. A null
     id is in its component, whose smallest id is that of the other members (null if there is none).
     Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(docs.select(text)) // BUCKET_BYTES)
     shared = spark.sparkContext.broadcast(frequent_tokens(docs, text, shingle, buckets))
     rows = written(members(docs, id, text, shingle, buckets, shared), "members")
     classes = written(
@@ -347,15 +350,18 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shi
         # Further rounds, only across the components of those before: the closest partners, then all that are left.
         label, tested = components(links, "x", "y"), first
         for closest in (CLOSEST, None):
-            pairs = written(_across(led, several, runs, groups, label, tested, sets, closest), "across")
+            pairs = written(_across(led, several, runs, classes, label, tested, sets, closest), "across")
             more, sets = _verify(docs, text, shingle, classes, pairs, have=sets)
             links, tested = links.unionByName(more), tested.union(pairs)
             star = label.select(F.col("vertex").alias("x"), F.col("component").alias("y"))
             label = components(star.union(more.select("x", "y")), "x", "y")
+        if all_links:
+            pairs = written(_across(led, several, runs, classes, None, tested, sets, None), "within")
+            links = links.unionByName(_verify(docs, text, shingle, classes, pairs, have=sets)[0])
     by_class = classes.join(label, F.col("class") == F.col("vertex"), "left").select("class", F.coalesce("component", "class").alias("component"), "least")
     smallest = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = by_class.join(smallest, "component").select("class", "component_id")
-    out = rows.join(of_class, "class", "left").select("id", "content", "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.join(of_class, "class", "left").select("id", "content", "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *["class"] * all_links)
     return out, links
 
 
@@ -373,26 +379,32 @@ def _verify(docs: DataFrame, text: str, k: int, classes: DataFrame, pairs: DataF
     return written(verified(pairs, sets), "verified"), sets
 
 
-def _across(led: DataFrame, several: DataFrame, runs: DataFrame, groups: DataFrame, label: DataFrame, tested: DataFrame, sets: DataFrame, closest: int | None) -> DataFrame:
-    """Candidate class pairs of different components that have not been tested; of long runs, at first only the closest."""
-    of = lambda df, c: df.join(label.select(F.col("vertex").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
-    # Classes of paired groups, where one of them has several.
-    wide = led.where("n_a > 1 or n_b > 1").select("a", "b")
-    members_of = several.select("group", "class").union(groups.where("n_classes = 1").select("group", "lead"))
-    labelled = of(members_of.select("group", F.col("class").alias("c")), "c")
-    left, right = (labelled.select(F.col("group").alias(g), F.col("c").alias(c), F.col("of_c").alias(f"of_{c}")) for g, c in (("a", "x"), ("b", "y")))
-    out = wide.join(left, "a").join(right, "b").where("of_x <> of_y").select("x", "y")
+def _across(led: DataFrame, several: DataFrame, runs: DataFrame, classes: DataFrame, label: DataFrame | None, tested: DataFrame, sets: DataFrame, closest: int | None) -> DataFrame:
+    """Candidate class pairs that have not been tested, of different components (of any, without ``label``); at first only the closest.
+
+    They are within one group, within two paired groups of which one has several classes, and within
+    long runs of one token. Each is a key whose members are compared in blocks, unless all are in one component.
+    """
+    in_play = classes.select("group", F.col("class").alias("c"), "n")
+    if label is None:
+        labelled = in_play.withColumn("of_c", F.col("c"))
+    else:
+        labelled = in_play.join(label.select(F.col("vertex").alias("c"), F.col("component").alias("of_c")), "c", "left").withColumn("of_c", F.coalesce("of_c", "c"))
+    labelled = labelled.select("group", "c", "of_c", "n")
+    spread = labelled.groupBy("group").agg(F.min("of_c").alias("low"), F.max("of_c").alias("high"), F.count("*").alias("rows"))
+    members_of = lambda keys: keys.join(labelled, "group").select("kind", "token", "rows", "c", "of_c", "n", "at")
     # Classes of one group.
-    inner = of(several.select("group", F.col("class").alias("c")), "c")
-    mixed = inner.groupBy("group").agg(F.min("of_c").alias("low"), F.max("of_c").alias("high")).where("low <> high").select("group", "low")
-    inner = inner.join(mixed, "group")
-    out = out.union(_strays(inner, "group"))
-    # Members of long runs of one token, where the run is not all in one component.
-    held = runs.select("token", F.col("a").alias("group"), "n", "at").join(members_of.withColumnRenamed("class", "c"), "group")
-    held = of(held, "c")
-    mixed = held.groupBy("token").agg(F.min("of_c").alias("p"), F.max("of_c").alias("q"), F.count("*").alias("rows")).where("p <> q").select("token", "rows")
-    out = out.union(_close(held.join(mixed, "token"), parity_maps(sets), closest))
-    return _ordered(out, "x", "y").join(tested, ["x", "y"], "left_anti")
+    inner = several.select("group").distinct().join(spread.where("low <> high"), "group").select("group", F.lit(0).alias("kind"), F.col("group").alias("token"), "rows", F.lit(0).cast("long").alias("at"))
+    # Classes of paired groups, where one of them has several.
+    side = lambda g: spread.select(F.col("group").alias(g), *[F.col(c).alias(f"{c}_{g}") for c in ("low", "high", "rows")])
+    wide = led.where("n_a > 1 or n_b > 1").select("a", "b").join(side("a"), "a").join(side("b"), "b").where("low_a <> high_a or low_b <> high_b or low_a <> low_b")
+    wide = wide.select(F.explode(F.array("a", "b")).alias("group"), F.lit(1).alias("kind"), F.xxhash64("a", "b").alias("token"), (F.col("rows_a") + F.col("rows_b")).alias("rows"), F.lit(0).cast("long").alias("at"))
+    # Members of long runs of one token.
+    run = runs.select("token", F.col("a").alias("group"), "at")
+    mixed = run.join(spread, "group").groupBy("token").agg(F.min("low").alias("p"), F.max("high").alias("q"), F.sum("rows").alias("rows")).where("p <> q").select("token", "rows")
+    run = run.join(mixed, "token").select("group", F.lit(2).alias("kind"), "token", "rows", "at")
+    held = members_of(inner.unionByName(wide).unionByName(run))
+    return _ordered(_close(held, parity_maps(sets), closest), "x", "y").join(tested, ["x", "y"], "left_anti")
 
 
 def parity_maps(sets: DataFrame) -> DataFrame:
@@ -411,15 +423,15 @@ def parity_maps(sets: DataFrame) -> DataFrame:
 
 
 def _close(held: DataFrame, maps: DataFrame, closest: int | None) -> DataFrame:
-    """Pairs within a run, of different components, that sizes, positions and parity maps allow to be similar enough.
+    """Pairs under one key, of different components, that sizes, positions and parity maps allow to be similar enough.
 
-    Two maps differ in no more bits than the sets differ in tokens, so no link is lost. Long runs are
+    Two maps differ in no more bits than the sets differ in tokens, so no link is lost. Long keys are
     dealt out as pairs of blocks, so that no task compares more than two blocks.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("c"), blocks).cast("int")
     dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "of_c", "n", "at").join(maps, "c")
+    dealt = dealt.select("kind", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "of_c", "n", "at").join(maps, "c")
     schema = pa.schema([("x", pa.binary()), ("y", pa.binary())])
 
     def compare(table: pa.Table) -> pa.Table:
@@ -449,21 +461,15 @@ def _close(held: DataFrame, maps: DataFrame, closest: int | None) -> DataFrame:
             ys += [c[f] for f in found]
         return pa.table([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], schema=schema)
 
-    return dealt.groupBy("token", "i", "j").applyInArrow(compare, "x binary, y binary")
-
-
-def _strays(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs of different components under one key: what is outside the key's component ``low``, with all others."""
-    s, o = rows.where("of_c <> low").alias("s"), rows.alias("o")
-    on = (F.col(f"s.{key}") == F.col(f"o.{key}")) & (F.col("s.of_c") != F.col("o.of_c")) & ((F.col("o.of_c") == F.col("o.low")) | (F.col("s.c") < F.col("o.c")))
-    return s.join(o, on).select(F.col("s.c").alias("x"), F.col("o.c").alias("y"))
+    return dealt.groupBy("kind", "token", "i", "j").applyInArrow(compare, "x binary, y binary")
 
 
 def deduplicated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each component (that with the smallest id, then content, nulls last), the columns of ``docs``.
 
-    Rows without shingles are all kept. Of repeated rows that are to be kept, one is.
+    Rows without shingles are all kept. Of repeated rows that are to be kept, one is. Columns of any name are kept.
     """
+    of, number = free_name(docs, "__content"), free_name(docs, "__id")
     rows, _ = jaccard_join(docs, id=id, text=text, shingle=shingle)
     rows = written(rows, "decided")
     similar = rows.where("n_shingles > 0")
@@ -472,12 +478,12 @@ def deduplicated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shi
     kept = written(kept.groupBy("id", "content").agg(F.count("*").alias("rows")), "kept")
     gone = similar.select("id", "content").distinct().join(kept.select(F.col("id").alias("i"), F.col("content").alias("c")), F.col("id").eqNullSafe(F.col("i")) & (F.col("content") == F.col("c")), "left_anti")
     mine = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.withColumn("__content", mine).withColumn("__id", F.col(id).cast("long"))
+    keyed = docs.withColumn(of, mine).withColumn(number, F.col(id).cast("long"))
     gone = gone.select(F.col("id").alias("__gone"), F.col("content").alias("__gone_content"))
-    out = keyed.join(gone, (F.col("__content") == F.col("__gone_content")) & F.col("__id").eqNullSafe(F.col("__gone")), "left_anti")
+    out = keyed.join(gone, (F.col(of) == F.col("__gone_content")) & F.col(number).eqNullSafe(F.col("__gone")), "left_anti")
     again = kept.where("rows > 1").select(F.col("id").alias("__again"), F.col("content").alias("__again_content"))
     if not again.isEmpty():
-        match = (F.col("__content") == F.col("__again_content")) & F.col("__id").eqNullSafe(F.col("__again"))
-        once = out.join(again, match, "left_semi").dropDuplicates(["__id", "__content"])
+        match = (F.col(of) == F.col("__again_content")) & F.col(number).eqNullSafe(F.col("__again"))
+        once = out.join(again, match, "left_semi").dropDuplicates([number, of])
         out = out.join(again, match, "left_anti").unionByName(once)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

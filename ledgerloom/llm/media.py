@@ -143,26 +143,29 @@ class ByteRange(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.list_path = options["list"]
-        self.range_bytes = int(options.get("range_bytes", 8 << 20))
+        self.range_bytes = int(options.get("range_bytes", 0))
         self.batch_bytes = int(options.get("batch_bytes", 8 << 20))
         self.tries = int(options.get("tries", 3))
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges of the archives that the list names. A range that starts beyond the last member is empty."""
-        out = []
-        for path, size in archive_list(self.list_path):
-            out += [ByteRange(path, at, min(size, at + self.range_bytes)) for at in range(0, size, self.range_bytes)]
+        """Byte ranges of the archives that the list names. A range that starts beyond the last member is empty.
+
+        They are of 8 MB, or of as much more as keeps their number at 100,000, if ``range_bytes`` is not given.
+        """
+        archives = list(archive_list(self.list_path))
+        step = self.range_bytes or max(8 << 20, sum(size for _, size in archives) // 100_000)
+        out = [ByteRange(path, at, min(size, at + step)) for path, size in archives for at in range(0, size, step)]
         return out or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange):
         if not partition.path:
             return
         entries = self._directory(partition.path)
-        rows, size = [], 0
+        members, rows, size = Members(partition.path, self.tries), [], 0
         for member_id, null, offset, length, n_bytes, crc in entries:
             if not partition.start <= offset < partition.end:
                 continue
-            stored, error = self._member(partition.path, offset, length, crc)
+            stored, error = members.get(offset, length, crc)
             rows.append((None if null else member_id, n_bytes, stored, partition.path, offset, error))
             size += length
             if size >= self.batch_bytes:
@@ -174,12 +177,34 @@ class ArchiveReader(DataSourceReader):
     def _directory(self, path: str):
         return retried(lambda: _directory(path), self.tries)
 
-    def _member(self, path: str, offset: int, length: int, crc: int) -> tuple[bytes | None, str | None]:
+
+class Members:
+    """Members of one archive: the file is opened once and read in order, and opened again for each further try."""
+
+    def __init__(self, path: str, tries: int):
+        self.path, self.tries, self.file = path, tries, None
+
+    def get(self, offset: int, length: int, crc: int) -> tuple[bytes | None, str | None]:
         try:
-            return retried(lambda: _one(path, offset, length, crc), self.tries), None
+            return retried(lambda: self._one(offset, length, crc), self.tries), None
         except (OSError, ValueError) as e:
             return None, f"{type(e).__name__}: {e}"
 
+    def _one(self, offset: int, length: int, crc: int) -> bytes:
+        try:
+            if self.file is None:
+                self.file = _open(self.path, "rb")
+            self.file.seek(offset)
+            stored = self.file.read(length)
+            if len(stored) != length or zlib.crc32(stored) != crc:
+                raise ValueError(f"member at {offset} is damaged")
+            return stored
+        except (OSError, ValueError):
+            file, self.file = self.file, None
+            if file is not None:
+                file.close()
+            raise
+
 
 def retried(f, tries: int):
     for k in range(tries):
@@ -202,15 +227,6 @@ def _directory(path: str) -> list[tuple]:
         return list(ENTRY.iter_unpack(f.read(n * ENTRY.size)))
 
 
-def _one(path: str, offset: int, length: int, crc: int) -> bytes:
-    with _open(path, "rb") as f:
-        f.seek(offset)
-        stored = f.read(length)
-    if len(stored) != length or zlib.crc32(stored) != crc:
-        raise ValueError(f"member at {offset} is damaged")
-    return stored
-
-
 _KINDS = {"member_id": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary(), "archive": pa.string(), "offset": pa.int64(), "error": pa.string()}
 
 
@@ -251,7 +267,8 @@ def media_columns(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
     """Store and read back: member_id, n_bytes, media, archive, offset, error.
 
     One row for each row of ``docs``: null and empty texts are 576 bytes of 255, repeated rows and
-    null ids are members like any other, an empty table gives none. Other columns are ignored.
+    null ids are members like any other, an empty table gives none. Ids are cast to bigint. Other columns are
+    ignored, whatever they are called.
     """
     return load(docs.sparkSession, store(docs, id=id, text=text))
 

@@ -64,6 +64,12 @@ def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark's plan expects a table to take, from the sizes of its files; no job runs. 0 where it does not know (it then says exabytes)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 54 else 0
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores after it as long as ``df`` has a column of that name (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -457,13 +457,26 @@ def test_jaccard_equals_brute_force(spark, seed, n, size, edits, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL_RUN", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     rows = [*families(seed, n, size, edits), (10_000, None), (10_001, ""), (10_002, "one"), (10_003, "One"), (10_004, "a b c d e"), (10_005, "a b c d e f")]
-    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))[0].collect()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = jaccard.jaccard_join(docs)[0].collect()
     assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    # All links of classes, each once.
+    rows_of, links = jaccard.jaccard_join(docs, all_links=True)
+    of, sets = {r.id: bytes(r["class"] or b"") for r in rows_of.collect()}, {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        if w:
+            sets[of[i]] = {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    keys = sorted(sets)
+    want = {(x, y, len(sets[x] & sets[y]), len(sets[x] | sets[y])) for k, x in enumerate(keys) for y in keys[k + 1 :] if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])}
+    found = [(bytes(r.x), bytes(r.y), r.shared, r.total) for r in links.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
 
 
 def test_jaccard_edges(spark, edges, empty):
     rows, _ = jaccard.jaccard_join(edges)
     assert rows.count() == len(EDGES)
+    edges = edges.withColumn("__content", F.lit("c")).withColumn("__id", F.lit(1))
     kept = jaccard.deduplicated(edges)
     assert kept.columns == edges.columns
     # The empty rows stay (null, empty and twice blank), the rows that share a text leave one.
