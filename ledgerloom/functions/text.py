@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -332,3 +333,35 @@ def content_hash(text: Column) -> Column:
 
 def sample_id(source: Column, text: Column) -> Column:
     return F.concat(source, F.lit("_"), F.substring(F.md5(text), 1, 12))
+
+
+# What wrongly decoded text has in place of quotes, and what is dropped.
+MOJIBAKE = [("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ("Â", ""), ("\x00", "")]
+
+
+def fix_encoding(text: Column) -> Column:
+    for old, new in MOJIBAKE:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def unicode_form(accents: bool):
+    """A pandas UDF: compatibility composition, and marks stripped if asked for; no built-in function has either."""
+    def form(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        def one(t: str | None) -> str | None:
+            if t is None or t.isascii():
+                return t
+            t = unicodedata.normalize("NFKC", t)
+            return "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") if accents else t
+
+        return texts.map(one, na_action="ignore")
+
+    return F.pandas_udf(form, "string")
+
+
+def normalize_full(text: Column, *, lower: bool = True, accents: bool = True) -> Column:
+    """Encoding mended, one Unicode form, accents stripped, lower case, white space normalised."""
+    out = unicode_form(accents)(fix_encoding(text))
+    return normalize_whitespace(F.lower(out) if lower else out)
