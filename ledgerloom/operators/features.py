@@ -33,10 +33,21 @@ def cyclical(x: Column, period: int) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
+def numbered(values: DataFrame, by: str, into: str) -> DataFrame:
+    """``values`` (distinct) with contiguous numbers from 0 in order of ``by``, without a sort in one task: ranges are numbered apart, on top of their starts."""
+    from ledgerloom.operators.graph import cut
+
+    ranged = cut(values.repartitionByRange(by).sortWithinPartitions(by).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))  # one row a range
+    starts = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__start"))
+    within = F.row_number().over(W.partitionBy("__p").orderBy(by))
+    return ranged.withColumn("__r", within).join(F.broadcast(starts), "__p").withColumn(into, (F.col("__start") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__start")
+
+
 def label_encode(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Index of each value among the sorted distinct strings; null counts as 'nan'. The distinct values are ranked, not the rows."""
+    """Index of each value among the sorted distinct strings; null counts as 'nan'. The distinct values are numbered by ranges, not the rows."""
     text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-    codes = df.select(text.alias("__value")).distinct().select("__value", (F.row_number().over(W.orderBy("__value")) - 1).cast("long").alias(into))
+    codes = numbered(df.select(text.alias("__value")).distinct(), "__value", into)
     return df.join(codes, text == F.col("__value"), "left").drop("__value")
 
 

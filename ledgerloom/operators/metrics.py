@@ -202,3 +202,41 @@ def temperature_grid(logits: DataFrame, temperatures: list[float]) -> DataFrame:
     row = logits.agg(*[nll(t).alias(str(k)) for k, t in enumerate(temperatures)])
     pairs = F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"`{k}`").alias("nll")) for k, t in enumerate(temperatures)])
     return row.select(F.inline(pairs))
+
+
+def quantile_calibration(scored: DataFrame, bins: int = 15) -> DataFrame:
+    """(ece, mce) with bins of equal numbers of rows: edges are the scores' percentiles, found from counts by score; the last bin is closed on the right."""
+    shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
+    edges = scored.agg(F.percentile("score", shares).alias("__e"))  # one row
+    s = F.col("score")
+    inner = F.filter(F.slice("__e", 2, bins - 1), lambda e: e <= s)
+    binned = scored.join(F.broadcast(edges)).withColumn("bin", F.size(inner))
+    bin_stats = binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("score").alias("confidence"), F.avg(F.col("label").cast("double")).alias("accuracy"))
+    gap = F.abs(F.col("accuracy") - F.col("confidence"))
+    return bin_stats.agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
+
+
+def classwise(scored: DataFrame, bins: int = 15) -> DataFrame:
+    """(class, ece, brier) one against all, from (truth, probs): a row's probabilities are unpacked, one class each."""
+    each = scored.select("truth", F.posexplode("probs").alias("class", "score")).withColumn("label", (F.col("truth") == F.col("class")).cast("int"))
+    b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
+    by_bin = each.groupBy("class", b.alias("bin")).agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.sum("label").alias("y"), F.sum(F.pow(F.col("score") - F.col("label"), 2)).alias("q"))
+    return by_bin.groupBy("class").agg((F.sum(F.abs(F.col("y") - F.col("s"))) / F.sum("n")).alias("ece"), (F.sum("q") / F.sum("n")).alias("brier"))
+
+
+def top_label(scored: DataFrame) -> DataFrame:
+    """(id, label, score): confidence of the most probable class (the first of equals), and whether it is the true one."""
+    top = F.array_max("probs")
+    return scored.select("id", (F.array_position("probs", top) - 1 == F.col("truth")).cast("int").alias("label"), top.alias("score"))
+
+
+def isotonic(scored: DataFrame) -> DataFrame:
+    """(score, calibrated): the rising step function closest to the labels, by pooling of adjacent violators, at each distinct score.
+
+    Scores are counted first, and the weighted means of distinct scores pooled by Spark ML, in ranges in parallel, then at once.
+    """
+    from pyspark.ml.regression import IsotonicRegression
+
+    counts = scored.groupBy("score").agg(F.count("*").cast("double").alias("w"), F.avg(F.col("label").cast("double")).alias("y"))
+    model = IsotonicRegression(featuresCol="score", labelCol="y", weightCol="w", predictionCol="calibrated").fit(counts)
+    return model.transform(counts).select("score", "calibrated")
