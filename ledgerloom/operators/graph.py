@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
         at = spark.sparkContext.getCheckpointDir()
     path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -157,6 +159,8 @@ def weakly_connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components were not stable after {most_rounds} rounds")
     return nodes(edges).join(now, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
@@ -231,3 +235,147 @@ def edge_index(edges: DataFrame) -> DataFrame:
     numbered = ids.withColumn("r", F.row_number().over(W.partitionBy("p").orderBy("id"))).join(F.broadcast(starts), "p").select("id", (F.col("start") + F.col("r") - 1).alias("i"))
     s, d = numbered.select(F.col("id").alias("src"), F.col("i").alias("src_index")), numbered.select(F.col("id").alias("dst"), F.col("i").alias("dst_index"))
     return edges.select("src", "dst").distinct().join(s, "src").join(d, "dst").select("src_index", "dst_index", "src", "dst")
+
+
+def neighbourhoods(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(seed, id, distance) of what the start nodes (seed, id) of each seed reach over undirected edges in ``hops`` steps."""
+    frontier = cut(seeds.select("seed", "id").distinct())
+    around = cut(both_ways(edges))
+    seen = frontier.withColumn("distance", F.lit(0))
+    for k in range(1, hops + 1):
+        step = frontier.join(around, frontier["id"] == around["src"]).select("seed", F.col("dst").alias("id")).distinct()
+        frontier = cut(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"))
+        seen = seen.unionByName(frontier.withColumn("distance", F.lit(k)))
+    return seen
+
+
+def capped_subgraphs(edges: DataFrame, seeds: DataFrame, hops: int, most: int) -> DataFrame:
+    """(seed, src, dst): edges among the ``most`` nodes nearest to a seed, ties by id; a map task keeps no more than that of a seed."""
+    ranked = neighbourhoods(edges, seeds, hops).withColumn("r", F.row_number().over(W.partitionBy("seed").orderBy("distance", "id")))
+    kept = cut(ranked.where(F.col("r") <= most).select("seed", "id"))
+    pairs = edges.select("src", "dst").distinct()
+    inside = kept.join(pairs, kept["id"] == pairs["src"]).select("seed", "src", "dst")
+    return inside.join(kept.select("seed", F.col("id").alias("dst")), ["seed", "dst"]).select("seed", "src", "dst")
+
+
+def fraud_subgraphs(edges: DataFrame, hops: int = 1, least: int = 3, most: int = 500) -> DataFrame:
+    """(src, dst, nodes, edges) of the neighbourhood of each fraud edge, if it has ``least`` to ``most`` nodes.
+
+    Sizes are counted before edges are joined, so a hub's neighbourhood costs its nodes and no more.
+    """
+    fraud = edges.where("fraud = 1").select("src", "dst").distinct().withColumn("seed", F.xxhash64("src", "dst"))
+    ends = fraud.select("seed", F.explode(F.array("src", "dst")).alias("id"))
+    around = cut(neighbourhoods(edges, ends, hops).select("seed", "id"))
+    sized = around.groupBy("seed").agg(F.count("*").alias("nodes")).where(F.col("nodes").between(least, most))
+    kept = cut(around.join(sized.select("seed"), "seed", "left_semi"))
+    pairs = edges.select("src", "dst").distinct()
+    inside = kept.join(pairs, kept["id"] == pairs["src"]).select("seed", "dst").join(kept.select("seed", F.col("id").alias("dst")), ["seed", "dst"])
+    counted = inside.groupBy("seed").agg(F.count("*").alias("edges"))
+    return fraud.join(sized, "seed").join(counted, "seed").select("src", "dst", "nodes", "edges")
+
+
+def weighted_pagerank(edges: DataFrame, *, weight: str, alpha: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 100) -> DataFrame:
+    """(id, rank, score): ranks by weighted edges until they change by less than nodes * tolerance in all, dangling mass spread evenly.
+
+    ``score`` is the rank times 1 + ln(1 + out-degree / max(in-degree, 1)). A RuntimeError if the ranks don't settle.
+    """
+    pairs = edges.groupBy("src", "dst").agg(F.sum(weight).alias("w"))
+    out = pairs.groupBy("src").agg(F.sum("w").alias("total"))
+    arcs = cut(pairs.join(out, "src").select("src", "dst", F.when(F.col("total") > 0, F.col("w") / F.col("total")).alias("share")))
+    ids = cut(nodes(edges).join(out.where("total > 0").select(F.col("src").alias("id"), "total"), "id", "left"))
+    n = ids.count()
+    ranks = ids.select("id", "total", F.lit(1.0 / max(n, 1)).alias("rank"))
+    for _ in range(most_rounds):
+        lost = ranks.where("total IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        sent = arcs.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        joined = ranks.withColumnRenamed("rank", "before").join(sent, "id", "left").join(F.broadcast(lost))
+        ranks = cut(joined.select("id", "total", "before", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
+        if ranks.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), F.lit(0.0))).first()[0] < n * tolerance:
+            break
+        ranks = ranks.drop("before")
+    else:
+        raise RuntimeError(f"ranks did not settle in {most_rounds} rounds")
+    d = degrees(edges)
+    return ranks.join(d, "id").select("id", "rank", (F.col("rank") * (1 + F.log1p(F.col("out_degree") / F.greatest("in_degree", F.lit(1))))).alias("score"))
+
+
+def flagged_above(scores: DataFrame, share: float) -> DataFrame:
+    """``scores`` with ``flagged``: 1 from the percentile ``share`` on (interpolated)."""
+    limit = scores.agg(F.percentile("score", share).alias("__limit"))  # one row
+    return scores.join(F.broadcast(limit)).withColumn("flagged", (F.col("score") >= F.col("__limit")).cast("int")).drop("__limit")
+
+
+def betweenness(edges: DataFrame, most_nodes: int = 5000) -> DataFrame:
+    """(id, betweenness): shares of directed shortest paths through a node, over (n - 1) (n - 2); 0 for all in graphs of more nodes.
+
+    By its definition only for small graphs: the arcs of one (bounded by the limit) are broadcast, and the sources, each a
+    search, are spread over the tasks.
+    """
+    ids = nodes(edges)
+    n = ids.count()
+    if n > most_nodes or n < 3:
+        return ids.withColumn("betweenness", F.lit(0.0))
+    follow: dict = {}
+    for r in edges.select("src", "dst").distinct().where("src <> dst").toLocalIterator():
+        follow.setdefault(r.src, []).append(r.dst)
+    shared = edges.sparkSession.sparkContext.broadcast(follow)
+
+    def run(batches):
+        import pandas as pd
+
+        total: dict = {}
+        for pdf in batches:
+            for source in pdf["id"]:
+                for node, share in _dependencies(shared.value, source).items():
+                    total[node] = total.get(node, 0.0) + share
+        yield pd.DataFrame({"id": list(total), "d": list(total.values())})
+
+    kind = dict(ids.dtypes)["id"]
+    parts = ids.repartition("id").mapInPandas(run, f"id {kind}, d double")
+    through = parts.groupBy("id").agg(F.sum("d").alias("d"))
+    return ids.join(through, "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) / ((n - 1) * (n - 2))).alias("betweenness"))
+
+
+def _dependencies(follow: dict, source) -> dict:
+    """What each node gives to the shortest paths from one source: a search by levels, then shares handed back from the farthest."""
+    level, paths, frontier, order = {source: 0}, {source: 1}, [source], []
+    while frontier:
+        order.append(frontier)
+        ahead = []
+        for v in frontier:
+            for w in follow.get(v, ()):
+                if w not in level:
+                    level[w] = level[v] + 1
+                    paths[w] = 0
+                    ahead.append(w)
+                if level[w] == level[v] + 1:
+                    paths[w] += paths[v]
+        frontier = ahead
+    share: dict = {}
+    for nodes_at in reversed(order):
+        for v in nodes_at:
+            for w in follow.get(v, ()):
+                if level[w] == level[v] + 1:
+                    share[v] = share.get(v, 0.0) + paths[v] / paths[w] * (1 + share.get(w, 0.0))
+    share.pop(source, None)
+    return share
+
+
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """One row: weakly connected components and the size of the largest."""
+    each = weakly_connected(edges).groupBy("component").agg(F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+
+
+def valid_observation(n: Column, ends: Column) -> Column:
+    """Whether all node numbers of an observation's edges are below its number of nodes, and none is negative."""
+    return F.forall(ends, lambda i: (i >= 0) & (i < n))
+
+
+def unbatched(batch: DataFrame, starts: DataFrame) -> DataFrame:
+    """(graph, node, first) of batched rows (at): each row's graph and its number there, from each graph's first number and size.
+
+    Graphs are ranges laid end to end; a row finds its graph by equality of numbers, as each range lists its own.
+    """
+    ranges = starts.select("graph", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("at"))
+    return batch.join(ranges, "at").select("graph", (F.col("at") - F.col("first")).alias("node"), (F.col("at") == F.col("first")).alias("is_first"))

@@ -73,7 +73,7 @@ _BFS_SQL = "both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst,
 @query(
     "bfs_distance_to_fraud",
     f"""WITH RECURSIVE {G}, {_BFS_SQL}, seeds AS (SELECT src AS id FROM edges WHERE fraud = 1 UNION SELECT dst FROM edges WHERE fraud = 1),
-r AS (SELECT id, 0 AS distance FROM seeds UNION SELECT b, distance + 1 FROM r JOIN both_ways ON a = id WHERE distance < 6)
+r AS (SELECT id, 0 AS distance FROM seeds UNION SELECT b, distance + 1 FROM r JOIN both_ways ON a = id WHERE distance < 12)
 SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY id""",
 )
 def bfs_distance_to_fraud(spark, sf_dir):
@@ -268,3 +268,102 @@ def edge_feature_vector(spark, sf_dir):
     v = e.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", F.concat("v_src", "v_dst", F.array(F.log1p("amount"), F.col("step") / 1000)).alias("v"))
     weighted = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return v.select("src", "dst", rounded(weighted, 4).alias("checksum"), F.size("v").cast("long").alias("size"))
+
+
+@query(
+    "weakly_connected_fraud",
+    f"""WITH RECURSIVE {G}, f AS (SELECT src, dst FROM edges WHERE fraud = 1), w AS (SELECT src AS a, dst AS b FROM f UNION SELECT dst, src FROM f), r AS (SELECT a AS id, a AS c FROM w UNION SELECT b, c FROM r JOIN w ON a = id) SELECT id, min(c) AS component FROM r GROUP BY id""",
+)
+def weakly_connected_fraud(spark, sf_dir):
+    """Components of the fraud edges alone, of which there are many."""
+    return graph.weakly_connected(edges(spark, sf_dir).where("fraud = 1"))
+
+
+@query("component_sizes", f"WITH RECURSIVE {G}, f AS (SELECT src, dst FROM edges WHERE fraud = 1), w AS (SELECT src AS a, dst AS b FROM f UNION SELECT dst, src FROM f), r AS (SELECT a AS id, a AS c FROM w UNION SELECT b, c FROM r JOIN w ON a = id), m AS (SELECT id, min(c) AS c FROM r GROUP BY id), s AS (SELECT c, count(*) AS n FROM m GROUP BY c) SELECT count(*) AS components, max(n) AS largest FROM s")
+def component_sizes(spark, sf_dir):
+    return graph.component_sizes(edges(spark, sf_dir).where("fraud = 1"))
+
+
+@query(
+    "k_hop_subgraph_capped",
+    f"""WITH {G}, {_BFS_SQL}, sd AS (SELECT DISTINCT src AS seed FROM edges WHERE fraud = 1), h0 AS (SELECT seed, seed AS id, 0 AS d FROM sd), h1 AS (SELECT DISTINCT seed, b AS id, 1 AS d FROM h0 JOIN both_ways ON a = id WHERE b <> seed), k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY d, id) AS r FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1)),
+m AS (SELECT seed, id FROM k WHERE r <= 6) SELECT x.seed, e.src, e.dst FROM m x JOIN edges e ON e.src = x.id JOIN m y ON y.seed = x.seed AND y.id = e.dst""",
+)
+def k_hop_subgraph_capped(spark, sf_dir):
+    """Payers of fraud with their nearest five nodes."""
+    e = graph.cut(edges(spark, sf_dir))
+    seeds = e.where("fraud = 1").select(F.col("src").alias("seed"), F.col("src").alias("id"))
+    return graph.capped_subgraphs(e, seeds, 1, 6)
+
+
+@query(
+    "fraud_subgraphs",
+    f"""WITH {G}, {_BFS_SQL}, fe AS (SELECT src, dst FROM edges WHERE fraud = 1), st AS (SELECT src, dst, src AS id FROM fe UNION SELECT src, dst, dst FROM fe), nb AS (SELECT * FROM st UNION SELECT st.src, st.dst, b FROM st JOIN both_ways ON a = id), z AS (SELECT src, dst, count(*) AS nodes FROM nb GROUP BY 1, 2 HAVING count(*) BETWEEN 3 AND 500)
+SELECT z.src, z.dst, any_value(z.nodes) AS nodes, count(*) AS edges FROM z JOIN nb x ON x.src = z.src AND x.dst = z.dst JOIN edges e ON e.src = x.id JOIN nb y ON y.src = z.src AND y.dst = z.dst AND y.id = e.dst GROUP BY z.src, z.dst""",
+)
+def fraud_subgraphs(spark, sf_dir):
+    return graph.fraud_subgraphs(graph.cut(edges(spark, sf_dir)))
+
+
+@query("betweenness")
+def betweenness(spark, sf_dir):
+    """Of a sparse directed graph of customers: each points to the customers seven times its number on, and to one of its nation."""
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = c.agg(F.count("*").alias("n"))
+    to = F.explode(F.array(F.col("c_custkey") * 7 + 3, F.col("c_custkey") * 3 + F.col("c_nationkey")))
+    arcs = c.join(F.broadcast(n)).select(F.col("c_custkey").alias("src"), "n", to.alias("t")).select("src", (F.col("t") % F.col("n")).alias("dst"))
+    return graph.betweenness(arcs).select("id", rounded(F.col("betweenness")).alias("betweenness"))
+
+
+@query("pagerank_anomaly")
+def pagerank_anomaly(spark, sf_dir):
+    """Ranks by amounts paid, with anomaly scores, the top tenth flagged."""
+    out = graph.flagged_above(graph.cut(graph.weighted_pagerank(edges(spark, sf_dir), weight="amount")), 0.9)
+    return out.select("id", rounded(F.col("rank"), 8).alias("rank"), rounded(F.col("score"), 8).alias("score"), "flagged")
+
+
+@query("allowed_nodes", f"WITH {G} SELECT src, dst FROM edges WHERE src IN (SELECT 'C' || c_custkey FROM customer WHERE c_acctbal > 1000)")
+def allowed_nodes(spark, sf_dir):
+    allowed = load(spark, sf_dir, "customer").where("c_acctbal > 1000").select(F.concat(F.lit("C"), "c_custkey").alias("src"))
+    return edges(spark, sf_dir).join(allowed, "src", "left_semi").select("src", "dst")
+
+
+@query("attach_processed_features", "SELECT o_orderkey, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
+def attach_processed_features(spark, sf_dir):
+    """Rows with features of a table whose keys are numbers written as text, some with a trailing .0; rows without a match stay."""
+    from ledgerloom.sources.readers import transaction_id
+
+    written_as = F.when(F.col("c_custkey") % 4 == 0, F.concat("c_custkey", F.lit(".0"))).otherwise(F.col("c_custkey").cast("string"))
+    features = load(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(transaction_id(written_as).alias("key"), "c_acctbal")
+    return load(spark, sf_dir, "orders").withColumn("key", transaction_id(F.col("o_custkey"))).join(features, "key", "left").select("o_orderkey", "c_acctbal")
+
+
+@query("validate_graph_obs", "SELECT conv_id, count(*) AS n, count(*) > 2 AND max(turn) < count(*) AND min(turn) >= 0 AS valid FROM conversations GROUP BY conv_id")
+def validate_graph_obs(spark, sf_dir):
+    """Turns as nodes, their numbers as edge ends, and node 2 as one more end."""
+    g = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.concat(F.collect_list("turn"), F.array(F.lit(2).cast("bigint"))).alias("ends"))
+    return g.select("conv_id", "n", graph.valid_observation(F.col("n"), F.col("ends")).alias("valid"))
+
+
+@query("unbatch_graphs", "WITH g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id AS graph, node, node = 0 AS is_first FROM (SELECT conv_id, unnest(range(n)) AS node FROM g)")
+def unbatch_graphs(spark, sf_dir):
+    from ledgerloom.plans.observations import batch_graphs
+
+    starts = batch_graphs(spark, sf_dir).select(F.col("conv_id").alias("graph"), F.col("first_node").alias("first"), "n")
+    rows = starts.agg(F.sum("n").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("at"))
+    return graph.unbatched(rows, starts)
+
+
+@query(
+    "edge_temporal_features",
+    f"WITH {G} SELECT src, dst, step - min(step) OVER (PARTITION BY src) AS delta, CAST((step % 24 + 24) % 24 BETWEEN 9 AND 16 AS INTEGER) AS business, round(sin(2 * pi() * ((step % 24 + 24) % 24) / 24), 6) AS hour_sin, round(cos(2 * pi() * ((step % 24 + 24) % 24) / 24), 6) AS hour_cos, round(sin(2 * pi() * ((step % 7 + 7) % 7) / 7), 6) AS day_sin, round(cos(2 * pi() * ((step % 7 + 7) % 7) / 7), 6) AS day_cos FROM edges",
+)
+def edge_temporal_features(spark, sf_dir):
+    """Time since an account's first edge (joined from an aggregate), business hours, and phases of hour and weekday."""
+    from ledgerloom.operators.features import cyclical
+
+    e = edges(spark, sf_dir)
+    hour, day = F.pmod("step", F.lit(24)), F.pmod("step", F.lit(7))
+    (hs, hc), (ds, dc) = cyclical(hour, 24), cyclical(day, 7)
+    first = e.groupBy("src").agg(F.min("step").alias("first"))
+    return e.join(first, "src").select("src", "dst", (F.col("step") - F.col("first")).alias("delta"), hour.between(9, 16).cast("int").alias("business"), *[rounded(c).alias(n) for n, c in (("hour_sin", hs), ("hour_cos", hc), ("day_sin", ds), ("day_cos", dc))])
