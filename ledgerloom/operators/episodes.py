@@ -124,3 +124,103 @@ def anomaly_centroid(vectors: DataFrame, id: str, vector: str) -> DataFrame:
     mean = long.groupBy("d").agg(F.avg("x").alias("m"))
     far = long.join(F.broadcast(mean), "d").groupBy(id).agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("m"), 2))).alias("distance"))
     return far.join(F.broadcast(far.agg(F.max("distance").alias("most")))).select(id, (F.col("distance") / (F.col("most") + 1e-8)).alias("score"))
+
+
+def two_places(x: Column) -> Column:
+    """Two decimals, halves to even, as text; 0.00 for what is no finite number."""
+    sane = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+    return F.replace(F.format_number(sane, 2), F.lit(","), F.lit(""))
+
+
+def anonymous(id: Column) -> Column:
+    return F.substring(F.sha2(id.cast("string"), 256), 1, 8)
+
+
+def serialized(steps: DataFrame, episode: str, *, most_nodes: int = 50, most_edges: int = 100) -> DataFrame:
+    """(episode, text) of steps (episode, step, node, kind, risk, balance, action, is_flag, amount): five sections that name no node and no label.
+
+    Nodes are those visited first, with hashed ids, kind, risk and balance on a log scale; edges lead from each step's node to the next
+    one's, with the amount and the step; both are listed by the digest of what they show beside ids. Actions are counted, times and
+    amounts summed up.
+    """
+    w = W.partitionBy(episode).orderBy("step")
+    log = lambda c: F.signum(c) * F.log1p(F.abs(c))
+    shown = F.concat(F.lit("type:"), "kind", F.lit(" risk:"), two_places(F.col("risk")), F.lit(" bal:"), two_places(log(F.col("balance"))))
+    first = steps.groupBy(episode, "node").agg(F.min(F.struct("step", shown.alias("shown"))).alias("f")).select(episode, F.col("f.step").alias("step"), "node", F.col("f.shown").alias("shown"))
+    visits = first.withColumn("r", F.row_number().over(w))
+    listed = lambda text: F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= F.lit(most_nodes if text == "n" else most_edges), F.struct(F.sha2("shown", 256).alias("h"), F.concat(F.lit(f"{text}:"), "who", F.lit(" "), "shown").alias("t"))))), lambda x: x["t"])
+    nodes = visits.withColumn("who", anonymous(F.col("node"))).groupBy(episode).agg(F.array_join(listed("n"), " | ").alias("nodes"), F.count("*").alias("unique"))
+    edges = steps.withColumn("to", F.lead("node").over(w)).where("`to` IS NOT NULL").withColumn("r", F.row_number().over(w))
+    edges = edges.select(episode, "r", "step", "amount", F.concat(anonymous(F.col("node")), F.lit("->"), anonymous(F.col("to"))).alias("who"), F.concat(F.lit("amt:"), two_places(log(F.col("amount"))), F.lit(" t:"), "step").alias("shown"))
+    span = F.max("step") - F.min("step") + 1
+    times = F.when(F.count("*") > 1, F.concat(F.lit("velocity:"), two_places(F.count("*") / span), F.lit(" ")))
+    amounts = F.concat(F.lit("amt_mean:"), two_places(F.avg("amount")), F.lit(" amt_std:"), two_places(F.stddev_pop("amount")), F.lit(" amt_max:"), two_places(F.max("amount")))
+    edges = edges.groupBy(episode).agg(F.array_join(listed("e"), " | ").alias("edges"), F.concat(F.coalesce(times, F.lit("")), amounts).alias("temporal"))
+    counts = steps.groupBy(episode, "action").agg(F.count("*").alias("n"), F.sum(F.col("is_flag").cast("long")).alias("flags"))
+    actions = counts.groupBy(episode).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("action", "n"))), lambda x: F.concat(F.lit("a"), x["action"], F.lit(":"), x["n"])), " ").alias("actions"), F.sum("n").alias("total"), F.sum("flags").alias("flags"))
+    rows = actions.join(nodes, episode).join(edges, episode, "left")
+    parts = [
+        F.concat(F.lit("[META] episode_length:"), "total", F.lit(" unique_nodes:"), "unique", F.lit(" flags_used:"), "flags"),
+        F.concat(F.lit("[NODES] "), "nodes"),
+        F.concat(F.lit("[EDGES] "), F.coalesce("edges", F.lit("empty"))),
+        F.concat(F.lit("[ACTIONS] "), "actions", F.lit(" total:"), "total"),
+        F.concat(F.lit("[TEMPORAL] "), "temporal"),
+    ]
+    return rows.select(episode, F.concat_ws(" ", *parts).alias("text"))
+
+
+def episode_text(steps: DataFrame, episode: str, *, most_flags: int = 20, most_steps: int = 30, most_words: int = 8000) -> DataFrame:
+    """(episode, text) of steps (episode, step, node, action, is_flag, fraud, confidence, reward): flags, first steps and metrics, cut after so many words."""
+    w = W.partitionBy(episode).orderBy("step")
+    places = lambda x, n: F.replace(F.format_number(x, n), F.lit(","), F.lit(""))
+    ranked = steps.withColumn("r", F.row_number().over(w)).withColumn("f", F.sum(F.col("is_flag").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    flag = F.concat(F.lit("- TXN node="), "node", F.lit(", confidence="), places(F.col("confidence"), 2), F.lit(", is_fraud="), F.initcap(F.col("fraud").cast("string")))
+    step = F.concat(F.lit("- STEP "), "step", F.lit(": "), "action", F.lit(" node="), "node", F.lit(" reward="), places(F.col("reward"), 3))
+    in_order = lambda c, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("step", text.alias("t"))))), lambda x: x["t"]), "\n")
+    count = lambda c: F.sum(c.cast("long"))
+    is_flag, fraud = F.col("is_flag"), F.col("fraud")
+    rows = ranked.groupBy(episode).agg(
+        in_order(is_flag & (F.col("f") <= most_flags), flag).alias("flags"),
+        in_order(F.col("r") <= most_steps, step).alias("steps"),
+        F.count("*").alias("n"),
+        count(is_flag).alias("flagged"),
+        count(is_flag & fraud).alias("tp"),
+        count(is_flag & ~fraud).alias("fp"),
+        count(~is_flag & fraud).alias("fn"),
+    )
+    p, r = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    parts = [
+        F.concat(F.lit("[EPISODE id="), F.col(episode), F.lit("]")),
+        F.when(F.col("flagged") > 0, F.concat(F.lit("\n[FLAGGED_TRANSACTIONS count="), "flagged", F.lit("]\n"), "flags")),
+        F.concat(F.lit("\n[AGENT_ACTIONS count="), "n", F.lit("]\n"), "steps"),
+        F.lit("\n[METRICS]"),
+        *[F.concat(F.lit(f"{k}="), places(v, 3)) for k, v in (("precision", p), ("recall", r), ("f1", f1))],
+        F.concat(F.lit("true_positives="), "tp"),
+        F.concat(F.lit("false_positives="), "fp"),
+    ]
+    text = F.concat_ws("\n", *parts)
+    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    cut = F.concat(F.array_join(F.slice(words, 1, most_words), " "), F.lit("\n[TRUNCATED]"))
+    return rows.select(episode, F.when(F.size(words) > most_words, cut).otherwise(text).alias("text"))
+
+
+def median_low(values: Column) -> Column:
+    """The lower of the two middle values."""
+    return F.get(F.array_sort(values), F.floor((F.size(values) - 1) / 2).cast("int"))
+
+
+def anomaly_pairwise(vectors: DataFrame, id: str, vector: str, blocks: int = 8) -> DataFrame:
+    """(id, score): each vector's mean squared distance to all others, scaled to 0 to 1 over all.
+
+    The sum over others follows from the sum of vectors and of squared norms, so nothing is compared in pairs:
+    n |x|^2 + sum |y|^2 - 2 x . sum y.
+    """
+    x = F.col(vector).cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    rows = vectors.select(id, x.alias("x"), dot(x, x).alias("q"))
+    sums = rows.select(F.posexplode("x").alias("d", "v")).groupBy("d").agg(F.sum("v").alias("v")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda e: e["v"]).alias("s"))
+    totals = rows.agg(F.count("*").alias("n"), F.sum("q").alias("t")).join(sums)  # one row
+    each = rows.join(F.broadcast(totals)).select(id, ((F.col("n") * F.col("q") + F.col("t") - 2 * dot(F.col("x"), F.col("s"))) / F.greatest(F.col("n") - 1, F.lit(1))).alias("m"))
+    ends = each.agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    return each.join(F.broadcast(ends)).select(id, ((F.col("m") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8)).alias("score"))

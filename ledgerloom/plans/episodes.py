@@ -203,3 +203,51 @@ def cvar(spark, sf_dir):
 @query("reward_combination", "SELECT event_id, round((exp(2 * (least(greatest(value, 0), 100) / 10)) - 1) / (exp(2 * (least(greatest(value, 0), 100) / 10)) + 1), 6) AS squashed FROM events")
 def reward_combination(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", rounded(F.tanh(F.least(F.greatest("value", F.lit(0.0)), F.lit(100.0)) / 10)).alias("squashed"))
+
+
+def _walks(spark, sf_dir):
+    """Users' events as walks: an event's type is the node, its value risk, balance and amount."""
+    v = F.col("value")
+    return steps(spark, sf_dir).select(
+        "user_id", "step", F.col("event_type").alias("node"), F.when(F.col("event_type") == "purchase", "merchant").otherwise("customer").alias("kind"), F.lit(0.25).alias("risk"), F.length("event_type").cast("double").alias("balance"),
+        (F.col("event_id") % 4).alias("action"), (v >= 60).alias("is_flag"), v.alias("amount"), (F.col("event_type") == "purchase").alias("fraud"), F.lit(0.75).alias("confidence"), (v / 100).alias("reward"),
+    )
+
+
+_ANON = "left(sha256({x}), 8)"
+
+
+@query(
+    "episode_sections",
+    f"""WITH {E}, f AS (SELECT user_id, event_type AS node, min(step) AS step FROM e GROUP BY 1, 2), n AS (SELECT user_id, node, row_number() OVER (PARTITION BY user_id ORDER BY step) AS r, 'type:' || CASE node WHEN 'purchase' THEN 'merchant' ELSE 'customer' END || ' risk:0.25 bal:' || printf('%.2f', ln(1 + length(node))) AS shown FROM f),
+ns AS (SELECT user_id, string_agg('n:' || {_ANON.format(x='node')} || ' ' || shown, ' | ' ORDER BY sha256(shown), 'n:' || {_ANON.format(x='node')} || ' ' || shown) FILTER (r <= 50) AS nodes, count(*) AS u FROM n GROUP BY user_id),
+l AS (SELECT user_id, step, value, event_type AS node, lead(event_type) OVER (PARTITION BY user_id ORDER BY step) AS nxt FROM e), ed AS (SELECT user_id, step, value, row_number() OVER (PARTITION BY user_id ORDER BY step) AS r, {_ANON.format(x='node')} || '->' || {_ANON.format(x='nxt')} AS who, 'amt:' || printf('%.2f', ln(1 + value)) || ' t:' || step AS shown FROM l WHERE nxt IS NOT NULL),
+es AS (SELECT user_id, string_agg('e:' || who || ' ' || shown, ' | ' ORDER BY sha256(shown), 'e:' || who || ' ' || shown) FILTER (r <= 100) AS edges, CASE WHEN count(*) > 1 THEN 'velocity:' || printf('%.2f', count(*) / (max(step) - min(step) + 1)) || ' ' ELSE '' END || 'amt_mean:' || printf('%.2f', avg(value) + 1e-9) || ' amt_std:' || printf('%.2f', stddev_pop(value)) || ' amt_max:' || printf('%.2f', max(value)) AS t FROM ed GROUP BY user_id),
+a AS (SELECT user_id, event_id % 4 AS a, count(*) AS n, count(*) FILTER (value >= 60) AS f FROM e GROUP BY 1, 2), ac AS (SELECT user_id, string_agg('a' || a || ':' || n, ' ' ORDER BY a) AS actions, sum(n) AS total, sum(f) AS flags FROM a GROUP BY user_id)
+SELECT user_id, md5(concat_ws(' ', '[META] episode_length:' || total || ' unique_nodes:' || u || ' flags_used:' || flags, '[NODES] ' || nodes, '[EDGES] ' || coalesce(edges, 'empty'), '[ACTIONS] ' || actions || ' total:' || total)) AS h, regexp_extract(t, 'amt_max:.*') AS top FROM ac JOIN ns USING (user_id) LEFT JOIN es USING (user_id)""",
+)
+def episode_sections(spark, sf_dir):
+    out = episodes.serialized(_walks(spark, sf_dir), "user_id")
+    return out.select("user_id", F.md5(F.regexp_replace("text", r" \[TEMPORAL\].*", "")).alias("h"), F.when(F.contains("text", F.lit("amt_max")), F.regexp_extract("text", "amt_max:.*", 0)).alias("top"))
+
+
+@query("episode_text")
+def episode_text(spark, sf_dir):
+    return episodes.episode_text(_walks(spark, sf_dir), "user_id")
+
+
+@query("median_of_quantiles", f"WITH {_V} SELECT vec_id, round(list_sort(x)[CAST(floor((len(x) - 1) / 2) AS INTEGER) + 1], 5) AS median FROM v")
+def median_of_quantiles(spark, sf_dir):
+    return load(spark, sf_dir, "embeddings").select("vec_id", rounded(episodes.median_low(F.col("embedding").cast("array<double>")), 5).alias("median"))
+
+
+@query("anomaly_pairwise", f"WITH {_V}, p AS (SELECT a.vec_id, sum(pow(list_distance(a.x, b.x), 2)) / ((SELECT count(*) FROM v) - 1) AS m FROM v a, v b GROUP BY a.vec_id) SELECT vec_id, round((m - (SELECT min(m) FROM p)) / ((SELECT max(m) FROM p) - (SELECT min(m) FROM p) + 1e-8), 5) AS score FROM p")
+def anomaly_pairwise(spark, sf_dir):
+    return _r(episodes.anomaly_pairwise(load(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", places=5)
+
+
+@query("priority_queue_typed", "WITH q AS (SELECT user_id % 10 AS agent, event_id, value, row_number() OVER (PARTITION BY user_id % 10 ORDER BY value DESC, event_id) AS position FROM events WHERE event_type = 'purchase' AND event_id % 10 <> user_id % 10) SELECT agent, event_id, CAST(position AS INTEGER) AS position FROM q WHERE position <= 5")
+def priority_queue_typed(spark, sf_dir):
+    """Messages of one type, none to its own sender."""
+    e = load(spark, sf_dir, "events").where("event_type = 'purchase'").select((F.col("user_id") % 10).alias("agent"), (F.col("event_id") % 10).alias("sender"), "event_id", "value")
+    return episodes.priority_queue(e.where("sender <> agent"), "agent", "value", "event_id", 5).select("agent", "event_id", "position")

@@ -59,7 +59,7 @@ def stream_running_stats(spark, sf_dir):
     at = _folder(spark, "in")
     source.write.parquet(at)
     rows = spark.readStream.schema(source.schema).parquet(at)
-    out = stream.run_once(stream.running_stats(rows, "event_type", "value"), f"stats_{uuid.uuid4().hex}", "complete", _folder(spark, "state"))
+    out = stream.run_once(stream.running_stats(rows, "event_type", "value"), _folder(spark, "stats"), "complete", _folder(spark, "state"))
     return out.select("event_type", "n", rounded(F.col("total"), 3).alias("total"))
 
 
@@ -69,5 +69,99 @@ def stream_exact_dedup(spark, sf_dir):
     at = _folder(spark, "in")
     source.write.parquet(at)
     rows = spark.readStream.schema(source.schema).parquet(at)
-    out = stream.run_once(stream.exact_dedup(rows, "text", "at").select("doc_id"), f"dedup_{uuid.uuid4().hex}", "append", _folder(spark, "state"))
+    out = stream.run_once(stream.exact_dedup(rows, "text", "at").select("doc_id"), _folder(spark, "unique"), "append", _folder(spark, "state"))
     return out.agg(F.count("*").alias("n"))
+
+
+def _stream(spark, df, files: int = 4):
+    """A stream over a few files, one a micro-batch."""
+    at = _folder(spark, "in")
+    df.repartition(files).write.parquet(at)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+@query("stream_scrub", r"SELECT doc_id, regexp_matches(text, '@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS has_email FROM documents WHERE text IS NOT NULL")
+def stream_scrub(spark, sf_dir):
+    """Records redacted as they come; whether an email was found is compared."""
+    rows = _stream(spark, load(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = stream.run_once(stream.scrubbed(rows, "doc_id", "text"), _folder(spark, "scrubbed"), "append", _folder(spark, "state"))
+    return out.select("doc_id", F.array_contains("pii_types", "EMAIL").alias("has_email"))
+
+
+@query("stream_episodes", "SELECT user_id, count(*) AS steps, round(sum(value), 3) AS total, count(*) FILTER (event_type = 'purchase') AS hits FROM events GROUP BY user_id")
+def stream_episodes(spark, sf_dir):
+    """Users' events as episodes over several micro-batches; each user's last row in the last file says done."""
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", "value", (F.col("event_type") == "purchase").cast("int").alias("hit"))
+    last = e.groupBy("user_id").agg(F.max("event_id").alias("event_id")).withColumn("done", F.lit(True))
+    e = e.join(last, ["user_id", "event_id"], "left").fillna(False, ["done"])
+    at = _folder(spark, "episodes")
+    e.where("NOT done").repartition(2).write.parquet(f"{at}/a")
+    e.where("done").coalesce(1).write.parquet(f"{at}/b")
+    rows = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(at)
+    out = stream.run_once(stream.finished_episodes(rows, "user_id", "value", "hit", "done"), _folder(spark, "finished"), "append", _folder(spark, "state"))
+    return out.select("user_id", "steps", rounded(F.col("total"), 3).alias("total"), "hits")
+
+
+@query(
+    "stream_drift",
+    """WITH o AS (SELECT user_id % 5 AS k, event_id, value, event_id % 17 AS j FROM events), d AS (SELECT k, event_id, value - lag(value) OVER w AS a, j - lag(j) OVER w AS b, row_number() OVER (PARTITION BY k ORDER BY event_id DESC) AS r FROM o WINDOW w AS (PARTITION BY k ORDER BY event_id)),
+c AS (SELECT k, count(a) AS n, covar_pop(a, b) AS c, stddev_pop(a) AS x, stddev_pop(b) AS y FROM d WHERE r <= 100 GROUP BY k) SELECT k, round(CASE WHEN n >= 10 AND x > 1e-6 AND y > 1e-6 THEN c / (x * y) END, 5) AS correlation FROM c""",
+)
+def stream_drift(spark, sf_dir):
+    """Five series; what is known after all has come is the state of all rows in order."""
+    e = load(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("k"), "event_id", "value", (F.col("event_id") % 17).cast("double").alias("j"))
+    at = _folder(spark, "series")
+    e.coalesce(1).write.parquet(at)
+    rows = spark.readStream.schema(e.schema).parquet(at)
+    out = stream.run_once(stream.drift_alarms(rows, "k", "event_id", "value", "j"), _folder(spark, "drift"), "update", _folder(spark, "state"))
+    return out.select("k", rounded(F.col("correlation"), 5).alias("correlation"))
+
+
+@query("stream_jsonl_shuffled", "SELECT doc_id, lang FROM documents")
+def stream_jsonl_shuffled(spark, sf_dir):
+    """JSON lines as a stream, each micro-batch dealt out anew: the same rows, whatever their order."""
+    at = _folder(spark, "lines")
+    source = load(spark, sf_dir, "documents").select("doc_id", "lang")
+    source.repartition(3).write.json(at)
+    rows = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).json(at)
+    return stream.run_once(stream.shuffled(rows), _folder(spark, "shuffled"), "append", _folder(spark, "state"))
+
+
+@query("graph_cache", "SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1)) AS sources, 'star' AS name FROM (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+def graph_cache(spark, sf_dir):
+    """A graph and its report, written and read back."""
+    at = _folder(spark, "graph")
+    pairs = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    writers.to_graph(load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct(), pairs, at, {"name": "star"})
+    vertices, edges, meta = writers.read_graph(spark, at)
+    return edges.agg(F.count("*").alias("edges")).join(vertices.agg(F.count("*").alias("sources"))).withColumn("name", F.lit(meta["name"]))
+
+
+@query("embedding_cache", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 0.0 ELSE round(list_sum(CAST(embedding AS DOUBLE[])), 4) END AS s FROM embeddings")
+def embedding_cache(spark, sf_dir):
+    """Vectors of one size, those that are missing as zeros, written and read back."""
+    at = _folder(spark, "vectors")
+    e = load(spark, sf_dir, "embeddings")
+    size = F.size("embedding")
+    n = e.agg(F.max(size).alias("n")).first().n
+    writers.to_embeddings(e.select("vec_id", F.when(F.col("vec_id") % 4 > 0, F.col("embedding")).alias("embedding")), "vec_id", "embedding", n, at)
+    return spark.read.parquet(at).select("vec_id", rounded(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias("s"))
+
+
+@query("result_cache", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def result_cache(spark, sf_dir):
+    """A result made once: the second call reads what the first has written."""
+    at = _folder(spark, "results")
+    make = lambda: load(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    writers.cached(spark, at, make)
+    return writers.cached(spark, at, lambda: make().where("false")).select("lang", "n")
+
+
+@query("split_report", "SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def split_report(spark, sf_dir):
+    """Counts of an export's splits as a JSON report, written and read back."""
+    at = _folder(spark, "report")
+    docs = load(spark, sf_dir, "documents").withColumn("split", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train"))
+    writers.to_report(spark, writers.split_stats(docs), at)
+    found = writers.read_report(spark, at)
+    return spark.createDataFrame([(k, v["n"], v["chars"]) for k, v in found.items()], "split string, n bigint, chars bigint")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +38,45 @@ def to_markdown(df: DataFrame, most_rows: int = 200) -> str:
     rows = df.limit(most_rows).collect()
     lines = [f"| {' | '.join(names)} |", f"|{'---|' * len(names)}"] + [f"| {' | '.join(str(r[n]) for n in names)} |" for r in rows]
     return "\n".join(lines)
+
+
+def to_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A small report as one JSON text, by Spark's own writer, so any store will do."""
+    spark.createDataFrame([(json.dumps(report, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first().value)
+
+
+def split_stats(df: DataFrame, split: str = "split") -> dict:
+    """Rows and characters by split, and the splits' shares: few rows, for the report beside an export."""
+    rows = df.groupBy(split).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    total = sum(r.n for r in rows)
+    return {r[split]: {"n": r.n, "chars": r.chars, "share": r.n / total} for r in rows}
+
+
+def to_graph(vertices: DataFrame, edges: DataFrame, path: str, meta: dict) -> None:
+    """Vertices, edges and a report in one folder; the report is written last, so a folder with it is whole."""
+    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    to_report(vertices.sparkSession, meta, f"{path}/meta")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"), read_report(spark, f"{path}/meta")
+
+
+def to_embeddings(df: DataFrame, id: str, vector: str, size: int, path: str) -> None:
+    """Ids and vectors of one size; what is missing or of another size is a vector of zeros."""
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), size)
+    good = F.col(vector).isNotNull() & (F.size(vector) == size)
+    df.select(id, F.when(good, F.col(vector).cast("array<float>")).otherwise(zeros).alias(vector)).write.mode("overwrite").parquet(path)
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What is written at ``path``, made and written first if it isn't there yet (a folder counts once its writer has finished)."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").json(path)
+    return spark.read.json(path)

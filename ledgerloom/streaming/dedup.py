@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,78 @@ def running_stats(stream: DataFrame, key: str, value: str) -> DataFrame:
     return stream.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process what is there and return the result table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def scrubbed(stream: DataFrame, id: str, text: str) -> DataFrame:
+    """Redacted records, one by one: no state."""
+    from ledgerloom.operators import scrub
+
+    return scrub.scrub(stream, id, text)
+
+
+def shuffled(stream: DataFrame, seed: int = 7) -> DataFrame:
+    """Records of a micro-batch in random order of a stated seed: the batch is the buffer, dealt out and sorted by a hash in every task."""
+    order = F.xxhash64(F.lit(seed), F.to_json(F.struct("*")))
+    return stream.withColumn("__h", order).repartition("__h").drop("__h")
+
+
+def finished_episodes(stream: DataFrame, key: str, reward: str, hit: str, done: str) -> DataFrame:
+    """(key, steps, total, hits) of each episode once a row says that it is done; sums are kept as state until then, and dropped after."""
+    kind = dict(stream.dtypes)[key]
+
+    def step(group, parts, state):
+        steps, total, hits = state.get if state.exists else (0, 0.0, 0)
+        over = False
+        for pdf in parts:
+            steps, total, hits = steps + len(pdf), total + float(pdf[reward].sum()), hits + int(pdf[hit].sum())
+            over = over or bool(pdf[done].any())
+        if over:
+            state.remove()
+            yield pd.DataFrame({key: [group[0]], "steps": [steps], "total": [total], "hits": [hits]})
+        else:
+            state.update((steps, total, hits))
+
+    rows = stream.select(key, reward, hit, done).groupBy(key)
+    return rows.applyInPandasWithState(step, f"{key} {kind}, steps bigint, total double, hits bigint", "steps bigint, total double, hits bigint", "append", "NoTimeout")
+
+
+def drift_alarms(stream: DataFrame, key: str, order: str, a: str, b: str, window: int = 100, least: int = 10, limit: float = -0.3) -> DataFrame:
+    """(key, n, correlation, alarm) after each micro-batch: of the differences of two series over the last ``window`` rows, which are the state."""
+    import numpy as np
+
+    kind = dict(stream.dtypes)[key]
+
+    def step(group, parts, state):
+        kept = json.loads(state.get[0]) if state.exists else []
+        for pdf in parts:
+            kept += pdf[[order, a, b]].astype(float).values.tolist()
+        kept = sorted(kept)[-window - 1 :]
+        state.update((json.dumps(kept),))
+        x, y = np.diff([r[1] for r in kept]), np.diff([r[2] for r in kept])
+        flat = len(x) < least or x.std() <= 1e-6 or y.std() <= 1e-6
+        c = None if flat else float(np.mean((x - x.mean()) * (y - y.mean())) / (x.std() * y.std()))
+        yield pd.DataFrame({key: [group[0]], "n": [len(kept)], "correlation": pd.Series([c], dtype=float), "alarm": [c is not None and c < limit]})
+
+    rows = stream.select(key, order, a, b).groupBy(key)
+    return rows.applyInPandasWithState(step, f"{key} {kind}, n bigint, correlation double, alarm boolean", "rows string", "update", "NoTimeout")
+
+
+def run_once(stream: DataFrame, folder: str, mode: str, checkpoint: str) -> DataFrame:
+    """Process what is there, into Parquet, and return the result table.
+
+    In mode append the sink is Spark's own; else every micro-batch is written beside the others, and the last one is the result
+    (complete) or all of them are (update). Nothing is gathered on the driver.
+    """
+    spark = stream.sparkSession
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", folder).start()
+    else:
+        q = writer.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{folder}/batch={k}")).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if q.exception():
+        raise q.exception()
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(folder)
+    batches = spark.read.schema(stream.schema).option("basePath", folder).parquet(f"{folder}/batch=*")
+    last = batches.agg(F.max("batch").alias("last"))  # one row
+    kept = batches if mode == "update" else batches.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("last")
+    return kept.drop("batch")
