@@ -113,12 +113,19 @@ def prefix_dedup(df: DataFrame, text: str, order: str, n: int = 500) -> DataFram
 
 
 def bucket_pairs(df: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
-    """(a, b, similarity), a < b: pairs whose first ten sorted word shingles have one digest and whose Jaccard similarity reaches ``threshold``."""
-    sets = df.select(F.col(id).alias("id"), T.word_shingles(T.dedup_key_text(F.col(text))).alias("s"))
-    keyed = sets.withColumn("bucket", F.substring(F.md5(F.array_join(F.slice(F.array_sort("s"), 1, 10), "|")), 1, 8))
-    # Equal sets are one row in the join: their pairs follow from the class, however many copies there are.
-    a, b = keyed.select("bucket", F.col("id").alias("a"), F.col("s").alias("sa")), keyed.select("bucket", F.col("id").alias("b"), F.col("s").alias("sb"))
-    return a.join(b, "bucket").where("a < b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(a, b, similarity), a < b: pairs whose first ten sorted word shingles have one digest and whose Jaccard similarity reaches ``threshold``.
+
+    Sets are compared once for each pair of classes of equal sets; pairs of ids follow from the classes, as the operator's
+    definition asks for pairs.
+    """
+    sets = df.select(F.col(id).alias("id"), F.array_sort(T.word_shingles(T.dedup_key_text(F.col(text)))).alias("s"))
+    keyed = cut(sets.select("id", F.sha2(F.array_join("s", "|"), 256).alias("k"), F.substring(F.md5(F.array_join(F.slice("s", 1, 10), "|")), 1, 8).alias("bucket"), "s"))
+    classes = keyed.groupBy("k").agg(F.first("bucket").alias("bucket"), F.first("s").alias("s"))
+    a, b = (classes.select("bucket", F.col("k").alias(f"k{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    similar = a.join(b, "bucket").where("ka <= kb").select("ka", "kb", F.when(F.col("ka") == F.col("kb"), F.when(F.size("sa") > 0, 1.0).otherwise(0.0)).otherwise(T.jaccard(F.col("sa"), F.col("sb"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    x, y = (keyed.select(F.col("k").alias(f"k{c}"), F.col("id").alias(f"i{c}")) for c in "ab")
+    pairs = similar.join(x, "ka").join(y, "kb").where("ka <> kb OR ia < ib")
+    return pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
 
 
 def near_dedup(df: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
@@ -204,23 +211,36 @@ def pack_documents(df: DataFrame, shard: str, order: str, length: str, size: int
     return rows.groupBy(shard).applyInPandas(fold, f"{shard} bigint, {order} bigint, pack bigint")
 
 
-def token_cap(df: DataFrame, order: str, tokens: str, most: int) -> DataFrame:
+def token_cap(df: DataFrame, order: str, tokens: str, most: int, *, in_one_task: int = 1_000_000) -> DataFrame:
     """Rows kept by a running total that must not pass ``most``: a row that doesn't fit is skipped, later ones may still fit.
 
-    A fold over (order, tokens) only. At most ``most`` rows of one token or more can be kept, and a
-    row that fits none of the room left can never be kept later, so partitions are folded in order
-    with the room that earlier ones left.
+    ``order`` is a number that identifies rows. While more than ``in_one_task`` rows are left that might fit, running
+    sums in parallel keep all rows before the first that doesn't; behind it only rows no longer than the room left can be
+    kept. What is then left is folded in order, in one task of bounded size.
     """
+    from ledgerloom.operators.metrics import running_sums
+
+    left, room, kept = cut(df.select(order, tokens).where(F.col(tokens) <= most)), most, None
+    while left.count() > in_one_task:
+        sums = cut(running_sums(left, order, tokens, descending=False))
+        first = sums.where(F.col(f"cum_{tokens}") > room).agg(F.min(order).alias("at")).first().at
+        fits = sums if first is None else sums.where(F.col(order) < first)
+        now = cut(fits.select(order, tokens))
+        kept = now if kept is None else kept.union(now)
+        room -= now.agg(F.coalesce(F.sum(tokens), F.lit(0))).first()[0]
+        left = left.limit(0) if first is None else cut(left.where((F.col(order) > first) & (F.col(tokens) <= room)))
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         used = 0
         for pdf in batches:
             keep = []
             for n in pdf[tokens]:
-                keep.append(used + n <= most)
+                keep.append(used + n <= room)
                 used += n if keep[-1] else 0
             yield pdf[keep]
 
-    return df.select(order, tokens).where(F.col(tokens) <= most).coalesce(1).sortWithinPartitions(order).mapInPandas(fold, df.select(order, tokens).schema)
+    rest = left.coalesce(1).sortWithinPartitions(order).mapInPandas(fold, left.schema)
+    return rest if kept is None else kept.union(rest)
 
 
 def action_text(actions: Column, describe: bool = True) -> Column:

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 def running_sums(df: DataFrame, order: str, *values: str, descending: bool = True, slices: int = 256) -> DataFrame:
     """``df`` (one row for each value of ``order``) with cum_<value>: sums up to and with the row.
 
-    Rows are cut into slices of equal width of the order's range; sums run within a slice, and the
-    totals of earlier slices (a table of ``slices`` rows) are added. Exact whatever the slices hold.
+    Rows are cut into slices of about equal numbers of rows, at approximate percentiles of the order; sums run within a
+    slice, and the totals of earlier slices (a table of ``slices`` rows) are added. Exact whatever the slices hold.
     """
-    bounds = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
-    part = F.least(F.floor((F.col(order) - F.col("__lo")) / width * slices), F.lit(slices - 1)).cast("int")
-    cut = df.join(F.broadcast(bounds)).withColumn("__part", -part if descending else part).drop("__lo", "__hi")
+    shares = F.array(*[F.lit(k / slices) for k in range(1, slices)])
+    bounds = df.agg(F.array_distinct(F.percentile_approx(order, shares, F.lit(10_000))).alias("__bounds"))  # one row
+    part = F.size(F.filter("__bounds", lambda b: b <= F.col(order)))
+    cut = df.join(F.broadcast(bounds)).withColumn("__part", -part if descending else part).drop("__bounds")
     totals = cut.groupBy("__part").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("__part", *[F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__b_{v}") for v in values])

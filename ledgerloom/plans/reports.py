@@ -10,6 +10,7 @@ from ledgerloom.plans.episodes import E, steps
 from ledgerloom.plans.graph import G, edges
 from ledgerloom.plans.ranking import SCORED_SQL, _rounded, scored
 from ledgerloom.plans.registry import query
+from ledgerloom.plans.texts import _PACK
 from ledgerloom.sources.tables import load, rounded
 
 _LAST = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step DESC) AS back FROM e) WHERE back <= {n})"
@@ -96,11 +97,11 @@ def pretokenize_stats(spark, sf_dir):
     return reports.pretokenize_stats(load(spark, sf_dir, "documents"), F.size(T.words(F.col("text"))))
 
 
-@query("packing_stats")
+@query("packing_stats", f"WITH RECURSIVE {_PACK}, p AS (SELECT shard, pack, count(*) AS docs, least(sum(n), 512) AS used FROM f GROUP BY 1, 2) SELECT count(*) AS packs, round(avg(docs), 6) AS docs_per_pack, round(avg(used), 6) AS tokens_per_pack, round(sum(used) / (count(*) * 512), 6) AS efficiency FROM p")
 def packing_stats(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select((F.col("doc_id") % 8).alias("shard"), "doc_id", F.floor(F.length("text") / 4).alias("tokens"))
+    docs = load(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1000).alias("shard"), "doc_id", F.floor(F.length("text") / 4).alias("tokens"))
     packs = corpus.pack_documents(docs, "shard", "doc_id", "tokens").join(docs, ["shard", "doc_id"])
-    return reports.packing_stats(packs, ["shard", "pack"], "tokens", 512)
+    return _rounded(reports.packing_stats(packs, ["shard", "pack"], "tokens", 512), "packs")
 
 
 @query("judge_update_schedule", "SELECT event_id AS episode FROM events WHERE event_id BETWEEN 200 AND 4999 AND event_id % 300 >= 50 AND (event_id - 200) % 100 = 0")

@@ -164,9 +164,12 @@ def clean_general(spark, sf_dir):
 
 @query("clean_by_source")
 def clean_by_source(spark, sf_dir):
+    """A text is cleaned once: lengths and digest leave the chain of replacements together, as one struct, before the filter."""
     kept = F.concat("text", F.lit("\n"), F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES)).cast("int")))
-    cleaned = samples(spark, sf_dir).select("doc_id", "source", T.clean_by_source(kept, F.col("source")).alias("text"), F.length(kept).alias("original_length"))
-    return cleaned.select("doc_id", "source", "original_length", F.length("text").alias("cleaned_length"), F.md5("text").alias("h")).where("cleaned_length >= 50")
+    cleaned = samples(spark, sf_dir).select("doc_id", "source", F.length(kept).alias("original_length"), T.clean_by_source(kept, F.col("source")).alias("text"))
+    once = F.transform(F.array("text"), lambda t: F.struct(F.length(t).alias("n"), F.md5(t).alias("h")))
+    # An exploded array is no projection that a filter could be pushed through.
+    return cleaned.select("doc_id", "source", "original_length", F.inline(once)).where("n >= 50").select("doc_id", "source", "original_length", F.col("n").alias("cleaned_length"), "h")
 
 
 @query("typology_tags", f"WITH {N} SELECT doc_id, {_sql_tags(T.TYPOLOGIES)} AS typologies FROM n")
@@ -337,13 +340,22 @@ def random_split(spark, sf_dir):
     return ranked.select("doc_id", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + b, "validation").otherwise("test").alias("split"))
 
 
-@query("pack_documents")
+_PACK = """d AS (SELECT doc_id // 1000 AS shard, doc_id, length(text) // 4 AS n, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS r FROM documents WHERE length(text) // 4 > 2),
+f AS (SELECT shard, doc_id, r, n, 0::BIGINT AS pack, n + 1 AS used FROM d WHERE r = 1 UNION ALL SELECT d.shard, d.doc_id, d.r, d.n, CASE WHEN used + d.n + 1 > 512 THEN pack + 1 ELSE pack END, CASE WHEN used + d.n + 1 > 512 THEN d.n + 1 ELSE used + d.n + 1 END FROM f JOIN d ON d.shard = f.shard AND d.r = f.r + 1)"""
+
+
+@query("pack_documents", f"WITH RECURSIVE {_PACK} SELECT shard, doc_id, pack FROM f")
 def pack_documents(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select((F.col("doc_id") % 8).alias("shard"), "doc_id", F.floor(F.length("text") / 4).alias("tokens"))
+    """A thousand ids are a shard, so shards stay small and their number grows."""
+    docs = load(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1000).alias("shard"), "doc_id", F.floor(F.length("text") / 4).alias("tokens"))
     return corpus.pack_documents(docs, "shard", "doc_id", "tokens")
 
 
-@query("token_cap")
+@query(
+    "token_cap",
+    """WITH RECURSIVE d AS (SELECT doc_id, length(text) // 4 AS tokens, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE length(text) // 4 <= 50000),
+f AS (SELECT doc_id, tokens, r, tokens <= 50000 AS keep, CASE WHEN tokens <= 50000 THEN tokens ELSE 0 END AS used FROM d WHERE r = 1 UNION ALL SELECT d.doc_id, d.tokens, d.r, used + d.tokens <= 50000, CASE WHEN used + d.tokens <= 50000 THEN used + d.tokens ELSE used END FROM f JOIN d ON d.r = f.r + 1) SELECT doc_id, tokens FROM f WHERE keep""",
+)
 def token_cap(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", F.floor(F.length("text") / 4).alias("tokens"))
     return corpus.token_cap(docs, "doc_id", "tokens", 50_000)
@@ -385,7 +397,8 @@ def run_incremental(spark, sf_dir):
 
 @query("split_into_sections")
 def split_into_sections(spark, sf_dir):
-    return corpus.sections(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", r"^(?:[0-9]+\.|#+)\s").select("doc_id", "section", "title", F.md5("content").alias("h"))
+    out = corpus.titled_sections(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return out.select("doc_id", "section", "title", F.md5("content").alias("h"))
 
 
 @query("theme_distribution", f"WITH {N}, t AS (SELECT unnest(string_split({_sql_tags(T.TYPOLOGIES)}, '|')) AS theme FROM n) SELECT theme, count(*) AS n FROM t WHERE theme <> '' GROUP BY theme")

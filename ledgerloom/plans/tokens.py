@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import corpus, tokens
+from ledgerloom.operators import tokens
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import load
 
@@ -84,10 +84,3 @@ def token_table(spark, sf_dir):
     tokens.packed(one, ["pack"], "doc_id", "ids", 128).write.parquet(at)
     n = F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x)
     return spark.read.parquet(at).select(F.col("pack").alias("doc_id"), n.alias("n_tokens"), _text(F.slice("input_ids", F.lit(1), n)).alias("h"))
-
-
-@query("token_cap_greedy")
-def token_cap_greedy(spark, sf_dir):
-    """Greedy cap over all documents by tokens, partitions folded in order with the room that earlier ones left."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.floor(F.length("text") / 4).alias("tokens"))
-    return corpus.token_cap(docs, "doc_id", "tokens", 20_000)
