@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerloom.llm import queries, sentencepieces
 from tests.llm.test_operators import brute_components, brute_hits, brute_pii
@@ -40,3 +42,34 @@ def test_stages(spark, sf_dir):
         processor = sentencepieces.Pieces(f.read()).processor
     assert set(before) == set(after)
     assert all(list(after[i].ids) == processor.encode(r.text) for i, r in before.items())
+
+
+def test_stages_of_awkward_rows(spark, sf_dir):
+    """Nulls in any column, empty and very long texts, repeated rows, more columns of clashing names, and an empty table, through every stage."""
+    docs = queries.table(spark, sf_dir, "documents")
+    words = " ".join(f"word{k % 977} other{k % 1009}" for k in range(40_000))
+    schema = docs.schema.simpleString()[7:-1].replace(":", " ")
+    rows = [
+        (900_001, None, "en", "src0", None),
+        (900_002, "", None, None, 0),
+        (900_003, words, "en", "src0", len(words)),
+        (900_004, "short one a@b.co", "en", "src1", 16),
+        (900_004, "short one a@b.co", "en", "src1", 16),
+        (None, "no id here at all, but ten words of text stand", None, None, 1),
+        (None, None, None, None, None),
+    ]
+    names = docs.columns
+    order = ["doc_id", "text", "lang", "source", "n_chars"]
+    given = spark.createDataFrame([tuple(r[order.index(c)] for c in names) for r in rows], schema)
+    clashing = ["__score", "__content", "__id", "__contamination", "content", "class", "key", "spans", "score", "blob"]
+    for c in clashing:
+        given = given.withColumn(c, F.lit(c))
+    left = {"toxicity": 7, "n-gram Jaccard join": 6, "benchmark decontamination": 6, "PII": 6, "SentencePiece encoding and decoding": 6}
+    for (name, stage), empty in zip(corpus_pipeline.STAGES, [given.limit(0)] * 5, strict=True):
+        assert stage(spark, empty, sf_dir).count() == 0
+        out = stage(spark, given, sf_dir)
+        given = spark.createDataFrame(out.collect(), out.schema)
+        assert given.count() == left[name]
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert given.columns == [*names, *clashing]
+            assert given.where(" or ".join(f"{c} <> '{c}'" for c in clashing)).count() == 0
