@@ -53,15 +53,16 @@ def masked_lm(ids: Column, key: Column, vocabulary: int, share: float = 0.15) ->
 
 def whole_words(df: DataFrame, ids: str, words: str, key: str, share: float = 0.15) -> DataFrame:
     """``df`` with input_ids and labels: max(1, int(words * share)) whole words, those of the least draws, are masked; ``words`` has each id's word number, null for special ids."""
+    drawn = lambda w: F.struct(draw(F.col(key), w, "w").alias("u"), w.alias("w"))
     numbers = F.array_distinct(F.filter(words, lambda w: w.isNotNull()))
-    ranked = F.array_sort(F.transform(numbers, lambda w: F.struct(draw(F.col(key), w, "w").alias("u"), w.alias("w"))))
     count = F.greatest(F.lit(1), F.floor(F.size(numbers) * share).cast("int"))
-    rows = df.withColumn("__words", F.transform(F.slice(ranked, F.lit(1), count), lambda x: x["w"]))
-    masked = F.transform(words, lambda w: w.isNotNull() & F.array_contains("__words", F.coalesce(w, F.lit(-1))))
-    rows = rows.withColumn("__masked", masked)
+    last = F.element_at(F.array_sort(F.transform(numbers, drawn)), F.least(count, F.greatest(F.size(numbers), F.lit(1))))
+    # The last draw that counts is found once a row and laid beside each id: inside a lambda it would be found anew each time.
+    masked = F.zip_with(words, F.array_repeat(last, F.size(words)), lambda w, c: w.isNotNull() & F.coalesce(drawn(w) <= c, F.lit(False)))
+    rows = df.withColumn("__masked", masked)
     put = F.zip_with(ids, "__masked", lambda x, m: F.when(m, F.lit(MASK)).otherwise(x))
     keep = F.zip_with(ids, "__masked", lambda x, m: F.when(m, x).otherwise(F.lit(IGNORED)))
-    return rows.withColumn("input_ids", put).withColumn("labels", keep).drop("__words", "__masked")
+    return rows.withColumn("input_ids", put).withColumn("labels", keep).drop("__masked")
 
 
 def causal_lm(ids: Column) -> Column:
