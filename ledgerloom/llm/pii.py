@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import bounded, texts, written
+from ledgerloom.llm.shared import bounded, hot_keys, split_join, texts, written
 
 #: Kinds in the order in which they are listed.
 KINDS = ["email", "ip", "card", "phone"]
@@ -168,15 +168,16 @@ def score_patterns(edges: DataFrame, *, rounds: int = 3, prior: float = 2.0) ->
     0. In each round a pattern's confidence is the weighted mean of its instances' scores, held down by
     ``prior`` occurrences of score 0; the score of an instance that is no seed is then the weighted mean of its
     patterns' confidences. Edges are counted before they are shuffled, so a pattern that a third of
-    all texts hold is one edge for each instance.
+    all texts hold is one edge for each instance; patterns of many instances are joined by broadcast (``hot_keys``).
     """
+    hot = hot_keys(edges.groupBy("pattern").agg(F.count("*").alias("edges")), "pattern", "edges")
     score = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     known = written(score.select("instance", F.col("score").alias("known")), "seeds")
     score = known.select("instance", F.col("known").alias("score"))
     for k in range(rounds):
         patterns = edges.join(score, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + prior)).alias("confidence"))
         if k + 1 < rounds:
-            mean = edges.join(patterns, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("mean"))
+            mean = split_join(edges, written(patterns, "confidences"), "pattern", hot).groupBy("instance").agg((F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("mean"))
             score = written(mean.join(known, "instance").select("instance", F.greatest("mean", "known").alias("score")), "instances")
     return patterns
 
@@ -191,8 +192,9 @@ def discovered(seen: DataFrame, *, confidence: float = 0.5, rounds: int = 3) ->
     each = seen.select("instance", "seed", F.explode("patterns").alias("pattern"))
     edges = written(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "edges")
     sure = written(score_patterns(edges, rounds=rounds).where(F.col("confidence") > 0), "patterns")
-    # A hot pattern may hold a third of the candidates; on the other side it is one row, so the join can be split.
-    open_ones = seen.where("not seed").select("content", "start", "end", F.explode("patterns").alias("pattern")).join(sure, "pattern")
+    # A hot pattern may hold a third of the candidates.
+    hot = hot_keys(edges.groupBy("pattern").agg(F.sum("n").alias("n")), "pattern", "n")
+    open_ones = split_join(seen.where("not seed").select("content", "start", "end", F.explode("patterns").alias("pattern")), sure, "pattern", hot)
     best = lambda family: F.coalesce(F.max(F.when(F.substring("pattern", 1, 1) == family, F.col("confidence"))), F.lit(0.0))
     scored = open_ones.groupBy("content", "start", "end").agg(F.greatest(best(AROUND), best(SHAPE), best(OUTLINE), (best(SHAPE) + F.greatest(best(BEFORE), best(AFTER))) / 2).alias("score"))
     return scored.where(F.col("score") >= confidence)

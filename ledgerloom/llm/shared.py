@@ -64,6 +64,19 @@ def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def hot_keys(weights: DataFrame, key: str, weight: str, most: int = 2000) -> DataFrame:
+    """Keys that hold at least one in ``most`` of the whole weight: at most ``most`` rows, written, so they may be broadcast."""
+    total = weights.agg(F.sum(weight)).first()[0] or 0
+    return written(weights.where(F.col(weight) * most >= F.lit(total)).select(key), "hot")
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (written, one row a key): hot keys by broadcast, so that their rows stay where they are, the others by a shuffle."""
+    hot = F.broadcast(hot)
+    heavy = rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key)
+    return heavy.unionByName(rows.join(hot, key, "left_anti").join(table.join(hot, key, "left_anti"), key))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """What Spark's plan expects a table to take, from the sizes of its files; no job runs. 0 where it does not know (it then says exabytes)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat, components, decontaminate, jaccard, licenses, media, pii, queries, secrets, sentencepieces, tokencount, toxicity
+from ledgerloom.llm.shared import hot_keys, split_join, written
 
 TOKENIZERS = "/opt/tokenizers"
 #: Nulls, empty texts, repeated rows, ties, columns with clashing names.
@@ -365,6 +366,15 @@ def test_pii_patterns_and_scores_equal_brute_force(spark):
     assert pii.patterns(pii.word_ends("77777"), "77777", 0, 5) == ["b ", "f ", "a  _ ", "s 05"]
 
 
+@pytest.mark.parametrize("keys", [[], [0] * 30 + [1] * 4 + list(range(2, 40)), [None, 0, 0]])
+def test_split_join_equals_plain_join(spark, keys):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k bigint, i bigint")
+    table = written(spark.createDataFrame([(k, -k) for k in range(50)], "k bigint, v bigint"), "table")
+    hot = hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), "k", "n", most=10)
+    assert {r.k for r in hot.where("k is not null").collect()} == {k for k in set(keys) - {None} if keys.count(k) * 10 >= len(keys)}
+    assert sorted(map(tuple, split_join(rows, table, "k", hot).collect())) == sorted((k, i, -k) for i, k in enumerate(keys) if k is not None)
+
+
 def test_pii_finds_withheld_seeds(spark):
     """A fifth of the entities that fixed patterns find are withheld: contexts find nine tenths of them, and nothing but long numbers."""
     docs = queries.table(spark, "/root/testdata/sf0.1", "documents")
