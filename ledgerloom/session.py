@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import threading
 
 from pyspark.sql import SparkSession
 
+#: Queries may start in several threads of one session.
+_SHIPPING = threading.Lock()
+
 
 def get_session(app: str = "ledgerloom", cpus: int | None = None, **conf: str) -> SparkSession:
     """Session for local runs; on a cluster, pass your own session to the operators instead."""
@@ -32,9 +36,10 @@ def ship_package(spark: SparkSession) -> None:
     from pathlib import Path
 
     context = spark.sparkContext
-    if getattr(context, "_ledgerloom_shipped", False):
-        return
-    at = tempfile.mkdtemp(prefix="ledgerloom-package-")
-    here = Path(__file__).resolve().parent
-    context.addPyFile(shutil.make_archive(f"{at}/ledgerloom", "zip", here.parent, here.name))
-    context._ledgerloom_shipped = True
+    with _SHIPPING:
+        if getattr(context, "_ledgerloom_shipped", False):
+            return
+        at = tempfile.mkdtemp(prefix="ledgerloom-package-")
+        here = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(f"{at}/ledgerloom", "zip", here.parent, here.name))
+        context._ledgerloom_shipped = True
