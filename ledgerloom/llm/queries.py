@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, fim, jaccard, licenses, media, pii, secrets, sentencepieces, tokencount, toxicity
+from ledgerloom.llm import chat, decontaminate, fim, jaccard, licenses, media, pii, secrets, sentencepieces, tokencount, toxicity, warc
 from ledgerloom.llm.oracles import ORACLES
 from ledgerloom.llm.shared import table
 
@@ -103,6 +103,11 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.load(spark, warc.store(table(spark, sf_dir, "pages")), payload=False)
+    return records.select(warc.row_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.row_id("refers_to").alias("refers_to"), "error")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fim.restored(fim.transform(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -119,5 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_license_scans": op10_license_scans,
+    "op11_warc": op11_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
