@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, fim, jaccard, licenses, media, pii, secrets, sentencepieces, tokencount, toxicity, warc
+from ledgerloom.llm import chat, compaction, decontaminate, fim, jaccard, licenses, media, pii, secrets, sentencepieces, tokencount, toxicity, warc
 from ledgerloom.llm.oracles import ORACLES
 from ledgerloom.llm.shared import table
 
@@ -108,6 +108,12 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(warc.row_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.row_id("refers_to").alias("refers_to"), "error")
 
 
+def op12_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = compaction.write_table(table(spark, sf_dir, "clicks"))
+    left = compaction.compact(clicks, capacity=compaction.share(clicks.rows, 300), small=compaction.share(clicks.rows, 750))
+    return compaction.described(left).withColumnsRenamed({"min_id": "min_click_id", "max_id": "max_click_id"})
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fim.restored(fim.transform(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -125,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_license_scans": op10_license_scans,
     "op11_warc": op11_warc,
+    "op12_compaction": op12_compaction,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
