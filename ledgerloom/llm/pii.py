@@ -1,26 +1,31 @@
 """Personal data by fixed patterns, and more by bootstrapped contexts.
 
-What the fixed patterns find are seed entities. They induce lexical patterns of five families: the
-word before an entity, the word after it, two words before with one after, the entity's own
-word shape, and its outline (the shape without lengths, if it has several parts). Patterns and instances (seeds, and candidate tokens that look like identifiers) form a
-graph, which Spark scores in rounds: a pattern's confidence is the mean score of its instances,
-an instance's score the mean confidence of its patterns, and seeds keep score 1. A candidate is
-an identifier that the fixed patterns don't know if its whole context, shape or outline is of high
-confidence, or its shape and the better of the words beside it are on average.
+What the fixed patterns find are seed entities. They induce patterns of three lexical families (the word before an
+entity, the word after it, two words before with one after) and of two families of form (the entity's own shape, and its outline: the
+shape without lengths, if it has several parts). Patterns and instances (seeds, and candidate tokens that look like
+identifiers) form a graph, which Spark scores in rounds: a pattern's confidence is the mean score of its instances, an
+instance's score the mean confidence of its patterns, and seeds keep score 1. A lexical pattern is measured by every
+occurrence of its words in the texts, whatever stands there, and needs the support of several distinct instances: so a word that
+stands before anything ("the") says nothing, and neither does one that stands before one value again and again. A
+candidate is an identifier that the fixed patterns don't know if a lexical pattern of high confidence holds it, or one of
+less confidence and its form agree. Form alone is never enough: a long number that fails the card checksum stays.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Container
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import bounded, hot_keys, split_join, texts, written
+from ledgerloom.llm.shared import bounded, free_name, hot_keys, split_join, texts, written
 
 #: Kinds in the order in which they are listed.
 KINDS = ["email", "ip", "card", "phone"]
@@ -101,16 +106,35 @@ def word_ends(text: str) -> tuple[list[int], list[int], list[str]]:
 
 
 def patterns(words: tuple[list[int], list[int], list[str]], value: str, start: int, end: int) -> list[str]:
-    """The patterns of a span, one of each family, wherever in the text its words stand; a value of one part has no outline."""
+    """The patterns of a span, at most one of each family, wherever in the text its words stand; without words there is no lexical one, and a value of one part has no outline."""
     starts, ends, forms = words
     i, j = bisect_right(ends, start), bisect_left(starts, end)
     before, after = forms[max(0, i - 2) : i], forms[j : j + 1]
     form = shape(value)
     outline = re.sub(r"(?<=[0x])[0-9]+", "", form)
-    out = [f"{BEFORE} {''.join(before[-1:])}", f"{AFTER} {''.join(after)}", f"{AROUND} {' '.join(before)} _ {''.join(after)}", f"{SHAPE} {form}"]
+    out = [f"{BEFORE} {before[-1]}"] if before else []
+    if after:
+        out.append(f"{AFTER} {after[0]}")
+    if len(before) == 2 and after:
+        out.append(f"{AROUND} {' '.join(before)} _ {after[0]}")
+    out.append(f"{SHAPE} {form}")
     return out if outline.isalnum() else [*out, f"{OUTLINE} {outline}"]
 
 
+def words_of(pattern: str) -> tuple[str, ...] | None:
+    """The one or two words whose occurrences a lexical pattern is measured by; None for a pattern of another family."""
+    family, _, rest = pattern.partition(" ")
+    return (rest,) if family in (BEFORE, AFTER) else tuple(rest.split(" ")[:2]) if family == AROUND else None
+
+
+def occurrences(text: str, ones: Container[str], pairs: Container[tuple[str, str]], heads: Container[str]) -> Counter:
+    """How often the text has each of some words, and of some pairs of neighbours, of which ``heads`` has the first ones."""
+    forms = [w.lower() for w in _WORD.findall(text)]
+    count = Counter((w,) for w in forms if w in ones)
+    count.update(x for x in itertools.pairwise(forms) if x[0] in heads and x in pairs)
+    return count
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]):
     """Spans that look like identifiers and overlap no base span."""
     k = 0
@@ -131,6 +155,7 @@ _SPAN_SQL = "array<struct<start:bigint,kind:int,end:bigint>>"
 _CONTEXT_SQL = "array<struct<instance:string,patterns:array<string>,seed:boolean,start:bigint,end:bigint>>"
 
 
+
 def content_of(text: str) -> Column:
     """128 bits by which equal texts are known."""
     return F.md5(F.coalesce(F.col(text), F.lit("")))
@@ -161,45 +186,90 @@ def extracted(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Dat
     return rows.mapInArrow(run, f"id bigint, content string, base {_SPAN_SQL}, contexts {_CONTEXT_SQL}")
 
 
-def score_patterns(edges: DataFrame, *, rounds: int = 3, prior: float = 2.0) -> DataFrame:
+def score_patterns(edges: DataFrame, measures: DataFrame | None = None, *, rounds: int = 3, prior: float = 2.0, support: float = 3.0) -> DataFrame:
     """(pattern, confidence) from edges (pattern, instance, seed, n): n occurrences of an instance in a pattern.
 
     An instance of which any edge says so is a seed, with score 1 throughout; the others start at
     0. In each round a pattern's confidence is the weighted mean of its instances' scores, held down by
     ``prior`` occurrences of score 0; the score of an instance that is no seed is then the weighted mean of its
-    patterns' confidences. Edges are counted before they are shuffled, so a pattern that a third of
-    all texts hold is one edge for each instance; patterns of many instances are joined by broadcast (``hot_keys``).
+    patterns' confidences. With ``measures`` (pattern, n: all occurrences of its words), occurrences of a lexical pattern's words beside
+    what is no instance count with score 0; one that isn't measured, or whose distinct instances' scores sum up to less than ``support``, has
+    no confidence. Edges are counted before they are shuffled, so a pattern that a third of all texts hold is one edge for each
+    instance; patterns of many instances are joined by broadcast (``hot_keys``).
     """
+    is_lexical = F.lit(measures is not None) & F.substring("pattern", 1, 1).isin(BEFORE, AFTER, AROUND)
+    if measures is None:
+        measures = edges.sparkSession.createDataFrame([], "pattern string, n bigint")
+    measures = measures.select("pattern", F.col("n").alias("of_all"))
     hot = hot_keys(edges.groupBy("pattern").agg(F.count("*").alias("edges")), "pattern", "edges")
     score = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     known = written(score.select("instance", F.col("score").alias("known")), "seeds")
     score = known.select("instance", F.col("known").alias("score"))
     for k in range(rounds):
-        patterns = edges.join(score, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + prior)).alias("confidence"))
+        sums = edges.join(score, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("scores"), F.sum("n").alias("all"), F.sum("score").alias("support"))
+        confidence = F.col("scores") / (F.greatest(F.col("all"), F.col("of_all")) + prior)
+        weak = is_lexical & (F.col("of_all").isNull() | (F.col("support") < support))
+        patterns = sums.join(measures, "pattern", "left").select("pattern", F.when(weak, 0.0).otherwise(confidence).alias("confidence"))
         if k + 1 < rounds:
             mean = split_join(edges, written(patterns, "confidences"), "pattern", hot).groupBy("instance").agg((F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("mean"))
             score = written(mean.join(known, "instance").select("instance", F.greatest("mean", "known").alias("score")), "instances")
     return patterns
 
 
-def discovered(seen: DataFrame, *, confidence: float = 0.5, rounds: int = 3) -> DataFrame:
-    """(content, start, end, score) of candidates that are identifiers, from occurrences (content, instance, patterns, seed, start, end).
+def measured(docs: DataFrame, edges: DataFrame, *, text: str = "text", support: float = 3.0, most: int = 200_000) -> DataFrame:
+    """(pattern, n) of lexical patterns with ``support`` distinct instances or more: how often all texts have their words. Others can't be of use.
 
-    Only candidates in some pattern that a seed holds too can be; all others have only patterns of low
-    confidence. ``score`` is the largest of the confidences of the whole context, shape and
-    outline, and the mean of the shape's and of that of the better word beside the candidate.
+    A pass over the texts takes ``most`` patterns or about as many (broadcast); more patterns take more passes. A task emits a sum a pattern.
+    """
+    spark = docs.sparkSession
+    lexical = edges.where(F.substring("pattern", 1, 1).isin(BEFORE, AFTER, AROUND))
+    wanted = written(lexical.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern"), "wanted")
+    passes, parts = -(-wanted.count() // most), []
+    for k in range(passes):
+        by_words: dict[tuple[str, ...], list[str]] = {}
+        for r in wanted.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k).toLocalIterator():
+            by_words.setdefault(words_of(r.pattern), []).append(r.pattern)
+        shared = spark.sparkContext.broadcast(by_words)
+
+        def run(batches, shared=shared):
+            of = shared.value
+            ones, pairs, total = {x[0] for x in of if len(x) == 1}, {x for x in of if len(x) == 2}, Counter()
+            heads = {x[0] for x in pairs}
+            for batch in batches:
+                for t in texts(batch.column(0)):
+                    total.update(occurrences(t, ones, pairs, heads))
+            found = [(p, n) for x, n in total.items() for p in of[x]]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["pattern", "n"])
+
+        parts.append(docs.select(text).mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")))
+    none = spark.createDataFrame([], "pattern string, n bigint")
+    return written(functools.reduce(DataFrame.unionByName, parts, none), "measures")
+
+
+def discovered(seen: DataFrame, edges: DataFrame, measures: DataFrame, *, confidence: float = 0.5, least: float = 0.25, rounds: int = 3, support: float = 3.0) -> DataFrame:
+    """(content, start, end, score) of candidates that are identifiers, from what ``contexts_of`` and ``measured`` give.
+
+    ``score`` is the best lexical pattern's confidence, or its mean with the better of shape and outline if that is
+    more; a candidate whose best lexical pattern is below ``least`` has none.
     """
-    each = seen.select("instance", "seed", F.explode("patterns").alias("pattern"))
-    edges = written(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "edges")
-    sure = written(score_patterns(edges, rounds=rounds).where(F.col("confidence") > 0), "patterns")
+    sure = written(score_patterns(edges, measures, rounds=rounds, support=support).where(F.col("confidence") > 0), "patterns")
     # A hot pattern may hold a third of the candidates.
     hot = hot_keys(edges.groupBy("pattern").agg(F.sum("n").alias("n")), "pattern", "n")
     open_ones = split_join(seen.where("not seed").select("content", "start", "end", F.explode("patterns").alias("pattern")), sure, "pattern", hot)
-    best = lambda family: F.coalesce(F.max(F.when(F.substring("pattern", 1, 1) == family, F.col("confidence"))), F.lit(0.0))
-    scored = open_ones.groupBy("content", "start", "end").agg(F.greatest(best(AROUND), best(SHAPE), best(OUTLINE), (best(SHAPE) + F.greatest(best(BEFORE), best(AFTER))) / 2).alias("score"))
+    best = lambda *families: F.coalesce(F.max(F.when(F.substring("pattern", 1, 1).isin(*families), F.col("confidence"))), F.lit(0.0))
+    found = open_ones.groupBy("content", "start", "end").agg(best(BEFORE, AFTER, AROUND).alias("words"), best(SHAPE, OUTLINE).alias("form"))
+    scored = found.where(F.col("words") >= least).select("content", "start", "end", F.greatest("words", (F.col("words") + F.col("form")) / 2).alias("score"))
     return scored.where(F.col("score") >= confidence)
 
 
+def contexts_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of what ``extracted`` gave (written): occurrences (content, instance, patterns, seed, start, end, n; n equal texts have it), and edges (pattern, instance, seed, n)."""
+    each = rows.where(F.size("contexts") > 0).select("content", F.explode("contexts").alias("c")).select("content", "c.*")
+    seen = written(each.groupBy("content", "start", "end").agg(*[F.first(c).alias(c) for c in ("instance", "patterns", "seed")], F.count("*").alias("n")), "contexts")
+    edges = seen.select("instance", "seed", "n", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
+    return seen, written(edges, "edges")
+
+
 def detect(docs: DataFrame, *, id: str = "doc_id", text: str = "text", confidence: float = 0.5, rounds: int = 3) -> DataFrame:
     """(id, content, base, spans) for each row of ``docs``: base spans, and all spans, in order.
 
@@ -208,12 +278,11 @@ def detect(docs: DataFrame, *, id: str = "doc_id", text: str = "text", confidenc
     columns are ignored, whatever they are called.
     """
     rows = written(extracted(docs, id=id, text=text), "extracted")
-    # One text counts once, however many copies there are.
-    seen = written(rows.where(F.size("contexts") > 0).select("content", F.explode("contexts").alias("c")).select("content", "c.*").dropDuplicates(["content", "start", "end"]), "contexts")
-    found = discovered(seen, confidence=confidence, rounds=rounds)
-    more = found.groupBy(F.col("content").alias("__content")).agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("more"))
+    seen, edges = contexts_of(rows)
+    found = discovered(seen, edges, measured(docs, edges, text=text), confidence=confidence, rounds=rounds)
+    more = found.groupBy(F.col("content").alias("of")).agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("more"))
     more = bounded(written(more, "discovered"))
-    out = rows.join(more, F.col("content") == F.col("__content"), "left")
+    out = rows.join(more, F.col("content") == F.col("of"), "left")
     return out.select("id", "content", "base", F.array_sort(F.concat("base", F.coalesce(F.col("more"), F.array().cast(_SPAN_SQL)))).alias("spans"))
 
 
@@ -244,20 +313,18 @@ def masked(text: str | None, spans: list) -> str | None:
 def redacted(docs: DataFrame, *, id: str = "doc_id", text: str = "text", confidence: float = 0.5, n_chars: str | None = None) -> DataFrame:
     """``docs`` with personal data masked in ``text`` (and its new length in ``n_chars``, if named). No row is dropped.
 
-    Only texts with spans are joined and rewritten. A caller's column of any name is kept, but for names
-    that start with ``__pii_``, which raise a ValueError.
+    Only texts with spans are joined and rewritten. A caller's columns are kept, whatever they are called.
     """
-    if clash := [c for c in docs.columns if c.startswith("__pii_")]:
-        raise ValueError(f"docs has columns {clash}")
     found = detect(docs, id=id, text=text, confidence=confidence).where(F.size("spans") > 0)
-    found = bounded(written(found.groupBy(F.col("content").alias("__pii_of")).agg(F.first("spans").alias("__pii_spans")), "spans"))
+    key, of, into = (free_name(docs, n) for n in ("__content", "__of", "__spans"))
+    found = bounded(written(found.groupBy(F.col("content").alias(of)).agg(F.first("spans").alias(into)), "spans"))
     kept, schema = docs.columns, docs.schema
-    joined = docs.withColumn("__pii_content", content_of(text)).join(found, F.col("__pii_content") == F.col("__pii_of"), "left").drop("__pii_content", "__pii_of")
+    joined = docs.withColumn(key, content_of(text)).join(found, F.col(key) == F.col(of), "left").drop(key, of)
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            new = [masked(t, [(s["start"], s["kind"], s["end"]) for s in spans or []]) for t, spans in zip(batch.column(names.index(text)).to_pylist(), batch.column(names.index("__pii_spans")).to_pylist(), strict=True)]
+            new = [masked(t, [(s["start"], s["kind"], s["end"]) for s in spans or []]) for t, spans in zip(batch.column(names.index(text)).to_pylist(), batch.column(names.index(into)).to_pylist(), strict=True)]
             columns = []
             for c in kept:
                 if c == text:
