@@ -162,12 +162,12 @@ def sample(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str
     """
     inside = fold_of(F.col(id), fold) != left_out
     confirmed = labels.where(F.col(id).isNotNull() & (F.col(label) == 1) & inside)
-    picked = confirmed.select(F.col(id).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(most_rows // 2).withColumn("__positive", F.lit(True))
+    picked = confirmed.select(F.col(id).alias("of")).distinct().orderBy(F.xxhash64("of"), "of").limit(most_rows // 2).withColumn("positive", F.lit(True))
     share = most_rows / 2 / max(docs.where(inside).count(), 1)
     drawn = F.pmod(F.xxhash64(F.col(id), F.lit("unlabelled")), F.lit(1 << 30)) < int(min(share, 1) * (1 << 30))
     # Bounded by most_rows, whatever the corpus; its size in bytes is 16 a row.
-    rows = docs.where(inside).join(F.broadcast(picked), F.col(id) == F.col("__id"), "left")
-    rows = rows.select(F.col(text).alias("text"), F.coalesce("__positive", F.lit(False)).alias("positive"), drawn.alias("unlabelled")).where("positive OR unlabelled")
+    rows = docs.where(inside).select(F.col(id).alias("of"), F.col(text).alias("text"), drawn.alias("unlabelled")).join(F.broadcast(picked), "of", "left")
+    rows = rows.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), "unlabelled").where("positive OR unlabelled")
     schema = pa.schema([("features", pa.list_(pa.int32())), ("positive", pa.bool_()), ("unlabelled", pa.bool_())])
 
     def run(batches):
@@ -189,8 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, *, most_features: int = 16_000_000
     """Fit on the driver from the bounded sample, with the prior that ``class_prior`` finds in it.
 
     The sample is written once. Of its rows, only features that ``least`` confirmed rows or more hold go to the
-    driver: no fit uses others. They are counted first; if there are more than ``most_features`` (4 bytes each),
-    so much smaller a share of the unlabelled rows is taken, by a hash of their features.
+    driver: no fit uses others. They are counted first. Where there are more than ``most_features`` (4 bytes each), confirmed and
+    other rows have half of them each (or what the others leave), and so much smaller a share of the rows is taken, by a hash of their
+    features. A ValueError says so where that leaves no confirmed or no unlabelled row. Without features that ``least`` confirmed
+    rows hold (so without confirmed rows) the model has no weights, and all scores are near 0.
     """
     rows = written(sample(docs, labels, **options), "sample")
     counts = rows.where("positive").select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -209,14 +211,16 @@ def train(docs: DataFrame, labels: DataFrame, *, most_features: int = 16_000_000
 
     rows = written(rows.mapInArrow(run, "features array<int>, positive boolean, unlabelled boolean"), "features")
     sizes = rows.agg(F.coalesce(F.sum(F.when(F.col("positive"), F.size("features"))), F.lit(0)).alias("p"), F.coalesce(F.sum(F.when(~F.col("positive"), F.size("features"))), F.lit(1)).alias("u")).first()
-    share = min(1.0, max(most_features - sizes.p, 0) / max(sizes.u, 1))
-    if share < 1:
-        rows = rows.where(F.col("positive") | (F.pmod(F.xxhash64("features"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    part = lambda own, other: min(1.0, max(most_features / 2, most_features - other) / max(own, 1))
+    of_confirmed, of_others = part(sizes.p, sizes.u), part(sizes.u, sizes.p)
+    if of_confirmed < 1 or of_others < 1:
+        share = F.when(F.col("positive"), int(of_confirmed * (1 << 30))).otherwise(int(of_others * (1 << 30)))
+        rows = rows.where(F.pmod(F.xxhash64("features"), F.lit(1 << 30)) < share)
     table = rows.toArrow()
     lists, positive, unlabelled = table.column(0).combine_chunks(), table.column(1).to_numpy().astype(bool), table.column(2).to_numpy().astype(bool)
     del table
-    if not positive.any():
-        return Model(np.zeros(DIMENSIONS), -40.0)
+    if not positive.any() or not unlabelled.any():
+        raise ValueError(f"of the sample, {positive.sum()} confirmed and {unlabelled.sum()} unlabelled rows are left: most_features ({most_features}) is too small")
     values, sizes = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy()
     return fit(values, sizes, positive, class_prior(values, sizes, positive, unlabelled), unlabelled, least=least)
 
