@@ -40,10 +40,6 @@ def rule_key(rule: tuple, versions: dict[str, int] | None = None) -> str:
     return f"{rule[0]}@{(versions or VERSIONS).get(rule[0], 1)}"
 
 
-def _literal(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def spans_of(text: Column, kind_no: int, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, kind, end>> of the leftmost non-overlapping matches, code points, end exclusive; too short ones dropped.
 
@@ -51,28 +47,35 @@ def spans_of(text: Column, kind_no: int, pattern: str, group: int, least: int) -
     failing run has no longer run inside it. ``assign`` must consume its failing matches, so its
     lengths are compared afterwards.
     """
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, _literal(pattern), F.lit(0))
-    sized = found if group == 0 else F.regexp_extract_all(text, _literal(pattern), F.lit(group))
-    start_of = F.aggregate(
-        F.arrays_zip(gaps.alias("g"), found.alias("m"), sized.alias("s")),
-        F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(
-                x["m"].isNotNull() & (F.length(x["s"]) >= least),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"), F.lit(kind_no).alias("kind"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"))),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = [F.split(text, pattern, -1).alias("g"), found.alias("m")]
+    if group:
+        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("s"))
+    counted = "s" if group else "m"
+
+    def fold(bound: Column) -> Column:
+        return F.aggregate(
+            F.arrays_zip(*[bound[p].alias(p) for p in ("g", "m", "s")[: len(parts)]]),
+            F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
+                F.when(
+                    x["m"].isNotNull() & (F.length(x[counted]) >= least),
+                    F.concat(
+                        acc["out"],
+                        F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"), F.lit(kind_no).alias("kind"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"))),
+                    ),
+                )
+                .otherwise(acc["out"])
+                .alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    # A one-element array binds the parts, so that each pattern is matched once for each of them.
+    spans = F.transform(F.array(F.struct(*parts)), fold)[0]
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return F.when(text.rlike(pattern), start_of).otherwise(none)
+    return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
@@ -116,12 +119,15 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, *, text: str = "t
         return F.when(F.array_contains("missing", key), spans).otherwise(none)
 
     each = [by(key, k, *rule[1:]) for k, (key, rule) in enumerate(zip(keys, rules, strict=True))]
-    found = texts.select("blob", "missing", F.flatten(F.array(*each)).alias("spans"))
-    return found.groupBy("blob").agg(F.first("missing").alias("rules"), F.first("spans").alias("spans"))
+    # Equal blobs lack and hold the same, so whole rows are compared: a hash aggregate, without a sort.
+    return texts.select("blob", F.col("missing").alias("rules"), F.flatten(F.array(*each)).alias("spans")).distinct()
 
 
 def update(versions: DataFrame, path: str, *, text: str = "text", rules: list[tuple] | None = None, rule_versions: dict[str, int] | None = None) -> DataFrame:
-    """The ledger in the folder ``path`` once all of ``versions`` are in it; new rows are appended, and it is read back."""
+    """The ledger in the folder ``path`` once all of ``versions`` are in it; new rows are appended, and it is read back.
+
+    Two runs on one ledger at once may both append a blob's row; ``findings`` counts equal spans once.
+    """
     spark = versions.sparkSession
     new = scan(versions, ledger_at(spark, path), text=text, rules=rules, rule_versions=rule_versions)
     new.write.mode("append").parquet(path)
@@ -146,12 +152,13 @@ def findings(versions: DataFrame, ledger: DataFrame, *, text: str = "text", rule
     keys = F.array(*[F.lit(rule_key(r, rule_versions)) for r in rules])
     current = F.filter("spans", lambda s: F.array_contains(keys, s["rule"]))
     numbered = F.transform(current, lambda s: F.struct(s["start"].alias("start"), (F.array_position(keys, s["rule"]) - 1).cast("int").alias("kind"), s["end"].alias("end")))
-    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), numbered.alias("s")).where(F.size("s") > 0)
-    hits = bounded(written(hits.groupBy("__blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("__found")), "hits"))
+    of, into = free_name(versions, "__blob"), free_name(versions, "__found")
+    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias(of), numbered.alias("s")).where(F.size("s") > 0)
+    hits = bounded(written(hits.groupBy(of).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias(into)), "hits"))
     blob, spans = free_name(versions, "blob"), free_name(versions, "spans")
     paths = versions.select(*[F.col(f"`{c}`") for c in versions.columns if c != text], blob_of(text).alias(blob))
-    out = paths.join(hits, F.col(f"`{blob}`") == F.col("__blob"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in paths.columns], F.coalesce("__found", F.array().cast(_SPANS_SQL)).alias(spans))
+    out = paths.join(hits, F.col(f"`{blob}`") == F.col(of), "left")
+    return out.select(*[F.col(f"`{c}`") for c in paths.columns], F.coalesce(into, F.array().cast(_SPANS_SQL)).alias(spans))
 
 
 def scan_paths(versions: DataFrame, *, text: str = "text", ledger: str | None = None) -> DataFrame:
