@@ -479,11 +479,12 @@ def deduplicated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shi
     gone = similar.select("id", "content").distinct().join(kept.select(F.col("id").alias("i"), F.col("content").alias("c")), F.col("id").eqNullSafe(F.col("i")) & (F.col("content") == F.col("c")), "left_anti")
     mine = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     keyed = docs.withColumn(of, mine).withColumn(number, F.col(id).cast("long"))
-    gone = gone.select(F.col("id").alias("__gone"), F.col("content").alias("__gone_content"))
-    out = keyed.join(gone, (F.col(of) == F.col("__gone_content")) & F.col(number).eqNullSafe(F.col("__gone")), "left_anti")
-    again = kept.where("rows > 1").select(F.col("id").alias("__again"), F.col("content").alias("__again_content"))
+    other_id, other_content = free_name(keyed, "__other_id"), free_name(keyed, "__other_content")
+    match = (F.col(of) == F.col(other_content)) & F.col(number).eqNullSafe(F.col(other_id))
+    named = lambda df: df.select(F.col("id").alias(other_id), F.col("content").alias(other_content))
+    out = keyed.join(named(gone), match, "left_anti")
+    again = named(kept.where("rows > 1"))
     if not again.isEmpty():
-        match = (F.col(of) == F.col("__again_content")) & F.col(number).eqNullSafe(F.col("__again"))
         once = out.join(again, match, "left_semi").dropDuplicates([number, of])
         out = out.join(again, match, "left_anti").unionByName(once)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
