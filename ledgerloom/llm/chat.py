@@ -14,7 +14,8 @@ in the whole conversation. A conversation of n turns takes 3 n renderings, of it
 
 from __future__ import annotations
 
-import os
+import bisect
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,9 +43,15 @@ def unescaped(text: str) -> str:
     return "".join([*out, text[i:]])
 
 
+@functools.lru_cache(1024)
+def _marked(role: str, text: str) -> str:
+    """One turn: its prefixes and probes render it again and again."""
+    return f"{START}{escaped(role).replace(SEPARATOR, chr(92) + SEPARATOR)}{SEPARATOR}{escaped(text)}{END}{SEPARATOR}"
+
+
 def chat_template(turns: list[Turn], open_assistant: bool = False) -> str:
     """Marked turns with escaped roles and texts; a role's line ends are escaped too."""
-    parts = [f"{START}{escaped(role).replace(SEPARATOR, chr(92) + SEPARATOR)}{SEPARATOR}{escaped(text)}{END}{SEPARATOR}" for role, text in turns]
+    parts = [_marked(role, text) for role, text in turns]
     if open_assistant:
         parts.append(f"{START}assistant{SEPARATOR}")
     return "".join(parts)
@@ -55,8 +62,8 @@ class Span:
     """Of one turn, in the whole output: the turn, and its text in it.
 
     ``rewrites_at`` is where the prefix that ends with the turn parts from the one before, if that is no prefix of it.
-    If any turn does so, a turn's span is that of its text, and all four are null where the output
-    does not depend on the text.
+    If any turn does so, a turn's span reaches from the end of the text before it to the end of its text, and all four are null
+    where the output does not depend on the text.
     """
 
     start: int | None
@@ -67,7 +74,27 @@ class Span:
 
 
 def _common(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+    """Length of the common prefix, by comparing halves: whole slices at a time, not character by character."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _common_end(a: str, b: str, most: int) -> int:
+    """Length of the common suffix, at most ``most``."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[len(a) - middle : len(a) - low] == b[len(b) - middle : len(b) - low]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 #: Probe texts: what their outputs share at the start and at the end is not text.
@@ -79,7 +106,7 @@ def _place(template: Template, turns: list[Turn], k: int, output: str) -> tuple[
     a, b = (template([*turns[:k], (turns[k][0], p), *turns[k + 1 :]], False) for p in PROBES)
     if a == b:
         return None
-    head, tail = _common(a, b), _common(a[::-1], b[::-1])
+    head, tail = _common(a, b), _common_end(a, b, min(len(a), len(b)))
     return head, max(head, len(output) - tail)
 
 
@@ -95,7 +122,9 @@ def render(template: Template, turns: list[Turn]) -> tuple[str, list[Span]]:
         before = now
     if any(s.rewrites_at is not None for s in spans):
         places = [_place(template, turns, k, before) or (None, None) for k in range(len(turns))]
-        spans = [Span(*p, *p, s.rewrites_at) for s, p in zip(spans, places, strict=True)]
+        ends = sorted(p[1] for p in places if p[0] is not None)
+        before_it = lambda at: ends[i - 1] if (i := bisect.bisect_left(ends, at)) else 0
+        spans = [Span(None if p[0] is None else before_it(p[0]), p[1], *p, s.rewrites_at) for s, p in zip(spans, places, strict=True)]
     return before, spans
 
 
@@ -107,7 +136,7 @@ def read_back(formatted: str, spans: list[Span]) -> list[Turn]:
             out.append(("", ""))
             continue
         head = formatted[s.start : s.text_start]
-        role = head.removeprefix(START)[: -len(SEPARATOR)]
+        role = head[head.rfind(START) + len(START) : -len(SEPARATOR)] if START in head else ""
         out.append((unescaped(role), unescaped(formatted[s.text_start : s.text_end])))
     return out
 
