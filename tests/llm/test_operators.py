@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -117,6 +118,13 @@ def test_chat_detects_rewritten_history():
     assert [s.rewrites_at is not None for s in spans] == [False, False, True]
     assert out == "[user]a;[assistant]b;[user]c;" and [out[s.text_start : s.text_end] for s in spans] == ["a", "b", "c"]
 
+    def thoughtless(turns, open_assistant=False):
+        return chat.chat_template([(r, t if k == len(turns) - 1 else t.split("#")[-1]) for k, (r, t) in enumerate(turns)])
+
+    turns = [("user", "hi <|im_start|> there"), ("assistant", "hm#"), ("a\nb", ""), ("assistant", "why#so"), ("user", "ok then")]
+    out, spans = chat.render(thoughtless, turns)
+    assert spans[2].rewrites_at is not None and chat.read_back(out, spans) == [(r, t.split("#")[-1]) for r, t in turns]
+
 
 def test_chat_spans_of_other_templates(spark):
     """Numbered turns, a last turn that is treated apart, and one that leaves earlier turns out, all as black boxes."""
@@ -143,6 +151,21 @@ def test_chat_spans_of_other_templates(spark):
     assert [got.formatted[a:b] for a, b in got.loss_mask] == ["say 21"]
 
 
+def test_chat_common_ends_equal_a_loop():
+    rng = random.Random(2)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(7))) for _ in range(2))
+        want = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert chat._common(a, b) == want and chat._common_end(a[::-1], b[::-1], min(len(a), len(b))) == want
+
+
+def test_chat_of_800_turns_is_rendered_in_a_second():
+    turns = [(("user", "assistant")[k % 2], f"turn {k} <| " * 8) for k in range(800)]
+    began = time.process_time()
+    out, spans = chat.render(chat.chat_template, turns)
+    assert time.process_time() - began < 3 and chat.read_back(out, spans) == turns
+
+
 def test_chat_long_conversation(spark):
     rows = spark.range(300).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("long <| "), 40).alias("text"))
     (got,) = chat.digests(chat.format_conversations(rows)).collect()
@@ -279,9 +302,22 @@ def test_toxicity_scores_equal_a_loop(spark, sf_dir, documents):
 
 
 def test_toxicity_sample_is_bounded_in_bytes(spark, sf_dir, documents):
-    labels = queries.table(spark, sf_dir, "labels")
-    small = toxicity.train(documents, labels, most_features=20_000)
-    assert small.weights.any() and toxicity.train(documents, labels, most_features=0).weights.sum() == 0
+    """A small bound thins confirmed and other rows alike and still gives a model; one that leaves no rows is an error."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = queries.table(spark, at, "documents"), queries.table(spark, at, "labels")
+    model = toxicity.train(docs, labels, most_features=100_000)
+    out = toxicity.scored(docs.where(toxicity.fold_of(F.col("doc_id")) == 1).select("doc_id", "text"), model).join(labels, "doc_id").toPandas()
+    positive = out.toxic == 1
+    auc = (out.score.rank()[positive].sum() - positive.sum() * (positive.sum() + 1) / 2) / (positive.sum() * (~positive).sum())
+    assert np.count_nonzero(model.weights) > 20 and auc > 0.9 and (out.score[positive] >= 0.7).mean() > 0.5
+    with pytest.raises(ValueError, match="too small"):
+        toxicity.train(documents, queries.table(spark, sf_dir, "labels"), most_features=0)
+
+
+def test_toxicity_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(k, "vile" if k % 4 == 0 else f"kind{k % 3}", 1, 2, 3) for k in range(200)], "doc_id bigint, text string, of int, positive int, __id int").withColumn("__positive", F.lit(0)).withColumn("features", F.lit(0))
+    labels = spark.createDataFrame([(k, 1, "x") for k in range(0, 200, 8)], "doc_id bigint, toxic int, of string").withColumn("text", F.lit("t")).withColumn("unlabelled", F.lit(0))
+    assert toxicity.scored(docs, toxicity.train(docs, labels)).columns == [*docs.columns, "score"]
 
 
 # 5: secrets
@@ -320,6 +356,20 @@ def test_secret_spans_of_a_long_text(spark):
     assert [(s.start, s.kind, s.end) for s in row.spans] == [(300_003, 0, 300_026)]
 
 
+def test_secret_findings_take_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "token = abcdefghijkl", 1, 2, 3), (2, None, 1, 2, 3)], "doc_id int, text string, __blob int, __found int, __blob_ int").withColumn("spans", F.lit("s"))
+    got = secrets.scan_paths(rows).collect()
+    assert sorted((r.doc_id, len(r.spans_), r.spans, r["__blob"]) for r in got) == [(1, 1, "s", 1), (2, 0, "s", 1)]
+
+
+def test_secret_pattern_is_matched_once_a_part(spark):
+    """Each rule's pattern stands in the plan once for the test, the gaps, the matches and, if it counts one, a group."""
+    docs = spark.createDataFrame([(1, "x")], "doc_id int, text string")
+    plan = secrets.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 + len(secrets.BASE_RULES) + len(secrets.MORE_RULES)
+    assert "SortAggregate" not in secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 # 6: personal data
 
 
@@ -595,6 +645,14 @@ def test_jaccard_edges(spark, edges, empty):
     assert jaccard.deduplicated(twice).count() == 1
 
 
+def test_jaccard_deduplicated_takes_columns_of_any_name(spark):
+    names = ["__gone", "__gone_content", "__again", "__again_content", "__other_id", "__other_content", "__content", "__id", "content", "rows", "best"]
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (1, "a b c d e f g"), (3, "h i"), (3, "h i"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    got = jaccard.deduplicated(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a b c d e f g"), (3, "h i"), (4, None)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 470)]
