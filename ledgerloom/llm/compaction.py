@@ -34,8 +34,8 @@ from ledgerloom.llm.shared import bounded, free_name, local_path, new_folder, wr
 BLOCK_DAYS = 64
 #: Rows of a row group that compaction writes, and bytes after which it writes one earlier.
 GROUP_ROWS, GROUP_BYTES = 1_000_000, 64 << 20
-#: Tasks that a list of files or groups is dealt to, at most.
-MOST_TASKS = 10_000
+#: Rows for which a list of files or groups is dealt to one task more, and tasks at most.
+TASK_ROWS, MOST_TASKS = 500_000, 10_000
 
 FILES = "day bigint, lot bigint, piece bigint, path string, n_rows bigint"
 
@@ -60,9 +60,10 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"file://{local_path(at)}" if at.startswith("file:") else at
 
 
-def _deal(rows: DataFrame) -> DataFrame:
-    """A written list, a row a task as far as MOST_TASKS goes."""
-    return rows.repartition(max(1, min(rows.count(), MOST_TASKS)))
+def _deal(files: DataFrame, rows: int) -> DataFrame:
+    """A written list of files with so many rows in all: a task for TASK_ROWS of them, two for each core at least, a file a task at most."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(max(1, min(files.count(), max(2 * cores, rows // TASK_ROWS), MOST_TASKS)))
 
 
 def days_of(at: Column) -> Column:
@@ -239,7 +240,7 @@ def compact(table: Table, *, capacity: int, small: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(moved, pa.string())], names=["day", "sources", "path"])
 
     several = F.size("sources") > 1
-    merged = written(_deal(plan.where(several)).mapInArrow(merge, f"day bigint, sources {_SOURCES}, staged string"), "merged")
+    merged = written(_deal(plan.where(several), table.rows).mapInArrow(merge, f"day bigint, sources {_SOURCES}, staged string"), "merged")
     moved = written(merged.mapInArrow(publish, f"day bigint, sources {_SOURCES}, path string"), "moved")
     left = moved.withColumn("rewritten", F.lit(True)).unionByName(plan.where(~several).select("day", "sources", F.col("sources")[0]["path"].alias("path"), F.lit(False).alias("rewritten")))
     return left.select("day", F.col("sources")[0]["lot"].alias("lot"), F.col("sources")[0]["piece"].alias("piece"), "sources", "path", "rewritten")
@@ -281,5 +282,7 @@ def described(files: DataFrame, *, id: str = "click_id", value: str = "value") -
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=[f.partition(" ")[0] for f in schema.split(", ")])
 
     labels = F.array_join(F.transform("sources", lambda s: F.concat_ws("-", s["lot"], s["piece"])), ",")
-    rows = written(files.select("day", "lot", "piece", labels.alias("sources"), "path", "rewritten"), "left")
-    return _deal(rows).mapInArrow(run, schema)
+    sizes = F.aggregate("sources", F.lit(0).cast("long"), lambda n, s: n + s["n_rows"])
+    rows = written(files.select("day", "lot", "piece", labels.alias("sources"), "path", "rewritten", sizes.alias("n_rows")), "left")
+    total = rows.agg(F.sum("n_rows")).first()[0] or 0
+    return _deal(rows.drop("n_rows"), total).mapInArrow(run, schema)
