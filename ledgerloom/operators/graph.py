@@ -305,62 +305,6 @@ def flagged_above(scores: DataFrame, share: float) -> DataFrame:
     return scores.join(F.broadcast(limit)).withColumn("flagged", (F.col("score") >= F.col("__limit")).cast("int")).drop("__limit")
 
 
-def betweenness(edges: DataFrame, most_nodes: int = 5000) -> DataFrame:
-    """(id, betweenness): shares of directed shortest paths through a node, over (n - 1) (n - 2); 0 for all in graphs of more nodes.
-
-    By its definition only for small graphs: the arcs of one (bounded by the limit) are broadcast, and the sources, each a
-    search, are spread over the tasks.
-    """
-    ids = nodes(edges)
-    n = ids.count()
-    if n > most_nodes or n < 3:
-        return ids.withColumn("betweenness", F.lit(0.0))
-    follow: dict = {}
-    for r in edges.select("src", "dst").distinct().where("src <> dst").toLocalIterator():
-        follow.setdefault(r.src, []).append(r.dst)
-    shared = edges.sparkSession.sparkContext.broadcast(follow)
-
-    def run(batches):
-        import pandas as pd
-
-        total: dict = {}
-        for pdf in batches:
-            for source in pdf["id"]:
-                for node, share in _dependencies(shared.value, source).items():
-                    total[node] = total.get(node, 0.0) + share
-        yield pd.DataFrame({"id": list(total), "d": list(total.values())})
-
-    kind = dict(ids.dtypes)["id"]
-    parts = ids.repartition("id").mapInPandas(run, f"id {kind}, d double")
-    through = parts.groupBy("id").agg(F.sum("d").alias("d"))
-    return ids.join(through, "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) / ((n - 1) * (n - 2))).alias("betweenness"))
-
-
-def _dependencies(follow: dict, source) -> dict:
-    """What each node gives to the shortest paths from one source: a search by levels, then shares handed back from the farthest."""
-    level, paths, frontier, order = {source: 0}, {source: 1}, [source], []
-    while frontier:
-        order.append(frontier)
-        ahead = []
-        for v in frontier:
-            for w in follow.get(v, ()):
-                if w not in level:
-                    level[w] = level[v] + 1
-                    paths[w] = 0
-                    ahead.append(w)
-                if level[w] == level[v] + 1:
-                    paths[w] += paths[v]
-        frontier = ahead
-    share: dict = {}
-    for nodes_at in reversed(order):
-        for v in nodes_at:
-            for w in follow.get(v, ()):
-                if level[w] == level[v] + 1:
-                    share[v] = share.get(v, 0.0) + paths[v] / paths[w] * (1 + share.get(w, 0.0))
-    share.pop(source, None)
-    return share
-
-
 def component_sizes(edges: DataFrame) -> DataFrame:
     """One row: weakly connected components and the size of the largest."""
     each = weakly_connected(edges).groupBy("component").agg(F.count("*").alias("n"))

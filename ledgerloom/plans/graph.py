@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import graph
+from ledgerloom.operators import graph, paths
 from ledgerloom.operators.sampling import hash_order
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import EDGES_SQL, ORDER, TX_SQL, load, rounded, transactions
@@ -305,14 +305,70 @@ def fraud_subgraphs(spark, sf_dir):
     return graph.fraud_subgraphs(graph.cut(edges(spark, sf_dir)))
 
 
-@query("betweenness")
-def betweenness(spark, sf_dir):
-    """Of a sparse directed graph of customers: each points to the customers seven times its number on, and to one of its nation."""
+def customer_arcs(spark, sf_dir):
+    """A sparse directed graph of customers: each points to the customer seven times its number on, and to one that its nation sets."""
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = c.agg(F.count("*").alias("n"))
     to = F.explode(F.array(F.col("c_custkey") * 7 + 3, F.col("c_custkey") * 3 + F.col("c_nationkey")))
-    arcs = c.join(F.broadcast(n)).select(F.col("c_custkey").alias("src"), "n", to.alias("t")).select("src", (F.col("t") % F.col("n")).alias("dst"))
-    return graph.betweenness(arcs).select("id", rounded(F.col("betweenness")).alias("betweenness"))
+    return c.join(F.broadcast(n)).select(F.col("c_custkey").alias("src"), "n", to.alias("t")).select("src", (F.col("t") % F.col("n")).alias("dst"))
+
+
+@query("betweenness")
+def betweenness(spark, sf_dir):
+    """Exact up to 5,000 customers, from 256 sources beyond."""
+    return paths.betweenness(customer_arcs(spark, sf_dir)).select("id", rounded(F.col("betweenness")).alias("betweenness"))
+
+
+def contacts(spark, sf_dir):
+    """(src, dst, step), src < dst: the first day on which two customers pay one supplier."""
+    paid = transactions(spark, sf_dir).select(F.substring("nameOrig", 2, 20).cast("long").alias("id"), "nameDest", "step").distinct()
+    a, b = (paid.select(F.col("id").alias(k), "nameDest", "step") for k in ("src", "dst"))
+    return a.join(b, ["nameDest", "step"]).where("src < dst").groupBy("src", "dst").agg(F.min("step").alias("step"))
+
+
+_CONTACTS_SQL = "pd AS (SELECT DISTINCT o_custkey AS id, l_suppkey, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS step FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), ct AS (SELECT a.id AS src, b.id AS dst, min(a.step) AS step FROM pd a JOIN pd b ON a.l_suppkey = b.l_suppkey AND a.step = b.step AND a.id < b.id GROUP BY 1, 2)"
+_DEPTH = 4
+
+
+def _arrivals_sql() -> str:
+    out = "r0 AS (SELECT CAST(substr(nameOrig, 2) AS BIGINT) AS id, min(step) AS arrival, 0 AS hops, CAST(NULL AS BIGINT) AS via FROM tx WHERE isMoneyLaundering = 1 GROUP BY 1), ways AS (SELECT src, dst, step FROM ct UNION ALL SELECT dst, src, step FROM ct)"
+    for k in range(1, _DEPTH + 1):
+        out += f", r{k} AS (SELECT * FROM (SELECT * FROM r{k - 1} UNION ALL SELECT dst, step, {k}, src FROM r{k - 1} JOIN ways ON id = src AND step >= arrival) QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival, hops, via) = 1)"
+    return out
+
+
+@query("earliest_arrivals", f"WITH {TX_SQL}, {_CONTACTS_SQL}, {_arrivals_sql()} SELECT * FROM r{_DEPTH}")
+def earliest_arrivals(spark, sf_dir):
+    """Whom fraud can reach from customer to customer, forward in time, within four contacts, from each payer's first fraud on."""
+    met = graph.cut(contacts(spark, sf_dir))
+    ways = met.union(met.select("dst", "src", "step"))
+    seeds = transactions(spark, sf_dir).where("isMoneyLaundering = 1").select(F.substring("nameOrig", 2, 20).cast("long").alias("id"), F.col("step").alias("at"))
+    return paths.earliest_arrivals(ways, seeds, depth=_DEPTH)
+
+
+@query(
+    "graph_obs_edges",
+    f"""WITH {_CONTACTS_SQL}, bw AS (SELECT src AS a, dst AS b FROM ct UNION ALL SELECT dst, src FROM ct), h1 AS (SELECT a AS c, b AS id FROM bw), h2 AS (SELECT DISTINCT c, id FROM (SELECT * FROM h1 UNION ALL SELECT h1.c, bw.b FROM h1 JOIN bw ON h1.id = bw.a) WHERE c <> id),
+p AS (SELECT c, id, row_number() OVER (PARTITION BY c ORDER BY id) AS pos FROM h2 QUALIFY pos < 20), o AS (SELECT * FROM p UNION ALL SELECT DISTINCT c, c, 0 FROM p),
+e AS (SELECT x.c, x.pos AS u, y.pos AS v, ct.step AS t FROM o x JOIN ct ON ct.src = x.id JOIN o y ON y.c = x.c AND y.id = ct.dst QUALIFY row_number() OVER (PARTITION BY x.c ORDER BY x.pos, y.pos) <= 40),
+n AS (SELECT c, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS nodes, count(*) AS num_nodes FROM o GROUP BY c),
+l AS (SELECT c, string_agg(u || '>' || v || '@' || t, ',' ORDER BY u, v) AS edges, count(*) AS num_edges FROM e GROUP BY c)
+SELECT n.c AS center, nodes, CAST(num_nodes AS INTEGER) AS num_nodes, edges, CAST(num_edges AS INTEGER) AS num_edges, 20 AS node_slots, 40 AS edge_slots, true AS valid FROM n JOIN l ON n.c = l.c""",
+)
+def graph_obs_edges(spark, sf_dir):
+    """Two hops of contacts around every customer who has any, 20 nodes and 40 edges at most, edges by the nodes' places."""
+    met = graph.cut(contacts(spark, sf_dir))
+    seen = paths.observations(met, graph.nodes(met), hops=2, most_nodes=20, most_edges=40)
+    live = lambda c: F.slice(c, F.lit(1), F.col("num_edges"))
+    each = F.zip_with(F.zip_with(live("edge_src"), live("edge_dst"), lambda u, v: F.concat(u, F.lit(">"), v)), live("edge_time"), lambda uv, t: F.concat(uv, F.lit("@"), t.cast("long")))
+    ends = F.concat("edge_src", "edge_dst")
+    return seen.select("center", F.array_join("nodes", ",").alias("nodes"), "num_nodes", F.array_join(each, ",").alias("edges"), "num_edges", F.size("nodes").alias("node_slots"), F.size("edge_time").alias("edge_slots"), graph.valid_observation(F.col("num_nodes"), ends).alias("valid"))
+
+
+@query("neighborhood_sizes_sketch")
+def neighborhood_sizes_sketch(spark, sf_dir):
+    """How many customers are within two contacts of each, by sketches."""
+    return paths.neighbourhood_sizes(contacts(spark, sf_dir))
 
 
 @query("pagerank_anomaly")

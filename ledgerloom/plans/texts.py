@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import corpus, sampling
+from ledgerloom.operators import corpus, minhash, sampling
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import load, rounded
 
@@ -404,3 +404,35 @@ def split_into_sections(spark, sf_dir):
 @query("theme_distribution", f"WITH {N}, t AS (SELECT unnest(string_split({_sql_tags(T.TYPOLOGIES)}, '|')) AS theme FROM n) SELECT theme, count(*) AS n FROM t WHERE theme <> '' GROUP BY theme")
 def theme_distribution(spark, sf_dir):
     return narratives(spark, sf_dir).select(F.explode(T.tags(F.col("text"), T.TYPOLOGIES)).alias("theme")).groupBy("theme").agg(F.count("*").alias("n"))
+
+
+_PERMS = 128
+_MINHASH_SQL = rf"""w AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS t FROM documents),
+l AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, ' '), lambda x: x <> '') AS w FROM w),
+g AS (SELECT doc_id, CASE WHEN len(w) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM l),
+x AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(u), 1, 8) AS BIGINT) % {minhash.PRIME} AS x FROM (SELECT doc_id, unnest(s) AS u FROM g)),
+c AS (SELECT j, 1 + CAST('0x' || substr(md5('a' || j), 1, 8) AS BIGINT) % {minhash.PRIME - 1} AS a, CAST('0x' || substr(md5('b' || j), 1, 8) AS BIGINT) % {minhash.PRIME} AS b FROM range({_PERMS}) AS r(j)),
+m AS (SELECT doc_id, j, min((a * x + b) % {minhash.PRIME}) AS v FROM x, c GROUP BY doc_id, j)"""
+
+
+@query("minhash_signatures", f"WITH {_MINHASH_SQL} SELECT doc_id, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY j)) AS signature FROM m GROUP BY doc_id")
+def minhash_signatures(spark, sf_dir):
+    """Digests of the signatures of 128 permutations over word shingles."""
+    docs = load(spark, sf_dir, "documents")
+    signed = minhash.signatures(docs, "doc_id", T.word_shingles(T.dedup_key_text(F.coalesce("text", F.lit("")))), _PERMS)
+    return signed.select(F.col("id").alias("doc_id"), F.md5(F.array_join("signature", ",")).alias("signature"))
+
+
+@query(
+    "minhash_near_dedup",
+    f"""WITH RECURSIVE {_MINHASH_SQL},
+k AS (SELECT doc_id, list(bucket) AS keys FROM (SELECT doc_id, md5(j // {minhash.bands_for(0.85, _PERMS)[1]} || ',' || string_agg(CAST(v AS VARCHAR), ',' ORDER BY j)) AS bucket FROM m WHERE j < {minhash.bands_for(0.85, _PERMS)[0] * minhash.bands_for(0.85, _PERMS)[1]} GROUP BY doc_id, j // {minhash.bands_for(0.85, _PERMS)[1]}) GROUP BY doc_id),
+q AS MATERIALIZED (SELECT doc_id, keys FROM k WHERE list_has_any(keys, (SELECT list(u) FROM (SELECT unnest(keys) AS u FROM k GROUP BY u HAVING count(*) > 1)))),
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, keys FROM q),
+f(n, doc_id, stays, taken) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST([] AS VARCHAR[])
+  UNION ALL SELECT o.n, o.doc_id, NOT list_has_any(f.taken, o.keys), CASE WHEN list_has_any(f.taken, o.keys) THEN f.taken ELSE list_concat(f.taken, o.keys) END FROM f JOIN o ON o.n = f.n + 1)
+SELECT doc_id FROM k WHERE doc_id NOT IN (SELECT doc_id FROM q) UNION ALL SELECT doc_id FROM f WHERE stays""",
+)
+def minhash_near_dedup(spark, sf_dir):
+    """A document goes if an earlier one that stays shares a band of its signature."""
+    return minhash.near_dedup(load(spark, sf_dir, "documents"), "doc_id", "text", perms=_PERMS).withColumnRenamed("id", "doc_id")

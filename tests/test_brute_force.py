@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import entities as E
 from ledgerloom.functions import text as T
-from ledgerloom.operators import corpus, episodes, features, graph, metrics, reports, rewards, sampling, scrub, tokens
+from ledgerloom.operators import corpus, episodes, features, graph, metrics, paths, reports, rewards, sampling, scrub, tokens
 from ledgerloom.plans import registry, texts
 from ledgerloom.sources import loaders, readers, writers
 
@@ -94,7 +94,7 @@ def test_betweenness(spark):
             follow[a].add(b)
     ids = sorted({x for a in arcs for x in a})
 
-    def paths(s):
+    def routes(s):
         """All shortest paths from s, by length."""
         found, frontier, seen = defaultdict(list), [(s,)], {s}
         while frontier:
@@ -107,13 +107,17 @@ def test_betweenness(spark):
 
     want = dict.fromkeys(ids, 0.0)
     for s in ids:
-        for some in paths(s).values():
+        for some in routes(s).values():
             for v in ids:
                 want[v] += sum(v in p[1:-1] for p in some) / len(some)
     n = len(ids)
-    got = {r.id: r.betweenness for r in graph.betweenness(spark.createDataFrame(arcs, "src int, dst int")).collect()}
-    assert got == pytest.approx({v: x / ((n - 1) * (n - 2)) for v, x in want.items()})
-    assert {r.betweenness for r in graph.betweenness(spark.createDataFrame(arcs, "src int, dst int"), most_nodes=5).collect()} == {0.0}
+    want = {v: x / ((n - 1) * (n - 2)) for v, x in want.items()}
+    frame = spark.createDataFrame(arcs, "src int, dst int")
+    assert {r.id: r.betweenness for r in paths.betweenness(frame).collect()} == pytest.approx(want)
+    # In several batches; all nodes as samples of a graph that counts as large.
+    assert {r.id: r.betweenness for r in paths.betweenness(frame, most_nodes=5, samples=n, batch_rows=60).collect()} == pytest.approx(want)
+    some = {r.id: r.betweenness for r in paths.betweenness(frame, most_nodes=5, samples=9).collect()}
+    assert any(some.values()) and max(abs(some[v] - want[v]) for v in want) < paths.sampling_error(n, 9)
 
 
 def test_weighted_pagerank(spark):
