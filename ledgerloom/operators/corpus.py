@@ -109,7 +109,7 @@ def exact_dedup(df: DataFrame, text: str, order: str) -> DataFrame:
 
 
 def prefix_dedup(df: DataFrame, text: str, order: str, n: int = 500) -> DataFrame:
-    return first_by(df, F.xxhash64(F.substring(text, 1, n)), order)
+    return first_by(df, F.sha2(F.substring(text, 1, n), 256), order)
 
 
 def bucket_pairs(df: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
@@ -185,11 +185,10 @@ def corpus_stats(df: DataFrame) -> DataFrame:
     sized = df.select("source", "category", "lang", F.length("text").alias("chars"), F.size(T.words(F.col("text"))).alias("words"))
     # Aggregated to the few (source, category, lang) first; grouping sets expand that short table, not the texts.
     small = sized.groupBy("source", "category", "lang").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("words").alias("words"))
-    small.createOrReplaceTempView("__corpus_stats")
-    return df.sparkSession.sql("""
-        SELECT CASE grouping_id(source, category, lang) WHEN 7 THEN 'all' WHEN 3 THEN 'source' WHEN 5 THEN 'category' ELSE 'lang' END AS grouping,
-               coalesce(source, category, lang, '') AS key, sum(n) AS n, sum(chars) AS chars, sum(words) AS words
-        FROM __corpus_stats GROUP BY source, category, lang GROUPING SETS ((), (source), (category), (lang))""")
+    level = F.grouping_id("source", "category", "lang")
+    name = F.when(level == 7, "all").when(level == 3, "source").when(level == 5, "category").otherwise("lang")
+    sets = small.groupingSets([[], ["source"], ["category"], ["lang"]], "source", "category", "lang")
+    return sets.agg(name.alias("grouping"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("words").alias("words")).select("grouping", F.coalesce("source", "category", "lang", F.lit("")).alias("key"), "n", "chars", "words")
 
 
 def pack_documents(df: DataFrame, shard: str, order: str, length: str, size: int = 512) -> DataFrame:
@@ -268,56 +267,3 @@ def suspicious_patterns(actions: Column) -> Column:
 def incremental(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` whose key ``old`` lacks."""
     return new.join(old.select(key).distinct(), key, "left_anti")
-
-
-def sections(df: DataFrame, id: str, text: str, header: str, least: int = 100) -> DataFrame:
-    """(id, section, title, content): a header line starts a section; contents of ``least`` characters or fewer are dropped."""
-    lines = df.select(id, F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-    is_header = F.col("line").rlike(header) | ((F.length(F.trim("line")).between(11, 99)) & (F.col("line") == F.upper("line")) & F.col("line").rlike("[A-Z]"))
-    order = W.partitionBy(id).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    numbered = lines.withColumn("h", is_header).withColumn("section", F.sum(F.col("h").cast("int")).over(order))
-    body = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("at", "h", "line"))), lambda x: ~x["h"]), lambda x: x["line"]), "\n")
-    grouped = numbered.groupBy(id, "section").agg(F.min(F.when(F.col("h"), F.col("line"))).alias("title"), body.alias("content"))
-    return grouped.where(F.length("content") > least)
-
-
-# Headers of sections; the group is the title.
-HEADERS = [
-    r"^(?:CHAPTER|Chapter)\s+\d+[:\.]?\s*(.+)$",
-    r"^(?:SECTION|Section)\s+\d+[:\.]?\s*(.+)$",
-    r"^(?:\d+\.)+\s+(.+)$",
-    r"^(?:ANNEX|Annex)\s+\w+[:\.]?\s*(.+)$",
-    r"^(?:APPENDIX|Appendix)\s+\w+[:\.]?\s*(.+)$",
-    r"^Case\s+(?:Study|Example)\s*\d*[:\.]?\s*(.*)$",
-    r"^(?:Box|Figure|Table)\s+\d+[:\.]?\s*(.+)$",
-]
-
-
-def header_title(line: Column) -> Column:
-    """The title if the (trimmed) line is a header: of one of the seven kinds, or all in capitals with 11 to 99 characters; else null."""
-    title = F.lit(None).cast("string")
-    for p in reversed(HEADERS):
-        title = F.when(line.rlike("(?i)" + p), F.regexp_extract(line, "(?i)" + p, 1)).otherwise(title)
-    capitals = (F.length(line) > 10) & (F.length(line) < 100) & (line == F.upper(line)) & (line != F.lower(line))
-    return F.coalesce(title, F.when(capitals, line))
-
-
-def titled_sections(df: DataFrame, id: str, text: str, least: int = 100) -> DataFrame:
-    """(id, section, title, content): a header line starts a section, titled by its own words ("Introduction" before the first).
-
-    Lines are trimmed; contents, trimmed too, of ``least`` characters or fewer are dropped. A text is folded in its own
-    row, so no text's lines are sorted or gathered by a shuffle.
-    """
-    lines = F.transform(F.split(text, "\n", -1), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
-    parts = "array<struct<title:string,lines:array<string>>>"
-    start = F.array(F.struct(F.lit("Introduction").alias("title"), F.array().cast("array<string>").alias("lines"))).cast(parts)
-
-    def step(acc: Column, line: Column) -> Column:
-        title, last = header_title(line), F.element_at(acc, -1)
-        new = F.array(F.struct(F.when(title == "", line).otherwise(title).alias("title"), F.array().cast("array<string>").alias("lines")))
-        longer = F.array(F.struct(last["title"].alias("title"), F.concat(last["lines"], F.array(line)).alias("lines")))
-        return F.when(title.isNotNull(), F.concat(acc, new)).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), longer)).cast(parts)
-
-    rows = df.select(id, F.posexplode(F.aggregate(lines, start, step)).alias("section", "s"))
-    content = F.regexp_replace(F.array_join("s.lines", "\n"), r"^\s+|\s+$", "")
-    return rows.select(id, "section", F.col("s.title").alias("title"), content.alias("content")).where(F.length("content") > least)

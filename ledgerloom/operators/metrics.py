@@ -228,15 +228,3 @@ def top_label(scored: DataFrame) -> DataFrame:
     """(id, label, score): confidence of the most probable class (the first of equals), and whether it is the true one."""
     top = F.array_max("probs")
     return scored.select("id", (F.array_position("probs", top) - 1 == F.col("truth")).cast("int").alias("label"), top.alias("score"))
-
-
-def isotonic(scored: DataFrame) -> DataFrame:
-    """(score, calibrated): the rising step function closest to the labels, by pooling of adjacent violators, at each distinct score.
-
-    Scores are counted first, and the weighted means of distinct scores pooled by Spark ML, in ranges in parallel, then at once.
-    """
-    from pyspark.ml.regression import IsotonicRegression
-
-    counts = scored.groupBy("score").agg(F.count("*").cast("double").alias("w"), F.avg(F.col("label").cast("double")).alias("y"))
-    model = IsotonicRegression(featuresCol="score", labelCol="y", weightCol="w", predictionCol="calibrated").fit(counts)
-    return model.transform(counts).select("score", "calibrated")

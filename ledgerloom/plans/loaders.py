@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import entities as E
 from ledgerloom.functions import text as T
-from ledgerloom.operators import corpus
+from ledgerloom.operators import corpus, sections
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.texts import S, _quoted, narratives, samples
 from ledgerloom.sources import loaders
@@ -276,5 +276,5 @@ def distributions(spark, sf_dir):
 @query("narrative_sections")
 def narrative_sections(spark, sf_dir):
     """Sections by the seven kinds of headers, each with its typologies and whether it is a case study."""
-    out = corpus.titled_sections(narratives(spark, sf_dir), "doc_id", "text")
+    out = sections.titled_sections(narratives(spark, sf_dir), "doc_id", "text")
     return out.select("doc_id", "section", "title", F.array_join(T.keyword_tags(F.col("content"), T.KEYWORDS), "|").alias("typologies"), E.is_case_study(F.col("content")).alias("is_case_study"))

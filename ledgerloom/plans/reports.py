@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import corpus, graph, metrics, reports, sampling
+from ledgerloom.operators import corpus, graph, isotonic, metrics, reports, sampling
 from ledgerloom.plans.episodes import E, steps
 from ledgerloom.plans.graph import G, edges
 from ledgerloom.plans.ranking import SCORED_SQL, _rounded, scored
@@ -251,7 +251,7 @@ def ece_quantile(spark, sf_dir):
 
 @query("isotonic_calibration")
 def isotonic_calibration(spark, sf_dir):
-    return _rounded(metrics.isotonic(scored(spark, sf_dir)), "score")
+    return _rounded(isotonic.isotonic(scored(spark, sf_dir)), "score")
 
 
 @query(

@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import corpus, monitor
 from ledgerloom.operators.graph import cut
 from ledgerloom.plans.registry import query
-from ledgerloom.sources import readers, writers
+from ledgerloom.sources import bson, readers, writers
 from ledgerloom.sources.tables import load, rounded
+from ledgerloom.streaming import buffer
 from ledgerloom.streaming import dedup as stream
 
 
@@ -119,12 +121,43 @@ def stream_drift(spark, sf_dir):
 
 @query("stream_jsonl_shuffled", "SELECT doc_id, lang FROM documents")
 def stream_jsonl_shuffled(spark, sf_dir):
-    """JSON lines as a stream, each micro-batch dealt out anew: the same rows, whatever their order."""
+    """JSON lines as a stream, through shuffle buffers of a hundred records: the same rows, whatever their order (which tests compare)."""
     at = _folder(spark, "lines")
     source = load(spark, sf_dir, "documents").select("doc_id", "lang")
     source.repartition(3).write.json(at)
     rows = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).json(at)
-    return stream.run_once(stream.shuffled(rows), _folder(spark, "shuffled"), "append", _folder(spark, "state"))
+    return buffer.shuffled_once(rows, "doc_id", _folder(spark, "shuffled"), _folder(spark, "state"), size=100).select("doc_id", "lang")
+
+
+@query("bson_round_trip", "SELECT sale_id, client_id, status, total, strftime(sold_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS sold_at, CAST(priority AS VARCHAR) AS priority FROM sales")
+def bson_round_trip(spark, sf_dir):
+    """Sales as BSON documents, in plain and in xz files, read back by splits."""
+    rows = load(spark, sf_dir, "sales").select("sale_id", "client_id", "status", "total", "sold_at", F.col("priority").cast("string").alias("priority"))
+    at = _folder(spark, "bson")
+    packed = F.pmod(F.xxhash64("sale_id"), F.lit(4)) == 0
+    bson.write_bson(rows.where(~packed), at)
+    bson.write_bson(rows.where(packed).coalesce(2), at, packed=True)
+    documents = bson.read_bson(spark, at, split_bytes=1 << 18)
+    form = "sale_id bigint, client_id bigint, status string, total double, sold_at string, priority string"
+    return documents.select(F.from_json("document", form).alias("d")).select("d.*")
+
+
+@query(
+    "pipeline_events",
+    r"""WITH a AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), b AS (SELECT * FROM a WHERE length(text) BETWEEN 100 AND 100000), c AS (SELECT min(doc_id) AS doc_id FROM b GROUP BY trim(regexp_replace(lower(text), '\s+', ' ', 'g')))
+SELECT 0 AS place, 'loaded' AS stage, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM a UNION ALL SELECT 1, 'length', count(*), CAST(coalesce(sum(length(text)), 0) AS BIGINT) FROM b UNION ALL SELECT 2, 'unique', count(*), CAST(coalesce(sum(length(text)), 0) AS BIGINT) FROM b WHERE doc_id IN (SELECT doc_id FROM c)""",
+)
+def pipeline_events(spark, sf_dir):
+    """Counts of three stages as callbacks got them while the last one was written."""
+    events: list[tuple[int, str, int, int]] = []
+    watch = monitor.Monitor()
+    watch.add_callback(lambda stage, data: events.append((len(events), stage, data["rows"], data["chars"] or 0)) if data else None)
+    chars = F.sum(F.length("text"))
+    docs = watch.stage(load(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), "loaded", chars=chars)
+    sized = cut(watch.stage(docs.where(F.length("text").between(100, 100_000)), "length", chars=chars))
+    kept = watch.stage(corpus.exact_dedup(sized, "text", "doc_id"), "unique", chars=chars)
+    watch.run(lambda: kept.write.parquet(_folder(spark, "kept")))
+    return spark.createDataFrame(events, "place int, stage string, n bigint, chars bigint")
 
 
 @query("graph_cache", "SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1)) AS sources, 'star' AS name FROM (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")

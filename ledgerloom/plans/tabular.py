@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import features
+from ledgerloom.operators import features, nested
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import ORDER, ORDER_SQL, TX_SQL, load, rounded, transactions
 
@@ -232,6 +232,18 @@ def json_metadata(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("meta_k"))
 
 
+@query(
+    "json_flatten",
+    """WITH v AS (SELECT click_id, CASE WHEN json_valid(props) THEN props END AS p FROM clicks)
+SELECT click_id, json_extract_string(p, '$.device.os') AS meta_device_os, json_extract_string(p, '$.device.ver') AS meta_device_ver, json_extract_string(p, '$.k') AS meta_k, CAST(json_extract(p, '$.tags') AS VARCHAR) AS meta_tags,
+'[' || array_to_string(list_transform(CAST(json_extract(p, '$.items') AS JSON[]), lambda x: '{"qty":' || json_extract_string(x, '$.qty') || ',"sku":' || json_extract_string(x, '$.sku') || '}'), ',') || ']' AS meta_items FROM v""",
+)
+def json_flatten(spark, sf_dir):
+    """Nested properties of clicks, of forms that differ from row to row, some of them broken."""
+    flat = nested.flatten_json(load(spark, sf_dir, "clicks").select("click_id", "props"), "props")
+    return flat.select("click_id", *[F.col(c).cast("string") for c in ("meta_device_os", "meta_device_ver", "meta_k", "meta_tags", "meta_items")])
+
+
 @query(
     "fraud_ratio_sample",
     f"""WITH {TX_SQL}, k AS (SELECT *, md5('7:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || CAST(CAST(round(amount * 100) AS BIGINT) AS VARCHAR)) AS h FROM tx),

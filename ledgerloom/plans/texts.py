@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import corpus, minhash, sampling
+from ledgerloom.operators import corpus, minhash, sampling, sections
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import load, rounded
 
@@ -397,7 +397,7 @@ def run_incremental(spark, sf_dir):
 
 @query("split_into_sections")
 def split_into_sections(spark, sf_dir):
-    out = corpus.titled_sections(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    out = sections.titled_sections(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return out.select("doc_id", "section", "title", F.md5("content").alias("h"))
 
 

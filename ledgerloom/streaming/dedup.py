@@ -33,12 +33,6 @@ def scrubbed(stream: DataFrame, id: str, text: str) -> DataFrame:
     return scrub.scrub(stream, id, text)
 
 
-def shuffled(stream: DataFrame, seed: int = 7) -> DataFrame:
-    """Records of a micro-batch in random order of a stated seed: the batch is the buffer, dealt out and sorted by a hash in every task."""
-    order = F.xxhash64(F.lit(seed), F.to_json(F.struct("*")))
-    return stream.withColumn("__h", order).repartition("__h").drop("__h")
-
-
 def finished_episodes(stream: DataFrame, key: str, reward: str, hit: str, done: str) -> DataFrame:
     """(key, steps, total, hits) of each episode once a row says that it is done; sums are kept as state until then, and dropped after."""
     kind = dict(stream.dtypes)[key]

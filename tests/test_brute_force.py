@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import entities as E
 from ledgerloom.functions import text as T
-from ledgerloom.operators import corpus, episodes, features, graph, metrics, paths, reports, rewards, sampling, scrub, tokens
+from ledgerloom.operators import corpus, episodes, features, graph, isotonic, metrics, paths, reports, rewards, sampling, scrub, sections, tokens
 from ledgerloom.plans import registry, texts
 from ledgerloom.sources import loaders, readers, writers
 
@@ -64,9 +64,11 @@ def test_lru_cache(spark):
     assert {r.shard: (r["size"], r.hits, r.misses, r.hit_rate) for r in got} == want
 
 
-def test_isotonic(spark):
+@pytest.mark.parametrize("parts, shape", [(1, 0.3), (7, 0.3), (16, "rising"), (16, "falling")])
+def test_isotonic(spark, parts, shape):
     rng = random.Random(3)
-    rows = [(rng.randrange(40) / 40, int(rng.random() < 0.3)) for _ in range(300)]
+    at = {"rising": lambda k: k / 60, "falling": lambda k: 1 - k / 60}.get(shape, lambda k: shape)
+    rows = [(k / 60, int(rng.random() < at(k))) for k in (rng.randrange(60) for _ in range(500))]
     by = defaultdict(list)
     for s, y in rows:
         by[s].append(y)
@@ -77,7 +79,7 @@ def test_isotonic(spark):
             y, n, at = blocks.pop()
             blocks[-1] = [blocks[-1][0] + y, blocks[-1][1] + n, blocks[-1][2] + at]
     want = {s: y / n for y, n, at in blocks for s in at}
-    got = {r.score: r.calibrated for r in metrics.isotonic(spark.createDataFrame(rows, "score double, label int")).collect()}
+    got = {r.score: r.calibrated for r in isotonic.isotonic(spark.createDataFrame(rows, "score double, label int"), parts=parts).collect()}
     assert got == pytest.approx(want)
 
 
@@ -185,14 +187,14 @@ def test_sections(spark):
 
     for line in text.split("\n"):
         line = line.strip()
-        m = next((m for p in corpus.HEADERS if (m := re.match(p, line, re.I))), None)
+        m = next((m for p in sections.HEADERS if (m := re.match(p, line, re.I))), None)
         if m or (line.isupper() and 10 < len(line) < 100):
             flush()
             title, lines = (m[1] if m else line) or line, []
         else:
             lines.append(line)
     flush()
-    got = corpus.titled_sections(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string"), "id", "text").orderBy("section").collect()
+    got = sections.titled_sections(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string"), "id", "text").orderBy("section").collect()
     assert [(r.title, r.content) for r in got] == want and len(want) >= 5
 
 
