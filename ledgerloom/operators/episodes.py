@@ -224,3 +224,39 @@ def anomaly_pairwise(vectors: DataFrame, id: str, vector: str, blocks: int = 8)
     each = rows.join(F.broadcast(totals)).select(id, ((F.col("n") * F.col("q") + F.col("t") - 2 * dot(F.col("x"), F.col("s"))) / F.greatest(F.col("n") - 1, F.lit(1))).alias("m"))
     ends = each.agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
     return each.join(F.broadcast(ends)).select(id, ((F.col("m") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8)).alias("score"))
+
+
+def exploration_rates(steps: DataFrame, episode: str, node: str, fraud_edge: Column, fraud_node: Column, flagged: Column | None = None) -> DataFrame:
+    """Of each episode: edges walked and those of fraud, distinct nodes and those of fraud, their rates, and nodes an edge; with ``flagged``, precision, recall and F1 of flags on edges.
+
+    Nodes are counted in two steps, first by (episode, node), so an episode of any length is reduced in map tasks. A node is one of fraud if any visit says so.
+    """
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    flags = [one(flagged & fraud_edge).alias("tp"), one(flagged & ~fraud_edge).alias("fp"), one(~flagged & fraud_edge).alias("fn")] if flagged is not None else []
+    by_node = steps.groupBy(episode, node).agg(F.count("*").alias("n"), one(fraud_edge).alias("hits"), F.max(fraud_node.cast("int")).alias("bad"), *flags)
+    names = [f for f in ("tp", "fp", "fn") if flagged is not None]
+    total = by_node.groupBy(episode).agg(F.sum("n").alias("edges"), F.sum("hits").alias("fraud_edges_found"), F.count(node).alias("unique_nodes_explored"), F.sum(F.when(F.col(node).isNotNull(), F.coalesce("bad", F.lit(0))).otherwise(0)).alias("fraud_nodes_visited"), *[F.sum(f).alias(f) for f in names])
+    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    out = total.select(
+        episode,
+        "fraud_edges_found",
+        share("fraud_edges_found", "edges").alias("fraud_edge_discovery_rate"),
+        "unique_nodes_explored",
+        "fraud_nodes_visited",
+        share("fraud_nodes_visited", "unique_nodes_explored").alias("fraud_node_rate"),
+        share("unique_nodes_explored", "edges").alias("exploration_efficiency"),
+        *names,
+    )
+    if flagged is None:
+        return out
+    p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
+    return out.withColumns({"precision": p, "recall": r, "f1": 2 * p * r / F.greatest(p + r, F.lit(1e-8))}).drop(*names)
+
+
+def coordination_stats(messages: DataFrame, episode: str, step: str, kind: str, proposals: str) -> DataFrame:
+    """(episode, total_steps, messages, kinds, avg_proposals_per_step): what agents sent each other; steps are counted by (episode, step) first."""
+    by_step = messages.groupBy(episode, step, kind).agg(F.count("*").alias("n"), F.sum(F.coalesce(proposals, F.lit(0))).alias("p"))
+    by_kind = by_step.groupBy(episode, kind).agg(F.sum("n").alias("n"))
+    kinds = by_kind.groupBy(episode).agg(F.array_sort(F.collect_list(F.concat_ws("=", kind, "n"))).alias("kinds"), F.sum("n").alias("messages"))
+    each = by_step.groupBy(episode, step).agg(F.sum("p").alias("p")).groupBy(episode).agg(F.count("*").alias("total_steps"), F.avg("p").alias("avg_proposals_per_step"))
+    return each.join(kinds, episode).select(episode, "total_steps", "messages", F.array_join("kinds", ",").alias("kinds"), "avg_proposals_per_step")

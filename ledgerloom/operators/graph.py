@@ -323,3 +323,10 @@ def unbatched(batch: DataFrame, starts: DataFrame) -> DataFrame:
     """
     ranges = starts.select("graph", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("at"))
     return batch.join(ranges, "at").select("graph", (F.col("at") - F.col("first")).alias("node"), (F.col("at") == F.col("first")).alias("is_first"))
+
+
+def candidate_proposals(edges: DataFrame, visited: DataFrame, proposed: DataFrame, *, by: str | None = None) -> DataFrame:
+    """(id): targets of edges from visited nodes (id) that are neither visited nor proposed (id) yet; with ``by``, of each of its values on its own."""
+    keys = [by, "id"] if by else ["id"]
+    ahead = edges.select(F.col("src").alias("id"), "dst").distinct().join(visited.select(*keys).distinct(), "id").select(*([by] if by else []), F.col("dst").alias("id")).distinct()
+    return ahead.join(visited.select(*keys).distinct(), keys, "left_anti").join(proposed.select(*keys).distinct(), keys, "left_anti")

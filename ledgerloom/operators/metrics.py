@@ -193,13 +193,47 @@ def confidence_errors(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     )
 
 
+def marginal_ece(scored: DataFrame, bins: int = 15) -> DataFrame:
+    """(ece): the mean over classes of their errors one against all, from (truth, probs)."""
+    return classwise(scored, bins).agg(F.avg("ece").alias("ece"))
+
+
+def binary_nll(t: float) -> Column:
+    """Negative log likelihood of a row (logit, label) at a temperature."""
+    z = F.col("logit") / t
+    return F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - z * F.col("label")
+
+
+def softmax_nll(t: float) -> Column:
+    """Negative log likelihood of a row (logits, label) of several classes, or of a token of a vocabulary, at a temperature."""
+    z = F.transform("logits", lambda x: x / t)
+    top = F.array_max(z)
+    whole = F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return F.log(whole) + top - F.get(z, F.col("label"))
+
+
+def best_temperature(logits: DataFrame, nll=binary_nll, *, low: float = 0.05, high: float = 10.0, passes: int = 5, points: int = 21) -> DataFrame:
+    """(temperature, nll): where the mean negative log likelihood is least; one row, of nulls without rows.
+
+    Each pass over the rows takes ``points`` temperatures between two bounds at once; the next one takes the range between the
+    neighbours of the best. The likelihood has one minimum over the temperature, so it is never left behind. A float goes to the driver a point.
+    """
+    spark, best = logits.sparkSession, (None, None)
+    for _ in range(passes):
+        step = (high - low) / (points - 1)
+        at = [low + k * step for k in range(points)]
+        row = logits.agg(*[F.avg(nll(t)).alias(f"t{k}") for k, t in enumerate(at)]).first()
+        if row[0] is None:
+            break
+        k = min(range(points), key=lambda k: row[k])
+        best = (at[k], row[k])
+        low, high = at[max(k - 1, 0)], at[min(k + 1, points - 1)]
+    return spark.createDataFrame([best], "temperature double, nll double")
+
+
 def temperature_grid(logits: DataFrame, temperatures: list[float]) -> DataFrame:
     """(temperature, nll): mean negative log likelihood at each temperature, in one pass over (logit, label)."""
-    def nll(t: float) -> Column:
-        z = F.col("logit") / t
-        return F.avg(F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - z * F.col("label"))
-
-    row = logits.agg(*[nll(t).alias(str(k)) for k, t in enumerate(temperatures)])
+    row = logits.agg(*[F.avg(binary_nll(t)).alias(str(k)) for k, t in enumerate(temperatures)])
     pairs = F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"`{k}`").alias("nll")) for k, t in enumerate(temperatures)])
     return row.select(F.inline(pairs))
 

@@ -94,3 +94,16 @@ def temporal_weights(df: DataFrame, t: str, decay: float) -> DataFrame:
     """``df`` with ``weight``: exp(decay * t) over its mean; the mean is one row, broadcast."""
     w = F.exp(decay * F.col(t).cast("double"))
     return df.join(F.broadcast(df.agg(F.avg(w).alias("__mean")))).withColumn("weight", w / F.col("__mean")).drop("__mean")
+
+
+def drawn(df: DataFrame, group: str, item: str, logit: str, temperature: float, *, seed: int = 7, draws: int = 1) -> DataFrame:
+    """(group, draw, item): for each group, ``draws`` items with chances in the proportion exp(logit / temperature), each draw from all items.
+
+    The item with the largest logit / temperature plus a Gumbel number has just these chances, so a draw is an aggregate that map tasks
+    reduce; the number comes from a digest of seed, draw, group and item, so draws repeat. Rows without a logit can't be drawn.
+    """
+    rows = df.where(F.col(logit).isNotNull()).select(group, item, F.col(logit).alias("__l"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", group, item))
+    u = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
+    score = F.col("__l") / temperature - F.log(-F.log(u))
+    return rows.groupBy(group, "draw").agg(F.max(F.struct(score.alias("s"), F.col(item).alias("i"))).alias("m")).select(group, "draw", F.col("m.i").alias(item))

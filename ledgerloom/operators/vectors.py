@@ -47,7 +47,8 @@ def account_vectors(tx: DataFrame, edges: DataFrame) -> DataFrame:
     d = graph.degrees(edges)
     n = d.agg(F.count("*").alias("nodes"))
     place = d.join(F.broadcast(n)).withColumn("degree_centrality", F.when(F.col("nodes") > 1, F.col("degree") / (F.col("nodes") - 1)).otherwise(0.0)).drop("nodes")
-    return stats.join(place, "id", "left").withColumn("clustering_coefficient", F.lit(None).cast("double")).select("id", node_vector().alias("v"))
+    near = graph.clustering(edges).select("id", F.col("clustering").alias("clustering_coefficient"))
+    return stats.join(place, "id", "left").join(near, "id", "left").select("id", node_vector().alias("v"))
 
 
 def edge_vectors(edges: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -123,8 +124,3 @@ def periodicity(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id"), "step")
     stats = ends.groupBy("id").agg(F.count("*").alias("n"), F.avg("step").alias("m"), F.stddev_pop("step").alias("s"))
     return stats.select("id", F.when((F.col("n") < 2) | (F.col("m") == 0), 0.0).otherwise(1 / (1 + F.col("s") / F.col("m"))).alias("periodicity"))
-
-
-def checksum(v: Column) -> Column:
-    """Sum of each value times its place, by which vectors are compared."""
-    return F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)

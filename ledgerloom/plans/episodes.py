@@ -251,3 +251,33 @@ def priority_queue_typed(spark, sf_dir):
     """Messages of one type, none to its own sender."""
     e = load(spark, sf_dir, "events").where("event_type = 'purchase'").select((F.col("user_id") % 10).alias("agent"), (F.col("event_id") % 10).alias("sender"), "event_id", "value")
     return episodes.priority_queue(e.where("sender <> agent"), "agent", "value", "event_id", 5).select("agent", "event_id", "position")
+
+
+@query(
+    "exploration_rates",
+    """WITH x AS (SELECT client_id AS c, json_extract_string(CASE WHEN json_valid(props) THEN props END, '$.k') AS node, coalesce(kind = 'error', false) AS fe, coalesce(value > 80, false) AS fl FROM clicks WHERE client_id IS NOT NULL),
+t AS (SELECT c, count(*) AS edges, count(*) FILTER (fe) AS fraud_edges_found, count(DISTINCT node) AS unique_nodes_explored, count(DISTINCT node) FILTER (fe) AS fraud_nodes_visited, count(*) FILTER (fl AND fe) AS tp, count(*) FILTER (fl AND NOT fe) AS fp, count(*) FILTER (NOT fl AND fe) AS fn FROM x GROUP BY c),
+r AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM t)
+SELECT c AS client_id, fraud_edges_found, round(fraud_edges_found / greatest(edges, 1), 6) AS fraud_edge_discovery_rate, unique_nodes_explored, fraud_nodes_visited, round(fraud_nodes_visited / greatest(unique_nodes_explored, 1), 6) AS fraud_node_rate, round(unique_nodes_explored / greatest(edges, 1), 6) AS exploration_efficiency,
+round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / greatest(p + r, 1e-8), 6) AS f1 FROM r""",
+)
+def exploration_rates(spark, sf_dir):
+    """A client's clicks as an episode: errors are finds, places are what a click's properties name, and clicks of a high value are flagged."""
+    clicks = load(spark, sf_dir, "clicks").where("client_id IS NOT NULL").select("client_id", F.get_json_object("props", "$.k").alias("node"), "kind", "value", "props")
+    clicks = clicks.withColumn("node", F.when(F.try_parse_json("props").isNotNull(), F.col("node")))
+    hit, flagged = F.coalesce(F.col("kind") == "error", F.lit(False)), F.coalesce(F.col("value") > 80, F.lit(False))
+    out = episodes.exploration_rates(clicks, "client_id", "node", hit, hit, flagged)
+    return _r(out, "client_id", "fraud_edges_found", "unique_nodes_explored", "fraud_nodes_visited", places=6)
+
+
+@query(
+    "coordination_stats",
+    """WITH s AS (SELECT conv_id, turn, coalesce(role, '') AS kind, count(*) AS n, sum(len(regexp_extract_all(coalesce(text, ''), '\\?'))) AS p FROM conversations GROUP BY 1, 2, 3),
+k AS (SELECT conv_id, string_agg(kind || '=' || n, ',' ORDER BY kind || '=' || n) AS kinds, sum(n) AS messages FROM (SELECT conv_id, kind, sum(n) AS n FROM s GROUP BY 1, 2) GROUP BY conv_id),
+t AS (SELECT conv_id, count(*) AS total_steps, avg(p) AS avg_proposals_per_step FROM (SELECT conv_id, turn, sum(p) AS p FROM s GROUP BY 1, 2) GROUP BY conv_id)
+SELECT t.conv_id, total_steps, CAST(messages AS BIGINT) AS messages, kinds, round(avg_proposals_per_step, 6) AS avg_proposals_per_step FROM t JOIN k ON t.conv_id = k.conv_id""",
+)
+def coordination_stats(spark, sf_dir):
+    """Conversations as message buses: turns are steps, roles kinds of messages, questions proposals."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("kind"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\?")).alias("asked"))
+    return _r(episodes.coordination_stats(rows, "conv_id", "turn", "kind", "asked"), "conv_id", "total_steps", "messages", "kinds", places=6)

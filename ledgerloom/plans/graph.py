@@ -247,14 +247,13 @@ def node_suspiciousness(spark, sf_dir):
 
 @query(
     "candidate_proposals",
-    f"WITH {G}, v AS (SELECT * FROM edges WHERE fraud = 1 AND step < 100) SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT src FROM v) AND dst NOT IN (SELECT dst FROM v)",
+    f"WITH {G}, v AS (SELECT DISTINCT src AS id FROM edges WHERE fraud = 1), p AS (SELECT DISTINCT dst AS id FROM edges WHERE fraud = 1) SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM v) AND dst NOT IN (SELECT id FROM v) AND dst NOT IN (SELECT id FROM p)",
 )
 def candidate_proposals(spark, sf_dir):
-    """Neighbours of visited accounts that are neither visited nor proposed yet."""
-    e = edges(spark, sf_dir)
-    fraud = e.where("fraud = 1 and step < 100")
-    near = e.join(fraud.select("src").distinct(), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-    return near.join(fraud.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    """Payees of all who paid fraud, without those that fraud was paid to (these are proposed already)."""
+    e = graph.cut(edges(spark, sf_dir))
+    fraud = e.where("fraud = 1")
+    return graph.candidate_proposals(e, fraud.select(F.col("src").alias("id")), fraud.select(F.col("dst").alias("id")))
 
 
 @query(

@@ -202,6 +202,25 @@ def temperature_grid(spark, sf_dir):
     return _rounded(metrics.temperature_grid(logits, [round(0.1 + 0.1 * i, 1) for i in range(50)]))
 
 
+def _zoomed(nll: str, rows: str, passes: int = 5, points: int = 21, low: float = 0.05, high: float = 10.0) -> str:
+    """Common table expressions of a minimum that is narrowed pass by pass, as best_temperature does; the last is named best."""
+    out = f"b0 AS (SELECT {low}::DOUBLE AS low, {high}::DOUBLE AS high)"
+    for k in range(1, passes + 1):
+        out += f""", g{k} AS (SELECT low + i * ((high - low) / {points - 1}) AS t, i, low, high FROM b{k - 1}, range({points}) AS r(i)), n{k} AS (SELECT t, i, any_value(low) AS low, any_value(high) AS high, avg({nll}) AS nll FROM {rows}, g{k} GROUP BY t, i),
+m{k} AS (SELECT arg_min(t, nll) AS t, min(nll) AS nll, arg_min(i, nll) AS i FROM n{k}), b{k} AS (SELECT (SELECT max(t) FROM n{k} WHERE n{k}.i = greatest(m{k}.i - 1, 0)) AS low, (SELECT max(t) FROM n{k} WHERE n{k}.i = least(m{k}.i + 1, {points - 1})) AS high FROM m{k})"""
+    return out + f", best AS (SELECT t AS temperature, nll FROM m{passes})"
+
+
+@query(
+    "best_temperature",
+    f"WITH {SCORED_SQL}, l AS (SELECT label, 8 * score - 4 AS z FROM s), {_zoomed('ln(1 + exp(-abs(z / t))) + greatest(z / t, 0) - z / t * label', 'l')} SELECT round(temperature, 3) AS temperature, round(nll, 6) AS nll FROM best",
+)
+def best_temperature(spark, sf_dir):
+    """Of scores as logits; the minimum is found in five passes."""
+    logits = scored(spark, sf_dir).select("label", (8 * F.col("score") - 4).alias("logit"))
+    return metrics.best_temperature(logits).select(rounded(F.col("temperature"), 3).alias("temperature"), rounded(F.col("nll")).alias("nll"))
+
+
 @query(
     "multilabel_metrics",
     """WITH t AS (SELECT quality AS q, toxic AS x, CAST((doc_id * 7) % 10 < 8 AS INTEGER) AS pq, CAST((doc_id * 3) % 10 < 1 AS INTEGER) AS px FROM labels),

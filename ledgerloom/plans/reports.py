@@ -233,6 +233,14 @@ def classwise_calibration(spark, sf_dir):
     return _rounded(metrics.classwise(_probs(spark, sf_dir)), "class", places=5)
 
 
+@query(
+    "marginal_ece",
+    f"WITH {SCORED_SQL}, {_PROBS}, x AS (SELECT c AS class, probs[CAST(c + 1 AS INTEGER)] AS p, CAST(truth = c AS INTEGER) AS y FROM q, range(3) AS r(c)), b AS (SELECT class, least(floor(p * 15), 14) AS b, count(*) AS n, sum(p) AS s, sum(y) AS y FROM x GROUP BY 1, 2), e AS (SELECT sum(abs(y - s)) / sum(n) AS ece FROM b GROUP BY class) SELECT round(avg(ece), 5) AS ece FROM e",
+)
+def marginal_ece(spark, sf_dir):
+    return _rounded(metrics.marginal_ece(_probs(spark, sf_dir)), places=5)
+
+
 @query(
     "top_label_ece",
     f"WITH {SCORED_SQL}, {_PROBS}, x AS (SELECT list_max(probs) AS p, CAST(list_position(probs, list_max(probs)) - 1 = truth AS INTEGER) AS y FROM q), b AS (SELECT least(floor(p * 15), 14) AS b, count(*) AS n, avg(p) AS c, avg(y) AS a FROM x GROUP BY 1) SELECT round(sum(n * abs(a - c)) / sum(n), 5) AS ece, round(max(abs(a - c)), 5) AS mce FROM b",

@@ -104,6 +104,21 @@ def stream_episodes(spark, sf_dir):
     return out.select("user_id", "steps", rounded(F.col("total"), 3).alias("total"), "hits")
 
 
+@query(
+    "stream_velocity",
+    """WITH m AS (SELECT date_trunc('milliseconds', max(ts)) AS top FROM clicks), w AS (SELECT client_id, CAST(floor(epoch(ts) / (30 * 86400)) AS BIGINT) AS k, count(*) AS n FROM clicks WHERE ts IS NOT NULL GROUP BY 1, 2)
+SELECT client_id, k * 30 AS first_day, n FROM w, m WHERE (k + 1) * 30 * 86400 <= epoch(top - INTERVAL 1 DAY)""",
+)
+def stream_velocity(spark, sf_dir):
+    """Clicks of a client in windows of 30 days, given out once the watermark, a day behind the latest click, has passed a window's end."""
+    clicks = load(spark, sf_dir, "clicks").select("client_id", F.col("ts").cast("timestamp").alias("ts"))
+    at = _folder(spark, "in")
+    clicks.write.parquet(at)
+    rows = spark.readStream.schema(clicks.schema).parquet(at)
+    out = stream.run_once(stream.velocity(rows, "client_id", "ts"), _folder(spark, "velocity"), "append", _folder(spark, "state"))
+    return out.select("client_id", F.floor(F.unix_seconds("window.start") / 86400).alias("first_day"), "n")
+
+
 @query(
     "stream_drift",
     """WITH o AS (SELECT user_id % 5 AS k, event_id, value, event_id % 17 AS j FROM events), d AS (SELECT k, event_id, value - lag(value) OVER w AS a, j - lag(j) OVER w AS b, row_number() OVER (PARTITION BY k ORDER BY event_id DESC) AS r FROM o WINDOW w AS (PARTITION BY k ORDER BY event_id)),

@@ -24,11 +24,13 @@ nv AS (SELECT id, [CAST(node_type = 'customer' AS DOUBLE), CAST(node_type = 'mer
 
 
 def _sum(v: str) -> str:
-    return f"round(list_sum(list_transform({v}, lambda x, i: x * i)), 4) AS checksum, CAST(len({v}) AS INTEGER) AS size"
+    """All elements, in thousandths, and their number."""
+    return f"array_to_string(list_transform({v}, lambda x: CAST(round(x * 1000) AS BIGINT)), ',') AS elements, CAST(len({v}) AS INTEGER) AS size"
 
 
 def _checked(df, *keys):
-    return df.select(*keys, rounded(vectors.checksum(F.col("v")), 4).alias("checksum"), F.size("v").alias("size"))
+    whole = F.transform("v", lambda x: F.round(x * 1000).cast("long"))
+    return df.select(*keys, F.array_join(whole, ",").alias("elements"), F.size("v").alias("size"))
 
 
 def accounts(spark, sf_dir):
@@ -150,6 +152,16 @@ def softmax_sampling(spark, sf_dir):
     return rewards.softmax(steps(spark, sf_dir), "user_id", "value", 20.0).select("event_id", rounded(F.col("p")).alias("p"))
 
 
+@query(
+    "softmax_draw",
+    f"""WITH {E}, d AS (SELECT user_id, event_id, CAST(draw AS INTEGER) AS draw, value / 20 - ln(-ln((CAST('0x' || substr(md5('7:' || draw || ':' || user_id || ':' || event_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)) AS s FROM e, range(3) AS r(draw) WHERE value IS NOT NULL)
+SELECT user_id, draw, arg_max(event_id, s) AS event_id FROM d GROUP BY user_id, draw""",
+)
+def softmax_draw(spark, sf_dir):
+    """Three draws of each user's events, by their values."""
+    return rewards.drawn(load(spark, sf_dir, "events"), "user_id", "event_id", "value", 20.0, draws=3)
+
+
 @query(
     "augment_node_features",
     f"""WITH {G}, p AS (SELECT id, max(s) AS proposal FROM (SELECT src AS id, (step % 10) / 10 AS s FROM edges WHERE fraud = 1 UNION ALL SELECT dst, (step % 10) / 10 FROM edges WHERE fraud = 1) GROUP BY id),
