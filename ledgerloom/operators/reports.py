@@ -109,12 +109,21 @@ def histogram(df: DataFrame, key: str, value: str) -> DataFrame:
 def lru_stats(df: DataFrame, key: str, order: str, item: str, capacity: int) -> DataFrame:
     """(key, size, hits, misses, hit_rate) of a cache of ``capacity`` items for each key (a shard of requests in order).
 
-    Eviction is an ordered fold; a shard's state is bounded by ``capacity``, its requests stream through it.
+    Eviction is an ordered fold: shards are sorted in Spark and stream through a task, which holds one shard's cache at a time.
     """
-    def fold(shard: tuple, parts):
-        cache, hits, misses = OrderedDict(), 0, 0
+    kind = dict(df.dtypes)[key]
+
+    def row(shard, cache, hits, misses):
+        return pd.DataFrame({key: [shard], "size": [len(cache)], "hits": [hits], "misses": [misses], "hit_rate": [hits / (hits + misses) if hits + misses else 0.0]})
+
+    def run(parts):
+        shard, cache, hits, misses = None, None, 0, 0
         for pdf in parts:
-            for x in pdf[item]:
+            for k, x in zip(pdf[key].tolist(), pdf[item].tolist(), strict=True):
+                if cache is None or k != shard:
+                    if cache is not None:
+                        yield row(shard, cache, hits, misses)
+                    shard, cache, hits, misses = k, OrderedDict(), 0, 0
                 if x in cache:
                     cache.move_to_end(x)
                     hits += 1
@@ -123,11 +132,11 @@ def lru_stats(df: DataFrame, key: str, order: str, item: str, capacity: int) ->
                     if len(cache) >= capacity:
                         cache.popitem(last=False)
                     cache[x] = None
-        yield pd.DataFrame({key: [shard[0]], "size": [len(cache)], "hits": [hits], "misses": [misses], "hit_rate": [hits / (hits + misses) if hits + misses else 0.0]})
+        if cache is not None:
+            yield row(shard, cache, hits, misses)
 
-    rows = df.select(key, order, item).orderBy(key, order).groupBy(key)
-    kind = dict(df.dtypes)[key]
-    return rows.applyInPandas(lambda shard, pdf: next(fold(shard, [pdf.sort_values(order)])), f"{key} {kind}, size bigint, hits bigint, misses bigint, hit_rate double")
+    rows = df.where(F.col(key).isNotNull()).select(key, order, item).repartition(key).sortWithinPartitions(key, order)
+    return rows.select(key, item).mapInPandas(run, f"{key} {kind}, size bigint, hits bigint, misses bigint, hit_rate double")
 
 
 def scheme_overlap(truth: DataFrame, found: DataFrame) -> DataFrame:
