@@ -260,3 +260,12 @@ def coordination_stats(messages: DataFrame, episode: str, step: str, kind: str,
     kinds = by_kind.groupBy(episode).agg(F.array_sort(F.collect_list(F.concat_ws("=", kind, "n"))).alias("kinds"), F.sum("n").alias("messages"))
     each = by_step.groupBy(episode, step).agg(F.sum("p").alias("p")).groupBy(episode).agg(F.count("*").alias("total_steps"), F.avg("p").alias("avg_proposals_per_step"))
     return each.join(kinds, episode).select(episode, "total_steps", "messages", F.array_join("kinds", ",").alias("kinds"), "avg_proposals_per_step")
+
+
+def banded(pairs: DataFrame, id: str, a: Column, b: Column, high: float, medium: float) -> DataFrame:
+    """(id, band, weight): the cosine's band, and the distance over the largest one of all pairs (one row, broadcast); 0 where all are 0."""
+    squares = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    c = cosine(a, b)
+    rows = pairs.select(id, F.when(c >= high, "high").when(c >= medium, "medium").otherwise("low").alias("band"), F.sqrt(squares).alias("d"))
+    top = rows.agg(F.max("d").alias("top"))
+    return rows.join(F.broadcast(top)).select(id, "band", F.when(F.col("top") > 0, F.col("d") / F.col("top")).otherwise(0.0).alias("weight"))

@@ -184,3 +184,23 @@ def corpus_estimates(characters: Column, *, per_token: float = 4.0, tokens_per_s
     """Tokens, bytes of ids (4 each) and hours of training for so many characters."""
     tokens = F.floor(characters / per_token)
     return {"tokens": tokens, "id_bytes": tokens * 4, "hours": tokens * epochs / tokens_per_second / 3600}
+
+
+def proposal_encoding(proposals: DataFrame, group: str, *, most: int = 10, width: int = 4) -> DataFrame:
+    """(group, v): the ``most`` proposals of highest score as ``width`` numbers each, padded with zeros: score, 1 for an edge, priority, connectivity.
+
+    ``proposals`` has score, is_edge, is_high_priority, neighbours and place (which orders equal scores). An edge has priority above 0.7 and
+    connectivity 0.5, a node that of its neighbours, 20 being all. Ranks up to ``most`` are kept by map tasks before the shuffle.
+    """
+    edge = F.coalesce("is_edge", F.lit(False))
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    four = F.array(
+        score,
+        edge.cast("double"),
+        F.when(edge, (score > 0.7).cast("double")).otherwise(F.coalesce("is_high_priority", F.lit(False)).cast("double")),
+        F.when(edge, 0.5).otherwise(F.least(F.coalesce("neighbours", F.lit(0)) / 20, F.lit(1.0))),
+    )
+    ranked = proposals.select(group, score.alias("__s"), F.col("place").alias("__p"), four.alias("__v")).withColumn("__r", F.row_number().over(W.partitionBy(group).orderBy(F.desc("__s"), "__p")))
+    kept = ranked.where(F.col("__r") <= most).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__r", "__v"))).alias("l"))
+    flat = F.flatten(F.transform("l", lambda x: F.slice(F.concat(x["__v"], F.array_repeat(F.lit(0.0), width)), 1, width)))
+    return kept.select(group, F.slice(F.concat(flat, F.array_repeat(F.lit(0.0), most * width)), 1, most * width).alias("v"))

@@ -185,6 +185,17 @@ def cosine_to_first(spark, sf_dir):
     return c.select("vec_id", rounded(F.col("c"), 5).alias("cosine"), F.when(F.col("c") >= 0.7, "high").when(F.col("c") >= 0.3, "medium").otherwise("low").alias("band"))
 
 
+@query(
+    "similarity_bands",
+    f"WITH {_V}, f AS (SELECT x AS y FROM v WHERE vec_id = 0), c AS (SELECT vec_id, list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y)) + 1e-8) AS c, list_distance(x, y) AS d FROM v, f), m AS (SELECT max(d) AS top FROM c) SELECT vec_id, CASE WHEN c >= 0.3 THEN 'high' WHEN c >= 0.1 THEN 'medium' ELSE 'low' END AS band, round(CASE WHEN top > 0 THEN d / top ELSE 0 END, 5) AS weight FROM c, m",
+)
+def similarity_bands(spark, sf_dir):
+    """Bands of the similarity to one stated vector (a single row, broadcast), and distances as weights, over the largest one."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    one = v.where("vec_id = 0").select(F.col("x").alias("y"))
+    return episodes.banded(v.join(F.broadcast(one)), "vec_id", F.col("x"), F.col("y"), 0.3, 0.1).withColumn("weight", rounded(F.col("weight"), 5))
+
+
 @query("anomaly_zscore", f"WITH {_V}, l AS (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS d FROM v), s AS (SELECT d, avg(x) AS m, stddev_pop(x) AS s FROM l GROUP BY d), a AS (SELECT vec_id, avg(abs((x - m) / (s + 1e-8))) AS z FROM l JOIN s USING (d) GROUP BY vec_id) SELECT vec_id, round((exp(2 * z) - 1) / (exp(2 * z) + 1), 5) AS score FROM a")
 def anomaly_zscore(spark, sf_dir):
     return _r(episodes.anomaly_zscore(load(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", places=5)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import entities as E
 from ledgerloom.functions import text as T
 from ledgerloom.operators import corpus, sections
-from ledgerloom.plans.registry import query
-from ledgerloom.plans.texts import S, _quoted, narratives, samples
+from ledgerloom.plans.registry import ORACLES, query
+from ledgerloom.plans.texts import PHRASES, S, _quoted, narratives, samples
 from ledgerloom.sources import loaders
 from ledgerloom.sources.tables import load, rounded
 
@@ -278,3 +278,63 @@ def narrative_sections(spark, sf_dir):
     """Sections by the seven kinds of headers, each with its typologies and whether it is a case study."""
     out = sections.titled_sections(narratives(spark, sf_dir), "doc_id", "text")
     return out.select("doc_id", "section", "title", F.array_join(T.keyword_tags(F.col("content"), T.KEYWORDS), "|").alias("typologies"), E.is_case_study(F.col("content")).alias("is_case_study"))
+
+
+_TOLD_SQL = f"told AS (SELECT doc_id, text || chr(10) || ([{', '.join(map(_quoted, PHRASES))}])[CAST(doc_id % {len(PHRASES)} AS INTEGER) + 1] AS text, 'Reason ' || source AS reason FROM documents)"
+_TYPOLOGY = "shell_company"
+
+
+@query(
+    "sample_filters",
+    f"""WITH {_RAW_ACTIONS}, {_TOLD_SQL} SELECT 'fincen_' || doc_id AS sample_id, 'typology' AS predicate FROM told WHERE regexp_matches(lower(text), {_quoted(T.TYPOLOGIES[_TYPOLOGY])})
+UNION ALL SELECT 'fincen_' || doc_id, 'reason' FROM told WHERE contains(lower(reason), 'src1') UNION ALL SELECT 'fraudnlp_' || user_id, 'actions' FROM a WHERE len(acts) BETWEEN 5 AND 12""",
+)
+def sample_filters(spark, sf_dir):
+    """Samples by typology, by a part of the filing reason (in any case) and by the number of actions."""
+    from ledgerloom.plans.texts import actions
+
+    told = narratives(spark, sf_dir).select("doc_id", F.col("text").alias("Narrative"), F.concat(F.lit("Reason "), "source").alias("Filing_Reason"))
+    filed = loaders.narratives(told, "doc_id", least=1)
+    acted = loaders.fraud_actions(actions(spark, sf_dir).select("user_id", F.to_json(F.transform("actions", lambda x: F.upper(x))).alias("sequence")), "user_id")
+    found = [(filed, loaders.has_typology(_TYPOLOGY), "typology"), (filed, loaders.reason_contains("SRC1"), "reason"), (acted, loaders.actions_between(5, 12), "actions")]
+    parts = [df.where(c).select("sample_id", F.lit(n).alias("predicate")) for df, c, n in found]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+_NOTE_SQL = f"(SELECT trim(regexp_replace(CASE WHEN note = '' THEN 'Fallback coffee' ELSE note END, '\\s+', ' ', 'g')) AS text FROM (SELECT ([{', '.join(map(_quoted, _NOTES))}])[CAST(c_custkey % {len(_NOTES)} AS INTEGER) + 1] AS note FROM customer))"
+
+
+@query(
+    "payment_and_theme_distributions",
+    f"""WITH {_TOLD_SQL}, p AS (SELECT text FROM {_NOTE_SQL} WHERE length(text) BETWEEN 2 AND 500 AND NOT ({' OR '.join(f"regexp_matches(lower(text), {_quoted('|'.join(p))})" for p in T.SENSITIVE.values())})),
+c AS ({' UNION ALL '.join(f"SELECT {_quoted(n)} AS value FROM p WHERE regexp_matches(lower(text), {_quoted('|'.join(x))})" for n, x in T.PAYMENTS.items())}),
+t AS ({' UNION ALL '.join(f"SELECT {_quoted(n)} AS value FROM told WHERE regexp_matches(lower(text), {_quoted(x)})" for n, x in T.TYPOLOGIES.items())}),
+r AS (SELECT value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, value) AS place FROM t GROUP BY value)
+SELECT 'payment' AS kind, value, count(*) AS n FROM c GROUP BY value UNION ALL SELECT 'theme', value, n FROM r WHERE place <= 50""",
+)
+def payment_and_theme_distributions(spark, sf_dir):
+    """Counts by payment category, and of the fifty most frequent themes (ties by name)."""
+    note = F.get(F.array(*map(F.lit, _NOTES)), (F.col("c_custkey") % len(_NOTES)).cast("int"))
+    paid = loaders.payment_notes(load(spark, sf_dir, "customer").select("c_custkey", note.alias("note"), F.lit("Fallback coffee").alias("description"), F.lit(None).cast("string").alias("amount")), "c_custkey")
+    themes = narratives(spark, sf_dir).select(F.explode(T.tags(F.col("text"), T.TYPOLOGIES)).alias("value"))
+    counted = lambda df: df.groupBy("value").agg(F.count("*").alias("n"))
+    top = counted(themes).orderBy(F.desc("n"), "value").limit(50)
+    return counted(paid.select(F.explode("typologies").alias("value"))).select(F.lit("payment").alias("kind"), "value", "n").union(top.select(F.lit("theme"), "value", "n"))
+
+
+@query("load_venmo_bson", ORACLES["load_venmo"])
+def load_venmo_bson(spark, sf_dir):
+    """Payment notes from BSON files, plain and packed by xz, read by splits."""
+    from ledgerloom.plans.sources_sinks import _folder
+    from ledgerloom.sources import bson
+
+    note = F.get(F.array(*map(F.lit, _NOTES)), (F.col("c_custkey") % len(_NOTES)).cast("int"))
+    rows = load(spark, sf_dir, "customer").select(F.struct(F.col("c_custkey").alias("id"), F.struct(note.alias("note"), F.lit("Fallback coffee").alias("description"), F.abs("c_acctbal").cast("double").alias("amount")).alias("payment")).alias("doc")).select("doc.*")
+    at = _folder(spark, "bson")
+    bson.write_bson(rows.where("id % 3 > 0"), at)
+    bson.write_bson(rows.where("id % 3 = 0"), at, packed=True)
+    form = "id bigint, payment struct<note:string,description:string,amount:double>"
+    read = bson.read_bson(spark, at, split_bytes=1 << 16).select(F.from_json("document", form).alias("d"))
+    raw = read.select(F.col("d.id").alias("c_custkey"), "d.payment.note", "d.payment.description", F.col("d.payment.amount").cast("decimal(18,2)").cast("string").alias("amount"))
+    out = loaders.payment_notes(raw, "c_custkey")
+    return out.select("sample_id", "text", F.array_join("typologies", ",").alias("typologies"), F.col("metadata")["has_emoji"].alias("has_emoji"), rounded(F.col("metadata")["amount"], 2).alias("amount"))

@@ -201,6 +201,19 @@ def proposal_outcomes(spark, sf_dir):
     return _rounded(reports.proposal_outcomes(p, graph.fraud_nodes(e).withColumnRenamed("id", "node")), "sender", "n", "accepted", "right")
 
 
+@query(
+    "proposal_encoding",
+    f"""WITH {G}, p AS (SELECT src AS id, dst, (step % 10) / 10 AS score, step % 3 = 0 AS is_edge, step % 4 = 0 AS hp, step % 30 AS nb, row_number() OVER (PARTITION BY src ORDER BY (step % 10) / 10 DESC, dst) AS r FROM edges),
+v AS (SELECT id, list_concat(flatten(list([score, CAST(is_edge AS DOUBLE), CASE WHEN is_edge THEN CAST(score > 0.7 AS DOUBLE) ELSE CAST(hp AS DOUBLE) END, CASE WHEN is_edge THEN 0.5 ELSE least(nb / 20, 1) END] ORDER BY r)), list_transform(range(20), lambda i: 0::DOUBLE))[1:20] AS v FROM p WHERE r <= 5 GROUP BY id)
+SELECT id, array_to_string(list_transform(v, lambda x: CAST(round(x * 1000) AS BIGINT)), ',') AS v FROM v""",
+)
+def proposal_encoding(spark, sf_dir):
+    """Each payer's five highest proposals as numbers of a fixed width."""
+    e = edges(spark, sf_dir)
+    p = e.select(F.col("src").alias("id"), (F.col("step") % 10 / 10).alias("score"), (F.col("step") % 3 == 0).alias("is_edge"), (F.col("step") % 4 == 0).alias("is_high_priority"), (F.col("step") % 30).alias("neighbours"), F.col("dst").alias("place"))
+    return reports.proposal_encoding(p, "id", most=5).select("id", F.array_join(F.transform("v", lambda x: F.round(x * 1000).cast("long")), ",").alias("v"))
+
+
 @query(
     "comparison_table",
     f"""WITH {SCORED_SQL}, m AS (SELECT model, t, count(*) FILTER (label = 1 AND score >= t) AS tp, count(*) FILTER (label = 0 AND score >= t) AS fp, count(*) FILTER (label = 1 AND score < t) AS fn FROM s, (VALUES ('low', 0.3), ('high', 0.7)) AS v(model, t) GROUP BY 1, 2),

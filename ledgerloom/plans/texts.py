@@ -162,6 +162,11 @@ def clean_general(spark, sf_dir):
     return narratives(spark, sf_dir).select("doc_id", F.md5(T.clean_general(F.col("text"), html=False)).alias("h"))
 
 
+@query("clean_general_html", f"SELECT page_id, md5({_space_sql(_lines_sql(_HTML_SQL, T.LEGAL))}) AS h FROM pages")
+def clean_general_html(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", F.md5(T.clean_general(F.col("html"))).alias("h"))
+
+
 @query("clean_by_source")
 def clean_by_source(spark, sf_dir):
     """A text is cleaned once: lengths and digest leave the chain of replacements together, as one struct, before the filter."""
@@ -275,6 +280,17 @@ def compliance_filter(spark, sf_dir):
     return samples(spark, sf_dir).where(F.col("source").isin(corpus.allowed_sources("strict"))).groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query(
+    "compliance_modes",
+    f"WITH {S} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, source, count(*) AS n FROM s WHERE source IN ({', '.join(map(_quoted, corpus.allowed_sources(m)))}) GROUP BY source" for m in ("strict", "public_only", "all")),
+)
+def compliance_modes(spark, sf_dir):
+    """What each mode lets through: counts by source are taken once, and modes looked up in them."""
+    counts = samples(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    allowed = spark.createDataFrame([(m, x) for m in ("strict", "public_only", "all") for x in corpus.allowed_sources(m)], "mode string, source string")
+    return counts.join(F.broadcast(allowed), "source").select("mode", "source", "n")
+
+
 @query("source_license", f"WITH {S} SELECT doc_id, coalesce((MAP {{{', '.join(f'{_quoted(k)}: {_quoted(v)}' for k, v in corpus.LICENSES.items())}}})[source], 'unknown') AS license FROM s")
 def source_license(spark, sf_dir):
     return samples(spark, sf_dir).select("doc_id", corpus.mapped(F.col("source"), corpus.LICENSES, "unknown").alias("license"))
