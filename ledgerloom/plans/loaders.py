@@ -338,3 +338,16 @@ def load_venmo_bson(spark, sf_dir):
     raw = read.select(F.col("d.id").alias("c_custkey"), "d.payment.note", "d.payment.description", F.col("d.payment.amount").cast("decimal(18,2)").cast("string").alias("amount"))
     out = loaders.payment_notes(raw, "c_custkey")
     return out.select("sample_id", "text", F.array_join("typologies", ",").alias("typologies"), F.col("metadata")["has_emoji"].alias("has_emoji"), rounded(F.col("metadata")["amount"], 2).alias("amount"))
+
+
+@query("load_fatf_pdf", "SELECT doc_id, md5(text) AS h FROM documents WHERE text IS NOT NULL")
+def load_fatf_pdf(spark, sf_dir):
+    """Reports as pages of PDF files, read back: a page begins with its number in the register."""
+    from ledgerloom.plans.sources_sinks import _folder
+    from ledgerloom.sources import pdf
+
+    at = _folder(spark, "pdf")
+    docs = load(spark, sf_dir, "documents").where("text IS NOT NULL")
+    pdf.write_pdf(docs.select(F.concat_ws("\n", "doc_id", "text").alias("page")), "page", at)
+    pages = pdf.read_pdf(spark, at)
+    return pages.select(F.expr("substring(text, 1, instr(text, '\n') - 1)").cast("bigint").alias("doc_id"), F.md5(F.expr("substring(text, instr(text, '\n') + 1)")).alias("h"))
