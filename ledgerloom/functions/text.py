@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,6 +95,19 @@ TYPOLOGIES = {
     "correspondent_banking": r"\b(correspondent\s+bank(?:ing)?|nested\s+account)\b",
     "pep": r"\b(p\.?e\.?p\.?|politically\s+exposed|government\s+official)\b",
 }
+#: By pattern, texts of which each match holds one: they are sought before the pattern is, as that costs far less.
+HINTS = {
+    TYPOLOGIES["layering"]: ["layer", "multiple", "chain"],
+    TYPOLOGIES["structuring"]: ["structur", "smurfing", "split"],
+    TYPOLOGIES["shell_company"]: ["shell", "offshore", "nominee"],
+    TYPOLOGIES["round_tripping"]: ["round", "circular"],
+    TYPOLOGIES["trade_based"]: ["trade", "invoic"],
+    TYPOLOGIES["cash_intensive"]: ["cash", "currency", "money"],
+    TYPOLOGIES["high_risk_jurisdiction"]: ["high", "offshore"],
+    TYPOLOGIES["rapid_movement"]: ["rapid", "quick"],
+    TYPOLOGIES["correspondent_banking"]: ["correspondent", "nested"],
+    TYPOLOGIES["pep"]: ["pep", "p.e", "pe.p", "politically", "government"],
+}
 INDICATORS = [
     "no apparent business purpose",
     "unusual pattern",
@@ -272,10 +287,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def found(low: Column, pattern: str) -> Column:
+    """Whether a pattern is found in a text in lower case, behind a look for its hints."""
+    hints = [F.contains(low, F.lit(h)) for h in HINTS.get(pattern, [])]
+    return functools.reduce(lambda a, b: a | b, hints) & low.rlike(pattern) if hints else low.rlike(pattern)
+
+
 def tags(text: Column, patterns: dict[str, str]) -> Column:
     """Names whose pattern is found, in declared order."""
     low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(n)) for n, p in patterns.items()]))
+    return F.array_compact(F.array(*[F.when(found(low, p), F.lit(n)) for n, p in patterns.items()]))
 
 
 def any_tags(text: Column, patterns: dict[str, list[str]]) -> Column:

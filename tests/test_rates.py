@@ -10,6 +10,8 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
@@ -148,3 +150,19 @@ def test_accounts_have_their_clustering(spark):
     got = {r.id: r.v for r in vectors.account_vectors(tx, tx.select(F.col("nameOrig").alias("src"), F.col("nameDest").alias("dst"), "amount", "step")).collect()}
     assert {k: len(v) for k, v in got.items()} == dict.fromkeys("abcd", 20)
     assert {k: v[17] for k, v in got.items()} == {"a": 1.0, "b": 1.0, "c": pytest.approx(1 / 3), "d": 0.0} or {k: v[16] for k, v in got.items()} == {"a": 1.0, "b": 1.0, "c": pytest.approx(1 / 3), "d": 0.0}
+
+
+@pytest.mark.parametrize("name", sorted(T.TYPOLOGIES))
+def test_hints_are_in_every_match(name):
+    """What is sought before a pattern is part of whatever the pattern matches."""
+    inner = T.TYPOLOGIES[name].removeprefix(r"\b").removesuffix(r"\b")
+    seen = set()
+
+    @settings(max_examples=200, database=None, derandomize=True)
+    @given(st.from_regex(re.compile(inner, re.ASCII), fullmatch=True))
+    def check(text):
+        seen.add(text)
+        assert any(h in text for h in T.HINTS[T.TYPOLOGIES[name]])
+
+    check()
+    assert len(seen) > 1
