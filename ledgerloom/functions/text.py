@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -293,10 +294,14 @@ def found(low: Column, pattern: str) -> Column:
     return functools.reduce(lambda a, b: a | b, hints) & low.rlike(pattern) if hints else low.rlike(pattern)
 
 
+def lowered(text: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of the text in lower case. A one-element array binds that text, which else would be made anew for every use."""
+    return F.transform(F.array(F.lower(text)), use)[0]
+
+
 def tags(text: Column, patterns: dict[str, str]) -> Column:
     """Names whose pattern is found, in declared order."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(found(low, p), F.lit(n)) for n, p in patterns.items()]))
+    return lowered(text, lambda low: F.array_compact(F.array(*[F.when(found(low, p), F.lit(n)) for n, p in patterns.items()])))
 
 
 def any_tags(text: Column, patterns: dict[str, list[str]]) -> Column:
@@ -304,30 +309,26 @@ def any_tags(text: Column, patterns: dict[str, list[str]]) -> Column:
 
 
 def phrases(text: Column, known: list[str]) -> Column:
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(p) for p in known]), lambda p: F.contains(low, p))
+    return lowered(text, lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in known])))
 
 
 def keyword_tags(text: Column, known: dict[str, list[str]]) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(k) for k in ks]), lambda k: F.contains(low, k)), F.lit(n)) for n, ks in known.items()]))
+    any_of = lambda low, ks: functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in ks])
+    return lowered(text, lambda low: F.array_compact(F.array(*[F.when(any_of(low, ks), F.lit(n)) for n, ks in known.items()])))
 
 
 def matched(text: Column, patterns: list[str]) -> Column:
     """Distinct matched strings of all patterns, sorted."""
-    low = F.lower(text)
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in patterns]))))
+    return lowered(text, lambda low: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in patterns])))))
 
 
 def found_patterns(text: Column, patterns: list[str]) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(p)) for p in patterns]))
+    return lowered(text, lambda low: F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(p)) for p in patterns])))
 
 
 def pattern_counts(text: Column, patterns: dict[str, str]) -> Column:
     """Map of how often each pattern is found, those that are."""
-    low = F.lower(text)
-    counts = F.create_map(*[x for n, p in patterns.items() for x in (F.lit(n), F.regexp_count(low, F.lit(p)))])
+    counts = lowered(text, lambda low: F.create_map(*[x for n, p in patterns.items() for x in (F.lit(n), F.regexp_count(low, F.lit(p)))]))
     return F.map_filter(counts, lambda _, v: v > 0)
 
 
