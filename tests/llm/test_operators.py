@@ -362,6 +362,22 @@ def test_secret_findings_take_columns_of_any_name(spark):
     assert sorted((r.doc_id, len(r.spans_), r.spans, r["__blob"]) for r in got) == [(1, 1, "s", 1), (2, 0, "s", 1)]
 
 
+def test_secret_literals_are_in_every_match():
+    """What is sought before a pattern is part of whatever the pattern matches."""
+    rng = random.Random(8)
+    starts = ["Password", "PASSWD", "sEcret", "Token", "api_key", "APIKEY", "apikey", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "gho_", "glpat-", "xoxa", "xoxb", "xoxp", "xoxr", "sk_live_", "AKIA" + "ABCDEFGH12345678", "eyJabcdefgh.eyJabcdefgh.abcdefgh"]
+    for kind, pattern, *_ in [*secrets.BASE_RULES, *secrets.MORE_RULES]:
+        if kind not in secrets.LITERALS:
+            continue
+        found = 0
+        for _ in range(400):
+            text = rng.choice(starts) + rng.choice(["", " = ", ':"', "="]) + "".join(rng.choice("ABCdef019_-") for _ in range(20)) + "A" * 20
+            if m := re.search(pattern, text):
+                found += 1
+                assert any(x in m[0].lower() for x in secrets.LITERALS[kind])
+        assert found > 5
+
+
 def test_secret_pattern_is_matched_once_a_part(spark):
     """Each rule's pattern stands in the plan once for the test, the gaps, the matches and, if it counts one, a group."""
     docs = spark.createDataFrame([(1, "x")], "doc_id int, text string")
