@@ -26,11 +26,17 @@ def chunk_tokens(spark, sf_dir):
     return tokens.windows(ids(spark, sf_dir), "ids", 256, 32).select("doc_id", "chunk_index", "total_chunks", _text(F.col("chunk")).alias("h"))
 
 
-@query("packed_sequence", f"WITH {IDS_SQL}, p AS (SELECT doc_id // 3 AS pack, doc_id, ids[1:512] AS ids, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) AS r FROM d), j AS (SELECT pack, flatten(list(CASE WHEN r > 1 THEN list_concat([2], ids) ELSE ids END ORDER BY r))[1:512] AS a FROM p GROUP BY pack) SELECT pack, len(a) AS used, md5(array_to_string(list_concat(a, list_transform(range(512 - len(a)), lambda i: 0)), ',')) AS h FROM j")
+def _chunks_sql(size: int) -> str:
+    """All ids in chunks of ``size``, the last one shorter; one of a text without ids."""
+    return f"c AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, ids[i * {size} + 1:i * {size} + {size}] AS ids FROM (SELECT doc_id, ids, unnest(range(greatest(CAST(ceil(len(ids) / {size}) AS INTEGER), 1))) AS i FROM d))"
+
+
+@query("packed_sequence", f"WITH {IDS_SQL}, {_chunks_sql(170)}, p AS (SELECT doc_id // 3 AS pack, chunk_index, doc_id, ids, row_number() OVER (PARTITION BY doc_id // 3, chunk_index ORDER BY doc_id) AS r FROM c), j AS (SELECT pack, chunk_index, flatten(list(CASE WHEN r > 1 THEN list_concat([2], ids) ELSE ids END ORDER BY r)) AS a FROM p GROUP BY pack, chunk_index) SELECT pack, chunk_index, len(a) AS used, md5(array_to_string(list_concat(a, list_transform(range(512 - len(a)), lambda i: 0)), ',')) AS h FROM j")
 def packed_sequence(spark, sf_dir):
-    rows = ids(spark, sf_dir).withColumn("pack", F.floor(F.col("doc_id") / 3))
-    out = tokens.packed(rows, ["pack"], "doc_id", "ids")
-    return out.select("pack", F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("used"), _text(F.col("input_ids")).alias("h"))
+    """Whole texts in chunks of 170 ids; a pack of 512 has the chunks of one number of three texts, and two separators."""
+    rows = tokens.windows(ids(spark, sf_dir), "ids", 170, 0).withColumn("pack", F.floor(F.col("doc_id") / 3))
+    out = tokens.packed(rows, ["pack", "chunk_index"], "doc_id", "chunk")
+    return out.select("pack", "chunk_index", F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("used"), _text(F.col("input_ids")).alias("h"))
 
 
 def _u(seed: str, position: str) -> str:
@@ -58,10 +64,11 @@ def whole_word_collator(spark, sf_dir):
     return tokens.whole_words(rows, "ids", "words", "key").select("doc_id", _text(F.col("input_ids")).alias("inputs"), _text(F.col("labels")).alias("labels"))
 
 
-@query("causal_collator", f"WITH {IDS_SQL} SELECT doc_id, md5(array_to_string(list_transform(list_concat(ids[1:64], list_transform(range(64 - len(ids[1:64])), lambda i: 0)), lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ',')) AS labels FROM d")
+@query("causal_collator", f"WITH {IDS_SQL}, {_chunks_sql(64)} SELECT doc_id, chunk_index, md5(array_to_string(list_transform(list_concat(ids, list_transform(range(64 - len(ids)), lambda i: 0)), lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ',')) AS labels FROM c")
 def causal_collator(spark, sf_dir):
-    head = F.slice("ids", 1, 64)
-    return ids(spark, sf_dir).select("doc_id", _text(tokens.causal_lm(F.concat(head, F.array_repeat(F.lit(tokens.PAD), F.lit(64) - F.size(head))))).alias("labels"))
+    """Whole texts in chunks of 64 ids, the last one padded."""
+    padded = F.concat("chunk", F.array_repeat(F.lit(tokens.PAD), F.lit(64) - F.size("chunk")))
+    return tokens.windows(ids(spark, sf_dir), "ids", 64, 0).select("doc_id", "chunk_index", _text(tokens.causal_lm(padded)).alias("labels"))
 
 
 @query("span_collator")
@@ -74,13 +81,12 @@ def t5_collator(spark, sf_dir):
     return tokens.span_batches(ids(spark, sf_dir), "ids", "doc_id", VOCABULARY, sentinels=True)
 
 
-@query("token_table", f"WITH {IDS_SQL} SELECT doc_id, CAST(least(len(ids), 128) AS INTEGER) AS n_tokens, md5(array_to_string(ids[1:128], ',')) AS h FROM d")
+@query("token_table", f"WITH {IDS_SQL}, {_chunks_sql(128)} SELECT doc_id, chunk_index, CAST(len(ids) AS INTEGER) AS n_tokens, md5(array_to_string(ids, ',')) AS h FROM c")
 def token_table(spark, sf_dir):
-    """Ids and masks of a fixed width written as a table, and read back without the padding."""
+    """Whole texts in chunks: ids and masks of a fixed width written as a table, and read back without the padding."""
     from ledgerloom.plans.sources_sinks import _folder
 
     at = _folder(spark, "tokens")
-    one = ids(spark, sf_dir).withColumn("pack", F.col("doc_id"))
-    tokens.packed(one, ["pack"], "doc_id", "ids", 128).write.parquet(at)
+    tokens.packed(tokens.windows(ids(spark, sf_dir), "ids", 128, 0), ["doc_id", "chunk_index"], "doc_id", "chunk", 128).write.parquet(at)
     n = F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x)
-    return spark.read.parquet(at).select(F.col("pack").alias("doc_id"), n.alias("n_tokens"), _text(F.slice("input_ids", F.lit(1), n)).alias("h"))
+    return spark.read.parquet(at).select("doc_id", "chunk_index", n.alias("n_tokens"), _text(F.slice("input_ids", F.lit(1), n)).alias("h"))
