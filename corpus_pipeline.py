@@ -4,8 +4,8 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and ret
 All but the last return the columns of documents. ``run`` applies them to a whole table.
 
 Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further
-columns of any name (which it keeps, but for the last, and but for names that start with ``__pii_``): null texts
-count as empty ones and are never dropped, equal texts are judged alike.
+columns of any name (which it keeps, but for the last): null texts count as empty ones and are never dropped, equal texts are
+judged alike.
 """
 
 from __future__ import annotations
