@@ -61,7 +61,7 @@ def test_stages_of_awkward_rows(spark, sf_dir):
     names = docs.columns
     order = ["doc_id", "text", "lang", "source", "n_chars"]
     given = spark.createDataFrame([tuple(r[order.index(c)] for c in names) for r in rows], schema)
-    clashing = ["__score", "__content", "__id", "__contamination", "content", "class", "key", "spans", "score", "blob"]
+    clashing = ["__score", "__content", "__id", "__contamination", "content", "class", "key", "spans", "score", "blob", "__gone", "__gone_content", "__again", "__blob", "__found", "__positive", "__pii_spans", "__pii_of", "__spans", "__of", "__other_id", "of", "positive"]
     for c in clashing:
         given = given.withColumn(c, F.lit(c))
     left = {"toxicity": 7, "n-gram Jaccard join": 6, "benchmark decontamination": 6, "PII": 6, "SentencePiece encoding and decoding": 6}
