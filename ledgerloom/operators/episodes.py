@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import features
+
 
 def episode_stats(steps: DataFrame, episode: str, step: str, reward: str, gamma: float = 0.99) -> DataFrame:
     """(episode, length, total, discounted): discounting needs only the step's number, so it is a plain aggregate."""
@@ -269,3 +271,20 @@ def banded(pairs: DataFrame, id: str, a: Column, b: Column, high: float, medium:
     rows = pairs.select(id, F.when(c >= high, "high").when(c >= medium, "medium").otherwise("low").alias("band"), F.sqrt(squares).alias("d"))
     top = rows.agg(F.max("d").alias("top"))
     return rows.join(F.broadcast(top)).select(id, "band", F.when(F.col("top") > 0, F.col("d") / F.col("top")).otherwise(0.0).alias("weight"))
+
+
+def traversal(edges: DataFrame, episode: str, at: str, pattern: str) -> DataFrame:
+    """(episode, edges, traversal_velocity, temporal_diversity, patterns) of the edges that an episode walked, from their times and kinds.
+
+    Velocity is edges over the span of their times, null where that is 0; diversity is the population deviation of the gaps between sorted
+    times, null for a single edge; patterns is a map from kind to its number, without null kinds. Edges without an episode don't count, those without
+    a time count for patterns only. Times are counted by (episode, time) before they are sorted.
+    """
+    known = edges.where(F.col(episode).isNotNull())
+    timed = known.where(F.col(at).isNotNull())
+    span = timed.groupBy(episode).agg((F.max(at) - F.min(at)).alias("__span"))
+    gaps = features.gap_deviation(timed, episode, at).join(span, episode)
+    timing = gaps.select(episode, F.col("n").alias("edges"), F.try_divide(F.col("n"), F.nullif(F.col("__span"), F.lit(0))).alias("traversal_velocity"), F.col("gap_std").alias("temporal_diversity"))
+    kinds = known.groupBy(episode, pattern).agg(F.count("*").alias("n")).groupBy(episode)
+    entry = F.when(F.col(pattern).isNotNull(), F.struct(pattern, "n"))
+    return kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("patterns")).join(timing, episode, "left").select(episode, "edges", "traversal_velocity", "temporal_diversity", "patterns")

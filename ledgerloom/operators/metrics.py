@@ -66,10 +66,10 @@ def per_class(df: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
-    """Tie-aware area under the ROC curve from counts by score."""
+    """Tie-aware area under the ROC curve from counts by score; null without rows of both labels."""
     c = by_score(scored)
     area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2))
-    return c.agg((area / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    return c.agg(F.try_divide(area, F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
@@ -79,11 +79,11 @@ def average_precision(scored: DataFrame) -> DataFrame:
 
 
 def pr_auc_trapezoid(scored: DataFrame) -> DataFrame:
-    """Trapezoid area under precision over recall, from the point (0, 1)."""
+    """Trapezoid area under precision over recall, from the point (0, 1); null without positive rows."""
     c = by_score(scored).withColumn("precision", F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
     before_pos, before_neg = F.col("cum_pos") - F.col("pos"), F.col("cum_neg") - F.col("neg")
     before = F.when(before_pos + before_neg == 0, 1.0).otherwise(before_pos / (before_pos + before_neg))
-    return c.agg((F.sum(F.col("pos") * (F.col("precision") + before) / 2) / F.sum("pos")).alias("pr_auc"))
+    return c.agg(F.try_divide(F.sum(F.col("pos") * (F.col("precision") + before) / 2), F.sum("pos")).alias("pr_auc"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import metrics
 from ledgerloom.operators.metrics import ratio
 
 
@@ -204,3 +205,50 @@ def proposal_encoding(proposals: DataFrame, group: str, *, most: int = 10, width
     kept = ranked.where(F.col("__r") <= most).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__r", "__v"))).alias("l"))
     flat = F.flatten(F.transform("l", lambda x: F.slice(F.concat(x["__v"], F.array_repeat(F.lit(0.0), width)), 1, width)))
     return kept.select(group, F.slice(F.concat(flat, F.array_repeat(F.lit(0.0), most * width)), 1, most * width).alias("v"))
+
+
+def evaluation(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row: what a method that calls scores from ``threshold`` positive gets right, and the areas under its curves.
+
+    Rates over nothing are 0; both areas are null where one of the labels has no rows.
+    """
+    tn, fp, fn, tp = (F.coalesce(c, F.lit(0)) for c in ("tn", "fp", "fn", "tp"))
+    counted = metrics.confusion(scored, threshold).select(tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp"))
+    areas = metrics.roc_auc(scored).join(metrics.pr_auc_trapezoid(scored))
+    return metrics.rates(counted).join(areas).select(
+        "precision",
+        "recall",
+        F.col("f1").alias("f1_score"),
+        "accuracy",
+        F.col("tp").alias("true_positives"),
+        F.col("fp").alias("false_positives"),
+        F.col("tn").alias("true_negatives"),
+        F.col("fn").alias("false_negatives"),
+        F.col("recall").alias("detection_rate"),
+        ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("false_positive_rate"),
+        "roc_auc",
+        F.when(F.col("roc_auc").isNotNull(), F.col("pr_auc")).alias("pr_auc"),
+    )
+
+
+def save_evaluations(methods: dict[str, DataFrame], path: str) -> None:
+    """Evaluations by name of method, a JSON line each, nulls as such."""
+    rows = [df.select(F.lit(name).alias("method"), *df.columns) for name, df in methods.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    out.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+_COUNTS = ["true_positives", "false_positives", "true_negatives", "false_negatives"]
+_RATES = ["precision", "recall", "f1_score", "accuracy", "detection_rate", "false_positive_rate", "roc_auc", "pr_auc"]
+
+
+def load_evaluations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(", ".join(["method string", *[f"{c} bigint" for c in _COUNTS], *[f"{c} double" for c in _RATES]])).json(path)
+
+
+def comparison_line(name: str = "method") -> Column:
+    """An evaluation as a line of a table: name, five rates in percent and the area under the ROC curve; nulls as 0."""
+    percent = [F.format_string("%9.2f%%", F.coalesce(c, F.lit(0.0)) * 100) for c in ("precision", "recall", "f1_score", "detection_rate", "false_positive_rate")]
+    return F.concat_ws(" | ", F.format_string("%-20s", F.col(name)), *percent, F.format_string("%10.4f", F.coalesce("roc_auc", F.lit(0.0))))

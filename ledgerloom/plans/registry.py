@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _module in ("tabular", "graph", "ranking", "texts", "episodes", "observations", "vectors", "loaders", "reports", "tokens", "sources_sinks"):
+for _module in ("tabular", "graph", "ranking", "texts", "episodes", "observations", "vectors", "loaders", "reports", "tokens", "sources_sinks", "folders"):
     importlib.import_module(f"ledgerloom.plans.{_module}")

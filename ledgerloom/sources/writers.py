@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import corpus
+from ledgerloom.sources import loaders
+
 
 def to_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -20,8 +23,26 @@ def to_jsonl_v2(samples: DataFrame, path: str) -> None:
 
 
 def to_training_text(df: DataFrame, path: str, text: str = "text") -> None:
-    """One text a line, line ends as spaces."""
-    df.select(F.regexp_replace(text, r"\s*\n\s*", " ").alias("value")).write.mode("overwrite").text(path)
+    """One text a line, line ends of any kind as spaces; null texts are left out."""
+    df.where(F.col(text).isNotNull()).select(F.regexp_replace(text, r"\s*[\r\n]\s*", " ").alias("value")).write.mode("overwrite").text(path)
+
+
+def to_mlm(df: DataFrame, path: str, text: str = "text", *, text_only: bool = True, size: int = 512, overlap: int = 64) -> None:
+    """Texts in chunks of ``size`` words for masked language models: one a line, or as {"text": ...} with its line ends kept."""
+    chunks = corpus.chunk_words(df.select(text).where(F.col(text).isNotNull()), text, size, overlap).select(F.col("chunk").alias("text"))
+    if text_only:
+        to_training_text(chunks, path)
+    else:
+        to_jsonl(chunks, path)
+
+
+def to_dataset(samples: DataFrame, path: str, split: Column, *, keep: list[str] | None = None, chunked: bool = True) -> None:
+    """Samples in training format as Parquet, by split; whole or in chunks with chunk_index and total_chunks. A split is read without the others."""
+    rows, more = samples.withColumn("split", split), [*(keep or []), "split"]
+    if chunked:
+        rows = corpus.chunk_words(rows.where("text IS NOT NULL"), "text").drop("text").withColumnRenamed("chunk", "text")
+        more += ["chunk_index", "total_chunks"]
+    to_splits(loaders.training_format(rows, more), path)
 
 
 def to_splits(df: DataFrame, path: str) -> None:
