@@ -270,7 +270,11 @@ def ece_quantile(spark, sf_dir):
     return _rounded(metrics.quantile_calibration(scored(spark, sf_dir)), places=5)
 
 
-@query("isotonic_calibration")
+@query(
+    "isotonic_calibration",
+    f"""WITH {SCORED_SQL}, c AS (SELECT score, count(*) AS w, sum(label) AS s FROM s GROUP BY score), k AS (SELECT score, w, s, row_number() OVER o AS i, sum(w) OVER o AS cw, sum(s) OVER o AS cs FROM c WINDOW o AS (ORDER BY score)),
+m AS (SELECT a.i AS a, b.i AS b, b.score, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM k a JOIN k b ON a.i <= b.i), f AS (SELECT score, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM m) SELECT score, round(max(low), 6) AS calibrated FROM f GROUP BY score""",
+)
 def isotonic_calibration(spark, sf_dir):
     return _rounded(isotonic.isotonic(scored(spark, sf_dir)), "score")
 

@@ -126,11 +126,6 @@ def strip_html(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_html(F.col("html"))).alias("h"))
 
 
-@query("strip_html_strict")
-def strip_html_strict(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", T.normalize_whitespace(T.strip_html(F.col("html"), "strict")).alias("text"))
-
-
 def _space_sql(x: str) -> str:
     for p, by in T.WHITESPACE:
         x = f"regexp_replace({x}, '(?m){p}', {_quoted(by)}, 'g')"
@@ -142,6 +137,22 @@ def _lines_sql(x: str, patterns: list[str]) -> str:
     return f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: NOT regexp_matches(l, {_quoted(any_of)})), chr(10))"
 
 
+def _replaced_sql(x: str, patterns: list[str], flags: str = "(?is)", by: str = " ") -> str:
+    for p in patterns:
+        x = f"regexp_replace({x}, {_quoted(flags + p)}, {_quoted(by)}, 'g')"
+    return x
+
+
+_STRICT_SQL = _replaced_sql("html", [r"<script\b.*?</script\s*>", r"<style\b.*?</style\s*>", "<!--.*?-->", "<[^>]+>"])
+for _entity, _value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    _STRICT_SQL = f"replace({_STRICT_SQL}, {_quoted(_entity)}, {_quoted(_value)})"
+
+
+@query("strip_html_strict", f"SELECT page_id, {_space_sql(_replaced_sql(_STRICT_SQL, ['&[a-zA-Z]+;', r'&#[0-9]+;']))} AS text FROM pages")
+def strip_html_strict(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", T.normalize_whitespace(T.strip_html(F.col("html"), "strict")).alias("text"))
+
+
 @query("normalize_whitespace", f"SELECT doc_id, md5({_space_sql('text')}) AS h FROM documents")
 def normalize_whitespace(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_whitespace(F.col("text"))).alias("h"))
@@ -167,7 +178,17 @@ def clean_general_html(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.md5(T.clean_general(F.col("html"))).alias("h"))
 
 
-@query("clean_by_source")
+#: Of the six patterns for HTML the last two find nothing once tags are gone.
+_KEPT_HTML = _replaced_sql("t", T.HTML[:4])
+_SOURCE_SQL = f"""CASE source WHEN 'sec_edgar' THEN {_space_sql(_lines_sql(_lines_sql(_replaced_sql(_KEPT_HTML, T.SEC_HEADER, '(?im)', ''), T.SEC_EXHIBIT), T.SEC_CONTENTS))}
+WHEN 'gdelt' THEN {_space_sql(_replaced_sql(_lines_sql(_KEPT_HTML, T.NEWS_CALLS), [*T.NEWS_COOKIES, *T.NEWS_SOCIAL], '(?i)', ''))}
+WHEN 'venmo_notes' THEN {_space_sql(_lines_sql('t', T.LEGAL))} ELSE {_space_sql(_lines_sql(_KEPT_HTML, T.LEGAL))} END"""
+
+
+@query(
+    "clean_by_source",
+    f"WITH {S}, k AS (SELECT doc_id, source, text || chr(10) || {PHRASES_SQL} AS t FROM s), c AS (SELECT doc_id, source, CAST(length(t) AS INTEGER) AS original_length, {_SOURCE_SQL} AS x FROM k) SELECT doc_id, source, original_length, CAST(length(x) AS INTEGER) AS cleaned_length, md5(x) AS h FROM c WHERE length(x) >= 50",
+)
 def clean_by_source(spark, sf_dir):
     """A text is cleaned once: lengths and digest leave the chain of replacements together, as one struct, before the filter."""
     kept = F.concat("text", F.lit("\n"), F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES)).cast("int")))
@@ -222,7 +243,13 @@ def payment_categories(spark, sf_dir):
     return narratives(spark, sf_dir).select("doc_id", _joined(T.any_tags(t, T.PAYMENTS)).alias("categories"), _joined(T.any_tags(t, T.SENSITIVE)).alias("sensitive"))
 
 
-@query("extract_entities")
+#: Letters beyond ASCII as a word character that no name has, so that word boundaries mean the same in both engines.
+_ASCII = r"regexp_replace(text, '[^\x00-\x7F]', '_', 'g')"
+_NAMES = [r"(\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+Bank\b)", r"(\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+(?:LLC|Ltd|Inc|Corp|Limited)\b)"]
+_ENTITIES_SQL = ", ".join(["regexp_extract_all(text, '\"([^\"]+)\"', 1)", *[f"regexp_extract_all({_ASCII}, {_quoted(p)}, 1)" for p in _NAMES]])
+
+
+@query("extract_entities", f"WITH {N} SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(flatten([{_ENTITIES_SQL}])))[1:20], '|'), '') AS entities FROM n")
 def extract_entities(spark, sf_dir):
     return narratives(spark, sf_dir).select("doc_id", _joined(T.entities(F.col("text"))).alias("entities"))
 
@@ -260,6 +287,17 @@ c AS (SELECT doc_id, text, w, CAST(CASE WHEN len(w) <= 512 THEN 1 ELSE ceil((len
 x AS (SELECT *, unnest(range(k)) AS i FROM c)"""
 
 
+@query(
+    "char_shingles",
+    """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE length(text) >= 5), l AS (SELECT doc_id, c || lead(c) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w || lead(c, 4) OVER w AS s FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+d AS (SELECT DISTINCT doc_id, s FROM l WHERE s IS NOT NULL UNION ALL SELECT doc_id, text FROM documents WHERE length(text) < 5) SELECT doc_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(s, chr(0) ORDER BY s)) AS h FROM d GROUP BY doc_id""",
+)
+def char_shingles(spark, sf_dir):
+    """Number and digest of the distinct runs of five characters of every text."""
+    once = F.transform(F.array(T.char_shingles(F.col("text"))), lambda s: F.struct(F.size(s).alias("n"), F.md5(F.array_join(F.array_sort(s), "\0")).alias("h")))
+    return load(spark, sf_dir, "documents").select("doc_id", F.inline(once))
+
+
 @query("chunk_words", f"WITH {_CHUNK} SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, k AS total_chunks, md5(CASE WHEN len(w) <= 512 THEN text ELSE array_to_string(w[i * 448 + 1:i * 448 + 512], ' ') END) AS h FROM x")
 def chunk_words(spark, sf_dir):
     out = corpus.chunk_words(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")

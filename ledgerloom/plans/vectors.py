@@ -135,7 +135,16 @@ def flag_reward(spark, sf_dir):
     )
 
 
-@query("flag_step_reward")
+@query(
+    "flag_step_reward",
+    f"""WITH RECURSIVE {E}, s AS (SELECT user_id, step, 'n' || event_id % 13 AS node, value >= 60 AS is_flag, CASE WHEN event_id % 5 > 0 THEN event_type = 'purchase' END AS hit, row_number() OVER (PARTITION BY user_id ORDER BY step) AS i FROM e),
+t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step) AS j FROM s WHERE is_flag),
+r(user_id, step, j, i, seen, reason) AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR) FROM t UNION ALL
+  SELECT user_id, step, j, i, CASE WHEN reason IN ('true_positive', 'false_positive', 'unknown') THEN list_append(seen, node) ELSE seen END, reason FROM (SELECT t.user_id, t.step, t.j, t.i, r.seen, t.node,
+    CASE WHEN t.i - r.i < 3 THEN 'cooldown_violation' WHEN len(r.seen) >= 5 THEN 'max_flags_exceeded' WHEN list_contains(r.seen, t.node) THEN 'duplicate_flag' WHEN t.hit THEN 'true_positive' WHEN NOT t.hit THEN 'false_positive' ELSE 'unknown' END AS reason
+    FROM r JOIN t ON t.user_id = r.user_id AND t.j = r.j + 1))
+SELECT user_id, step, reason, CASE reason WHEN 'cooldown_violation' THEN -0.5 WHEN 'max_flags_exceeded' THEN -0.3 WHEN 'duplicate_flag' THEN -0.2 WHEN 'true_positive' THEN 1.0 WHEN 'false_positive' THEN -0.5 ELSE 0.1 END::DOUBLE AS reward FROM r WHERE j > 0""",
+)
 def flag_step_reward(spark, sf_dir):
     s = steps(spark, sf_dir).select("user_id", "step", F.concat(F.lit("n"), F.col("event_id") % 13).alias("node"), (F.col("value") >= 60).alias("is_flag"), F.when(F.col("event_id") % 5 > 0, F.col("event_type") == "purchase").alias("hit"))
     return rewards.flag_step_rewards(s, "user_id", "step").select("user_id", "step", "reason", "reward")
