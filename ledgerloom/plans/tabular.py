@@ -241,7 +241,8 @@ SELECT click_id, json_extract_string(p, '$.device.os') AS meta_device_os, json_e
 def json_flatten(spark, sf_dir):
     """Nested properties of clicks, of forms that differ from row to row, some of them broken."""
     flat = nested.flatten_json(load(spark, sf_dir, "clicks").select("click_id", "props"), "props")
-    return flat.select("click_id", *[F.col(c).cast("string") for c in ("meta_device_os", "meta_device_ver", "meta_k", "meta_tags", "meta_items")])
+    items = F.nullif("meta_items", F.lit("null")).alias("meta_items")
+    return flat.select("click_id", *[F.col(c).cast("string") for c in ("meta_device_os", "meta_device_ver", "meta_k", "meta_tags")], items)
 
 
 @query(
