@@ -44,7 +44,7 @@ def node_vector(size: int = 20) -> Column:
 def account_vectors(tx: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, v): the vector of each account from its transactions and its place in the graph of distinct edges."""
     stats = features.node_stats(tx).withColumnRenamed("transaction_velocity", "tx_velocity").withColumn("is_suspicious", F.col("label"))
-    d = graph.degrees(edges)
+    d = graph.cut(graph.degrees(edges))
     n = d.agg(F.count("*").alias("nodes"))
     place = d.join(F.broadcast(n)).withColumn("degree_centrality", F.when(F.col("nodes") > 1, F.col("degree") / (F.col("nodes") - 1)).otherwise(0.0)).drop("nodes")
     near = graph.clustering(edges).select("id", F.col("clustering").alias("clustering_coefficient"))

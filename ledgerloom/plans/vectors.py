@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import features, rewards, vectors
+from ledgerloom.operators import features, graph, rewards, vectors
 from ledgerloom.plans.episodes import E, steps
 from ledgerloom.plans.graph import DEG_SQL, G, edges
 from ledgerloom.plans.registry import query
-from ledgerloom.sources.tables import load, rounded, transactions
+from ledgerloom.sources.tables import ORDER, load, rounded, transactions
 
 NODES_SQL = f"""{G}, {DEG_SQL},
 ro AS (SELECT nameOrig AS id, true AS sent, amount, step, isMoneyLaundering AS f FROM tx UNION ALL SELECT nameDest, false, amount, step, isMoneyLaundering FROM tx),
@@ -33,18 +33,21 @@ def _checked(df, *keys):
     return df.select(*keys, F.array_join(whole, ",").alias("elements"), F.size("v").alias("size"))
 
 
-def accounts(spark, sf_dir):
-    return vectors.account_vectors(transactions(spark, sf_dir), edges(spark, sf_dir))
+def payments(spark, sf_dir):
+    """Transactions and their edges, both written once, as vectors take them from many sides."""
+    tx = graph.cut(transactions(spark, sf_dir).select("nameOrig", "nameDest", *ORDER, "isMoneyLaundering"))
+    return tx, graph.cut(graph.last_edges(tx, ORDER))
 
 
 @query("node_vector_20", f"WITH {NODES_SQL} SELECT id, {_sum('v')} FROM nv")
 def node_vector_20(spark, sf_dir):
-    return _checked(accounts(spark, sf_dir), "id")
+    return _checked(vectors.account_vectors(*payments(spark, sf_dir)), "id")
 
 
 @query("edge_feature_42", f"WITH {NODES_SQL}, ev AS (SELECT src, dst, list_concat(list_concat(a.v, b.v), [ln(1 + amount), step / 1000]) AS v FROM edges JOIN nv a ON src = a.id JOIN nv b ON dst = b.id) SELECT src, dst, {_sum('v')} FROM ev")
 def edge_feature_42(spark, sf_dir):
-    return _checked(vectors.edge_vectors(edges(spark, sf_dir), accounts(spark, sf_dir)), "src", "dst")
+    tx, e = payments(spark, sf_dir)
+    return _checked(vectors.edge_vectors(e, graph.cut(vectors.account_vectors(tx, e))), "src", "dst")
 
 
 @query(
@@ -54,7 +57,8 @@ fv AS (SELECT nd.id, [ln(1 + coalesce(o.n, 0)), ln(1 + coalesce(i.n, 0)), ln(1 +
   hits / nd.n, CAST(hits > 0 AS DOUBLE), CAST(node_type = 'merchant' AS DOUBLE), 0, 0, 0, ln(1 + abs(balance)), ln(1 + total_sent), ln(1 + total_received)] AS v FROM nd LEFT JOIN o USING (id) LEFT JOIN i ON i.id = nd.id) SELECT id, {_sum('v')} FROM fv""",
 )
 def rf_features_20(spark, sf_dir):
-    return _checked(vectors.forest_vectors(edges(spark, sf_dir), features.node_stats(transactions(spark, sf_dir))), "id")
+    tx, e = payments(spark, sf_dir)
+    return _checked(vectors.forest_vectors(e, features.node_stats(tx)), "id")
 
 
 @query(
@@ -77,11 +81,10 @@ ov AS (SELECT nd.id, [CASE WHEN balance < 0 THEN -1 WHEN balance > 0 THEN 1 ELSE
 )
 def obs_vector_16(spark, sf_dir):
     """Each account as the present one of a walk that has taken all its outgoing edges."""
-    stats = features.node_stats(transactions(spark, sf_dir)).withColumn("is_suspicious", F.col("label")).withColumn("flagged", F.col("label"))
-    from ledgerloom.operators import graph
-
-    e = edges(spark, sf_dir)
-    walk = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("visited"), F.sum("fraud").alias("fraud_edges"), F.avg("amount").alias("mean_amount"))
+    tx, e = payments(spark, sf_dir)
+    stats = features.node_stats(tx).withColumn("is_suspicious", F.col("label")).withColumn("flagged", F.col("label"))
+    # Edges are distinct pairs, so a count of targets is one of distinct targets.
+    walk = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("edges"), F.count("dst").alias("visited"), F.sum("fraud").alias("fraud_edges"), F.avg("amount").alias("mean_amount"))
     rows = stats.join(graph.degrees(e), "id").join(walk, "id", "left").withColumn("neighbours", F.col("out_degree")).withColumn("step_count", F.col("edges"))
     return _checked(rows.select("id", vectors.observation_vector().alias("v")), "id")
 
@@ -178,8 +181,6 @@ j AS (SELECT src AS id, max((((step % 21) - 10) / 10 + 1) / 2 * ((step % 5) / 5)
 SELECT id, round(coalesce(proposal, 0), 6) AS proposal, round(coalesce(judge, 0), 6) AS judge, round(0.4 * coalesce(proposal, 0) + 0.6 * coalesce(judge, 0), 6) AS combined FROM n LEFT JOIN p USING (id) LEFT JOIN j USING (id)""",
 )
 def augment_node_features(spark, sf_dir):
-    from ledgerloom.operators import graph
-
     e = graph.cut(edges(spark, sf_dir))
     proposals = e.where("fraud = 1").select("src", "dst", (F.col("step") % 10 / 10).alias("score"))
     judged = e.select(F.col("src").alias("id"), ((F.col("step") % 21 - 10) / 10).alias("score"), (F.col("step") % 5 / 5).alias("confidence"))
