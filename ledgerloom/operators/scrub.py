@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import short_batches
+
 # Patterns by type, in the order in which ties are resolved.
 PATTERNS = [
     ("EMAIL", r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
@@ -101,6 +103,7 @@ def scrub(df: DataFrame, id: str, text: str, *, style: str = "mask", least: floa
                 types.append(sorted({s[3] for s in spans}))
             yield pd.DataFrame({id: pdf[id], text: texts, "pii_count": counts, "pii_types": types})
 
+    short_batches(df.sparkSession)
     passed = F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False)
     return df.select(F.col(id).cast("long"), text, passed.alias("__skip")).mapInPandas(run, f"{id} bigint, {text} string, pii_count int, pii_types array<string>")
 

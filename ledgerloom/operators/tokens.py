@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.session import short_batches
 
 # Ids of padding, separator and mask, the label that is left out of a loss; ids below FIRST are special.
 PAD, SEP, MASK, FIRST, IGNORED = 0, 2, 4, 5, -100
@@ -124,5 +125,6 @@ def span_batches(df: DataFrame, ids: str, key: str, vocabulary: int, *, share: f
                 labels.append(wanted)
             yield pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame({"input_ids": pd.Series(inputs, dtype=object), "labels": pd.Series(labels, dtype=object)})], axis=1)
 
+    short_batches(df.sparkSession)
     schema = ", ".join(f"`{n}` {t}" for n, t in df.select(*names).dtypes)
     return df.mapInPandas(run, f"{schema}, input_ids array<int>, labels array<int>")
