@@ -122,6 +122,21 @@ def test_betweenness(spark):
     assert any(some.values()) and max(abs(some[v] - want[v]) for v in want) < paths.sampling_error(n, 9)
 
 
+def test_betweenness_levels_cost_their_own_pairs(spark, monkeypatch):
+    """A level's plan reads the level before it and the edges, however many levels there were."""
+    reads = []
+
+    def cut(df):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return graph.cut(df)
+
+    monkeypatch.setattr(paths, "cut", cut)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(9)], "src int, dst int")
+    got = {r.id: r.betweenness for r in paths.betweenness(chain).collect()}
+    assert got == pytest.approx({k: k * (9 - k) / (9 * 8) for k in range(10)})
+    assert max(reads[:-1]) <= 4  # the last sums up the shares of all levels
+
+
 def test_weighted_pagerank(spark):
     rng = random.Random(5)
     arcs = [(a, b, float(rng.randrange(1, 9))) for a, b in random_arcs(5, 12, 25)]
