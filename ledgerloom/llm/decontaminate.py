@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.shared import free_name, texts, written
+from ledgerloom.llm.shared import forget, free_name, texts, written
 
 #: Every byte that is no word byte becomes a space, A-Z become a-z; words are then what split() gives.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -235,6 +235,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: i
         schema = T.StructType([*[f for f in docs.schema.fields if f.name != into], T.StructField(into, FOUND)])
 
         def judge(batches, shared=shared, first=first, arrow=_arrow(FOUND)):
+            forget()
             automaton = shared.value
             for batch in batches:
                 names = batch.schema.names

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import estimated_bytes, free_name, slices, utf8, written
+from ledgerloom.llm.shared import estimated_bytes, forget, free_name, slices, utf8, written
 from ledgerloom.llm.words import sets_of_shingles
 
 #: Similarity as a fraction of whole numbers: 4 / 5.
@@ -85,6 +85,7 @@ def frequent_tokens(docs: DataFrame, text: str, k: int, buckets: int) -> tuple[n
     schema = pa.schema([("bucket", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
 
     def count(batches):
+        forget()
         sets, seen, held = [], set(), 0
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
@@ -158,6 +159,7 @@ def members(docs: DataFrame, id: str, text: str, k: int, buckets: int, shared) -
     schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("group", pa.int64())])
 
     def run(batches):
+        forget()
         cells, counts = shared.value
         for batch in batches:
             raw, offsets = utf8(batch.column(2))
@@ -194,6 +196,7 @@ def group_pairs(docs: DataFrame, text: str, k: int, buckets: int, shared) -> Dat
     packed = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 
     def entries(batches):
+        forget()
         cells, counts = shared.value
         found, seen, held = [], set(), 0
         for batch in batches:

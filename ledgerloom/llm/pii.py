@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import bounded, free_name, hot_keys, split_join, texts, written
+from ledgerloom.llm.shared import bounded, forget, free_name, hot_keys, split_join, texts, written
 
 #: Kinds in the order in which they are listed.
 KINDS = ["email", "ip", "card", "phone"]
@@ -167,6 +167,7 @@ def extracted(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Dat
     digit_or_at = re.compile("[0-9@]")
 
     def run(batches):
+        forget()
         for batch in batches:
             bases, contexts = [], []
             for t in texts(batch.column(2)):
@@ -232,6 +233,7 @@ def measured(docs: DataFrame, edges: DataFrame, *, text: str = "text", support:
         shared = spark.sparkContext.broadcast(by_words)
 
         def run(batches, shared=shared):
+            forget()
             of = shared.value
             ones, pairs, total = {x[0] for x in of if len(x) == 1}, {x for x in of if len(x) == 2}, Counter()
             heads = {x[0] for x in pairs}
@@ -322,6 +324,7 @@ def redacted(docs: DataFrame, *, id: str = "doc_id", text: str = "text", confide
     joined = docs.withColumn(key, content_of(text)).join(found, F.col(key) == F.col(of), "left").drop(key, of)
 
     def run(batches):
+        forget()
         for batch in batches:
             names = batch.schema.names
             new = [masked(t, [(s["start"], s["kind"], s["end"]) for s in spans or []]) for t, spans in zip(batch.column(names.index(text)).to_pylist(), batch.column(names.index(into)).to_pylist(), strict=True)]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import bounded, texts, written
+from ledgerloom.llm.shared import REMEMBERED, bounded, texts, written
 
 #: Code points from which a text is scanned, code points a chunk, and chunks a block.
 GIANT, CHUNK, BLOCK = 16_384, 4_096, 64
@@ -353,16 +353,13 @@ def _rows(docs: DataFrame, model: str, id: str, text: str, giant: int, chunk: in
     return (rows.where(~is_giant), large.join(scanned, "key", "left").select("id", "text", "ids")), shared
 
 
-_CACHE: dict[int, Pieces] = {}
-
-
 def pieces_of(model: bytes) -> Pieces:
-    """One table a worker: what neighbours agree is remembered from batch to batch."""
-    key = hash(model)
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = Pieces(model)
-    return _CACHE[key]
+    """One table a worker: what neighbours agree is remembered from batch to batch, until another operator's tasks drop it."""
+    key = "pieces", hash(model)
+    if key not in REMEMBERED:
+        REMEMBERED.clear()
+        REMEMBERED[key] = Pieces(model)
+    return REMEMBERED[key]
 
 
 _CELL = pa.list_(pa.struct([(n, pa.int32()) for n in ("a", "b", "x", "y")]))

@@ -85,6 +85,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: What an operator remembers in this Python worker from task to task, by a key of its own.
+REMEMBERED: dict = {}
+
+
+def forget() -> None:
+    """Drop it all, at the start of another operator's tasks: workers outlive stages, and memory of the last operator would add to what this one takes."""
+    if REMEMBERED:
+        REMEMBERED.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.shared import slices, utf8, written
+from ledgerloom.llm.shared import forget, slices, utf8, written
 from ledgerloom.llm.words import ALNUM, word_bounds, word_hashes
 
 DIMENSIONS = 1 << 19
@@ -171,6 +171,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str
     schema = pa.schema([("features", pa.list_(pa.int32())), ("positive", pa.bool_()), ("unlabelled", pa.bool_())])
 
     def run(batches):
+        forget()
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
             found = []
@@ -237,6 +238,7 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", into: str = "sc
     kept = docs.columns
 
     def run(batches):
+        forget()
         at, found, bias, size = shared.value
         weights = np.zeros(size)
         weights[at] = found

@@ -792,3 +792,24 @@ def test_licence_of_a_very_long_text(spark):
     long = "word, " * 400_000 + "\nSPDX-License-Identifier: MIT\n"
     (row,) = licenses.scan(spark.createDataFrame([(1, long)], "doc_id int, text string")).collect()
     assert row.license is None and row.line_licenses == "MIT"
+
+
+class _Worker:
+    """Stands in for a table: gives the function that would run in a Python worker."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_a_worker_drops_what_another_operator_remembered(spark):
+    with open(f"{TOKENIZERS}/piece_bpe_32k.model", "rb") as f:
+        model = f.read()
+    pieces = sentencepieces.pieces_of(model)
+    pieces.word("▁remembered")
+    assert sentencepieces.pieces_of(model) is pieces
+    assert list(pii.extracted(_Worker())(iter([]))) == []
+    fresh = sentencepieces.pieces_of(model)
+    assert fresh is not pieces and not fresh._words
