@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
 
 import numpy as np
@@ -156,3 +158,15 @@ def test_paths_of_any_gap_and_ten_rounds(spark, sf_dir, payments):
         lost = sum(r for i, r in rank.items() if i not in out)
         rank = {i: 0.15 / len(ids) + 0.85 * (lost / len(ids) + sum(rank[s] / out[s] for s, d, *_ in payments if d == i)) for i in ids}
     assert {r.id: r["rank"] for r in registry.QUERIES["pagerank"](spark, sf_dir).collect()} == pytest.approx(rank, abs=1e-7)
+
+
+def test_char_shingles_of_any_text(spark, tmp_path):
+    rng = random.Random(3)
+    known = ["ab", "abc déf😀", "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))]
+    rows = [(k, "".join(rng.choice(known[k % 3]) for _ in range(n))) for k, n in enumerate([0, 1, 4, 5, 6, 50, 700, 800, 900, 3000, 3001, 3002])]
+    spark.createDataFrame([*rows, (99, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in rows:
+        runs = sorted({t[j : j + 5] for j in range(len(t) - 4)}) if len(t) >= 5 else [t]
+        want[i] = len(runs), hashlib.md5("\0".join(runs).encode()).hexdigest()
+    assert {r.doc_id: (r.n, r.h) for r in registry.QUERIES["char_shingles"](spark, str(tmp_path)).collect()} == want
