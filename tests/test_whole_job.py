@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.plans import registry  # first, as it imports the others
@@ -170,3 +171,14 @@ def test_char_shingles_of_any_text(spark, tmp_path):
         runs = sorted({t[j : j + 5] for j in range(len(t) - 4)}) if len(t) >= 5 else [t]
         want[i] = len(runs), hashlib.md5("\0".join(runs).encode()).hexdigest()
     assert {r.doc_id: (r.n, r.h) for r in registry.QUERIES["char_shingles"](spark, str(tmp_path)).collect()} == want
+
+
+def test_words_of_categories_are_sought_as_literals(spark):
+    """Each word, with and without a last letter that may be missing, and within a longer one."""
+    kinds = T.PAYMENTS | T.SENSITIVE
+    assert all(T.HINTS["|".join(p)] for p in kinds.values())
+    words = sorted({w for p in kinds.values() for x in p for w in (re.sub(r"(.)\?", r"\1", x), re.sub(r".\?", "", x))})
+    words = [w.replace(r"\b", "").replace(r"\+", "+") for w in words]
+    rows = [f"{a}{w}{b}" for w in words for a, b in (("", ""), ("Of ", " x"), ("x", ""), ("", "x"))]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", T.any_tags(F.col("t"), kinds).alias("k")).collect()
+    assert {r.t: r.k for r in got} == {t: [n for n, p in kinds.items() if re.search("|".join(p), t.lower())] for t in rows}
