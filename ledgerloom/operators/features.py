@@ -10,13 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.graph import cut
+
 
 def group_transform(df: DataFrame, keys: dict[str, str], value: str) -> DataFrame:
-    """For each key column (name -> prefix): count and mean of ``value`` by key on every row, and value / (mean + 1)."""
+    """For each key column (name -> prefix): count and mean of ``value`` by key on every row, and value / (mean + 1).
+
+    Rows are made once and written; each key's statistics come from these, not from rows that other keys' were joined to.
+    """
+    rows = df = cut(df)
     for key, prefix in keys.items():
-        stats = df.groupBy(key).agg(F.count("*").alias(f"{prefix}_count"), F.avg(value).alias(f"{prefix}_mean"))
-        df = df.join(stats, key, "left").withColumn(f"{prefix}_ratio", F.col(value) / (F.col(f"{prefix}_mean") + 1))
-    return df
+        stats = rows.groupBy(key).agg(F.count("*").alias(f"{prefix}_count"), F.avg(value).alias(f"{prefix}_mean"))
+        df = df.join(stats, key, "left")
+    return df.withColumns({f"{prefix}_ratio": F.col(value) / (F.col(f"{prefix}_mean") + 1) for prefix in keys.values()})  # last, so that no shuffle carries them
 
 
 def log_safe(x: Column) -> Column:
@@ -35,8 +41,6 @@ def cyclical(x: Column, period: int) -> tuple[Column, Column]:
 
 def numbered(values: DataFrame, by: str, into: str) -> DataFrame:
     """``values`` (distinct) with contiguous numbers from 0 in order of ``by``, without a sort in one task: ranges are numbered apart, on top of their starts."""
-    from ledgerloom.operators.graph import cut
-
     ranged = cut(values.repartitionByRange(by).sortWithinPartitions(by).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))  # one row a range
     starts = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__start"))

@@ -20,7 +20,7 @@ SELECT {ROW_SQL}, amount, o.c AS orig_count, round(o.m + 1e-7, 4) AS orig_mean,
 FROM tx JOIN o USING (nameOrig) JOIN d USING (nameDest)""",
 )
 def amlnet_group_transform(spark, sf_dir):
-    out = features.group_transform(transactions(spark, sf_dir), {"nameOrig": "orig", "nameDest": "dest"}, "amount")
+    out = features.group_transform(transactions(spark, sf_dir).select(*KEYS, "nameOrig", "nameDest", "amount"), {"nameOrig": "orig", "nameDest": "dest"}, "amount")
     return out.select(*KEYS, "amount", "orig_count", rounded(F.col("orig_mean") + 1e-7, 4).alias("orig_mean"), rounded(F.col("orig_ratio")).alias("orig_ratio"), "dest_count", rounded(F.col("dest_mean") + 1e-7, 4).alias("dest_mean"), rounded(F.col("dest_ratio")).alias("dest_ratio"))
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.operators import features
 from ledgerloom.plans import registry  # first, as it imports the others
 from ledgerloom.plans import graph as graph_plans, texts
 
@@ -182,3 +183,13 @@ def test_words_of_categories_are_sought_as_literals(spark):
     rows = [f"{a}{w}{b}" for w in words for a, b in (("", ""), ("Of ", " x"), ("x", ""), ("", "x"))]
     got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", T.any_tags(F.col("t"), kinds).alias("k")).collect()
     assert {r.t: r.k for r in got} == {t: [n for n, p in kinds.items() if re.search("|".join(p), t.lower())] for t in rows}
+
+
+def test_group_transform_makes_its_rows_once(spark, tmp_path):
+    """The rows' own source is in no plan of what is returned; a null key has no statistics."""
+    rows = [("a", "x", 1.0), ("a", "y", 3.0), ("b", "x", 5.0), (None, "y", 7.0)]
+    spark.createDataFrame(rows, "o string, d string, v double").write.parquet(f"{tmp_path}/rows")
+    out = features.group_transform(spark.read.parquet(f"{tmp_path}/rows"), {"o": "orig", "d": "dest"}, "v")
+    assert not any(str(tmp_path) in f for f in out.inputFiles())
+    got = {(r.o, r.d): (r.orig_count, r.orig_ratio, r.dest_count, r.dest_ratio) for r in out.collect()}
+    assert got == {("a", "x"): (2, 1 / 3, 2, 1 / 4), ("a", "y"): (2, 1.0, 2, 1 / 2), ("b", "x"): (1, 5 / 6, 2, 5 / 4), (None, "y"): (None, None, 2, 7 / 6)}
