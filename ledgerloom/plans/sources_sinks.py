@@ -95,10 +95,10 @@ def stream_episodes(spark, sf_dir):
     """Users' events as episodes over several micro-batches; each user's last row in the last file says done."""
     e = load(spark, sf_dir, "events").select("user_id", "event_id", "value", (F.col("event_type") == "purchase").cast("int").alias("hit"))
     last = e.groupBy("user_id").agg(F.max("event_id").alias("event_id")).withColumn("done", F.lit(True))
-    e = e.join(last, ["user_id", "event_id"], "left").fillna(False, ["done"])
+    e = cut(e.join(last, ["user_id", "event_id"], "left").fillna(False, ["done"]))
     at = _folder(spark, "episodes")
     e.where("NOT done").repartition(2).write.parquet(f"{at}/a")
-    e.where("done").coalesce(1).write.parquet(f"{at}/b")
+    e.where("done").repartition(1).write.parquet(f"{at}/b")
     rows = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(at)
     out = stream.run_once(stream.finished_episodes(rows, "user_id", "value", "hit", "done"), _folder(spark, "finished"), "append", _folder(spark, "state"))
     return out.select("user_id", "steps", rounded(F.col("total"), 3).alias("total"), "hits")

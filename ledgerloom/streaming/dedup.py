@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,30 +34,39 @@ def scrubbed(stream: DataFrame, id: str, text: str) -> DataFrame:
     return scrub.scrub(stream, id, text)
 
 
-def finished_episodes(stream: DataFrame, key: str, reward: str, hit: str, done: str) -> DataFrame:
-    """(key, steps, total, hits) of each episode once a row says that it is done; sums are kept as state until then, and dropped after."""
+def finished_episodes(stream: DataFrame, key: str, reward: str, hit: str, done: str, *, buckets: int = 1024) -> DataFrame:
+    """(key, steps, total, hits) of each episode once a row says that it is done; sums are kept as state until then, and dropped after.
+
+    A state holds the open episodes of one of ``buckets`` hash buckets of keys, as a call of Python and a state cost far more than an episode's few rows.
+    """
     kind = dict(stream.dtypes)[key]
 
     def step(group, parts, state):
-        steps, total, hits = state.get if state.exists else (0, 0.0, 0)
-        over = False
+        sums = {k: x for k, *x in json.loads(state.get[0])} if state.exists else {}
+        over = set()
         for pdf in parts:
-            steps, total, hits = steps + len(pdf), total + float(pdf[reward].sum()), hits + int(pdf[hit].sum())
-            over = over or bool(pdf[done].any())
-        if over:
+            codes, names = pd.factorize(pdf[key], use_na_sentinel=False)
+            names = [None if pd.isna(k) else k for k in names]
+            number = lambda c: np.bincount(codes, np.nan_to_num(pdf[c].to_numpy(dtype=float), posinf=np.inf, neginf=-np.inf))  # noqa: B023, E731  a null adds 0
+            for k, n, t, h, d in zip(names, np.bincount(codes), number(reward), number(hit), number(done), strict=True):
+                x = sums.get(k, (0, 0.0, 0))
+                sums[k] = x[0] + int(n), x[1] + float(t), x[2] + int(h)
+                over |= {k} if d else set()
+        left = [(k, *x) for k, x in sums.items() if k not in over]
+        if left:
+            state.update((json.dumps(left),))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({key: [group[0]], "steps": [steps], "total": [total], "hits": [hits]})
-        else:
-            state.update((steps, total, hits))
+        if over:
+            yield pd.DataFrame([(k, *sums[k]) for k in over], columns=[key, "steps", "total", "hits"])
 
-    rows = stream.select(key, reward, hit, done).groupBy(key)
-    return rows.applyInPandasWithState(step, f"{key} {kind}, steps bigint, total double, hits bigint", "steps bigint, total double, hits bigint", "append", "NoTimeout")
+    rows = stream.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("__bucket"), F.col(key).cast("string").alias(key), reward, hit, done).groupBy("__bucket")
+    out = rows.applyInPandasWithState(step, f"{key} string, steps bigint, total double, hits bigint", "open string", "append", "NoTimeout")
+    return out.withColumn(key, F.col(key).cast(kind))
 
 
 def drift_alarms(stream: DataFrame, key: str, order: str, a: str, b: str, window: int = 100, least: int = 10, limit: float = -0.3) -> DataFrame:
     """(key, n, correlation, alarm) after each micro-batch: of the differences of two series over the last ``window`` rows, which are the state."""
-    import numpy as np
-
     kind = dict(stream.dtypes)[key]
 
     def step(group, parts, state):
