@@ -54,16 +54,18 @@ def masked_lm(ids: Column, key: Column, vocabulary: int, share: float = 0.15) ->
 
 def whole_words(df: DataFrame, ids: str, words: str, key: str, share: float = 0.15) -> DataFrame:
     """``df`` with input_ids and labels: max(1, int(words * share)) whole words, those of the least draws, are masked; ``words`` has each id's word number, null for special ids."""
-    drawn = lambda w: F.struct(draw(F.col(key), w, "w").alias("u"), w.alias("w"))
-    numbers = F.array_distinct(F.filter(words, lambda w: w.isNotNull()))
-    count = F.greatest(F.lit(1), F.floor(F.size(numbers) * share).cast("int"))
-    last = F.element_at(F.array_sort(F.transform(numbers, drawn)), F.least(count, F.greatest(F.size(numbers), F.lit(1))))
+    # A draw as text: eight hexadecimal digits of a digest, then the word's number in sixteen, so that strings sort as (draw, number) and hash as one value.
+    drawn = lambda w: F.concat(F.substring(F.md5(F.concat_ws(":", F.lit("w"), F.col(key), w)), 1, 8), F.hex(w.cast("bigint") + (1 << 62)))
+    df = df.withColumn("__drawn", F.transform(words, lambda w: F.when(w.isNotNull(), drawn(w))))  # once for each id
+    draws = F.sort_array(F.array_distinct(F.filter("__drawn", lambda d: d.isNotNull())))
+    count = F.greatest(F.lit(1), F.floor(F.size(draws) * share).cast("int"))
+    last = F.try_element_at(draws, F.least(count, F.greatest(F.size(draws), F.lit(1))))
     # The last draw that counts is found once a row and laid beside each id: inside a lambda it would be found anew each time.
-    masked = F.zip_with(words, F.array_repeat(last, F.size(words)), lambda w, c: w.isNotNull() & F.coalesce(drawn(w) <= c, F.lit(False)))
+    masked = F.zip_with("__drawn", F.array_repeat(last, F.size("__drawn")), lambda d, c: F.coalesce(d <= c, F.lit(False)))
     rows = df.withColumn("__masked", masked)
     put = F.zip_with(ids, "__masked", lambda x, m: F.when(m, F.lit(MASK)).otherwise(x))
     keep = F.zip_with(ids, "__masked", lambda x, m: F.when(m, x).otherwise(F.lit(IGNORED)))
-    return rows.withColumn("input_ids", put).withColumn("labels", keep).drop("__masked")
+    return rows.withColumn("input_ids", put).withColumn("labels", keep).drop("__masked", "__drawn")
 
 
 def causal_lm(ids: Column) -> Column:

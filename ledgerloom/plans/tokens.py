@@ -13,8 +13,11 @@ VOCABULARY = 1000
 IDS_SQL = r"d AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda w: CAST((length(w) * 37) % 991 + 5 AS INTEGER)) AS ids FROM documents)"
 
 
-def ids(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.transform(T.words(F.col("text")), lambda w: ((F.length(w) * 37) % 991 + 5).cast("int")).alias("ids"))
+def ids(spark, sf_dir, some: bool = False):
+    """With ``some``, texts with a word alone; a filter by the number of ids would split each text once more."""
+    docs = load(spark, sf_dir, "documents")
+    docs = docs.where(F.col("text").rlike(r"\S")) if some else docs
+    return docs.select("doc_id", F.transform(T.words(F.col("text")), lambda w: ((F.length(w) * 37) % 991 + 5).cast("int")).alias("ids"))
 
 
 def _text(c):
@@ -50,7 +53,7 @@ p AS (SELECT doc_id, i, CASE WHEN NOT chosen THEN x WHEN r < 0.8 THEN 4 WHEN r <
 )
 def mlm_collator(spark, sf_dir):
     given, labels = tokens.masked_lm(F.col("ids"), F.col("doc_id").cast("string"), VOCABULARY)
-    return ids(spark, sf_dir).where(F.size("ids") > 0).select("doc_id", _text(given).alias("inputs"), _text(labels).alias("labels"))
+    return ids(spark, sf_dir, some=True).select("doc_id", _text(given).alias("inputs"), _text(labels).alias("labels"))
 
 
 @query(
@@ -60,7 +63,7 @@ SELECT x.doc_id, md5(string_agg(CASE WHEN c.w IS NULL THEN x ELSE 4 END, ',' ORD
 )
 def whole_word_collator(spark, sf_dir):
     """Two ids in a row are a word."""
-    rows = ids(spark, sf_dir).where(F.size("ids") > 0).withColumn("words", F.transform("ids", lambda x, i: F.floor(i / 2).cast("int"))).withColumn("key", F.col("doc_id").cast("string"))
+    rows = ids(spark, sf_dir, some=True).withColumn("words", F.transform("ids", lambda x, i: F.floor(i / 2).cast("int"))).withColumn("key", F.col("doc_id").cast("string"))
     return tokens.whole_words(rows, "ids", "words", "key").select("doc_id", _text(F.col("input_ids")).alias("inputs"), _text(F.col("labels")).alias("labels"))
 
 
