@@ -79,10 +79,9 @@ def describe_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def roles(tx: DataFrame) -> DataFrame:
-    """One row for each account and role in a transaction: a self-transfer counts in both roles."""
-    common = ["amount", "step", "isMoneyLaundering"]
-    sent = tx.select(F.col("nameOrig").alias("id"), F.lit(True).alias("sent"), *common)
-    return sent.unionByName(tx.select(F.col("nameDest").alias("id"), F.lit(False).alias("sent"), *common))
+    """One row for each account and role in a transaction: a self-transfer counts in both roles. Transactions are made once for both."""
+    both = F.array(F.struct(F.col("nameOrig").alias("id"), F.lit(True).alias("sent")), F.struct(F.col("nameDest").alias("id"), F.lit(False).alias("sent")))
+    return tx.select(F.explode(both).alias("r"), "amount", "step", "isMoneyLaundering").select("r.id", "r.sent", "amount", "step", "isMoneyLaundering")
 
 
 def gap_deviation(df: DataFrame, key: str, at: str) -> DataFrame:
