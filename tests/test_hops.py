@@ -76,3 +76,21 @@ def test_k_hop_neighbors_writes_no_pairs(spark, sf_dir, monkeypatch):
     counted_writes(monkeypatch, rows)
     assert registry.QUERIES["k_hop_neighbors"](spark, sf_dir).count() == 301 * 301
     assert sum(rows) < 20 * 300
+
+
+@pytest.mark.parametrize("part", [None, 4])
+def test_local_features(spark, part):
+    pairs = PAIRS if part is None else [(a, b) for a, b in PAIRS if str(a)[0] == str(part)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    near = loops(pairs, {x for p in pairs for x in p})
+    got = {r.seed: (r.n, r.m) for r in graph.local_features(edges, graph.nodes(edges), 2).collect()}
+    assert got == {x: (len(ball), sum(None not in (a, b) and a in ball and b in ball for a, b in set(pairs))) for x, ball in near.items()}
+
+
+def test_local_network_features_writes_no_pairs(spark, sf_dir, monkeypatch):
+    rows = []
+    star(spark, monkeypatch)
+    counted_writes(monkeypatch, rows)
+    got = {r.seed: (r.n, r.m, r.density) for r in registry.QUERIES["local_network_features"](spark, sf_dir).collect()}
+    assert got == {x: (301, 300, 0.003322) for x in ["M1", *(f"C{c}" for c in range(300))]}
+    assert sum(rows) < 20 * 300
