@@ -87,12 +87,13 @@ def roles(tx: DataFrame) -> DataFrame:
 def gap_deviation(df: DataFrame, key: str, at: str) -> DataFrame:
     """(key, n, gap_std): population deviation of the gaps between an account's sorted steps.
 
-    Gaps come from the counts by (key, step): an account's rows are never sorted in one task, only
-    its distinct steps, whose number the calendar bounds. Equal steps have gaps of 0.
+    An account's rows are never sorted in one task, only its distinct steps, whose number the calendar
+    bounds; they are one list, so they are shuffled once. Equal steps have gaps of 0.
     """
-    steps = df.groupBy(key, at).agg(F.count("*").alias("n"))
-    gap = (F.col(at) - F.lag(at).over(W.partitionBy(key).orderBy(at))).cast("double")
-    gaps = steps.withColumn("gap", gap).groupBy(key).agg(F.sum("n").alias("n"), F.sum("gap").alias("s"), F.sum(F.col("gap") * F.col("gap")).alias("q"))
+    steps = df.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_set(at)).alias("x"))
+    gap = lambda a, b: (b - a).cast("double")
+    each = F.zip_with(F.slice("x", F.lit(1), F.greatest(F.size("x") - 1, F.lit(0))), F.slice("x", 2, F.size("x") + 1), gap)
+    gaps = steps.withColumn("gaps", each).select(key, "n", (F.get("x", F.size("x") - 1) - F.get("x", F.lit(0))).cast("double").alias("s"), F.aggregate("gaps", F.lit(0.0), lambda q, g: q + g * g).alias("q"))
     m = F.col("n") - 1
     variance = F.greatest(F.lit(0.0), F.col("q") / m - F.pow(F.col("s") / m, 2))
     return gaps.select(key, "n", F.when(m > 0, F.sqrt(F.coalesce(variance, F.lit(0.0)))).alias("gap_std"))

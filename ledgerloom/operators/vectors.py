@@ -41,20 +41,29 @@ def node_vector(size: int = 20) -> Column:
     return vector(parts, size)
 
 
-def account_vectors(tx: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, v): the vector of each account from its transactions and its place in the graph of distinct edges."""
+def account_vectors(tx: DataFrame, edges: DataFrame, *, distinct: bool = True) -> DataFrame:
+    """(id, v): the vector of each account from its transactions and its place in the graph of distinct edges. With ``distinct`` false the edges are known to be.
+
+    A triangle has an account that edges both reach and leave, so where there is none, no edges are joined to look for triangles.
+    """
     stats = features.node_stats(tx).withColumnRenamed("transaction_velocity", "tx_velocity").withColumn("is_suspicious", F.col("label"))
-    d = graph.cut(graph.degrees(edges))
+    d = graph.cut(graph.degrees(edges, distinct=distinct))
     n = d.agg(F.count("*").alias("nodes"))
     place = d.join(F.broadcast(n)).withColumn("degree_centrality", F.when(F.col("nodes") > 1, F.col("degree") / (F.col("nodes") - 1)).otherwise(0.0)).drop("nodes")
-    near = graph.clustering(edges).select("id", F.col("clustering").alias("clustering_coefficient"))
-    return stats.join(place, "id", "left").join(near, "id", "left").select("id", node_vector().alias("v"))
+    if d.where("in_degree > 0 AND out_degree > 0").isEmpty():
+        place = place.withColumn("clustering_coefficient", F.lit(0.0))
+    else:
+        place = place.join(graph.clustering(edges).select("id", F.col("clustering").alias("clustering_coefficient")), "id", "left")
+    return stats.join(place, "id", "left").select("id", node_vector().alias("v"))
 
 
 def edge_vectors(edges: DataFrame, accounts: DataFrame) -> DataFrame:
-    """(src, dst, v): both ends' vectors, then the amount on a log scale and the step in thousands: 42 values."""
+    """(src, dst, v): both ends' vectors, then the amount on a log scale and the step in thousands: 42 values.
+
+    Payees are mostly fewer than payers, so they are joined first: rows of one then follow each other to the second shuffle, where equal vectors compress.
+    """
     a, b = (accounts.select(F.col("id").alias(end), F.col("v").alias(f"v_{end}")) for end in ("src", "dst"))
-    return edges.join(a, "src").join(b, "dst").select("src", "dst", F.concat("v_src", "v_dst", F.array(F.log1p(number("amount")), number("step") / 1000)).alias("v"))
+    return edges.join(b, "dst").join(a, "src").select("src", "dst", F.concat("v_src", "v_dst", F.array(F.log1p(number("amount")), number("step") / 1000)).alias("v"))
 
 
 def wide_vector(values: Column, extra: list[Column], width: int = 166) -> Column:

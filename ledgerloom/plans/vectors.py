@@ -41,13 +41,13 @@ def payments(spark, sf_dir):
 
 @query("node_vector_20", f"WITH {NODES_SQL} SELECT id, {_sum('v')} FROM nv")
 def node_vector_20(spark, sf_dir):
-    return _checked(vectors.account_vectors(*payments(spark, sf_dir)), "id")
+    return _checked(vectors.account_vectors(*payments(spark, sf_dir), distinct=False), "id")
 
 
 @query("edge_feature_42", f"WITH {NODES_SQL}, ev AS (SELECT src, dst, list_concat(list_concat(a.v, b.v), [ln(1 + amount), step / 1000]) AS v FROM edges JOIN nv a ON src = a.id JOIN nv b ON dst = b.id) SELECT src, dst, {_sum('v')} FROM ev")
 def edge_feature_42(spark, sf_dir):
     tx, e = payments(spark, sf_dir)
-    return _checked(vectors.edge_vectors(e, graph.cut(vectors.account_vectors(tx, e))), "src", "dst")
+    return _checked(vectors.edge_vectors(e, graph.cut(vectors.account_vectors(tx, e, distinct=False))), "src", "dst")
 
 
 @query(
